@@ -6,20 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxmill.llm import chat, decontaminate, mixing, quality, token_binary, token_counts
 from voxmill.llm.common import table
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from voxmill.llm.token_counts import token_counts
-
-    return token_counts(table(spark, sf_dir, "documents"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from voxmill.llm.token_binary import token_binary
+    return token_binary.token_binary(table(spark, sf_dir, "documents"))
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))["documents"]
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_turns(chat.with_conflict(table(spark, sf_dir, "conversations"))))
+
 
-    return token_binary(table(spark, sf_dir, "documents"))
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op5_token_binary)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_token_counts, op5_token_binary, op6_chat_format, op7_mixing, op10_quality)}
+ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op6_chat_format": chat.ORACLE, "op7_mixing": mixing.ORACLE}
