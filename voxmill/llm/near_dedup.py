@@ -40,7 +40,8 @@ BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 def _class_names(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A 64-bit name of each set, as a long; the same for the same set."""
     n = np.diff(bounds)
-    total = np.concatenate([[0], np.cumsum(mix64(code + np.uint64(0x632BE59BD9B4E019)), dtype=np.uint64)])
+    total = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(mix64(code + np.uint64(0x632BE59BD9B4E019)), out=total[1:])
     return mix64((total[bounds[1:]] - total[bounds[:-1]]) ^ n.astype(np.uint64)).view(np.int64)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import chat, decontaminate, mixing, quality, token_binary, token_counts
+from voxmill.llm import chat, decontaminate, mixing, near_dedup, pii, quality, token_binary, token_counts
 from voxmill.llm.common import table
 
 
@@ -34,5 +34,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_token_counts, op5_token_binary, op6_chat_format, op7_mixing, op10_quality)}
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_near_dedup, op3_token_counts, op5_token_binary, op6_chat_format, op7_mixing, op8_pii, op10_quality)}
 ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op6_chat_format": chat.ORACLE, "op7_mixing": mixing.ORACLE}

@@ -84,7 +84,7 @@ def signatures(code: np.ndarray, bounds: np.ndarray, bins: int) -> np.ndarray:
 
 def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     """A 64-bit key for each band of `rows` bins."""
-    banded = sig.reshape(len(sig), -1, rows)
+    banded = sig.reshape(len(sig), sig.shape[1] // rows, rows)
     key = np.broadcast_to(np.arange(banded.shape[1], dtype=np.uint64) * ORDER[4], banded.shape[:2]).copy()
     for k in range(rows):
         key = mix64(key ^ (banded[:, :, k] * ORDER[k % len(ORDER)] + np.uint64(k)))
