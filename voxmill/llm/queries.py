@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import chat, decontaminate, mixing, near_dedup, pii, quality, token_binary, token_counts
+from voxmill.llm import chat, decontaminate, mixing, near_dedup, pii, quality, repeats, token_binary, token_counts
 from voxmill.llm.common import table
 
 
@@ -42,5 +42,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_near_dedup, op3_token_counts, op5_token_binary, op6_chat_format, op7_mixing, op8_pii, op10_quality)}
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_decontamination, op2_near_dedup, op3_token_counts, op4_suffix_dedup, op5_token_binary, op6_chat_format, op7_mixing, op8_pii, op10_quality)
+}
 ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op6_chat_format": chat.ORACLE, "op7_mixing": mixing.ORACLE}
