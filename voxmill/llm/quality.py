@@ -50,9 +50,8 @@ def counts(text: Column) -> dict[str, Column]:
     }
 
 
-def ratios() -> dict[str, Column]:
-    """Statistics from the counts; each is 0 for an empty text."""
-    c = F.col
+def ratios(c=F.col) -> dict[str, Column]:
+    """Statistics from the counts, which c finds by name; each is 0 for an empty text."""
     per = lambda a, b: F.coalesce(F.try_divide(c(a).cast("double"), b), F.lit(0.0))
     words = c("spaces") + c("lines") + 1
     return {
@@ -101,8 +100,8 @@ def tree_rules(model) -> list[Rule]:
     return list(found)
 
 
-def holds(rule: Rule) -> Column:
-    parts = [F.col(STATISTICS[i]) <= at if most else F.col(STATISTICS[i]) > at for i, most, at in rule]
+def holds(rule: Rule, c=F.col) -> Column:
+    parts = [c(STATISTICS[i]) <= at if most else c(STATISTICS[i]) > at for i, most, at in rule]
     out = parts[0]
     for p in parts[1:]:
         out = out & p
@@ -115,10 +114,10 @@ class RuleModel:
     def __init__(self, base: float, rules: list[tuple[Rule, float]]):
         self.base, self.rules = base, rules
 
-    def score(self) -> Column:
+    def score(self, c=F.col) -> Column:
         total = F.lit(self.base)
         for rule, weight in self.rules:
-            total = total + F.when(holds(rule), F.lit(weight)).otherwise(F.lit(0.0))
+            total = total + F.when(holds(rule, c), F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
@@ -155,3 +154,13 @@ def classify(documents: DataFrame, labels: DataFrame, label: str = "quality") ->
     model = fit(documents, labels, label)
     scored = statistics(documents, "doc_id").select("doc_id", held_out().alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """The rows of documents that score 0.5 or more, with all their columns and no
+    others; scores are computed where the texts are read."""
+    model = fit(documents, labels, label)
+    inner = lambda name: lambda k: F.col(f"{name}.{k}")
+    scored = documents.withColumn("__counts", F.struct(*(v.alias(k) for k, v in counts(F.col("text")).items())))
+    scored = scored.withColumn("__stats", F.struct(*(v.alias(k) for k, v in ratios(inner("__counts")).items())))
+    return scored.where(model.score(inner("__stats")) >= 0.5).select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import chat, decontaminate, mixing, near_dedup, pii, quality, repeats, token_binary, token_counts
+from voxmill.llm import chat, decontaminate, mixing, near_dedup, pii, quality, repeats, search, token_binary, token_counts
 from voxmill.llm.common import table
 
 
@@ -46,8 +46,16 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return search.search(documents, search.sampled_queries(documents))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_near_dedup, op3_token_counts, op4_suffix_dedup, op5_token_binary, op6_chat_format, op7_mixing, op8_pii, op10_quality)
-}
+    for f in (
+        op1_decontamination, op2_near_dedup, op3_token_counts, op4_suffix_dedup, op5_token_binary,
+        op6_chat_format, op7_mixing, op8_pii, op9_search, op10_quality,
+    )
+}
 ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op6_chat_format": chat.ORACLE, "op7_mixing": mixing.ORACLE}
