@@ -186,7 +186,14 @@ def flip_x(spark, sf):
 # elementwise arithmetic: (a, b) and its shift by one along x are two complex volumes
 
 _PAIR = VOL + ", pair AS (SELECT v.image_id, v.x, v.y, v.z, v.a AS ar, v.b AS ai, s.a / 16 - 4 AS br, s.b - 3 AS bi FROM vol v JOIN vol s ON s.image_id = v.image_id AND s.x = (v.x + 1) % 16 AND s.y = v.y AND s.z = v.z)"
-_A, _B = (F.col("ar"), F.col("ai")), (F.col("br"), F.col("bi"))
+
+
+def _first() -> ar.Complex:
+    return F.col("ar"), F.col("ai")
+
+
+def _second() -> ar.Complex:
+    return F.col("br"), F.col("bi")
 
 
 def _pair(spark, sf) -> Volume:
@@ -212,16 +219,16 @@ def _real(name: str, expression, sql: str) -> None:
 
 _TOP = ("(ar * br + ai * bi)", "(ai * br - ar * bi)")
 _NORM = "(br * br + bi * bi)"
-_real("real_mul", lambda: _A[0] * _B[0], "ar * br")
-_real("real_div_eps", lambda: ar.divide(_A[0], _B[0], 1e-3), "ar / CASE WHEN br < 1e-3 THEN 1e-3 ELSE br END")
-_real("scalar_mul", lambda: _A[0] * 2.5, "ar * 2.5")
-_real("complex_magnitude", lambda: ar.magnitude(_B), f"sqrt{_NORM}")
-_complex("complex_scale", lambda: ar.scale(_A, 0.5), "ar * 0.5", "ai * 0.5")
-_complex("complex_add", lambda: ar.add(_A, _B), "ar + br", "ai + bi")
-_complex("complex_mul", lambda: ar.multiply(_A, _B), "ar * br - ai * bi", "ar * bi + ai * br")
-_complex("complex_mul_conj", lambda: ar.multiply_conjugate(_A, _B), *_TOP)
-_complex("complex_div", lambda: ar.divide_complex(_A, _B, 2.0), *(f"CASE WHEN {_NORM} < 2 THEN 0 ELSE {t} / {_NORM} END" for t in _TOP))
-_complex("complex_div_stab", lambda: ar.divide_stabilized(_A, _B, 2.0), *(f"{t} / greatest(2, {_NORM})" for t in _TOP))
+_real("real_mul", lambda: _first()[0] * _second()[0], "ar * br")
+_real("real_div_eps", lambda: ar.divide(_first()[0], _second()[0], 1e-3), "ar / CASE WHEN br < 1e-3 THEN 1e-3 ELSE br END")
+_real("scalar_mul", lambda: _first()[0] * 2.5, "ar * 2.5")
+_real("complex_magnitude", lambda: ar.magnitude(_second()), f"sqrt{_NORM}")
+_complex("complex_scale", lambda: ar.scale(_first(), 0.5), "ar * 0.5", "ai * 0.5")
+_complex("complex_add", lambda: ar.add(_first(), _second()), "ar + br", "ai + bi")
+_complex("complex_mul", lambda: ar.multiply(_first(), _second()), "ar * br - ai * bi", "ar * bi + ai * br")
+_complex("complex_mul_conj", lambda: ar.multiply_conjugate(_first(), _second()), *_TOP)
+_complex("complex_div", lambda: ar.divide_complex(_first(), _second(), 2.0), *(f"CASE WHEN {_NORM} < 2 THEN 0 ELSE {t} / {_NORM} END" for t in _TOP))
+_complex("complex_div_stab", lambda: ar.divide_stabilized(_first(), _second(), 2.0), *(f"{t} / greatest(2, {_NORM})" for t in _TOP))
 
 
 @query(VOL + " SELECT image_id, x, y, z, round(a * -2 * (cos(2 * pi() * x / 16) + cos(2 * pi() * y / 16) + cos(2 * pi() * z / 4) - 3), 6) + 0.0 AS a FROM vol")
@@ -285,14 +292,14 @@ def sum_reduce(spark, sf):
 
 @query(_PAIR + " SELECT image_id, round(avg((ar - br) * (ar - br) + (ai - bi) * (ai - bi)), 4) AS mse FROM pair GROUP BY image_id")
 def mean_square_error(spark, sf):
-    return _rounded(red.mean_square_error(_pair(spark, sf), _A, _B), "mse", digits=4)
+    return _rounded(red.mean_square_error(_pair(spark, sf), _first(), _second()), "mse", digits=4)
 
 
 @query(_PAIR + " SELECT image_id, x, y, z, 2 * ar + br AS re, 2 * ai + bi AS im FROM pair")
 def nary_add(spark, sf):
     p = _pair(spark, sf)
-    first = p.map(re=_A[0], im=_A[1])
-    return red.add_all([first, first, p.map(re=_B[0], im=_B[1])]).voxels
+    first = p.map(re=_first()[0], im=_first()[1])
+    return red.add_all([first, first, p.map(re=_second()[0], im=_second()[1])]).voxels
 
 
 _MASKS = VOL + ", m AS (SELECT image_id, x, y, z, g, CASE g WHEN 0 THEN a WHEN 1 THEN b ELSE CAST(x % 3 AS DOUBLE) END AS weight FROM vol, range(3) r(g))"
