@@ -71,7 +71,11 @@ def ratios(c=F.col) -> dict[str, Column]:
     }
 
 
-STATISTICS = list(ratios())
+#: Their names, in the order of the classifier's inputs.
+STATISTICS = (
+    "log_chars", "wide_share", "upper_share", "digit_share", "space_share", "line_share", "stop_share",
+    "mark_share", "symbol_share", "bar_share", "word_length", "word_kinds", "line_kinds_share",
+)
 
 
 def statistics(documents: DataFrame, *keep: str) -> DataFrame:
@@ -137,7 +141,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", most_ro
         share = min(max(share, 1e-6), 1 - 1e-6)
         return RuleModel(math.log(share / (1 - share)), [])
     rows = rows.repartition(4, "doc_id").sortWithinPartitions("doc_id")
-    inputs = VectorAssembler(inputCols=STATISTICS, outputCol="inputs").transform(rows).cache()
+    inputs = VectorAssembler(inputCols=list(STATISTICS), outputCol="inputs").transform(rows).cache()
     trees = GBTClassifier(featuresCol="inputs", labelCol="label", maxDepth=DEPTH, maxIter=TREES, maxBins=64, stepSize=0.2, seed=7).fit(inputs)
     rules = tree_rules(trees)
     inputs.unpersist()
