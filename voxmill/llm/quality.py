@@ -135,8 +135,9 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", most_ro
     chosen = materialize(known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows), "labelled")
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = materialize(statistics(rows, "doc_id", "label"), "statistics")
-    both = rows.agg(F.avg("label").alias("share"), F.count("*").alias("n")).first()
-    share = 0.5 if both["share"] is None else both["share"]
+    share = rows.agg(F.avg("label")).first()[0]
+    if share is None:
+        return RuleModel(0.0, [])
     if not 0 < share < 1:
         share = min(max(share, 1e-6), 1 - 1e-6)
         return RuleModel(math.log(share / (1 - share)), [])
