@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxmill import engine
 from voxmill.functions import text
 from voxmill.operators import arithmetic as ar
 from voxmill.operators import deconvolution as dec
@@ -621,6 +622,16 @@ def labeled_deconvolution(spark, sf):
     return _rounded(dec.labelled(v, "a", weights, {"wide": dec.tap_psf(TAPS), "point": dec.tap_psf([(0, 0, 0, 2.0)])}, "Convolution"), "a")
 
 
+_HALF = ", ml AS (SELECT image_id, x, y, z, CASE WHEN x < 8 THEN 1.0 ELSE 0.0 END AS v FROM vol), mr AS (SELECT image_id, x, y, z, 1 - v AS v FROM ml), cl AS (" + _conv("ml", "v", SHAPE) + "), cr AS (" + _conv("mr", "v", SHAPE) + ")"
+
+
+@query(VOL + _HALF + " SELECT image_id, x, y, z, 'l' AS group, round(l.v / (l.v + r.v), 6) + 0.0 AS weight FROM cl l JOIN cr r USING (image_id, x, y, z) UNION ALL SELECT image_id, x, y, z, 'r', round(r.v / (l.v + r.v), 6) + 0.0 FROM cl l JOIN cr r USING (image_id, x, y, z)".replace("AS group", 'AS "group"'))
+def label_weights(spark, sf):
+    v = volume(spark, sf)
+    masks = v.with_(v.voxels.select(*KEYS, F.when(F.col("x") < 8, "l").otherwise("r").alias("group"), F.lit(1.0).alias("weight")))
+    return _rounded(engine.weights(masks, dec.tap_psf(TAPS)), "weight")
+
+
 # plans and files
 
 
