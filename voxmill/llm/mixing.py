@@ -94,8 +94,9 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     slots = slots.withColumn("block", F.pmod(F.pmod(F.col("slot"), F.col("n_blocks")) * STEP + turn, F.col("n_blocks")))
 
     uses = slots.groupBy("rank", "block").agg(F.count("*").alias("uses"))
-    taken = pieces.join(uses, ["rank", "block"]).groupBy("row").agg(F.sum(F.col("uses") * F.col("n_words")).alias("taken"))
-    result = placed.select("row", "doc_id", "rank", "size").join(targets.select("rank", "source_size", "target"), "rank").join(taken, "row", "left")
+    # the planner takes exploded slots for as small as their sources; they are not
+    taken = pieces.join(uses.hint("merge"), ["rank", "block"]).groupBy("row").agg(F.sum(F.col("uses") * F.col("n_words")).alias("taken"))
+    result = placed.select("row", "doc_id", "rank", "size").join(targets.select("rank", "source_size", "target"), "rank").join(taken.hint("merge"), "row", "left")
     return {
         "documents": result.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")),
         "slots": slots.select("shard", "source", "slot", "block"),
