@@ -141,7 +141,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", most_ro
     if not 0 < share < 1:
         share = min(max(share, 1e-6), 1 - 1e-6)
         return RuleModel(math.log(share / (1 - share)), [])
-    rows = rows.repartition(4, "doc_id").sortWithinPartitions("doc_id")
+    # at most most_rows rows of a few numbers: one task each for a hundred small jobs
+    rows = rows.coalesce(1).sortWithinPartitions("doc_id")
     inputs = VectorAssembler(inputCols=list(STATISTICS), outputCol="inputs").transform(rows).cache()
     trees = GBTClassifier(featuresCol="inputs", labelCol="label", maxDepth=DEPTH, maxIter=TREES, maxBins=64, stepSize=0.2, seed=7).fit(inputs)
     rules = tree_rules(trees)
