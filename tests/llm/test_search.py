@@ -51,6 +51,26 @@ def test_search(spark, monkeypatch, k):
         assert all(abs(a[1] - b[1]) < 2e-6 for a, b in zip(hits, want[q]))
 
 
+def test_registered_query_takes_all_terms(spark, monkeypatch, tmp_path):
+    from voxmill.llm import queries as Q
+
+    monkeypatch.setattr(S, "SHARD_DOCS", 10)
+    monkeypatch.setattr(S, "QUERIES", 3)
+    monkeypatch.setattr(S, "COMMON", 20)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*(vocabulary[min(399, int(rng.expovariate(0.01)))] for _ in range(rng.randrange(60, 150))), f"own{i}"])) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {}
+    for r in sorted(Q.QUERIES["op9_search"](spark, str(tmp_path)).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    want = brute(rows, {i: set(words(t)) for i, t in rows if i % 50 == 0}, 10, None)
+    assert set(found) == set(want)
+    for q, hits in found.items():
+        assert [h[0] for h in hits] == [h[0] for h in want[q]]
+        assert all(abs(a[1] - b[1]) < 2e-6 for a, b in zip(hits, want[q]))
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert S.search(frame, S.sampled_queries(frame)).count() == 0

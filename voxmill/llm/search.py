@@ -7,16 +7,17 @@ shards score alike and their results merge exactly.
     idf = ln(1 + (N - df + 0.5) / (df + 0.5))
     score = sum of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
 
-A query is a bag of terms. For a query that is a document, they are its `most_terms`
-terms of greatest tf * idf among those that stand in another row too (ties: by
-hash), chosen from its whole text; most_terms=None takes them all.
-
-Each shard indexes the terms that any query has, with postings in blocks of
-documents and the greatest impact of each term in each block. For a query, block
-bounds are sums of its terms' greatest impacts there (WAND's pivot test, for blocks
-of documents at once). Blocks are scored in the order of their bounds, in growing
-batches, until the next bound is below the k-th best score. Nothing that could
-enter the top k is skipped.
+A query is a bag of all its distinct terms. `most_terms` keeps of each only those of
+greatest tf * idf among those that stand in another row too (ties: by hash).
+
+Documents are dealt to the tasks, and each task gets all queries once, into an
+unnamed scratch file; so the shuffle grows with documents and queries, not with
+their product. A task indexes its documents shard by shard. Rare terms of a batch
+of queries are summed by their postings first. Common ones, whose postings are held
+as columns over all documents of the shard, come last, for blocks of documents: the
+greatest sum of a block and the greatest impacts of common terms there bound its
+scores, and only queries whose k-th best score so far (of all shards of the task) the
+bound reaches are scored on it. Nothing that could enter the top k is skipped.
 
 Rows: null and empty texts match nothing, and as queries return nothing; rows with
 the same doc_id are hits of their own; queries have distinct ids; a null query id is
@@ -25,6 +26,7 @@ rows give no rows."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import materialize, partitions, prefix_hash, span_hash, text_slices, utf8_buffer
+from voxmill.llm.common import flat_ranges, materialize, partitions, prefix_hash, span_hash, text_slices, utf8_buffer
 from voxmill.llm.shingles import FOLDED
 
-K1, B, TOP, MOST_TERMS, BLOCK, SHARD_DOCS, BROADCAST_TERMS = 1.2, 0.75, 10, 32, 64, 5_000, 2_000_000
+K1, B, TOP, BLOCK, SHARD_DOCS, SLICE = 1.2, 0.75, 10, 64, 5_000, 1 << 20
+#: Terms in more than a share of a shard's documents are common, up to a number; and
+#: queries, and terms of theirs, that are scored together.
+COMMON_SHARE, COMMON, QUERIES, QUERY_TERMS = 0.05, 1024, 128, 40_000
+#: Tasks that documents are dealt to; fixed, as each of them gets all queries.
+PARTS = 24
+NULL_ID = -(2**63)
 IN_TERM = np.zeros(256, bool)
 IN_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -80,14 +88,14 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return word[at], np.add.reduceat(count, at) if len(at) else count
 
     for batch in batches:
-        for piece in text_slices(batch):
+        for piece in text_slices(batch, SLICE):
             _, word, _, length = term_counts(piece.column("text"))
             held.append(np.unique(word, return_counts=True))
             rows, total, size = rows + piece.num_rows, total + int(length.sum()), size + len(held[-1][0])
-            if size > 2_000_000:
+            if size > 1_000_000:
                 held[:] = [merged()]
                 size = len(held[0][0])
-                if size > 1_000_000:
+                if size > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1]), pa.array(np.zeros(size, np.int64))], names=["term", "df", "total"])
                     held, size = [], 0
     if held:
@@ -98,132 +106,169 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in text_slices(batch):
+        for piece in text_slices(batch, SLICE):
             owner, word, tf, _ = term_counts(piece.column("text"))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(owner)), pa.array(word), pa.array(tf)], names=["query_id", "term", "qtf"])
 
 
-def _postings(terms):
-    """terms: a broadcast sorted array of the terms wanted, or None for all."""
-
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if terms is None else terms.value
-        for batch in batches:
-            for piece in text_slices(batch):
-                owner, word, tf, length = term_counts(piece.column("text"))
-                if wanted is not None:
-                    at = np.minimum(np.searchsorted(wanted, word), max(len(wanted) - 1, 0))
-                    use = wanted[at] == word if len(wanted) else np.zeros(len(word), bool)
-                    owner, word, tf = owner[use], word[use], tf[use]
-                rows = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([piece.column("row").take(rows), piece.column("doc_id").take(rows), pa.array(word), pa.array(tf), pa.array(length[owner])], names=["row", "doc_id", "term", "tf", "length"])
-
-    return postings
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in text_slices(batch, SLICE):
+            owner, word, tf, length = term_counts(piece.column("text"))
+            bounds = pa.array(np.searchsorted(owner, np.arange(len(length) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(v)) for v in (word, tf.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("doc_id"), pa.array(length), *lists], names=["id", "doc_id", "length", "terms", "counts"])
+
+
+class Queries:
+    """A task's queries: ids and bounds in memory, terms and weights in a scratch file;
+    and the best hits of each so far."""
+
+    def __init__(self, k: int):
+        self.k, self.ids, self.sizes, self.file = k, [], [], tempfile.TemporaryFile()
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        self.ids.append(ids), self.sizes.append(sizes)
+        self.file.write(np.rec.fromarrays([terms, weights], dtype=[("term", "<i8"), ("weight", "<f8")]).tobytes())
+
+    def close(self) -> None:
+        self.id = np.concatenate([*self.ids, np.zeros(0, np.int64)])
+        self.bounds = np.concatenate([[0], np.cumsum(np.concatenate([*self.sizes, np.zeros(0, np.int64)]))]).astype(np.int64)
+        self.score = np.full((len(self.id), self.k), -np.inf)
+        self.doc_id, self.row = (np.zeros((len(self.id), self.k), np.int64) for _ in range(2))
+
+    def batches(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """First and last of some queries; owner, term and weight of their terms."""
+        a = 0
+        while a < len(self.id):
+            b = max(a + 1, min(a + QUERIES, int(np.searchsorted(self.bounds, self.bounds[a] + QUERY_TERMS, "right")) - 1))
+            self.file.seek(16 * int(self.bounds[a]))
+            held = np.frombuffer(self.file.read(16 * int(self.bounds[b] - self.bounds[a])), [("term", "<i8"), ("weight", "<f8")])
+            yield a, b, np.repeat(np.arange(b - a), np.diff(self.bounds[a : b + 1])), held["term"], held["weight"]
+            a = b
+
+    def merge(self, a: int, b: int, query: np.ndarray, doc_id: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
+        """Hits of queries a to b (query counts from a) beside the ones held."""
+        old, place = np.nonzero(self.score[a:b] > 0)
+        query = np.concatenate([old, query])
+        doc_id, row, score = (np.concatenate([x[a + old, place], y]) for x, y in ((self.doc_id, doc_id), (self.row, row), (self.score, np.round(score, 6))))
+        order = np.lexsort((row, doc_id, -score, query))
+        query = query[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        order, query, rank = order[rank < self.k], query[rank < self.k], rank[rank < self.k]
+        self.score[a + query, rank], self.doc_id[a + query, rank], self.row[a + query, rank] = score[order], doc_id[order], row[order]
+
+    def hits(self) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(self.id), 1000):
+            query, place = np.nonzero(self.score[a : a + 1000] > 0)
+            query += a
+            doc_id = self.doc_id[query, place]
+            yield pa.RecordBatch.from_arrays([pa.array(self.id[query]), pa.array(doc_id, mask=doc_id == NULL_ID), pa.array(self.row[query, place]), pa.array(self.score[query, place])], names=["query_id", "doc_id", "row", "score"])
 
 
 class Shard:
-    """Postings by term, in the order of documents, and block maxima."""
+    """Postings by term, in the order of documents; common terms as columns, and their
+    block maxima."""
 
-    def __init__(self, term: np.ndarray, doc: np.ndarray, impact: np.ndarray):
+    def __init__(self, rows: np.ndarray, doc_id: np.ndarray, doc: np.ndarray, term: np.ndarray, impact: np.ndarray):
         order = np.lexsort((doc, term))
-        self.term, self.doc, self.impact = term[order], doc[order], impact[order]
-        block = self.doc // BLOCK
-        new = np.ones(len(block), bool)
-        new[1:] = (block[1:] != block[:-1]) | (self.term[1:] != self.term[:-1])
-        at = np.flatnonzero(new)
-        self.block, self.most, self.block_term, self.begin = block[at], np.maximum.reduceat(self.impact, at) if len(at) else impact, self.term[at], np.append(at, len(block))
-
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents of the k best scores, ties at the last one included."""
-        a, b = np.searchsorted(self.block_term, terms, "left"), np.searchsorted(self.block_term, terms, "right")
-        n = b - a
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(a - (ends - n), n)
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
-        weight = np.repeat(weights, n)
-        blocks, own = np.unique(self.block[at], return_inverse=True)
-        bound = np.bincount(own, self.most[at] * weight)
-        order = np.argsort(-bound, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        own_rank = rank[own]
-        docs, scores, floor, done, step = [], np.zeros(0), -np.inf, 0, max(8, 2 * k)
-        while done < len(order) and bound[order[done]] >= floor - 1e-6:
-            use = np.flatnonzero((own_rank >= done) & (own_rank < done + step))
-            start, size = self.begin[at[use]], self.begin[at[use] + 1] - self.begin[at[use]]
-            upto = np.cumsum(size)
-            post = np.arange(upto[-1]) + np.repeat(start - (upto - size), size)
-            found, which = np.unique(self.doc[post], return_inverse=True)
-            docs.append(found)
-            scores = np.concatenate([scores, np.bincount(which, self.impact[post] * np.repeat(weight[use], size))])
-            if len(scores) >= k:
-                floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-            done, step = done + step, step * 2
-        keep = scores >= floor - 1e-6
-        return np.concatenate(docs)[keep], scores[keep]
-
-
-def _search(k: int, average: float):
+        self.rows, self.doc_id, self.blocks = rows, doc_id, -(-len(rows) // BLOCK)
+        term, self.doc, self.impact = term[order], doc[order], impact[order]
+        self.begin = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+        self.term, self.size = term[self.begin], np.diff(np.append(self.begin, len(term)))
+        common = np.argsort(-self.size, kind="stable")[:COMMON]
+        common = common[self.size[common] > COMMON_SHARE * len(rows)]
+        self.column = np.full(len(self.term), -1)
+        self.column[common] = np.arange(len(common))
+        self.common = np.zeros((self.blocks * BLOCK, len(common)))
+        post = flat_ranges(self.begin[common], self.size[common])
+        self.common[self.doc[post], np.repeat(np.arange(len(common)), self.size[common])] = self.impact[post]
+        self.most = self.common.reshape(self.blocks, BLOCK, -1).max(1)
+
+    def answer(self, queries: Queries) -> None:
+        if not len(self.term):
+            return
+        n, width = self.blocks * BLOCK, self.common.shape[1]
+        for a, b, owner, term, weight in queries.batches():
+            at = np.minimum(np.searchsorted(self.term, term), len(self.term) - 1)
+            known = self.term[at] == term
+            owner, at, weight = owner[known], at[known], weight[known]
+            column = self.column[at]
+            is_common, rare = column >= 0, column < 0
+            weights = np.bincount(owner[is_common] * width + column[is_common], weight[is_common], (b - a) * width).reshape(b - a, width)
+            size = self.size[at[rare]]
+            post = flat_ranges(self.begin[at[rare]], size)
+            score = np.bincount(np.repeat(owner[rare] * n, size) + self.doc[post], self.impact[post] * np.repeat(weight[rare], size), (b - a) * n).astype(np.float64).reshape(b - a, n)  # integers where there is nothing to sum
+            del post
+            bound = score.reshape(b - a, self.blocks, BLOCK).max(2) + weights @ self.most.T
+            best = queries.score[a:b].copy()
+            floor = best.min(1)
+            for block in np.argsort(-bound.sum(0), kind="stable").tolist():
+                places = slice(block * BLOCK, (block + 1) * BLOCK)
+                use = bound[:, block] >= floor - 1e-6
+                score[~use, places] = 0
+                if use.any():
+                    full = score[use, places] + weights[use] @ self.common[places].T
+                    score[use, places] = full
+                    best[use] = np.partition(np.concatenate([best[use], full], 1), BLOCK, 1)[:, BLOCK:]
+                    floor[use] = best[use].min(1)
+            query, doc = np.nonzero((score > 0) & (score >= floor[:, None] - 1e-6))
+            queries.merge(a, b, query, self.doc_id[doc], self.rows[doc], score[query, doc])
+
+
+def _search(k: int, n: int, average: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by shard, postings (kind 0) before query terms (kind 1), those by query."""
-        shard = index = query = None
-        parts: list[tuple] = []
-        asked: list[tuple] = []
-        out: list[tuple] = []
-
-        def answer():
-            if asked:
-                term, weight = (np.concatenate(x) for x in zip(*asked))
-                order = np.argsort(term)
-                doc, score = index[0].top(term[order], weight[order], k)
-                score = np.round(score, 6)
-                if len(doc) > k:
-                    best = np.lexsort((index[2][doc], index[1][doc], -score))[:k]
-                    doc, score = doc[best], score[best]
-                out.append((np.full(len(doc), query), index[1][doc], index[2][doc], score))
-                asked.clear()
-
-        def given():
-            columns = [np.concatenate([x for x, *_ in out]), *(np.concatenate([x[i] for x in out]) for i in (1, 2, 3))]
-            out.clear()
-            null = columns[1] == NULL_ID
-            return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], mask=null), pa.array(columns[2]), pa.array(columns[3])], names=["query_id", "doc_id", "row", "score"])
+        """Rows by part, its queries (kind 0) before documents (kind 1), those by shard."""
+        part = shard = queries = None
+        held: list[tuple] = []
+
+        def flush():
+            if held:
+                rows, doc_id, length, sizes, terms, counts = (np.concatenate(x) for x in zip(*held))
+                held.clear()
+                doc = np.repeat(np.arange(len(rows)), sizes)
+                impact = counts * (K1 + 1) / (counts + K1 * (1 - B + B * length[doc] / average))
+                del counts, length
+                Shard(rows, doc_id, doc, terms, impact).answer(queries)
 
         for batch in batches:
-            cols = [np.asarray(batch.column(c)) for c in ("shard", "kind")] + [np.asarray(batch.column(c).fill_null(NULL_ID)) for c in ("query_id", "doc_id", "row", "term", "length")] + [np.asarray(batch.column("value"))]
-            cut = np.flatnonzero(np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])))
+            at = [np.asarray(batch.column(c)) for c in ("part", "kind", "shard")]
+            cut = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in at], 0)))
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), batch.num_rows]):
-                s, kind, q = (int(c[a]) for c in cols[:3])
-                if s != shard:
-                    answer()
-                    shard, index, parts, query = s, None, [], None
+                p, kind, s = (int(c[a]) for c in at)
+                if p != part:
+                    if shard is not None:
+                        flush()
+                        yield from queries.hits()
+                    part, shard, queries = p, None, Queries(k)
+                piece = batch.slice(a, b - a)
+                sizes = np.asarray(piece.column("terms").value_lengths()).astype(np.int64)
+                ids, terms, counts = np.asarray(piece.column("id")), np.asarray(piece.column("terms").flatten()), np.asarray(piece.column("counts").flatten())
                 if kind == 0:
-                    parts.append(tuple(c[a:b] for c in cols[3:]))
+                    queries.add(ids, sizes, terms, np.log(1 + (n - counts + 0.5) / (counts + 0.5)))
                     continue
-                if index is None:
-                    doc, row, term, length, tf = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4 + (np.zeros(0),)
-                    parts = []
-                    rows, first, own = np.unique(row, return_index=True, return_inverse=True)
-                    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
-                    index = (Shard(term, own, impact), doc[first], rows)
-                if q != query:
-                    answer()
-                    query = q
-                asked.append((cols[5][a:b], cols[7][a:b]))
-            if len(out) > 1000:
-                yield given()
-        answer()
-        if out:
-            yield given()
+                if shard is None:
+                    queries.close()
+                if s != shard:
+                    flush()
+                    shard = s
+                held.append((ids, np.asarray(piece.column("doc_id").fill_null(NULL_ID)), np.asarray(piece.column("length")), sizes, terms, counts))
+        if shard is not None:
+            flush()
+            yield from queries.hits()
 
     return search
 
 
-NULL_ID = -(2**63)
+def _keys(spark, parts: int) -> list[int]:
+    """A key for each partition that repartition() deals to it."""
+    found: dict[int, int] = {}
+    for key, to in spark.range(parts * 40).select(F.col("id").cast("int"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts))).collect():
+        found.setdefault(to, key)
+    return sorted(found.values())
 
 
-def search(documents: DataFrame, queries: DataFrame, k: int = TOP, most_terms: int | None = MOST_TERMS) -> DataFrame:
+def search(documents: DataFrame, queries: DataFrame, k: int = TOP, most_terms: int | None = None) -> DataFrame:
     """queries: (query_id long, text). (query_id, rank, doc_id, score) of the k best
     rows of documents for each, with score above 0."""
     spark = documents.sparkSession
@@ -239,23 +284,19 @@ def search(documents: DataFrame, queries: DataFrame, k: int = TOP, most_terms: i
     if most_terms is not None:
         best = Window.partitionBy("query_id").orderBy(F.desc(F.col("qtf") * F.col("idf")), "term")
         weighed = weighed.where("df > 1").withColumn("place", F.row_number().over(best)).where(F.col("place") <= most_terms)
-    weighed = materialize(weighed.select("query_id", "term", "idf"), "queries")
-
-    wanted = weighed.select("term").distinct()
-    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    held = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.collect()], np.int64))) if few else None
-    found = docs.mapInArrow(_postings(held), "row long, doc_id long, term long, tf long, length long")
-    if not few:
-        found = found.join(wanted, "term", "left_semi")
-    n_shards = max(1, -(-(n or 0) // SHARD_DOCS))
-    found = materialize(found.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(n_shards)).cast("int")), "postings")
-    terms = found.select("shard", "term").distinct().join(weighed, "term")
-    nothing = F.lit(None).cast("long")
-    both = found.select("shard", F.lit(0).alias("kind"), nothing.alias("query_id"), "doc_id", "row", "term", "length", F.col("tf").cast("double").alias("value")).unionByName(
-        terms.select("shard", F.lit(1).alias("kind"), "query_id", nothing.alias("doc_id"), nothing.alias("row"), "term", nothing.alias("length"), F.col("idf").alias("value"))
-    )
-    dealt = both.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "kind", "query_id")
-    hits = dealt.mapInArrow(_search(k, average), "query_id long, doc_id long, row long, score double")
+    listed = F.array_sort(F.collect_list(F.struct("term", F.col("df").cast("int").alias("df"))))
+    weighed = weighed.groupBy("query_id").agg(listed.alias("listed")).select(F.lit(0).alias("kind"), F.lit(0).alias("shard"), F.col("query_id").alias("id"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("length"), F.col("listed.term").alias("terms"), F.col("listed.df").alias("counts"))
+    weighed = materialize(weighed, "queries")
+
+    parts = min(partitions(spark), PARTS)
+    n_shards = max(1, -(-(n or 0) // (SHARD_DOCS * parts)))
+    keys = F.array(*map(F.lit, _keys(spark, parts)))
+    place = F.pmod(F.xxhash64("id"), F.lit(parts * n_shards))
+    indexed = docs.mapInArrow(_documents, "id long, doc_id long, length long, terms array<long>, counts array<int>")
+    indexed = indexed.select(F.get(keys, (place % parts).cast("int")).alias("part"), F.lit(1).alias("kind"), F.floor(place / parts).cast("int").alias("shard"), "id", "doc_id", "length", "terms", "counts")
+    both = indexed.unionByName(weighed.withColumn("part", F.explode(keys)))
+    dealt = both.repartition(parts, "part").sortWithinPartitions("part", "kind", "shard", "id")
+    hits = dealt.mapInArrow(_search(k, n or 0, average), "query_id long, doc_id long, row long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_first(), "row")
     return hits.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
