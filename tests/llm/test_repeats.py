@@ -84,5 +84,30 @@ def test_removal(spark, seed):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("bound", [120, 1000])
+def test_group_beyond_the_bound(spark, bound):
+    rng = random.Random(bound)
+    passage = "".join(rng.choices("abcdefgh ", k=90))
+    rows = [(i, f"{rng.randrange(10**6)}{rng.choice('xyz')}{passage}{rng.choice('pqr')}{rng.randrange(10**6)}") for i in range(80)] + corpus(4)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r[0], r[1], r[2], r[3], r[4], bytes(r[5])) for r in remove_repeats(frame, shard_bytes=bound).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_no_shard_is_larger_than_the_bound(monkeypatch):
+    sizes = []
+    monkeypatch.setattr(repeats, "suffix_order", lambda text: sizes.append(len(text)) or suffix_order(text))
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 2000)
+    piece = b"0123456789" * 5 + b"abcdefg"
+    rows = {"group": [1, 1] + [2] * 300 + [3, 3], "doc_id": [0, 1, *range(300), 0, 1], "name": [*range(304)], "first": [0] * 304, "bytes": [piece] * 304}
+    batch = repeats.pa.RecordBatch.from_pydict(rows)
+    out = [r for b in repeats._sort(50, repeats.SHARD_BYTES)([batch]) for r in b.to_pylist()]
+    assert max(sizes) <= 2000
+    # one of two goes in the small groups; of the large one every string is gone or a candidate
+    assert sum(r["name"] < 2 for r in out) == sum(r["name"] > 301 for r in out) == 8
+    assert sum(2 <= r["name"] < 302 for r in out) == 8 * 300
+    assert {bytes(r["bytes"]) for r in out if r["bytes"]} == {piece[i : i + 50] for i in range(8)}
+
+
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

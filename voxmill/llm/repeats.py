@@ -15,8 +15,11 @@ reaches across documents.
    bytes stand side by side, and those that are not of the least document go.
 3. Removal. Settled contexts and found strings of each document meet its text.
 
-Shards hold whole groups of pieces that share their bytes; a shard beyond
-`SHARD_BYTES` begins anew, and queues of a larger one spill to a scratch file.
+Shards hold whole groups of pieces that share their bytes, up to `SHARD_BYTES`. A
+larger group is streamed in several shards. In each, strings that also stand in a
+smaller document of the shard go; the others are candidates, written with their
+bytes, and go if the least document of their bytes over all shards, a second
+aggregation by Spark, is smaller. So no task holds more than a shard.
 
 Rows: null text is empty; a null doc_id is smaller than all others; rows with the
 same doc_id do not remove each other's bytes, and each is a row of its own; other
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from voxmill.llm.common import flat_ranges, materialize, mix64, partitions, prefix_hash, span_hash, text_slices, utf8_buffer
 from voxmill.llm.suffixes import suffix_order
 
-SIZE, ANCHOR, STEP, SHARD_BYTES, PIECE = 50, 20, 8, 4 << 20, 2 << 20
+SIZE, ANCHOR, STEP, SHARD_BYTES, PIECE = 50, 20, 8, 2 << 20, 1 << 20
 NULL_ID = -(2**63)
 
 
@@ -169,8 +172,9 @@ def _pieces(size: int, anchor: int):
     return pieces
 
 
-def _sort(size: int):
-    def shard(rows: list[tuple]) -> pa.RecordBatch:
+def _sort(size: int, shard_bytes: int):
+    def shard(rows: list[tuple], part: bool) -> pa.RecordBatch:
+        """Strings that go; with part (of a group), also candidates, with their bytes."""
         group, doc, name, first, data = zip(*rows)
         text = np.frombuffer(b"\0".join(data) + b"\0", np.uint8)
         length = np.fromiter(map(len, data), np.int64, len(data)) + 1
@@ -184,27 +188,41 @@ def _sort(size: int):
         least = np.full(runs[-1] + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, runs[whole], doc[owner[whole]])
         gone = whole & (doc[owner] > least[runs])
-        return _batch(doc_id=doc[owner[gone]], name=np.array(name)[owner[gone]], string=(place[gone] + np.array(first)[owner[gone]]).astype(np.int32))
+        use = np.flatnonzero(whole if part else gone)
+        at = order[use[~gone[use]]]
+        strings = np.lib.stride_tricks.sliding_window_view(text, size)[at].tobytes()
+        offsets = np.cumsum(np.concatenate([[0], np.where(gone[use], 0, size)])).astype(np.int32)
+        held = pa.Array.from_buffers(pa.binary(), len(use), [pa.array(~gone[use]).buffers()[1], pa.py_buffer(offsets), pa.py_buffer(strings)])
+        return _batch(doc_id=doc[owner[use]], name=np.array(name)[owner[use]], string=(place[use] + np.array(first)[owner[use]]).astype(np.int32), bytes=held)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        held, begun, group = 0, 0, None
+        held, begun, before, group, part = 0, 0, 0, None, False  # before: bytes of whole groups
         for batch in batches:
             for row in zip(*(batch.column(x).to_pylist() for x in ("group", "doc_id", "name", "first", "bytes"))):
                 if row[0] != group:
-                    if len(rows) - begun < 2:  # a piece that nothing can match
+                    if part:
+                        if rows:
+                            yield shard(rows, True)
+                        rows, held, part = [], 0, False
+                    elif len(rows) - begun < 2:  # a piece that nothing can match
                         del rows[begun:]
-                    held = sum(len(r[4]) for r in rows) if held > SHARD_BYTES else held
-                    if held > SHARD_BYTES:
-                        yield shard(rows)
-                        rows, held = [], 0
-                    begun, group = len(rows), row[0]
+                        held = before
+                    begun, before, group = len(rows), held, row[0]
+                if rows and held + len(row[4]) + 1 > shard_bytes:
+                    if begun:
+                        yield shard(rows[:begun], False)
+                        del rows[:begun]
+                        held, begun, before = held - before, 0, 0
+                    if rows and held + len(row[4]) + 1 > shard_bytes:
+                        yield shard(rows, True)
+                        rows, held, part = [], 0, True
                 rows.append(row)
-                held += len(row[4])
-        if len(rows) - begun < 2:
+                held += len(row[4]) + 1
+        if not part and len(rows) - begun < 2:
             del rows[begun:]
         if rows:
-            yield shard(rows)
+            yield shard(rows, part)
 
     return sort
 
@@ -243,7 +261,7 @@ def _remove(size: int, anchor: int):
     return remove
 
 
-def remove_repeats(documents: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> DataFrame:
+def remove_repeats(documents: DataFrame, size: int = SIZE, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every row."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -256,7 +274,10 @@ def remove_repeats(documents: DataFrame, size: int = SIZE, anchor: int = ANCHOR)
     open_ = marks.where("not settled").groupBy(F.col("doc_id").alias("own")).agg(F.collect_set("name").alias("names"))
     cut = docs.withColumn("own", whole).join(open_, "own").select("doc_id", "text", "names").mapInArrow(_pieces(size, anchor), "group long, doc_id long, name long, first int, bytes binary")
     dealt = cut.repartition(partitions(spark), "group").sortWithinPartitions("group")
-    found = materialize(dealt.mapInArrow(_sort(size), "doc_id long, name long, string int"), "strings")
+    found = materialize(dealt.mapInArrow(_sort(size, shard_bytes), "doc_id long, name long, string int, bytes binary"), "strings")
+    candidates = found.where("bytes is not null")
+    later = candidates.join(candidates.groupBy("bytes").agg(F.min("doc_id").alias("least")), "bytes").where("doc_id > least")
+    found = found.where("bytes is null").drop("bytes").unionByName(later.select("doc_id", "name", "string"))
 
     strings = found.groupBy("doc_id", "name").agg(F.collect_set("string").alias("strings")).withColumn("settled", F.lit(None).cast("long"))
     every = marks.where("settled").select("doc_id", F.lit(None).cast("long").alias("name"), F.lit(None).cast("array<int>").alias("strings"), F.col("name").alias("settled")).unionByName(strings)
