@@ -1,6 +1,7 @@
 """Kernels, tiles, PSFs, TIFF files, configurations and streams."""
 
 import json
+import struct
 import warnings
 
 import numpy as np
@@ -8,9 +9,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from voxmill.functions import text
 from voxmill.operators import deconvolution as dec
 from voxmill.operators import geometry as geo
-from voxmill.operators import kernels
+from voxmill.operators import kernels, regions, stencils
 from voxmill.plans import psf, tiles
 from voxmill.sources import config, tiff
 from voxmill.streaming.watch import watch
@@ -145,9 +147,113 @@ def test_lzw():
 def test_tiff_files(spark, tmp_path):
     g = cube((3, 5, 7)).astype(np.float32)
     v = to_volume(spark, g)
-    assert tiff.save(tiff.encode_volumes(v.voxels, "v", v.shape), f"file://{tmp_path}/t").count() == 1
+    assert tiff.write_tiff(tiff.encode_slices(v.voxels, "v", v.shape), f"file://{tmp_path}/t").count() == 1
+    assert (tmp_path / "t" / "0.tiff").read_bytes() == tiff.encode(g)
     rows = tiff.read_tiff(spark, f"{tmp_path}/t", z=(1, 3)).toPandas()
     assert sorted(rows["z"].unique()) == [1, 2] and np.allclose(rows["v"], g[rows["z"], rows["y"], rows["x"]])
+    assert len(rows) == 2 * 5 * 7
+    rows = tiff.read_tiff(spark, f"{tmp_path}/t", z=(0, 9), y=(-3, 2), x=(5, 99)).toPandas()
+    assert len(rows) == 3 * 2 * 2 and np.allclose(rows["v"], g[rows["z"], rows["y"], rows["x"]])
+
+
+@pytest.mark.parametrize("kind", ["u1", "u2"])
+@pytest.mark.parametrize("tile", [None, (16, 16)])
+def test_predictor(kind, tile):
+    g = np.random.default_rng(5).integers(0, 256 if kind == "u1" else 65536, (2, 9, 21)).astype(np.float32)
+    data = tiff.encode(g, tiff.DEFLATE, tile=tile, kind=kind)
+    assert tiff.pages(data)[0].one(tiff.PREDICTOR) == tiff.HORIZONTAL
+    assert (tiff.read_volume(data) == g).all() and (tiff.read_volume(data, 0, (1, 2), (3, 8), (4, 20)) == g[1:2, 3:8, 4:20]).all()
+
+
+def made_tiff(tags, blocks):
+    """A page of given blocks and tags."""
+    fixed = {tiff.COMPRESSION: [1], **tags, tiff.STRIP_BYTES: [len(b) for b in blocks], tiff.STRIPS: [8 + sum(map(len, blocks[:i])) for i in range(len(blocks))]}
+    body, at = b"".join(blocks), 8 + sum(map(len, blocks))
+    lists, fields = b"", []
+    for tag, values in sorted(fixed.items()):
+        fields.append(struct.pack("<HHII", tag, 4, len(values), at + len(lists) if len(values) > 1 else values[0]))
+        lists += struct.pack(f"<{len(values)}I", *values) if len(values) > 1 else b""
+    return struct.pack("<2sHI", b"II", 42, at + len(lists)) + body + lists + struct.pack("<H", len(fields)) + b"".join(fields) + bytes(4)
+
+
+@pytest.mark.parametrize("form, bits, kind", [(1, 8, "u1"), (2, 8, "i1"), (2, 16, "i2"), (1, 32, "u4"), (2, 32, "i4"), (3, 64, "f8")])
+def test_sample_formats(form, bits, kind):
+    g = (np.arange(12).reshape(3, 4) - (5 if form > 1 else 0)).astype(kind)
+    tags = {tiff.WIDTH: [4], tiff.LENGTH: [3], tiff.BITS: [bits], tiff.SAMPLES: [1], tiff.ROWS: [2], tiff.FORMAT: [form]}
+    data = made_tiff(tags, [g[:2].tobytes(), g[2:].tobytes()])
+    assert (tiff.read_volume(data)[0] == g).all()
+
+
+def test_separate_planes_and_what_is_refused():
+    a, b = np.arange(12, dtype="u1").reshape(3, 4), np.arange(12, dtype="u1").reshape(3, 4) * 3
+    tags = {tiff.WIDTH: [4], tiff.LENGTH: [3], tiff.BITS: [8], tiff.SAMPLES: [2], tiff.ROWS: [2], tiff.PLANAR: [2]}
+    apart = made_tiff(tags, [a[:2].tobytes(), a[2:].tobytes(), b[:2].tobytes(), b[2:].tobytes()])
+    assert (tiff.read_volume(apart, 1)[0] == a).all() and (tiff.read_volume(apart, 2)[0] == b).all()
+    mixed = np.stack([a, b], 2)
+    together = made_tiff(tags | {tiff.PLANAR: [1]}, [mixed[:2].tobytes(), mixed[2:].tobytes()])
+    assert (tiff.read_volume(together, 2)[0] == b).all()
+    with pytest.raises(ValueError, match="channel 3"):
+        tiff.read_volume(together, 3)
+    with pytest.raises(ValueError, match="predictor"):
+        tiff.read_volume(made_tiff(tags | {tiff.SAMPLES: [1], tiff.PLANAR: [1], tiff.PREDICTOR: [3]}, [a[:2].tobytes(), a[2:].tobytes()]))
+    with pytest.raises(ValueError, match="12 bits"):
+        tiff.read_volume(made_tiff(tags | {tiff.SAMPLES: [1], tiff.PLANAR: [1], tiff.BITS: [12]}, [a[:2].tobytes(), a[2:].tobytes()]))
+
+
+def test_halos_without_padding(spark):
+    """The case of an image in tiles without padding: none before, none at the far edge."""
+    images = spark.createDataFrame([(1, 128, 128, 32)], tiles_schema())
+    rows = tiles.plan_tiles(images, ((8, 8, 4), (8, 8, 4)), 500_000, 1, (17, 17, 9), "none").collect()
+    assert rows and all((r.before_x, r.before_y, r.before_z) == (0, 0, 0) for r in rows)
+    assert all(r.after_x == 0 for r in rows if r.w == 128)
+    covered = np.zeros((32, 128, 128), bool)
+    for r in rows:
+        covered[r.z : r.z + r.d, r.y : r.y + r.h, r.x : r.x + r.w] = True
+    assert covered.all()
+
+
+def tiles_schema():
+    return "image_id long, width int, height int, depth int"
+
+
+def test_zero_halo_of_odd_values(spark):
+    g = cube((2, 3, 4))
+    g[0, 0, 0], g[1, 2, 3] = np.nan, np.inf
+    wide = to_array(geo.pad(to_volume(spark, g), (1, 2, 1), (2, 1, 1), "zero"))
+    assert np.array_equal(wide, np.pad(g, ((1, 1), (2, 1), (1, 2))), equal_nan=True)
+
+
+@pytest.mark.parametrize("text_", ["0:5[a", "0:5[a], 7:9[b", "["])
+def test_open_brackets_are_errors(spark, text_):
+    with pytest.raises(Exception, match="not closed"):
+        spark.range(1).select(text.parse_ranges(F.lit(text_))).collect()
+
+
+def test_range_grammar(spark):
+    parse = lambda t: [(r["lo"], r["hi"], r["values"]) for r in spark.range(1).select(text.parse_ranges(F.lit(t))).first()[0]]
+    assert parse("0:5[a, b], 7[c] ,:2[d],9:[e]") == [(0, 5, ["a", "b"]), (7, 7, ["c"]), (0, 2, ["d"]), (9, None, ["e"])]
+    assert parse("no brackets") == [] and parse("0:5[a, 7:9[b]") == [(0, 5, ["a", "7:9[b"])]
+
+
+def test_many_ranges(spark):
+    """Beyond the bound of a broadcast, the same labels meet the same ranges."""
+    rng = np.random.default_rng(3)
+    ranges = [(i, int(lo), None if i % 40 == 0 else int(lo + w), [f"v{i}"]) for i, (lo, w) in enumerate(zip(rng.integers(0, 3000, 200), rng.integers(0, 60, 200)))]
+    frame = spark.createDataFrame(ranges, "ordinal int, lo long, hi long, values array<string>")
+    labels = spark.createDataFrame([(int(n),) for n in [-1, *rng.integers(0, 3100, 400)]], "label long")
+    few, many = ({(r["label"], tuple(r["values"] or ())) for r in regions.look_up(labels, frame, bound).collect()} for bound in (1000, 10))
+    assert few == many and any(v for _, v in few)
+
+
+def test_stencils_shuffle_once(spark):
+    v = to_volume(spark, cube((3, 4, 5)))
+    g = to_array(v)
+    for axis, c in enumerate("zyx"):
+        want = np.zeros_like(g)
+        want[tuple(slice(0, -1) if i == axis else slice(None) for i in range(3))] = -np.diff(g, axis=axis)
+        assert np.allclose(to_array(stencils.gradient(v, "v"), f"g{c}"), want)
+    plan = stencils.gradient(v, "v").voxels._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Aggregate") == 1
 
 
 def test_config(tmp_path):

@@ -8,7 +8,9 @@ import pytest
 from voxmill import engine
 from voxmill.__main__ import main
 from voxmill.operators import kernels
-from voxmill.sources import tiff
+from voxmill.plans import psf as models
+from voxmill.plans import tiles
+from voxmill.sources import config, tiff
 
 
 @pytest.fixture()
@@ -31,7 +33,7 @@ def configure(folder, **more):
 
 
 def written(folder):
-    (path,) = (folder / "out").glob("*.tiff")
+    path = folder / "out" / "image.tiff"
     return tiff.read_volume(path.read_bytes())
 
 
@@ -40,21 +42,39 @@ def test_standard(spark, folder):
     path = configure(where, multiple_psf_config_paths=[f"{where}/a.json"], iterations=3, padding_strategy="none")
     result = engine.run(spark, path)
     assert result.success, result.message
-    psf = engine.make_psf(spark, json.loads((where / "a.json").read_text()))
+    # a configured PSF is made at the extent of the tile
+    psf = engine.make_psf(spark, json.loads((where / "a.json").read_text()), g.shape[::-1])
     want = kernels.richardson_lucy(g.astype(float), kernels.otf(psf.cube, g.shape), 3)
     assert np.allclose(written(where), want, rtol=1e-4)
 
 
-def test_tiles_with_halo(spark, folder):
+@pytest.mark.parametrize("parallel", [1, 4])
+def test_tiles_with_halo(spark, folder, parallel):
     where, g = folder
     path = configure(where, multiple_psf_config_paths=[f"{where}/a.json"], algorithm_name="Convolution", padding_strategy="full_psf", padding_fill="mirror")
-    result = engine.run(spark, path, parallel=4)
+    result = engine.run(spark, path, parallel=parallel)
     assert result.success, result.message
-    assert main(["deconvolution", "-c", path]) == 0
-    psf = engine.make_psf(spark, json.loads((where / "a.json").read_text()))
-    wide = np.pad(g.astype(float), ((4, 4), (6, 6), (6, 6)), mode="symmetric")
-    want = kernels.apply(wide, kernels.otf(psf.cube, wide.shape))[4:-4, 6:-6, 6:-6]
-    assert np.allclose(written(where), want, rtol=1e-4)
+    values = json.loads((where / "a.json").read_text())
+    _, own = config.read_json(path)
+    tile, (before, after) = engine.plan(g.shape[::-1], [(5, 5, 3)], [(5, 5, 3)], own, 1 << 30, parallel)
+    full = tuple(t + a + b for t, a, b in zip(tile, before, after))
+    otf = kernels.otf(engine.make_psf(spark, values, full).cube, full[::-1])
+    wide = np.pad(g.astype(float), list(zip(before, after))[::-1], mode="symmetric")
+    want = np.zeros_like(wide)
+    starts = [tiles.axis_starts(n, t) for n, t in zip(g.shape[::-1], tile)]
+    assert np.prod([len(s) for s in starts]) >= parallel
+    for z in starts[2]:
+        for y in starts[1]:
+            for x in starts[0]:
+                out = kernels.apply(wide[z : z + full[2], y : y + full[1], x : x + full[0]], otf)
+                inner = tuple(slice(b, b + t) for b, t in zip(before[::-1], tile[::-1]))
+                want[z : z + tile[2], y : y + tile[1], x : x + tile[0]] = out[inner]
+    assert np.allclose(written(where), want[: g.shape[0], : g.shape[1], : g.shape[2]], rtol=1e-4)
+
+
+def test_command_line(spark, folder):
+    where, _ = folder
+    assert main(["deconvolution", "-c", configure(where, psf_file_paths=[f"{where}/b.tif"], algorithm_name="Convolution", padding_strategy="none")]) == 0
 
 
 def test_labelled(spark, folder):
@@ -64,12 +84,50 @@ def test_labelled(spark, folder):
     assert result.success, result.message
     out = written(where)
     assert np.isfinite(out).all()
-    psf = engine.make_psf(spark, json.loads((where / "a.json").read_text()))
+    psf = engine.make_psf(spark, json.loads((where / "a.json").read_text()), g.shape[::-1])
     blurred = kernels.apply(g.astype(float), kernels.otf(psf.cube, g.shape))
     low, high = np.minimum(g, blurred) - 1e-4, np.maximum(g, blurred) + 1e-4
     assert ((out >= low) & (out <= high)).all()
 
 
+def test_psfs_are_saved_and_files_compressed(spark, folder):
+    where, g = folder
+    path = configure(where, multiple_psf_config_paths=[f"{where}/a.json"], psf_file_paths=[f"{where}/b.tif"], algorithm_name="Convolution", padding_strategy="none", save_psf=True, output_compression_level=9)
+    result = engine.run(spark, path)
+    assert result.success, result.message
+    assert {p.name for p in (where / "out").glob("*.tiff")} == {"image.tiff", "psf_a.tiff", "b.tiff"}
+    saved = tiff.read_volume((where / "out" / "psf_a.tiff").read_bytes())
+    assert saved.shape == g.shape and np.isclose(saved.sum(), 1, atol=1e-5)
+    assert np.allclose(written(where), g)  # the last PSF counts, an impulse
+    assert tiff.pages((where / "out" / "image.tiff").read_bytes())[0].one(tiff.COMPRESSION) == tiff.DEFLATE
+
+
+def test_label_image_must_fit(spark, folder):
+    where, _ = folder
+    (where / "small.tif").write_bytes(tiff.encode(np.zeros((4, 12, 15), np.float32)))
+    how = {"psf_file_paths": [f"{where}/b.tif"], "label_psf_map": "0:2[b]", "algorithm_name": "Convolution", "padding_strategy": "none"}
+    assert "another shape" in engine.run(spark, configure(where, labeled_image=f"{where}/small.tif", **how)).message
+    with pytest.warns(UserWarning, match="'nobody'"):
+        assert engine.run(spark, configure(where, labeled_image=f"{where}/labels.tif", **how | {"label_psf_map": "0:2[b,nobody],50:200[b]"})).success
+
+
+def test_configurations_from_a_folder(spark, folder):
+    where, _ = folder
+    (where / "psfs").mkdir()
+    (where / "psfs" / "good.json").write_text((where / "a.json").read_text())
+    (where / "psfs" / "bad.json").write_text("{")
+    with pytest.warns(UserWarning, match="bad.json"):
+        (values,) = config.read_psfs([str(where / "psfs")])
+    assert models.configured_shape(values) == (5, 5, 3)
+    assert models.configured_shape(models.with_shape(values, (9, 2, 3))) == (9, 5, 3)
+    models.register("Point", models.Model(lambda spark, v, shape: models.MODELS["Gaussian"].make(spark, v | {f"sigma_{c}": 1e-3 for c in "xyz"}, shape), lambda *_: (0, 0, 0)))
+    try:
+        cube = engine.make_psf(spark, {"model_name": "Point", "size_x": 3, "size_y": 3, "size_z": 1}).cube
+        assert cube.shape == (1, 3, 3) and cube[0, 1, 1] == 1
+    finally:
+        del models.MODELS["Point"]
+
+
 def test_failures_are_returned(spark, folder):
     where, _ = folder
     assert not engine.run(spark, f"{where}/none.json").success

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import argparse
-import json
+import os
 import sys
 
 
@@ -11,7 +11,7 @@ def main(args: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from voxmill import engine
-    from voxmill.sources import tiff
+    from voxmill.sources import config
 
     top = argparse.ArgumentParser(prog="voxmill")
     kinds = top.add_subparsers(dest="kind", required=True)
@@ -25,10 +25,10 @@ def main(args: list[str] | None = None) -> int:
         result = engine.run(spark, asked.config, spark.sparkContext.defaultParallelism)
         print(result.message)
         return int(not result.success)
-    with open(asked.config) as file:
-        psf = engine.make_psf(spark, json.load(file))
-    with open(f"{asked.output}/{psf.name}.tiff", "wb") as file:
-        file.write(tiff.encode(psf.cube))
+    (values,) = config.read_psfs([asked.config])
+    psf = engine.make_psf(spark, values)
+    engine.save_psf(spark, psf, f"file://{os.path.abspath(asked.output)}")
+    config.write_psf(f"{asked.output}/{psf.name}.json", values)
     return 0
 
 

@@ -21,7 +21,7 @@ from voxmill.operators import reductions as red
 from voxmill.operators import regions as reg
 from voxmill.operators import stencils as st
 from voxmill.plans import psf, tiles
-from voxmill.sources import tiff
+from voxmill.sources import shared, tiff
 from voxmill.volume import KEYS, Volume, voxelize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -519,10 +519,20 @@ def gaussian_psf(spark, sf):
     return _rounded(psf.gaussian(_sigmas(spark, sf), (12, 11, 7)), "v", digits=9)
 
 
-@query()
+# J0 by 64 nodes and Simpson's rule over 1,024 steps, both far past convergence
+_LANNI = """WITH i AS (SELECT DISTINCT l_orderkey // 2048 AS image_id FROM lineitem), q AS (SELECT image_id, 1.0::DOUBLE + image_id % 4 * 0.1::DOUBLE AS na, CAST(image_id % 5 * 200 AS DOUBLE) AS particle FROM i),
+n AS (SELECT DISTINCT na FROM q), t AS (SELECT s, j, na, j / 1024.0::DOUBLE AS rho, CASE WHEN j IN (0, 1024) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END AS w FROM n, range(22) a(s), range(1025) b(j)),
+b AS (SELECT s, j, na, rho, w, avg(cos(2 * pi() / 450 * na * s * 50 * rho * sin((m + 0.5) * pi() / 64))) AS j0 FROM t, range(64) c(m) GROUP BY ALL),
+p AS (SELECT image_id, z, s, j0 * rho * w AS f, 2 * pi() / 450 * (1.33 * particle * sqrt(greatest(0, 1 - (na * rho / 1.33) ** 2)) + 1.515 * 100 * (z - 2) * sqrt(greatest(0, 1 - (na * rho / 1.515) ** 2))) AS phase FROM q JOIN b USING (na), range(5) d(z)),
+r AS (SELECT image_id, z, s, ((sum(f * cos(phase)) / 3072) ** 2 + (sum(f * sin(phase)) / 3072) ** 2) AS v FROM p GROUP BY ALL),
+g AS (SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, 2 * sqrt((x - 7) ** 2 + (y - 7) ** 2) AS d FROM range(15) e(x), range(15) f(y))
+SELECT l.image_id, x, y, CAST(l.z AS INTEGER) AS z, round(l.v + (d - floor(d)) * (h.v - l.v), 6) + 0.0 AS v FROM g JOIN r l ON l.s = floor(d) JOIN r h ON h.s = l.s + 1 AND h.image_id = l.image_id AND h.z = l.z"""
+
+
+@query(_LANNI)
 def gibson_lanni_psf(spark, sf):
     ids = _sigmas(spark, sf).select("image_id", (F.lit(1.0) + F.col("image_id") % 4 * 0.1).alias("na"), (F.col("image_id") % 5 * 200.0).alias("particle"))
-    return psf.gibson_lanni(ids, (15, 15, 5)).voxels
+    return _rounded(psf.gibson_lanni(ids, (15, 15, 5), tolerance=1e-7), "v")
 
 
 # convolution and deconvolution; taps with dyadic weights, so sums are exact
@@ -635,12 +645,81 @@ def label_weights(spark, sf):
 # plans and files
 
 
-@query()
+def _plan_sql(strategy: str, halo=(5, 5, 3), most=200_000, fewest=2, least=(21, 21, 11)) -> str:
+    """The planner's rules over shapes s, axis by axis: a, b, c are padded extents."""
+    smooth = str(text.smooth_numbers(2000))
+    axes = list(zip("abc", ("width", "height", "depth"), halo, least))
+    count = lambda c, n, h, v=None: f"CAST(ceil({n} / CAST(least({n}, greatest(1, {v or c} - {2 * h})) AS DOUBLE)) AS BIGINT)"
+    number = " * ".join(count(c, n, h) for c, n, h, _ in axes)
+    smaller = lambda c: f"list_max(list_filter({smooth}, lambda v: v < {c}))"
+    allowed = lambda c, h, m: f"{smaller(c)} >= {m} AND {smaller(c)} > {2 * h}"
+    start = ", ".join(f"list_min(list_filter({smooth}, lambda v: v >= greatest({m}, {n}{'' if strategy == 'none' else f' + {2 * h}'}))) AS {c}" for c, n, h, m in axes)
+    marked = ", ".join(f"CASE WHEN {allowed(c, h, m)} THEN {c} END AS u{c}" for c, _, h, m in axes)
+    top = "greatest(ua, ub, uc)"
+    turn = f"CASE WHEN ua = {top} THEN 'a' WHEN ub = {top} THEN 'b' WHEN uc = {top} THEN 'c' END"
+    shrunk = ", ".join(f"CASE WHEN turn = '{c}' THEN {smaller(c)} ELSE {c} END" for c, *_ in axes)
+    final = ", ".join(f"list_min(list_filter({smooth}, lambda v: v = {c} OR v < {c} AND v >= {m} AND v > {2 * h} AND {count(c, n, h, 'v')} <= {count(c, n, h)})) AS {c}" for c, n, h, m in axes)
+    if strategy == "none":
+        split = ", ".join(f"least({n}, CASE WHEN {c} < {n} THEN {c} - {h} ELSE {c} END) AS s{c}, 0 AS l{c}" for c, n, h, _ in axes)
+    else:
+        split = ", ".join(f"least({n}, {c} - {2 * h}) AS s{c}, {h} AS l{c}" for c, n, h, _ in axes)
+    starts = ", ".join(f"CAST(ceil({n} / CAST(s{c} AS DOUBLE)) AS BIGINT) AS n{c}" for c, n, _, _ in axes)
+    columns = ", ".join([*(f"CAST(least(i{c} * s{c}, {n} - s{c}) AS INTEGER) AS {o}" for (c, n, _, _), o in zip(axes, "xyz")), *(f"CAST(s{c} AS INTEGER) AS {o}" for (c, *_), o in zip(axes, "whd")),
+                         *(f"CAST(l{c} AS INTEGER) AS before_{o}" for (c, *_), o in zip(axes, "xyz")), *(f"CAST({c} - s{c} - l{c} AS INTEGER) AS after_{o}" for (c, *_), o in zip(axes, "xyz"))])
+    return f"""{_SHAPES.replace("WITH s", "WITH RECURSIVE s")},
+p AS (SELECT *, {start} FROM s UNION ALL SELECT image_id, width, height, depth, {shrunk} FROM (SELECT *, {turn} AS turn FROM (SELECT *, {marked} FROM p WHERE a * b * c >= {most} OR {number} < {fewest}))),
+f AS (SELECT image_id, width, height, depth, {final} FROM p WHERE a * b * c < {most} AND {number} >= {fewest}),
+z AS (SELECT *, {starts} FROM (SELECT *, {split} FROM f))
+SELECT image_id, CAST((ic * nb + ib) * na + ia AS INTEGER) AS chunk_id, {columns} FROM (SELECT *, unnest(range(nc)) AS ic FROM (SELECT *, unnest(range(nb)) AS ib FROM (SELECT *, unnest(range(na)) AS ia FROM z)))"""
+
+
+@query(_plan_sql("full_psf"))
 def plan_tiles(spark, sf):
     return tiles.plan_tiles(_shapes(spark, sf), ((5, 5, 3), (5, 5, 3)), 200_000, least_tiles=2, least_shape=(21, 21, 11))
 
 
+@query(_plan_sql("none"))
+def plan_tiles_without_padding(spark, sf):
+    return tiles.plan_tiles(_shapes(spark, sf), ((5, 5, 3), (5, 5, 3)), 200_000, least_tiles=2, least_shape=(21, 21, 11), strategy="none")
+
+
+def _files(spark, v: Volume, **how) -> str:
+    """A folder of the volume's images as TIFF files, named by their ids."""
+    folder = shared.new_folder(spark, "tiff")
+    tiff.write_tiff(tiff.encode_slices(v.voxels, "a", v.shape, **how), folder).count()
+    return folder
+
+
+def _from_files(rows: DataFrame) -> DataFrame:
+    return rows.select(text.stem(F.col("path")).cast("long").alias("image_id"), "x", "y", "z", "v")
+
+
 @query(VOL + " SELECT image_id, x, y, z, CAST(a AS FLOAT) AS v FROM vol")
 def tiff_roundtrip(spark, sf):
+    return _from_files(tiff.read_tiff(spark, _files(spark, volume(spark, sf), compression=tiff.DEFLATE, level=1, tile=(16, 16))))
+
+
+@query(VOL + " SELECT image_id, x, y, z, CAST(a AS FLOAT) AS v FROM vol")
+def tiff_predictor(spark, sf):
+    """Whole numbers of 16 bits, written as differences along rows."""
+    return _from_files(tiff.read_tiff(spark, _files(spark, volume(spark, sf), compression=tiff.LZW, kind="u2")))
+
+
+@query(VOL + " SELECT image_id, x, y, z, CAST(a AS FLOAT) AS v FROM vol WHERE x BETWEEN 3 AND 13 AND y BETWEEN 4 AND 10 AND z BETWEEN 1 AND 2")
+def tiff_region(spark, sf):
+    return _from_files(tiff.read_tiff(spark, _files(spark, volume(spark, sf), tile=(8, 4)), z=(1, 3), y=(4, 11), x=(3, 14)))
+
+
+def _mirrored_sql(c: str, lo: int, hi: int, missing: int) -> str:
+    n = hi - lo
+    m = f"((({c} - {missing}) % {2 * n} + {2 * n}) % {2 * n})"
+    return f"least({m}, {2 * n - 1} - {m}) + {lo}"
+
+
+@query(VOL + ", g AS (SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(z AS INTEGER) AS z FROM range(13) a(x), range(11) b(y), range(5) c(z)) SELECT image_id, g.x, g.y, g.z, v.a AS v FROM vol v JOIN g ON "
+       + " AND ".join(f"v.{c} = {_mirrored_sql('g.' + c, *box)}" for c, box in (("x", (0, 11, 2)), ("y", (8, 16, 0)), ("z", (0, 4, 0)))))
+def tiff_halo_read(spark, sf):
+    """A box with a halo that reaches beyond the image on three sides."""
     v = volume(spark, sf)
-    return tiff.decode_volumes(tiff.encode_volumes(v.voxels, "a", v.shape, tiff.DEFLATE, tile=(16, 16)))
+    image = text.stem(F.col("path")).cast("long")
+    return engine.read_box(spark, _files(spark, v), v.shape, (0, 10, 1), (8, 6, 2), (2, 2, 1), (3, 3, 2), "mirror", image=image).voxels

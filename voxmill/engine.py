@@ -1,29 +1,24 @@
-"""From a configuration to restored volumes: the plan and the jobs behind a run.
-
-TIFF files are decoded and written whole, an image a task; where images outgrow a
-task, read and write voxels as Parquet and use operators.deconvolution directly."""
+"""From a configuration to restored volumes: the plan and the jobs behind a run."""
 
 from __future__ import annotations
 
-import json
 import time
+import warnings
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxmill.functions import text
-from voxmill.operators import deconvolution, kernels, reductions, regions
+from voxmill.operators import deconvolution, geometry, kernels, reductions, regions
 from voxmill.plans import psf as models
 from voxmill.plans import tiles
 from voxmill.sources import config, tiff
 from voxmill.volume import KEYS, Shape, Volume
 
-#: Defaults of PSF configurations.
-PSF = {"size_x": 20, "size_y": 20, "size_z": 10, "sigma_x": 10.0, "sigma_y": 10.0, "sigma_z": 10.0, "NA": 1.4, "lambda_nm": 450.0, "sample_ri": 1.33, "immersion_ri": 1.515, "particle_axial_position_nm": 0.0, "pixel_size_lateral_nm": 100.0, "pixel_size_axial_nm": 100.0}
 SETTINGS = {"iterations": "iterations", "lambda": "weight", "epsilon": "epsilon"}
 
 
@@ -55,20 +50,27 @@ def to_cube(volume: Volume, value: str = "v") -> np.ndarray:
     return out
 
 
-def make_psf(spark: SparkSession, values: dict[str, Any]) -> Psf:
-    """A PSF from its configuration; model_name and id name it."""
-    if values.get("model_name") not in models.MODELS:
-        raise ValueError(f"model_name must be one of {sorted(models.MODELS)}")
-    v = PSF | values
-    shape = (int(v["size_x"]), int(v["size_y"]), int(v["size_z"]))
-    one = spark.range(1).select(F.lit(0).cast("long").alias("image_id"), *(F.lit(float(v[k])).alias(c) for c, k in (("sigma_x", "sigma_x"), ("sigma_y", "sigma_y"), ("sigma_z", "sigma_z"), ("na", "NA"), ("particle", "particle_axial_position_nm"))))
-    if values["model_name"] == "Gaussian":
-        made = models.gaussian(one, shape)
-        halo = models.gaussian_halo("parent", shape, (v["sigma_x"], v["sigma_y"], v["sigma_z"]))
-    else:
-        made = models.gibson_lanni(one, shape, v["pixel_size_lateral_nm"], v["pixel_size_axial_nm"], v["lambda_nm"], v["sample_ri"], v["immersion_ri"])
-        halo = tuple(n // 2 for n in shape)
-    return Psf(str(v.get("id", values["model_name"])), to_cube(made), halo)
+def psf_name(values: dict[str, Any]) -> str:
+    return str(values.get("id", values["model_name"]))
+
+
+def make_psf(spark: SparkSession, values: dict[str, Any], shape: Shape | None = None, strategy: str = "parent") -> Psf:
+    """A PSF from its configuration, at its configured shape or another; its halo is
+    that of the configured one."""
+    model, v, own = models.model(values), models.DEFAULTS | values, models.configured_shape(values)
+    return Psf(psf_name(values), to_cube(model.make(spark, v, shape or own)), model.halo(strategy, v, own) or (0, 0, 0))
+
+
+def read_box(spark: SparkSession, path: str, shape: Shape, start: Shape, extent: Shape, before: Shape, after: Shape, fill: str = "zero", channel: int = 0, image: Column | None = None) -> Volume:
+    """The box at start of images of a shape, with a halo: from the image where it has
+    it, else by the fill. Only blocks of the file that the box touches are read. image:
+    the id, from the column path; else its hash."""
+    lo = [max(0, s - b) for s, b in zip(start, before)]
+    hi = [min(n, s + e + a) for n, s, e, a in zip(shape, start, extent, after)]
+    x, y, z = zip(lo, hi)
+    rows = tiff.read_tiff(spark, path, channel, z=z, y=y, x=x).select((F.xxhash64("path") if image is None else image).alias("image_id"), *((F.col(c) - a).alias(c) for c, a in zip("xyz", lo)), F.col("v").cast("double").alias("v"))
+    missing = [max(0, b - s) for s, b in zip(start, before)], [max(0, s + e + a - n) for n, s, e, a in zip(shape, start, extent, after)]
+    return geometry.pad(Volume(rows, tuple(b - a for a, b in zip(lo, hi))), *map(tuple, missing), fill)
 
 
 def read_psf(spark: SparkSession, path: str, relative_max: float) -> Psf:
@@ -81,15 +83,15 @@ def read_psf(spark: SparkSession, path: str, relative_max: float) -> Psf:
     return Psf(PurePosixPath(path).stem, cube, tuple(reductions.region_above(volume, "v", relative_max * float(cube.max())).first()[1:]))
 
 
-def weights(masks: Volume, kernel: np.ndarray) -> DataFrame:
+def weights(masks: Volume, kernel: np.ndarray, **how) -> DataFrame:
     """Masks (image_id, x, y, z, group, weight), blurred by the kernel and normalized
-    to sum 1 at each voxel."""
+    to sum 1 at each voxel; tiles, halo and fill as deconvolve() takes them."""
     groups = sorted(r[0] for r in masks.voxels.select("group").distinct().collect())  # a configuration's label groups
     parts = None
     for group in groups:
         own = masks.voxels.where(F.col("group") == group).select(*KEYS, "weight")
         whole = Volume(masks.voxels.select(*KEYS).distinct().join(own, KEYS, "left").select(*KEYS, F.coalesce("weight", F.lit(0.0)).alias("weight")), masks.shape)
-        blurred = deconvolution.deconvolve(whole, "weight", kernel, "Convolution").voxels.withColumn("weight", F.greatest(F.round("weight", 12), F.lit(0.0))).withColumn("group", F.lit(group))
+        blurred = deconvolution.deconvolve(whole, "weight", kernel, "Convolution", **how).voxels.withColumn("weight", F.greatest(F.round("weight", 12), F.lit(0.0))).withColumn("group", F.lit(group))
         parts = blurred if parts is None else parts.unionByName(blurred)
     return reductions.sum_to_one(parts)
 
@@ -101,46 +103,84 @@ def feathering(shape: Shape, extent: int = 20, sigma: float = 5.0) -> np.ndarray
     return cube / cube.sum()
 
 
-def plan(shape: Shape, psfs: list[Psf], own: dict[str, Any], memory: int, parallel: int) -> tuple[Shape, tuple[Shape, Shape]]:
-    """Tile and halo for images of a shape."""
-    halo = tiles.halo_extent(own["padding_strategy"], [p.halo for p in psfs], [p.shape for p in psfs], tuple(own["cube_padding"]))
-    least = tuple(max(p.shape[a] for p in psfs) + halo[0][a] + halo[1][a] for a in range(3))
+def plan(shape: Shape, halos: list[Shape], shapes: list[Shape], own: dict[str, Any], memory: int, parallel: int) -> tuple[Shape, tuple[Shape, Shape]]:
+    """Tile and halo for images of a shape, from the halos and configured shapes of the
+    PSFs."""
+    halo = tiles.halo_extent(own["padding_strategy"], halos, shapes, tuple(own["cube_padding"]))
+    least = tuple(max(s[a] for s in shapes) + halo[0][a] + halo[1][a] for a in range(3))
     budget = tiles.memory_per_tile(memory, 1, 1, kernels.ALGORITHMS[own["algorithm_name"]][1])
     full = tiles.tile_shape(shape, halo, budget // 8, parallel, least, own["padding_strategy"])
     return tuple(min(n, f - a - b) for n, f, a, b in zip(shape, full, *halo)), halo
 
 
-def restore(spark: SparkSession, setup: dict[str, Any], own: dict[str, Any], memory: int = 1 << 30, parallel: int = 1) -> Volume:
-    """Reads the images, plans and deconvolves. Of several PSFs the last one counts;
-    with a label image each range of labels has its own."""
-    rows = tiff.read_tiff(spark, setup["image_path"]).withColumn("image_id", F.xxhash64("path"))
-    shapes = rows.groupBy("image_id").agg(*((F.max(c) + 1).alias(c) for c in "xyz")).select("x", "y", "z").distinct().limit(2).collect()
+def image_names(paths: DataFrame) -> DataFrame:
+    """(image_id, name) of (image_id, path): the files' stems, with the id where several
+    files have one stem."""
+    stem = paths.select("image_id", text.stem(F.col("path")).alias("stem"))
+    several = F.count("*").over(Window.partitionBy("stem")) > 1
+    return stem.select("image_id", F.when(several, F.concat_ws("-", "stem", "image_id")).otherwise(F.col("stem")).alias("name"))
+
+
+def _shape(slices: DataFrame, what: str) -> Shape:
+    shapes = slices.select("width", "height", "depth").distinct().limit(2).collect()
     if len(shapes) != 1:
-        raise ValueError("images of one run must have one shape")
-    volume = Volume(rows.select(*KEYS, F.col("v").cast("double").alias("v")), tuple(shapes[0]))
-    psfs = []
-    for path in setup["multiple_psf_config_paths"]:
-        with open(path) as file:
-            psfs.append(make_psf(spark, json.load(file)))
-    psfs += [read_psf(spark, path, own["padding_relative_max"]) for path in setup["psf_file_paths"]]
-    if not psfs:
+        raise ValueError(f"{what} must have one shape")
+    return tuple(shapes[0])
+
+
+def restore(spark: SparkSession, setup: dict[str, Any], own: dict[str, Any], memory: int = 1 << 30, parallel: int = 1) -> tuple[Volume, list[Psf]]:
+    """Reads the images, plans and deconvolves; also the PSFs. Those from configurations
+    are made at the padded shape of tiles; their configured shape counts for the halo and
+    the least tile. Of several PSFs the last one counts; with a label image each range of
+    labels has its own."""
+    rows = tiff.read_tiff(spark, setup["image_path"]).withColumn("image_id", F.xxhash64("path"))
+    volume = Volume(rows.select(*KEYS, F.col("v").cast("double").alias("v")), _shape(tiff.list_slices(spark, setup["image_path"]), "images of one run"))
+    made = config.read_psfs(setup["multiple_psf_config_paths"])
+    read = [read_psf(spark, path, own["padding_relative_max"]) for path in setup["psf_file_paths"]]
+    if not made and not read:
         raise ValueError("no point-spread function is given")
     if own["algorithm_name"] not in kernels.ALGORITHMS:
         raise ValueError(f"algorithm_name must be one of {sorted(kernels.ALGORITHMS)}")
-    tile, halo = plan(volume.shape, psfs, own, memory, parallel)
+    halos = [models.model(v).halo(own["padding_strategy"], models.DEFAULTS | v, models.configured_shape(v)) or (0, 0, 0) for v in made]
+    tile, halo = plan(volume.shape, [*halos, *(p.halo for p in read)], [*map(models.configured_shape, made), *(p.shape for p in read)], own, memory, parallel)
+    full = tuple(t + a + b for t, a, b in zip(tile, *halo))
+    psfs = [*(make_psf(spark, v, full, own["padding_strategy"]) for v in made), *read]
     settings = {v: own[k] for k, v in SETTINGS.items() if k != "epsilon" or own["algorithm_name"] == "InverseFilter"}
     common = {"algorithm": own["algorithm_name"], "tile": tile, "halo": halo, "fill": own["padding_fill"], **settings}
     if not setup["labeled_image"]:
-        return deconvolution.deconvolve(volume, "v", psfs[-1].cube, **common)
+        return deconvolution.deconvolve(volume, "v", psfs[-1].cube, **common), psfs
+    slices = tiff.list_slices(spark, setup["labeled_image"])
+    if _shape(slices, "label images") != volume.shape:
+        raise ValueError("the label image has another shape than the images")
+    if slices.select("path").distinct().limit(2).count() > 1:
+        raise ValueError("one label image serves a run")
     labels = tiff.read_tiff(spark, setup["labeled_image"]).select("x", "y", "z", F.col("v").cast("long").alias("label"))
     parsed = spark.range(1).select(F.posexplode(text.parse_ranges(F.lit(setup["label_psf_map"]))).alias("ordinal", "r"))
     ranges = regions.add_ranges(parsed.select("ordinal", "r.lo", "r.hi", F.explode("r.values").alias("value")))
     labelled = volume.voxels.join(labels, ["x", "y", "z"])
     named = {p.name: p.cube for p in psfs}
     masks = regions.mask_groups(labelled.select(*KEYS, "label"), ranges).withColumn("group", F.array_join("values", ",")).select(*KEYS, "group", "weight")
-    groups = {g: [named[n] for n in g.split(",") if n in named][-1:] for g in sorted(r[0] for r in masks.select("group").distinct().collect())}
-    blurred = weights(Volume(masks, volume.shape), feathering(volume.shape))
-    return volume.with_(deconvolution.labelled(volume, "v", blurred, {g: c[0] for g, c in groups.items() if c}, **common))
+    names = sorted(r[0] for r in masks.select("group").distinct().collect())  # a configuration's label groups
+    for missing in sorted({n for g in names for n in g.split(",")} - named.keys()):
+        warnings.warn(f"no point-spread function is named {missing!r}", stacklevel=2)
+    groups = {g: [named[n] for n in g.split(",") if n in named][-1:] for g in names}
+    kernel = feathering(volume.shape)
+    # masks go on beyond the edges as labels do, mirrored
+    reach = tuple(n // 2 for n in kernel.shape[::-1])
+    blurred = weights(Volume(masks, volume.shape), kernel, tile=tile, halo=(reach, reach), fill="mirror")
+    return volume.with_(deconvolution.labelled(volume, "v", blurred, {g: c[0] for g, c in groups.items() if c}, **common)), psfs
+
+
+COMPRESSIONS = {"none": tiff.NONE, "lzw": tiff.LZW, "deflate": tiff.DEFLATE, "zip": tiff.DEFLATE, "1": tiff.NONE, "5": tiff.LZW, "8": tiff.DEFLATE}
+
+
+def save_psf(spark: SparkSession, psf: Psf, folder: str) -> str:
+    """Writes a PSF, whose shape bounds it, as folder/<name>.tiff."""
+    w, h, d = psf.shape
+    z, y, x = (i.ravel().tolist() for i in np.indices((d, h, w)))
+    rows = spark.createDataFrame(list(zip([0] * len(x), x, y, z, psf.cube.ravel().tolist())), "image_id long, x int, y int, z int, v double")
+    names = spark.createDataFrame([(0, psf.name)], "image_id long, name string")
+    return tiff.write_tiff(tiff.encode_slices(rows, "v", psf.shape), folder, names).first()["path"]
 
 
 def run(spark: SparkSession, path: str, parallel: int = 1) -> Result:
@@ -148,10 +188,15 @@ def run(spark: SparkSession, path: str, parallel: int = 1) -> Result:
     began = time.perf_counter()
     try:
         setup, own = config.read_json(path)
-        out = restore(spark, setup, own, int(setup["max_mem_host_gb"] * (1 << 30)) or 1 << 30, parallel)
-        how = {"none": tiff.NONE, "lzw": tiff.LZW, "deflate": tiff.DEFLATE, "zip": tiff.DEFLATE}.get(setup["output_compression"].lower(), tiff.NONE)
+        out, psfs = restore(spark, setup, own, int(setup["max_mem_host_gb"] * (1 << 30)) or 1 << 30, parallel)
+        how = COMPRESSIONS.get(setup["output_compression"].lower(), tiff.NONE)
         tile = (setup["tile_width"], setup["tile_length"]) if setup["tile_width"] and setup["tile_length"] else None
-        n = tiff.save(tiff.encode_volumes(out.voxels, "v", out.shape, how, tile), setup["output"]).count()
+        slices = tiff.encode_slices(out.voxels, "v", out.shape, how, setup["output_compression_level"], tile)
+        paths = tiff.list_slices(spark, setup["image_path"]).select(F.xxhash64("path").alias("image_id"), "path").distinct()
+        n = tiff.write_tiff(slices, setup["output"], image_names(paths)).count()
+        if setup["save_psf"]:
+            for psf in psfs:
+                save_psf(spark, psf, setup["output"])
         return Result(True, f"{n} images written to {setup['output']}", time.perf_counter() - began)
     except Exception as error:  # noqa: BLE001
         return Result(False, f"{type(error).__name__}: {error}", time.perf_counter() - began)

@@ -13,17 +13,21 @@ def split_list(text: Column) -> Column:
 
 def parse_ranges(text: Column) -> Column:
     """`start:end[v1,v2],start[v]` to an array of (lo, hi, values): no colon means one
-    point, no start 0, no end an open range (null). No bracket, no ranges."""
-    parts = F.regexp_extract_all(text, F.lit(r"([^\[\],]*\[[^\]]*\])"), F.lit(1))
+    point, no start 0, no end an open range (null). A range's values end at the first
+    closing bracket. No bracket, no ranges; an opening one without a closing one, and
+    a bound that is no number, are errors."""
+    block = r"([^\[]*\[[^\]]*\])"
+    parts = F.regexp_extract_all(text, F.lit(block), F.lit(1))
 
     def one(part: Column) -> Column:
-        head = F.trim(F.substring_index(part, "[", 1))
+        head = F.trim(F.regexp_replace(F.substring_index(part, "[", 1), r"^[,\s]+", ""))
         values = split_list(F.regexp_extract(part, r"\[([^\]]*)\]", 1))
         lo, hi = F.trim(F.substring_index(head, ":", 1)), F.trim(F.regexp_extract(head, r":(.*)$", 1))
         low = F.coalesce(F.nullif(lo, F.lit("")).cast("long"), F.lit(0).cast("long"))
         return F.struct(low.alias("lo"), F.when(F.contains(head, F.lit(":")), F.nullif(hi, F.lit("")).cast("long")).otherwise(low).alias("hi"), values.alias("values"))
 
-    return F.transform(parts, one)
+    unmatched = F.contains(F.regexp_replace(text, block, ""), F.lit("["))
+    return F.when(unmatched, F.raise_error(F.concat(F.lit("a bracket is not closed: "), text))).otherwise(F.transform(parts, one))
 
 
 def extension(path: Column) -> Column:

@@ -66,12 +66,13 @@ def deconvolve(volume: Volume, value: str, psf: np.ndarray, algorithm: str = "Ri
     before, after = halo
     full = tuple(t + a + b for t, a, b in zip(tile, before, after))
     kernel, _ = kernels.ALGORITHMS[algorithm]
+    psf = np.ascontiguousarray(psf, np.float64)
     counts = [len(s) for s in starts]
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         cube = np.zeros(full[::-1])
         cube[part["z"].to_numpy(), part["y"].to_numpy(), part["x"].to_numpy()] = part[value].to_numpy()
-        out = kernel(cube, kernels.otf(psf, cube.shape), **settings)
+        out = kernel(cube, kernels.cached_otf(psf.tobytes(), psf.shape, cube.shape), **settings)
         chunk = int(key[1])
         index = (chunk % counts[0], chunk // counts[0] % counts[1], chunk // (counts[0] * counts[1]))
         # from where a later tile takes over

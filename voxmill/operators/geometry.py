@@ -71,11 +71,14 @@ def pad(volume: Volume, before: Shape, after: Shape, fill: str = "zero", scale:
     shape = tuple(n + a + b for n, a, b in zip(volume.shape, before, after))
     if fill != "mirror":
         t = F.greatest(*(_distance(c, n, a, b) for c, n, a, b in zip("xyz", volume.shape, before, after)))
-        weight = {
-            "zero": lambda: F.when(t > 0, 0.0).otherwise(1.0), "linear": lambda: 1 - t, "quadratic": lambda: (1 - t / scale) * (1 - t / scale),
-            "sinusoid": lambda: F.cos(F.pi() / 2 * t) * F.cos(F.pi() / 2 * t), "gaussian": lambda: F.exp(-(t / scale) * (t / scale)),
-        }[fill]()
-        rows = rows.withColumn("_w", weight).select(*KEYS, *((F.col(v) * F.col("_w")).alias(v) for v in volume.values))
+        if fill == "zero":  # whatever the edge holds
+            rows = rows.select(*KEYS, *(F.when(t > 0, 0.0).otherwise(F.col(v)).alias(v) for v in volume.values))
+        else:
+            weight = {
+                "linear": lambda: 1 - t, "quadratic": lambda: (1 - t / scale) * (1 - t / scale),
+                "sinusoid": lambda: F.cos(F.pi() / 2 * t) * F.cos(F.pi() / 2 * t), "gaussian": lambda: F.exp(-(t / scale) * (t / scale)),
+            }[fill]()
+            rows = rows.withColumn("_w", weight).select(*KEYS, *((F.col(v) * F.col("_w")).alias(v) for v in volume.values))
     return volume.with_(rows.select(*KEYS, *volume.values), shape)
 
 

@@ -4,6 +4,7 @@ All are pure; convolution is circular on the cube."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
@@ -21,6 +22,12 @@ def otf(psf: np.ndarray, shape: tuple[int, int, int]) -> np.ndarray:
     return np.fft.rfftn(np.roll(cube, [-(s + p // 2) for s, p in zip(start, psf.shape)], axis=(0, 1, 2)))
 
 
+@lru_cache(maxsize=2)
+def cached_otf(psf: bytes, psf_shape: tuple[int, int, int], shape: tuple[int, int, int]) -> np.ndarray:
+    """otf() of a PSF's bytes, kept by the worker for its next tiles."""
+    return otf(np.frombuffer(psf).reshape(psf_shape), shape)
+
+
 def apply(f: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.fft.irfftn(np.fft.rfftn(f) * h, s=f.shape, axes=(0, 1, 2))
 

@@ -64,13 +64,40 @@ def holds(label: Column, lo: Column, hi: Column) -> Column:
     return (lo <= label) & (hi.isNull() | (label < hi) | ((lo == hi) & (label == lo)))
 
 
+LEVELS = 62
+
+
+def _spans(lo: Column, hi: Column) -> Column:
+    """[lo, hi) as spans of numbers that share all but their last `level` bits, at most
+    two of a level: an array of (level, prefix)."""
+    end = F.when(hi.isNull(), F.lit(1 << LEVELS)).when(hi == lo, lo + 1).otherwise(hi)
+    span = lambda level, prefix: F.array(F.struct(level.cast("int").alias("level"), prefix.cast("long").alias("prefix")))
+    none = F.array().cast("array<struct<level:int,prefix:bigint>>")
+
+    def climb(s: Column, level: Column) -> Column:
+        some, odd = s["a"] < s["b"], lambda x: x % 2 == 1
+        left, right = some & odd(s["a"]), some & odd(s["b"])
+        out = F.concat(s["out"], F.when(left, span(level, s["a"])).otherwise(none), F.when(right & (s["b"] - 1 >= s["a"] + left.cast("long")), span(level, s["b"] - 1)).otherwise(none))
+        return F.struct(F.shiftright(s["a"] + left.cast("long"), 1).alias("a"), F.shiftright(s["b"] - right.cast("long"), 1).alias("b"), out.alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), F.struct(lo.cast("long").alias("a"), end.cast("long").alias("b"), none.alias("out")), climb, lambda s: s["out"])
+
+
 def look_up(labels: DataFrame, ranges: DataFrame, most_ranges: int = 10_000) -> DataFrame:
     """labels with the values of the first range that holds each label, or null.
-    Distinct labels are matched first, so the range join is as small as they are;
-    ranges are a configuration table and are broadcast within most_ranges."""
+    Distinct labels are matched first, so the join is as small as they are. Ranges are
+    a configuration table: within most_ranges they are broadcast. More are cut to spans
+    by bits, and labels meet those by equality, level by level; none is compared with
+    each range."""
     few = ranges.limit(most_ranges + 1).count() <= most_ranges
-    side = F.broadcast(ranges) if few else ranges
-    found = labels.select("label").distinct().join(side, holds(F.col("label"), F.col("lo"), F.col("hi")))
+    distinct = labels.select("label").distinct()
+    if few:
+        found = distinct.join(F.broadcast(ranges), holds(F.col("label"), F.col("lo"), F.col("hi")))
+    else:
+        cut = ranges.select("ordinal", "values", F.explode(_spans(F.col("lo"), F.col("hi"))).alias("s")).select("ordinal", "values", "s.*")
+        levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
+        reach = distinct.where("label >= 0").select("label", levels.alias("level")).withColumn("prefix", F.expr("shiftright(cast(label as bigint), level)"))
+        found = reach.join(cut, ["level", "prefix"])
     return labels.join(found.groupBy("label").agg(F.min_by("values", "ordinal").alias("values")), "label", "left")
 
 
@@ -89,18 +116,24 @@ def blend(parts: DataFrame, value: str = "v", weight: str = "weight") -> DataFra
 
 
 def feathered(masks: Volume, radius: int) -> DataFrame:
-    """Weights 1 - min(distance to the mask, radius) / radius from exact distances:
-    mask voxels reach the places within the radius, and the nearest wins."""
-    offsets = [(i, j, k) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) for k in range(-radius, radius + 1) if i * i + j * j + k * k < radius * radius]
-    reach = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip((*o, float(sum(v * v for v in o)) ** 0.5), "ijkr"))) for o in offsets)))
-    w, h, d = masks.shape
-    spread = masks.voxels.where("weight > 0").select(*KEYS, "group", reach.alias("o"))
-    moved = spread.select("image_id", "group", *((F.col(c) + F.col(f"o.{o}")).alias(c) for c, o in zip("xyz", "ijk")), F.col("o.r").alias("r"))
-    inside = F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1) & F.col("z").between(0, d - 1)
-    return moved.where(inside).groupBy("image_id", "x", "y", "z", "group").agg((1 - F.min("r") / radius).alias("weight"))
+    """Weights 1 - min(distance to the mask, radius) / radius from exact distances. The
+    least squared distance is found axis by axis: places take the least, over their
+    line, of what is known there and the squared step; 2 radius - 1 copies an axis."""
+    rows = masks.voxels.where("weight > 0").select(*KEYS, "group", F.lit(0).alias("r"))
+    steps = F.explode(F.sequence(F.lit(1 - radius), F.lit(radius - 1)))
+    for c, n in zip("xyz", masks.shape):
+        moved = rows.select("image_id", "group", *(F.col(k) for k in "xyz" if k != c), F.col(c).alias("from"), "r", steps.alias("step"))
+        moved = moved.withColumn(c, F.col("from") + F.col("step")).withColumn("r", F.col("r") + F.col("step") * F.col("step"))
+        rows = moved.where(F.col(c).between(0, n - 1) & (F.col("r") < radius * radius)).groupBy(*KEYS, "group").agg(F.min("r").alias("r"))
+    return rows.select(*KEYS, "group", (1 - F.sqrt(F.col("r").cast("double")) / radius).alias("weight"))
 
 
 def last_psf(psfs: DataFrame, groups: DataFrame) -> DataFrame:
     """The PSF that a group ends up with: the last of its ids that exists."""
     named = groups.select("group_id", F.posexplode("values").alias("at", "psf_id"))
     return named.join(psfs, "psf_id").withColumn("r", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("at")))).where("r = 1").drop("r", "at")
+
+
+def missing_psfs(psfs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(psf_id): ids that groups name and no PSF has."""
+    return groups.select(F.explode("values").alias("psf_id")).distinct().join(psfs, "psf_id", "left_anti")

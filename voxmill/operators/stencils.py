@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from voxmill.volume import Volume
+from voxmill.volume import KEYS, Volume
 
 
 def _line(axis: str):
@@ -23,12 +23,32 @@ def behind(axis: str, value: str) -> Column:
     return F.col(value) - F.coalesce(F.lag(value).over(_line(axis)), F.lit(0.0))
 
 
+def _step(axis: str) -> dict[str, int]:
+    return {c: int(c == axis) for c in "xyz"}
+
+
+def _scattered(volume: Volume, parts: list[tuple[dict[str, int], dict[str, Column]]], names: list[str]) -> Volume:
+    """Sums, at every place, of what voxels send there: parts are offsets and values by
+    name. One aggregation on the places, whatever the number of axes."""
+    sent = F.explode(F.array(*(F.struct(*((F.col(c) + by[c]).alias(c) for c in "xyz"), *(values.get(n, F.lit(0.0)).cast("double").alias(n) for n in names)) for by, values in parts)))
+    rows = volume.voxels.select("image_id", sent.alias("s")).select("image_id", "s.*")
+    for c, n in zip("xyz", volume.shape):
+        rows = rows.where(F.col(c).between(0, n - 1))
+    return volume.with_(rows.groupBy(*KEYS).agg(*(F.sum(n).alias(n) for n in names)))
+
+
 def gradient(volume: Volume, value: str) -> Volume:
-    return volume.map(**{f"g{c}": ahead(c, value) for c in "xyz"})
+    """gx, gy, gz by ahead() along every axis, in one shuffle."""
+    v = F.col(value)
+    own = {f"g{c}": F.when(F.col(c) < n - 1, v).otherwise(0.0) for c, n in zip("xyz", volume.shape)}
+    back = [({c: -k for c, k in _step(axis).items()}, {f"g{axis}": -v}) for axis in "xyz"]
+    return _scattered(volume, [({c: 0 for c in "xyz"}, own), *back], ["gx", "gy", "gz"])
 
 
 def divergence(volume: Volume, values: tuple[str, str, str] = ("gx", "gy", "gz"), name: str = "div") -> Volume:
-    return volume.map(**{name: behind("x", values[0]) + behind("y", values[1]) + behind("z", values[2])})
+    """The sum of behind() along the axes, in one shuffle."""
+    g = [F.col(v) for v in values]
+    return _scattered(volume, [({c: 0 for c in "xyz"}, {name: g[0] + g[1] + g[2]}), *((_step(axis), {name: -own}) for axis, own in zip("xyz", g))], [name])
 
 
 def normalize_tv(volume: Volume, beta: float) -> Volume:

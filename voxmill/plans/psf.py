@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.volume import Shape, Volume, grid
@@ -26,34 +27,46 @@ def gaussian(images: DataFrame, shape: Shape) -> Volume:
     return Volume(raw.join(sums, "image_id").select("image_id", "x", "y", "z", (F.col("v") / F.col("_sum")).alias("v")), shape)
 
 
-def gaussian_halo(strategy: str, shape: Shape, sigma: tuple[float, float, float]) -> tuple:
-    return {"none": (0, 0, 0), "parent": tuple(int(4 * s) for s in sigma), "full_psf": shape}[strategy]
+def gaussian_halo(strategy: str, shape: Shape, sigma: tuple[float, float, float]) -> Shape | None:
+    """The extent that a strategy asks for; None where the settings give it (manual)."""
+    return {"none": (0, 0, 0), "parent": tuple(int(4 * s) for s in sigma), "full_psf": shape}.get(strategy)
 
 
-def j0(x: np.ndarray, steps: int = 256) -> np.ndarray:
-    """Bessel's J0 by its integral over half a turn; the trapezoid rule converges
-    faster than any power of the step for it."""
+def gibson_lanni_halo(strategy: str, shape: Shape) -> Shape | None:
+    return {"none": (0, 0, 0), "parent": tuple(n // 2 for n in shape), "full_psf": shape}.get(strategy)
+
+
+def j0(x: np.ndarray) -> np.ndarray:
+    """Bessel's J0 by its integral over half a turn; the trapezoid rule is exact but for
+    terms that vanish faster than any power once its steps outnumber x."""
+    steps = int(np.max(np.abs(x), initial=0)) + 32
     angle = (np.arange(steps) + 0.5) * np.pi / steps
     return np.cos(np.multiply.outer(x, np.sin(angle))).mean(axis=-1)
 
 
-def gibson_lanni_profile(radii: np.ndarray, defocus: float, wavelength: float, na: float, ns: float, ni: float, particle: float, tolerance: float = 1e-3) -> np.ndarray:
+#: Agreeing refinements in a row for accuracies; 3 for all others.
+AGREEMENTS = {0: 4, 1: 5, 2: 6}
+
+
+def gibson_lanni_profile(radii: np.ndarray, defocus: float, wavelength: float, na: float, ns: float, ni: float, particle: float, tolerance: float = 1e-3, accuracy: int = 3) -> np.ndarray:
     """|diffraction integral|^2 at radii (all lengths in one unit), by Simpson's rule
-    with steps halved until no radius changes by more than the tolerance."""
+    with steps halved until, so many times in a row as the accuracy asks for, no radius
+    changes by more than the tolerance."""
     k, top = 2 * np.pi / wavelength, min(1.0, ns / na, ni / na)
-    last, n = None, 32
+    last, n, agreed = None, 32, 0
     while True:
         rho = np.linspace(0, top, n + 1)
         path = ns * particle * np.sqrt(np.maximum(0, 1 - (na * rho / ns) ** 2)) + ni * defocus * np.sqrt(np.maximum(0, 1 - (na * rho / ni) ** 2))
         weight = np.where(np.arange(n + 1) % 2, 4.0, 2.0)
         weight[[0, -1]] = 1
         value = np.abs((j0(np.multiply.outer(k * na * radii, rho)) * (np.exp(1j * k * path) * rho * weight)).sum(axis=1) * top / (3 * n)) ** 2
-        if last is not None and np.all(np.abs(value - last) <= tolerance * value.max()) or n > 2048:
+        agreed = agreed + 1 if last is not None and np.all(np.abs(value - last) <= tolerance * value.max()) else 0
+        if agreed == AGREEMENTS.get(accuracy, 3) or n > 8192:
             return value
         last, n = value, 2 * n
 
 
-def gibson_lanni(images: DataFrame, shape: Shape, pixel: float = 100.0, slice_: float = 100.0, wavelength: float = 450.0, ns: float = 1.33, ni: float = 1.515, oversampling: int = 2) -> Volume:
+def gibson_lanni(images: DataFrame, shape: Shape, pixel: float = 100.0, slice_: float = 100.0, wavelength: float = 450.0, ns: float = 1.33, ni: float = 1.515, oversampling: int = 2, tolerance: float = 1e-3, accuracy: int = 3) -> Volume:
     """images: (image_id, na, particle). Planes are rows of work of their own; each is
     a radial profile, interpolated to its pixels and cut at ten Airy radii."""
     w, h, d = shape
@@ -64,7 +77,7 @@ def gibson_lanni(images: DataFrame, shape: Shape, pixel: float = 100.0, slice_:
         for part in parts:
             for image, na, particle, z in part[["image_id", "na", "particle", "z"]].itertuples(index=False):
                 steps = np.arange(int(np.ceil(r.max() * oversampling)) + 2)
-                profile = gibson_lanni_profile(steps / oversampling * pixel, slice_ * (z - (d - 1) / 2), wavelength, na, ns, ni, particle)
+                profile = gibson_lanni_profile(steps / oversampling * pixel, slice_ * (z - (d - 1) / 2), wavelength, na, ns, ni, particle, tolerance, accuracy)
                 v = np.where(r <= 10 * 0.61 * wavelength / (na * pixel), np.interp(r * oversampling, steps, profile), 0.0)
                 yield pd.DataFrame({"image_id": image, "x": x.astype("int32"), "y": y.astype("int32"), "z": np.int32(z), "v": v})
 
@@ -72,5 +85,54 @@ def gibson_lanni(images: DataFrame, shape: Shape, pixel: float = 100.0, slice_:
     return Volume(work.mapInPandas(planes, "image_id long, x int, y int, z int, v double"), shape)
 
 
+#: Defaults of configurations.
+DEFAULTS = {"size_x": 20, "size_y": 20, "size_z": 10, "sigma_x": 10.0, "sigma_y": 10.0, "sigma_z": 10.0, "NA": 1.4, "lambda_nm": 450.0, "sample_ri": 1.33, "immersion_ri": 1.515, "particle_axial_position_nm": 0.0, "pixel_size_lateral_nm": 100.0, "pixel_size_axial_nm": 100.0, "accuracy": 3}
+
+
+@dataclass(frozen=True)
+class Model:
+    """make: the volume of a configuration at a shape; halo: the extent that a padding
+    strategy asks for, from the configured shape."""
+
+    make: Callable[[SparkSession, dict, Shape], Volume]
+    halo: Callable[[str, dict, Shape], Shape | None]
+
+
+def _one(spark: SparkSession, **values) -> DataFrame:
+    return spark.range(1).select(F.lit(0).cast("long").alias("image_id"), *(F.lit(float(v)).alias(k) for k, v in values.items()))
+
+
+def _gaussian(spark: SparkSession, v: dict, shape: Shape) -> Volume:
+    return gaussian(_one(spark, **{f"sigma_{c}": v[f"sigma_{c}"] for c in "xyz"}), shape)
+
+
+def _gibson_lanni(spark: SparkSession, v: dict, shape: Shape) -> Volume:
+    images = _one(spark, na=v["NA"], particle=v["particle_axial_position_nm"])
+    return gibson_lanni(images, shape, v["pixel_size_lateral_nm"], v["pixel_size_axial_nm"], v["lambda_nm"], v["sample_ri"], v["immersion_ri"], accuracy=v["accuracy"])
+
+
 #: Models by name, as configurations write them.
-MODELS = {"Gaussian": gaussian, "GibsonLanni": gibson_lanni}
+MODELS: dict[str, Model] = {
+    "Gaussian": Model(_gaussian, lambda strategy, v, shape: gaussian_halo(strategy, shape, tuple(v[f"sigma_{c}"] for c in "xyz"))),
+    "GibsonLanni": Model(_gibson_lanni, lambda strategy, v, shape: gibson_lanni_halo(strategy, shape)),
+}
+
+
+def register(name: str, model: Model) -> None:
+    MODELS[name] = model
+
+
+def model(values: dict) -> Model:
+    if values.get("model_name") not in MODELS:
+        raise ValueError(f"model_name must be one of {sorted(MODELS)}")
+    return MODELS[values["model_name"]]
+
+
+def configured_shape(values: dict) -> Shape:
+    v = DEFAULTS | values
+    return tuple(int(v[f"size_{c}"]) for c in "xyz")
+
+
+def with_shape(values: dict, shape: Shape) -> dict:
+    """The configuration with extents of at least the shape's."""
+    return values | {f"size_{c}": max(n, m) for c, n, m in zip("xyz", configured_shape(values), shape)}

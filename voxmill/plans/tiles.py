@@ -93,6 +93,18 @@ def tile_shape(image: Shape, halo: tuple[Shape, Shape], most_voxels: int, least_
 PLAN = "image_id long, chunk_id int, x int, y int, z int, w int, h int, d int, before_x int, before_y int, before_z int, after_x int, after_y int, after_z int"
 
 
+def axis_split(extent: int, full: int, before: int, after: int, strategy: str) -> tuple[int, int, int]:
+    """Size of tiles along an axis and their halos, of a padded extent. Without padding
+    the halo before belongs to the tiles, and so does the one after where it would
+    reach the far edge. What is left over is halo after."""
+    if strategy != "none":
+        size = min(extent, full - before - after)
+        return size, before, full - size - before
+    size = full - after if full < extent else full
+    size = min(size, extent)
+    return size, 0, full - size
+
+
 def plan_tiles(images: DataFrame, halo: tuple[Shape, Shape], most_voxels: int, least_tiles: int = 1, least_shape: Shape = (1, 1, 1), strategy: str = "full_psf") -> DataFrame:
     """(image_id, width, height, depth) rows to a row for every tile of every image."""
 
@@ -101,11 +113,10 @@ def plan_tiles(images: DataFrame, halo: tuple[Shape, Shape], most_voxels: int, l
             rows = []
             for image, *shape in part[["image_id", "width", "height", "depth"]].itertuples(index=False):
                 full = tile_shape(tuple(shape), halo, most_voxels, least_tiles, least_shape, strategy)
-                size = [min(n, f - a - b) for n, f, a, b in zip(shape, full, *halo)]
-                after = [f - s - a for f, s, a in zip(full, size, halo[0])]
+                size, before, after = zip(*(axis_split(n, f, a, b, strategy) for n, f, a, b in zip(shape, full, *halo)))
                 xs, ys, zs = (axis_starts(n, s) for n, s in zip(shape, size))
                 places = [(x, y, z) for z in zs for y in ys for x in xs]
-                rows += [(image, i, *p, *size, *halo[0], *after) for i, p in enumerate(places)]
+                rows += [(image, i, *p, *size, *before, *after) for i, p in enumerate(places)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PLAN.split(", ")])
 
     return images.mapInPandas(plan, PLAN)

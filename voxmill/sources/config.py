@@ -6,6 +6,7 @@ import argparse
 import json
 import warnings
 from dataclasses import dataclass
+from pathlib import Path
 from typing import Any
 
 
@@ -46,6 +47,8 @@ SETUP = (
     Parameter("labeled_image", str, ""), Parameter("label_psf_map", str, ""), Parameter("max_mem_host_gb", float, 0.0), Parameter("max_mem_device_gb", float, 0.0),
     Parameter("output_compression", str, "none"), Parameter("output_compression_level", int, -1), Parameter("tile_width", int, 0), Parameter("tile_length", int, 0),
     Parameter("n_io_threads", int, 1), Parameter("n_worker_threads", int, 1), Parameter("n_devices", int, 1),
+    # accepted and without use here, where Spark deals tasks; the last one is in no use at all
+    Parameter("n_threads", int, 0), Parameter("n_reader_threads", int, 0), Parameter("psf_config_path", str, ""),
 )
 
 
@@ -78,6 +81,29 @@ def write_json(path: str, setup: dict[str, Any], deconvolution: dict[str, Any])
         json.dump({**setup, "deconvolution_config": deconvolution}, file, indent=2)
 
 
+def read_psfs(paths: list[str]) -> list[dict[str, Any]]:
+    """PSF configurations from files, and from the .json files of folders by name; a bad
+    file fails, but in a folder it is left out with a warning."""
+    found = []
+    for path in map(Path, paths):
+        if not path.is_dir():
+            found.append(json.loads(path.read_text()))
+            continue
+        for file in sorted(path.glob("*.json")):
+            try:
+                values = json.loads(file.read_text())
+                if "model_name" not in values:
+                    raise ValueError("no model_name")
+                found.append(values)
+            except (ValueError, TypeError) as error:
+                warnings.warn(f"{file}: {error}", stacklevel=2)
+    return found
+
+
+def write_psf(path: str, values: dict[str, Any]) -> None:
+    Path(path).write_text(json.dumps(values, indent=2))
+
+
 def parser(parameters: tuple[Parameter, ...] = SETUP + DECONVOLUTION) -> argparse.ArgumentParser:
     out = argparse.ArgumentParser()
     for p in parameters:

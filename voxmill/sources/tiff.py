@@ -1,11 +1,15 @@
 """TIFF volumes: a small codec and the Spark reads and writes around it.
 
-Reads go through Spark's binaryFile source, so any store that Spark reads will do;
-each file is decoded in a task of its own, only the slices asked for. Writes make a
-file for each image, in tasks that hold one slice at a time."""
+Files are listed by Spark's binaryFile source, without their contents. A task per
+group of slices then reads the directories and the blocks that it needs by ranges, so
+files may be larger than a task's memory. A box prunes slices at the plan, and strips
+and tiles outside it before they are read. Writes compress each slice in a row of its
+own, find the places of all blocks with a windowed sum, and stream the slices of an
+image in their order into its file."""
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -13,12 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the format: tag numbers, and bytes of field types.
 WIDTH, LENGTH, BITS, COMPRESSION, DESCRIPTION, STRIPS, SAMPLES, ROWS, STRIP_BYTES = 256, 257, 258, 259, 270, 273, 277, 278, 279
-TILE_WIDTH, TILE_LENGTH, TILES, TILE_BYTES, FORMAT = 322, 323, 324, 325, 339
+PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILES, TILE_BYTES, FORMAT = 284, 317, 322, 323, 324, 325, 339
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 16: 8}
 NONE, LZW, DEFLATE, OLD_DEFLATE = 1, 5, 8, 32946
 BIG = 2 << 30
@@ -48,7 +52,7 @@ def lzw_decode(data: bytes) -> bytes:
 
 def lzw_encode(data: bytes) -> bytes:
     out, held, bits = bytearray(), 0, 0
-    table, width, size = {bytes([i]): i for i in range(256)}, 9, 258
+    table, width, size = {}, 9, 258  # code << 8 | byte to the code of both
 
     def put(code: int) -> None:
         nonlocal held, bits
@@ -59,25 +63,28 @@ def lzw_encode(data: bytes) -> bytes:
             held &= (1 << bits) - 1
 
     put(256)
-    word = b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
+    code = -1
+    for byte in data:
+        if code < 0:
+            code = byte
+            continue
+        longer = table.get(code << 8 | byte)
+        if longer is not None:
+            code = longer
             continue
-        put(table[word])
-        table[longer] = size
+        put(code)
+        table[code << 8 | byte] = size
         size += 1
-        word = data[i : i + 1]
+        code = byte
         if size == 4094:
-            put(table[word])
-            word = b""
+            put(code)
+            code = -1
             put(256)
-            table, width, size = {bytes([k]): k for k in range(256)}, 9, 258
+            table, width, size = {}, 9, 258
         else:
             width = max(9, size.bit_length())
-    if word:
-        put(table[word])
+    if code >= 0:
+        put(code)
         size += 1
         width = min(12, max(9, size.bit_length()))
     put(257)
@@ -101,35 +108,54 @@ class Page:
         return bytes(self.tags.get(DESCRIPTION, [])).rstrip(b"\0").decode(errors="replace")
 
 
-def pages(data: bytes) -> list[Page]:
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8:
+class Bytes:
+    """A file's bytes, by ranges: (n, at) -> bytes."""
+
+    def __init__(self, data: bytes):
+        self.read_at = lambda n, at: data[at : at + n]
+
+
+def pages(data) -> list[Page]:
+    """The directories of bytes, or of a file with read_at(n, at)."""
+    read = (Bytes(data) if isinstance(data, bytes) else data).read_at
+
+    def unpack(kind: str, at: int) -> tuple:
+        raw = read(struct.calcsize(order + kind), at)
+        if len(raw) < struct.calcsize(order + kind):
+            raise ValueError("the TIFF file ends early")
+        return struct.unpack(order + kind, raw)
+
+    order = {b"II": "<", b"MM": ">"}.get(read(2, 0))
+    if order is None or len(read(8, 0)) < 8:
         raise ValueError("not a TIFF file")
-    big = struct.unpack_from(order + "H", data, 2)[0] == 43
-    at = struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)[0]
+    big = unpack("H", 2)[0] == 43
+    at = unpack("Q" if big else "I", 8 if big else 4)[0]
     out = []
     while at:
-        n = struct.unpack_from(order + ("Q" if big else "H"), data, at)[0]
+        n = unpack("Q" if big else "H", at)[0]
         at += 8 if big else 2
         tags = {}
         for _ in range(n):
-            tag, kind, count = struct.unpack_from(order + ("HHQ" if big else "HHI"), data, at)
+            tag, kind, count = unpack("HHQ" if big else "HHI", at)
             field, room, step = at + (12 if big else 8), 8 if big else 4, 20 if big else 12
             size = TYPE_SIZE.get(kind, 1)
             if size * count > room:
-                field = struct.unpack_from(order + ("Q" if big else "I"), data, field)[0]
+                field = unpack("Q" if big else "I", field)[0]
             code = {1: "B", 2: "B", 3: "H", 4: "I", 16: "Q"}.get(kind, "B")
-            tags[tag] = list(struct.unpack_from(f"{order}{count}{code}", data, field)) if kind != 5 else []
+            tags[tag] = list(unpack(f"{count}{code}", field)) if kind != 5 else []
             at += step
         out.append(Page(order, tags))
-        at = struct.unpack_from(order + ("Q" if big else "I"), data, at)[0]
+        at = unpack("Q" if big else "I", at)[0]
     return out
 
 
-def metadata(data: bytes) -> dict:
+def metadata(data) -> dict:
     """Extent and kind of the volume; channels and slices come from the description
     where it has them, else from the number of pages."""
-    found = pages(data)
+    return _metadata(pages(data))
+
+
+def _metadata(found: list[Page]) -> dict:
     first = found[0]
     said = dict(line.split("=", 1) for line in first.text.splitlines() if "=" in line)
     channels = max(1, int(said.get("channels", 1)))
@@ -150,133 +176,254 @@ def _unpacked(data: bytes, how: int) -> bytes:
     raise ValueError(f"compression {how} is not supported")
 
 
-def read_page(data: bytes, page: Page, rows: tuple[int, int] | None = None, sample: int = 0) -> np.ndarray:
-    """Rows [a, b) of a page as float32; blocks outside them are not decoded."""
-    w, h, bits, n = page.one(WIDTH), page.one(LENGTH), page.one(BITS, 1), page.one(SAMPLES, 1)
-    kinds = {8: "u1", 16: "u2", 32: "f4"}
-    if bits not in kinds:
-        raise ValueError(f"{bits} bits a sample are not supported")
-    kind, how = np.dtype(page.order + kinds[bits]), page.one(COMPRESSION, NONE)
-    a, b = rows or (0, h)
-    out = np.zeros((b - a, w), np.float32)
+#: Kinds of samples by (sample format, bits): 1 unsigned, 2 signed, 3 floating point.
+SAMPLE_KINDS = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
+#: Predictors: none, and differences of neighbours along a row.
+PLAIN, HORIZONTAL = 1, 2
+
+
+def _summed(block: np.ndarray) -> np.ndarray:
+    """A block (rows, columns, samples) whose rows hold differences."""
+    return np.cumsum(block, axis=1, dtype=block.dtype)
+
+
+def read_page(data, page: Page, rows: tuple[int, int] | None = None, columns: tuple[int, int] | None = None, sample: int = 0) -> np.ndarray:
+    """Rows and columns [a, b) of a page as float32; blocks that lie outside are
+    neither read nor decoded."""
+    read = (Bytes(data) if isinstance(data, bytes) else data).read_at
+    w, h, n = page.one(WIDTH), page.one(LENGTH), page.one(SAMPLES, 1)
+    key, predictor = (page.one(FORMAT, 1), page.one(BITS, 1)), page.one(PREDICTOR, PLAIN)
+    if key not in SAMPLE_KINDS:
+        raise ValueError(f"samples of format {key[0]} with {key[1]} bits are not supported")
+    if predictor not in (PLAIN, HORIZONTAL) or predictor == HORIZONTAL and key[0] == 3:
+        raise ValueError(f"predictor {predictor} is not supported for sample format {key[0]}")
+    kind, how = np.dtype(page.order + SAMPLE_KINDS[key]), page.one(COMPRESSION, NONE)
+    (a, b), (c, d) = rows or (0, h), columns or (0, w)
+    out = np.zeros((b - a, d - c), np.float32)
     tiled = TILE_WIDTH in page.tags
     bw, bh = (page.one(TILE_WIDTH), page.one(TILE_LENGTH)) if tiled else (w, min(page.one(ROWS, h), h))
-    across = -(-w // bw)
-    for i, (at, size) in enumerate(zip(page.tags[TILES if tiled else STRIPS], page.tags[TILE_BYTES if tiled else STRIP_BYTES])):
+    across, down = -(-w // bw), -(-h // bh)
+    apart = n > 1 and page.one(PLANAR, 1) == 2  # each sample has its own plane of blocks
+    first = sample * across * down if apart else 0
+    places, sizes = page.tags[TILES if tiled else STRIPS], page.tags[TILE_BYTES if tiled else STRIP_BYTES]
+    for i in range(across * down):
         y, x = i // across * bh, i % across * bw
-        if y >= b or y + bh <= a:
+        if y >= b or y + bh <= a or x >= d or x + bw <= c:
             continue
-        high = bh if tiled else min(bh, h - y)
-        block = np.frombuffer(_unpacked(data[at : at + size], how), kind, high * bw * n).reshape(high, bw, n)[:, :, sample]
-        lo, hi = max(a, y), min(b, y + high, h)
-        out[lo - a : hi - a, x : x + bw] = block[lo - y : hi - y, : w - x]
+        high, deep = bh if tiled else min(bh, h - y), 1 if apart else n
+        raw = _unpacked(read(sizes[first + i], places[first + i]), how)
+        block = np.frombuffer(raw, kind, high * bw * deep).reshape(high, bw, deep)
+        block = (_summed(block.astype(kind.newbyteorder("="))) if predictor == HORIZONTAL else block)[:, :, 0 if apart else sample]
+        top, bottom, left, right = max(a, y), min(b, y + high, h), max(c, x), min(d, x + bw, w)
+        out[top - a : bottom - a, left - c : right - c] = block[top - y : bottom - y, left - x : right - x]
     return out
 
 
-def read_volume(data: bytes, channel: int = 0, z: tuple[int, int] | None = None) -> np.ndarray:
-    """(z, y, x) float32. Channels count from 1; 0 is the first too."""
-    found, about = pages(data), metadata(data)
+def _slice(found: list[Page], about: dict, channel: int, z: int) -> tuple[Page, int]:
+    """The page and the sample of a slice. Channels count from 1; 0 is the first too."""
     own = max(0, channel - 1)
-    a, b = z or (0, about["depth"])
+    if own >= max(about["channels"], about["samples"]):
+        raise ValueError(f"channel {channel} of {max(about['channels'], about['samples'])}")
     separate = about["channels"] > 1 and about["samples"] == 1
-    return np.stack([read_page(data, found[k * about["channels"] + own if separate else k], sample=0 if separate else own) for k in range(a, b)])
+    return found[z * about["channels"] + own if separate else z], 0 if separate else own
+
+
+def read_volume(data, channel: int = 0, z: tuple[int, int] | None = None, y: tuple[int, int] | None = None, x: tuple[int, int] | None = None) -> np.ndarray:
+    """(z, y, x) float32 of a box; without bounds, of the whole."""
+    found = pages(data)
+    about = _metadata(found)
+    a, b = z or (0, about["depth"])
+    return np.stack([read_page(data, page, y, x, sample) for page, sample in (_slice(found, about, channel, k) for k in range(a, b))])
+
+
+#: Sample format and bits of what can be written.
+WRITTEN = {"f4": (3, 32), "u1": (1, 8), "u2": (1, 16)}
+
+
+def slice_blocks(plane: np.ndarray, compression: int = NONE, level: int = -1, tile: tuple[int, int] | None = None, kind: str = "f4") -> list[bytes]:
+    """The compressed blocks of a slice: one strip, or tiles (width, length) whose edges
+    are filled with zeros. Whole numbers are written as differences along rows."""
+    plane, (h, w) = plane.astype(f"<{kind}"), plane.shape
+    pack = {NONE: bytes, DEFLATE: lambda x: zlib.compress(x, level), LZW: lzw_encode}[compression]
+
+    def packed(block: np.ndarray) -> bytes:
+        return pack((np.diff(block, axis=1, prepend=block.dtype.type(0)) if kind != "f4" else block).tobytes())
 
+    if not tile:
+        return [packed(plane)]
+    tw, th = tile
+    full = np.zeros((-(-h // th) * th, -(-w // tw) * tw), plane.dtype)
+    full[:h, :w] = plane
+    return [packed(full[y : y + th, x : x + tw]) for y in range(0, h, th) for x in range(0, w, tw)]
 
-def encode(volume: np.ndarray, compression: int = NONE, level: int = -1, tile: tuple[int, int] | None = None, big: bool | None = None) -> bytes:
-    """A page for each slice, float32, in one strip or in tiles whose edges are filled
-    with zeros; BigTIFF from 2 GiB."""
+
+def header(first: int, big: bool) -> bytes:
+    """The file's first bytes; first: where the first directory lies."""
+    return struct.pack("<2sHHHQ", b"II", 43, 8, 0, first) if big else struct.pack("<2sHI", b"II", 42, first)
+
+
+def lists_size(n_blocks: int, big: bool) -> int:
+    """Bytes of the lists of places and sizes between blocks and directory."""
+    return 2 * n_blocks * (8 if big else 4) if n_blocks > 1 else 0
+
+
+def directory_size(tiled: bool, big: bool) -> int:
+    n = 11 if tiled else 10
+    return 8 + 20 * n + 8 if big else 2 + 12 * n + 4
+
+
+def directory(w: int, h: int, sizes: list[int], at: int, following: int, compression: int, tile: tuple[int, int] | None, big: bool, kind: str = "f4") -> bytes:
+    """Lists and directory of a slice whose blocks begin at `at`; they stand right
+    behind the blocks. following: the next directory, 0 for none."""
+    word, entry, field = ("Q", "<HHQQ", 16) if big else ("I", "<HHII", 4)
+    places = [at + sum(sizes[:i]) for i in range(len(sizes))]
+    lists = {}
+    behind = at + sum(sizes)
+    tags = {WIDTH: [w], LENGTH: [h], BITS: [WRITTEN[kind][1]], COMPRESSION: [compression], SAMPLES: [1], PREDICTOR: [PLAIN if kind == "f4" else HORIZONTAL], FORMAT: [WRITTEN[kind][0]]}
+    tags |= {TILE_WIDTH: [tile[0]], TILE_LENGTH: [tile[1]], TILES: places, TILE_BYTES: sizes} if tile else {STRIPS: places, ROWS: [h], STRIP_BYTES: sizes}
+    fields, out = [], b""
+    for tag, values in sorted(tags.items()):
+        if len(values) > 1:
+            lists[tag] = behind + len(out)
+            out += struct.pack(f"<{len(values)}{word}", *values)
+        fields.append(struct.pack(entry, tag, field, len(values), lists.get(tag, values[0])))
+    return out + struct.pack("<Q" if big else "<H", len(fields)) + b"".join(fields) + struct.pack("<" + word, following)
+
+
+def encode(volume: np.ndarray, compression: int = NONE, level: int = -1, tile: tuple[int, int] | None = None, big: bool | None = None, kind: str = "f4") -> bytes:
+    """A page for each slice; BigTIFF from 2 GiB."""
     d, h, w = volume.shape
     big = volume.size * 4 >= BIG if big is None else big
-    word, entry, head = ("Q", "<HHQQ", 16) if big else ("I", "<HHII", 8)
-    pack = {NONE: bytes, DEFLATE: lambda x: zlib.compress(x, level), LZW: lzw_encode}[compression]
-    out = bytearray(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0) if big else struct.pack("<2sHI", b"II", 42, 0))
-    link = head - (8 if big else 4)
-    for plane in volume.astype("<f4"):
-        if tile:
-            tw, th = tile
-            full = np.zeros((-(-h // th) * th, -(-w // tw) * tw), "<f4")
-            full[:h, :w] = plane
-            blocks = [full[y : y + th, x : x + tw] for y in range(0, h, th) for x in range(0, w, tw)]
-        else:
-            blocks = [plane]
-        packed = [pack(b.tobytes()) for b in blocks]
-        places = []
-        for p in packed:
-            places.append(len(out))
-            out += p
-        tags = {WIDTH: [w], LENGTH: [h], BITS: [32], COMPRESSION: [compression], SAMPLES: [1], FORMAT: [3]}
-        sizes = [len(p) for p in packed]
-        tags |= {TILE_WIDTH: [tile[0]], TILE_LENGTH: [tile[1]], TILES: places, TILE_BYTES: sizes} if tile else {STRIPS: places, ROWS: [h], STRIP_BYTES: sizes}
-        fields = []
-        for tag, values in sorted(tags.items()):
-            if len(values) == 1:
-                fields.append(struct.pack(entry, tag, 16 if big else 4, 1, values[0]))
-            else:
-                fields.append(struct.pack(entry, tag, 16 if big else 4, len(values), len(out)))
-                out += struct.pack(f"<{len(values)}{word}", *values)
-        struct.pack_into("<" + word, out, link, len(out))
-        out += struct.pack("<Q" if big else "<H", len(fields)) + b"".join(fields)
-        link = len(out)
-        out += struct.pack("<" + word, 0)
-    return bytes(out)
+    blocks = [slice_blocks(plane, compression, level, tile, kind) for plane in volume]
+    at, behind = [len(header(0, big))], []
+    for b in blocks:
+        behind.append(at[-1] + sum(map(len, b)) + lists_size(len(b), big))
+        at.append(behind[-1] + directory_size(bool(tile), big))
+    out = [header(behind[0], big)]
+    for b, place, following in zip(blocks, at, [*behind[1:], 0]):
+        out += [*b, directory(w, h, [len(x) for x in b], place, following, compression, tile, big, kind)]
+    return b"".join(out)
 
 
-def read_tiff(spark: SparkSession, path: str, channel: int = 0, z: tuple[int, int] | None = None) -> DataFrame:
-    """(path, x, y, z, v): the voxels of every TIFF file under path, of slices [a, b)."""
+def _opened(path: str):
+    """A file of any store that Arrow reaches, for reads by ranges."""
+    from pyarrow import fs
 
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, data in zip(part["path"], part["content"]):
-                found, about = pages(data), metadata(data)
-                first, last = z or (0, about["depth"])
-                for k in range(max(0, first), min(last, about["depth"])):
-                    plane = read_volume(data, channel, (k, k + 1))[0]
-                    y, x = (a.ravel().astype("int32") for a in np.indices(plane.shape))
-                    yield pd.DataFrame({"path": name, "x": x, "y": y, "z": np.int32(k), "v": plane.ravel()})
+    store, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    return store.open_input_file(name)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,tiff,ometif}").load(path)
-    return files.select("path", "content").mapInPandas(decode, "path string, x int, y int, z int, v float")
 
+class _Ranges:
+    def __init__(self, path: str):
+        self.file = _opened(path)
 
-def encode_volumes(voxels: DataFrame, value: str, shape: tuple[int, int, int], compression: int = NONE, tile: tuple[int, int] | None = None) -> DataFrame:
-    """(image_id, content): each image as a TIFF file."""
-    w, h, d = shape
+    def read_at(self, n: int, at: int) -> bytes:
+        return self.file.read_at(n, at)
+
+
+def list_slices(spark: SparkSession, path: str) -> DataFrame:
+    """(path, z, page, depth, width, height, channels, samples): the slices of every TIFF
+    file under path, from its directories alone; page counts them."""
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        cube = np.zeros((d, h, w), np.float32)
-        cube[part["z"].to_numpy(), part["y"].to_numpy(), part["x"].to_numpy()] = part[value].to_numpy()
-        return pd.DataFrame({"image_id": [key[0]], "content": [encode(cube, compression, tile=tile)]})
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name in part["path"]:
+                about = metadata(_Ranges(name))
+                n = about["depth"]
+                yield pd.DataFrame({"path": name, "z": np.arange(n, dtype="int32"), **{k: np.int32(about[k]) for k in ("depth", "width", "height", "channels", "samples")}})
 
-    return voxels.select("image_id", "x", "y", "z", value).groupBy("image_id").applyInPandas(run, "image_id long, content binary")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,tiff,ometif}").load(path)
+    return files.select("path").mapInPandas(read, "path string, z int, depth int, width int, height int, channels int, samples int")
 
 
-def decode_volumes(files: DataFrame, channel: int = 0) -> DataFrame:
-    """(image_id, content) to (image_id, x, y, z, v)."""
+def read_tiff(spark: SparkSession, path: str, channel: int = 0, z: tuple[int, int] | None = None, y: tuple[int, int] | None = None, x: tuple[int, int] | None = None) -> DataFrame:
+    """(path, x, y, z, v): the voxels of every TIFF file under path inside the box of
+    bounds [a, b). A box that reaches beyond an image is cut to it."""
 
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name = file = found = about = None
         for part in parts:
-            for image, data in zip(part["image_id"], part["content"]):
-                cube = read_volume(data, channel)
-                z, y, x = (a.ravel().astype("int32") for a in np.indices(cube.shape))
-                yield pd.DataFrame({"image_id": image, "x": x, "y": y, "z": z, "v": cube.ravel()})
-
-    return files.select("image_id", "content").mapInPandas(decode, "image_id long, x int, y int, z int, v float")
+            for row in part.itertuples(index=False):
+                if row.path != name:
+                    name, file = row.path, _Ranges(row.path)
+                    found = pages(file)
+                    about = _metadata(found)
+                page, sample = _slice(found, about, channel, row.z)
+                (a, b), (c, d) = ((max(0, box[0]), min(box[1], n)) if box else (0, n) for box, n in ((y, row.height), (x, row.width)))
+                if b > a and d > c:
+                    plane = read_page(file, page, (a, b), (c, d), sample)
+                    rows, columns = (i.ravel() for i in np.indices(plane.shape))
+                    yield pd.DataFrame({"path": name, "x": (columns + c).astype("int32"), "y": (rows + a).astype("int32"), "z": np.int32(row.z), "v": plane.ravel()})
+
+    slices = list_slices(spark, path)
+    if z:
+        slices = slices.where(F.col("z").between(z[0], z[1] - 1))
+    # some slices a task, so that a file's directories are not read for each of them
+    group = F.expr("z div 16")
+    dealt = slices.repartition("path", group).sortWithinPartitions("path", "z")
+    return dealt.mapInPandas(decode, "path string, x int, y int, z int, v float")
+
+
+def encode_slices(voxels: DataFrame, value: str, shape: tuple[int, int, int], compression: int = NONE, level: int = -1, tile: tuple[int, int] | None = None, kind: str = "f4") -> DataFrame:
+    """(image_id, z, piece): the pieces of each image's file, in the order of z. Slices
+    are compressed in rows of their own; the sums that place them have no data."""
+    w, h, d = shape
+    big = w * h * d * 4 >= BIG
+    n_blocks = -(-w // tile[0]) * -(-h // tile[1]) if tile else 1
+    lists, own = lists_size(n_blocks, big), directory_size(bool(tile), big)
 
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        plane = np.zeros((h, w), np.float32)
+        plane[part["y"].to_numpy(), part["x"].to_numpy()] = part[value].to_numpy()
+        blocks = slice_blocks(plane, compression, level, tile, kind)
+        return pd.DataFrame({"image_id": [key[0]], "z": [key[1]], "sizes": [[len(b) for b in blocks]], "data": [b"".join(blocks)]})
 
-def save(files: DataFrame, folder: str) -> DataFrame:
-    """Writes (image_id, content) to folder/<image_id>.tiff in any store that Arrow
-    reaches, and returns (image_id, path, bytes). A repeated task writes the same."""
+    def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            pieces = []
+            for r in part.itertuples(index=False):
+                head = header(int(r.at) + len(r.data) + lists, big) if r.z == 0 else b""
+                pieces.append(head + r.data + directory(w, h, [int(n) for n in r.sizes], int(r.at), int(r.following), compression, tile, big, kind))
+            yield pd.DataFrame({"image_id": part["image_id"], "z": part["z"], "piece": pieces})
+
+    packed = voxels.select("image_id", "x", "y", "z", value).groupBy("image_id", "z").applyInPandas(pack, "image_id long, z int, sizes array<int>, data binary")
+    packed = packed.withColumn("length", F.octet_length("data").cast("long"))
+    order = Window.partitionBy("image_id").orderBy("z")
+    before = F.coalesce(F.sum(F.col("length") + lists + own).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = packed.select("image_id", "z", "length", (before + len(header(0, big))).alias("at"))
+    # the next slice's blocks begin behind this one's directory
+    following = F.col("at") + F.col("length") + lists + own + F.lead("length").over(order) + lists
+    places = places.select("image_id", "z", "at", F.coalesce(following, F.lit(0)).cast("long").alias("following"))
+    return packed.drop("length").join(places, ["image_id", "z"]).mapInPandas(finish, "image_id long, z int, piece binary")
+
+
+def write_tiff(slices: DataFrame, folder: str, names: DataFrame | None = None) -> DataFrame:
+    """Streams the pieces of encode_slices() to folder/<name>.tiff in any store that Arrow
+    reaches, a piece at a time, and returns (image_id, path, bytes) once run. names:
+    (image_id, name); else images are named by their ids. A repeated task writes the
+    same."""
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
         store.create_dir(root, recursive=True)
+        image = out = path = None
+        done = []
         for part in parts:
-            paths = [f"{root}/{i}.tiff" for i in part["image_id"]]
-            for p, data in zip(paths, part["content"]):
-                with store.open_output_stream(p) as out:
-                    out.write(data)
-            yield pd.DataFrame({"image_id": part["image_id"], "path": paths, "bytes": part["content"].map(len)})
-
-    return files.select("image_id", "content").mapInPandas(write, "image_id long, path string, bytes long").withColumn("bytes", F.col("bytes"))
+            for r in part.itertuples(index=False):
+                if r.image_id != image:
+                    if out is not None:
+                        done.append((image, path, out.tell()))
+                        out.close()
+                    image, path = r.image_id, f"{root}/{r.name}.tiff"
+                    out = store.open_output_stream(path)
+                out.write(r.piece)
+        if out is not None:
+            done.append((image, path, out.tell()))
+            out.close()
+        yield pd.DataFrame(done, columns=["image_id", "path", "bytes"])
+
+    named = slices.join(names, "image_id") if names is not None else slices.withColumn("name", F.col("image_id").cast("string"))
+    dealt = named.select("image_id", "name", "z", "piece").repartition("image_id").sortWithinPartitions("image_id", "z")
+    return dealt.mapInPandas(write, "image_id long, path string, bytes long")
