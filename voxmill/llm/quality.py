@@ -30,23 +30,25 @@ from voxmill.llm.common import UPPER, materialize
 MOST_ROWS, TREES, DEPTH, LASSO = 20_000, 24, 3, 0.0005
 
 
-def counts(text: Column) -> dict[str, Column]:
-    """Counts over the whole text, each by one pass of a built-in function."""
-    t = F.coalesce(text, F.lit(""))
-    squeezed = lambda chars: F.char_length(t) - F.char_length(F.translate(t, chars, ""))
+#: ASCII characters of a class, counted together; the first stands for all.
+CLASSES = {"upper": UPPER, "digits": "0123456789", "spaces": " \t", "stops": ".,", "marks": "!?;:'\"()", "symbols": "#$%&*+/<=>@[\\]^_`{}~-"}
+SINGLE = {"lines": "\n", "bars": "|"}
+
+
+def classed(text: Column) -> Column:
+    """The text with each character of a class replaced by the first one of it."""
+    return F.translate(text, "".join(v[1:] for v in CLASSES.values()), "".join(v[0] * (len(v) - 1) for v in CLASSES.values()))
+
+
+def counts(text: Column, folded: Column) -> dict[str, Column]:
+    """Counts over the whole text, from it and its classed() form."""
+    of = lambda char: F.octet_length(folded) - F.octet_length(F.replace(folded, F.lit(char), F.lit("")))
     return {
-        "chars": F.char_length(t),
-        "bytes": F.octet_length(t),
-        "upper": squeezed(UPPER),
-        "digits": squeezed("0123456789"),
-        "spaces": squeezed(" \t"),
-        "lines": squeezed("\n"),
-        "stops": squeezed(".,"),
-        "marks": squeezed("!?;:'\"()"),
-        "symbols": squeezed("#$%&*+/<=>@[\\]^_`{|}~-"),
-        "bars": squeezed("|"),
-        "kinds": F.size(F.array_distinct(F.split(F.lower(t), r"[\s!-/:-@\[-`{-~]+"))),
-        "line_kinds": F.size(F.array_distinct(F.split(t, "\n"))),
+        "chars": F.char_length(text),
+        "bytes": F.octet_length(text),
+        **{k: of(v[0]) for k, v in (CLASSES | SINGLE).items()},
+        "kinds": F.size(F.array_distinct(F.split(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), " "))),
+        "line_kinds": F.size(F.array_distinct(F.split(text, "\n"))),
     }
 
 
@@ -78,9 +80,27 @@ STATISTICS = (
 )
 
 
+def _bound(rows: DataFrame, values: dict[str, Column]) -> tuple[DataFrame, str]:
+    """rows with the values as a struct under a name of its own. A generator works
+    them out once a row; a projection would be merged into what uses them."""
+    name = "stats"
+    while name in rows.columns:
+        name += "_"
+    return rows.select("*", F.explode(F.array(F.struct(*(v.alias(k) for k, v in values.items())))).alias(name)), name
+
+
+def with_statistics(documents: DataFrame) -> tuple[DataFrame, str]:
+    """documents and the name of a struct column of STATISTICS; each function of the
+    text runs once a document, however often rules use its result."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows, both = _bound(documents, {"text": text, "folded": classed(text)})
+    rows, own = _bound(rows, counts(F.col(f"{both}.text"), F.col(f"{both}.folded")))
+    return _bound(rows.drop(both), ratios(lambda name: F.col(f"{own}.{name}")))
+
+
 def statistics(documents: DataFrame, *keep: str) -> DataFrame:
-    counted = documents.select(*keep, *(v.alias(k) for k, v in counts(F.col("text")).items()))
-    return counted.select(*keep, *(v.alias(k) for k, v in ratios().items()))
+    rows, own = with_statistics(documents)
+    return rows.select(*keep, f"{own}.*")
 
 
 Rule = tuple[tuple[int, bool, float], ...]
@@ -133,8 +153,10 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", most_ro
     """Learns from labelled documents that are not held out."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("double")).alias("label"))
     chosen = materialize(known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows), "labelled")
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = materialize(statistics(rows, "doc_id", "label"), "statistics")
+    rows = statistics(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "doc_id", "label")
+    # one row an id, the least, however many rows repeat it
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(*STATISTICS)).alias("least")).select("doc_id", "label", "least.*")
+    rows = materialize(rows, "statistics")
     share = rows.agg(F.avg("label")).first()[0]
     if share is None:
         return RuleModel(0.0, [])
@@ -158,7 +180,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", most_ro
 def classify(documents: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     model = fit(documents, labels, label)
-    scored = statistics(documents, "doc_id").select("doc_id", held_out().alias("held_out"), model.score().alias("score"))
+    rows, own = with_statistics(documents.select("doc_id", "text"))
+    scored = rows.select("doc_id", held_out().alias("held_out"), model.score(lambda name: F.col(f"{own}.{name}")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -166,7 +189,5 @@ def keep_good(documents: DataFrame, labels: DataFrame, label: str = "quality") -
     """The rows of documents that score 0.5 or more, with all their columns and no
     others; scores are computed where the texts are read."""
     model = fit(documents, labels, label)
-    inner = lambda name: lambda k: F.col(f"{name}.{k}")
-    scored = documents.withColumn("__counts", F.struct(*(v.alias(k) for k, v in counts(F.col("text")).items())))
-    scored = scored.withColumn("__stats", F.struct(*(v.alias(k) for k, v in ratios(inner("__counts")).items())))
-    return scored.where(model.score(inner("__stats")) >= 0.5).select(*(F.col(f"`{c}`") for c in documents.columns))
+    rows, own = with_statistics(documents)
+    return rows.where(model.score(lambda name: F.col(f"{own}.{name}")) >= 0.5).select(*(F.col(f"`{c}`") for c in documents.columns))
