@@ -96,3 +96,47 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     found = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {x: find(x) for x in parent if any(x in ab and ab[0] != ab[1] for ab in links)}
+
+
+def thue_morse(n, a, b):
+    word = a
+    for _ in range(n):
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word
+
+
+def test_long_words_of_two_letters_differ(spark):
+    """Words on which polynomial hashes modulo a power of two agree for every base."""
+    rows = [(1, thue_morse(11, "a", "b")), (2, thue_morse(11, "b", "a")), (3, thue_morse(17, "a", "b") + " x"), (4, thue_morse(17, "b", "a") + " x")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, i) for i in range(1, 5)]
+
+
+def test_classes_with_one_handle_are_told_apart(spark):
+    from voxmill.llm.near_dedup import _told_apart
+
+    classes = spark.createDataFrame([(5, 1, "a"), (5, 2, "b"), (6, 1, "c")], "node long, check long, who string")
+    signed = spark.createDataFrame([(5, 1, "a"), (5, 2, "b"), (5, 2, "b"), (6, 1, "c")], "node long, check long, who string")
+    one, two = ([(r["node"], r["who"]) for r in rows.collect()] for rows in _told_apart(classes, signed))
+    assert len({n for n, _ in one}) == 3 and set(one) == set(two)
+    assert {n for n, w in one if w in "ac"} == {5, 6}
+    assert {r["name"] for r in _told_apart(classes, signed)[0].collect()} == {5, 6}
+
+
+def test_hot_ids(spark):
+    """One id, and the null one, on many rows of texts that share buckets."""
+    words = [f"w{i}" for i in range(50)]
+    rows = [(rng % 2 or None, " ".join(words[:40] + [f"x{rng // 40}"])) for rng in range(200)] + [(9, " ".join(words[:40] + ["x0"]))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert len(got) == 201 and {r["component_id"] for r in got} == {1}
+
+
+def test_one_very_long_text(spark):
+    rng = random.Random(2)
+    long = [f"v{rng.randrange(5000)}" for _ in range(400_000)]
+    near = list(long)
+    for i in range(0, len(near), 400):
+        near[i] = "changed"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[::-1]))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got[1] == (len(brute_set(rows[0][1], 4)), 1) and got[2][1] == 1 and got[3][1] == 3

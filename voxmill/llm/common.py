@@ -134,6 +134,29 @@ def cached_powers(name: str, n: int) -> np.ndarray:
     return have
 
 
+#: Pseudorandom odd factors of the first places in a word.
+PLACE_CODE = mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+
+
+def word_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
+    """64-bit hash of each word raw[start:end]; words ascend and lie apart. Every
+    place of a word has a factor of its own: powers of one base modulo 2**64 would
+    let long words of a few letters cancel (those of Thue and Morse do)."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    place, longest = np.zeros(len(raw), np.int32), int((end - start).max())
+    place[start] = start
+    np.maximum.accumulate(place, out=place)
+    np.subtract(np.arange(len(raw), dtype=np.int32), place, out=place)
+    if longest <= len(PLACE_CODE):
+        factor = PLACE_CODE.take(place, mode="clip")
+    else:
+        factor = mix64((place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(code[raw] * factor, out=total[1:])
+    return mix64(total[end] - total[start] + (end - start).astype(np.uint64))
+
+
 def prefix_hash(raw: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
     """h with h[j] - h[i] = sum of code[raw[t]] * BASE**t over i <= t < j."""
     h = np.zeros(len(raw) + 1, np.uint64)
@@ -142,5 +165,6 @@ def prefix_hash(raw: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
 
 
 def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of raw[start:end], the same wherever the bytes stand."""
+    """64-bit hash of raw[start:end], the same wherever the bytes stand. For spans of
+    some hundred bytes at most, which may overlap; longer ones need word_hash()."""
     return mix64((h[end] - h[start]) * cached_powers("down", len(h))[start] + (end - start).astype(np.uint64))

@@ -2,7 +2,7 @@
 
 1. Every text gets its set of distinct word shingles and a one-permutation MinHash
    with optimal densification; bands of it are bucket keys. Texts with the same
-   set are one class, so copies cost nothing further.
+   set (by 128 bits of hashes) are one class, so copies cost nothing further.
 2. In every bucket the least class is the centre of a star, and only edges from it
    are candidates: as many as members, not pairs. Full sets confirm them.
 3. Confirmed links give components. A bucket whose members other than its centre
@@ -37,12 +37,14 @@ WIDTH, SIMILARITY, BINS, ROWS, BANDS = 5, 80, 256, 6, 42
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 
 
-def _class_names(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set, as a long; the same for the same set."""
-    n = np.diff(bounds)
-    total = np.zeros(len(code) + 1, np.uint64)
-    np.cumsum(mix64(code + np.uint64(0x632BE59BD9B4E019)), out=total[1:])
-    return mix64((total[bounds[1:]] - total[bounds[:-1]]) ^ n.astype(np.uint64)).view(np.int64)
+def _class_names(code: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit names of each set, as longs; the same for the same set."""
+    n, names = np.diff(bounds).astype(np.uint64), []
+    for salt in (0x632BE59BD9B4E019, 0x9FB21C651E98DF25):
+        total = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(mix64(code + np.uint64(salt)), out=total[1:])
+        names.append(mix64((total[bounds[1:]] - total[bounds[:-1]]) ^ n).view(np.int64))
+    return names[0], names[1]
 
 
 def _sign(width: int):
@@ -54,7 +56,8 @@ def _sign(width: int):
                 keys = band_keys(signatures(code, bounds, BINS)[:, : ROWS * BANDS], ROWS).view(np.int64)
                 sizes = np.where(n > 0, BANDS, 0)
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(_class_names(code, bounds)), pa.array(n), bands], names=["doc_id", "node", "n", "bands"])
+                node, check = map(pa.array, _class_names(code, bounds))
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", "copy")), node, check, pa.array(n), bands], names=["doc_id", "copy", "node", "check", "n", "bands"])
 
     return sign
 
@@ -66,7 +69,8 @@ def _sets(width: int):
                 code, bounds = shingle_sets(piece.column("text"), width)
                 raw = pa.py_buffer(code.tobytes())
                 data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int64)), raw]).cast(pa.binary())
-                same = pa.array(_class_names(code, bounds) == np.asarray(piece.column("node")))
+                named = _class_names(code, bounds)
+                same = pa.array((named[0] == np.asarray(piece.column("name"))) & (named[1] == np.asarray(piece.column("check"))))
                 yield pa.RecordBatch.from_arrays([piece.column("node"), data], names=["node", "set"]).filter(same)
 
     return sets
@@ -148,20 +152,35 @@ def _blocks(n: str, shingles: str):
     return F.ceil(F.greatest(F.col(n) / BLOCK_SETS, F.col(shingles) / BLOCK_SHINGLES)).cast("int")
 
 
+def _told_apart(classes: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes are named by 128 bits, of which `node` (64) serves as their handle.
+    Where classes share a handle, it is hashed anew with the other half for all but
+    one of them; `name` is the old one."""
+    shared = classes.groupBy("node").agg(F.count("*").alias("m"), F.min("check").alias("least")).where("m > 1").select("node", "least")
+    classes, own = classes.withColumn("name", F.col("node")), F.coalesce(F.when(F.col("check") > F.col("least"), F.xxhash64("node", "check")), F.col("node"))
+    if shared.isEmpty():
+        return classes, signed
+    shared = materialize(shared, "shared")
+    renew = lambda rows: rows.join(shared, "node", "left").withColumn("node", own).drop("least")
+    return renew(classes), renew(signed)
+
+
 def near_duplicates(documents: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; kept rows are the one
     of each group with its least doc_id."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(docs.mapInArrow(_sign(width), "doc_id long, node long, n long, bands array<long>"), "signed")
-    classes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = materialize(classes, "classes")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("copy"))
+    signed = materialize(docs.mapInArrow(_sign(width), "doc_id long, copy long, node long, check long, n long, bands array<long>"), "signed")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "copy")).alias("one")
+    classes = signed.where("n > 0").groupBy("node", "check").agg(one, F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = materialize(classes.select("node", "check", "one.doc_id", "one.copy", "n", "bands"), "classes")
+    classes, signed = _told_apart(classes, signed)
 
     exploded = classes.select("node", "n", F.explode("bands").alias("key"))
     stars = exploded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
     members = materialize(exploded.join(stars.select("key", F.col("c.node").alias("center"), F.col("c.n").alias("center_n")), "key"), "members")
 
-    chosen = members.select("node").distinct().join(classes.select("node", "doc_id"), "node")
-    texts = docs.join(chosen.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own"))).select("node", "text")
+    chosen = members.select("node").distinct().join(classes.select("node", "name", "check", F.col("doc_id").alias("own"), F.col("copy").alias("own_copy")), "node")
+    texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("copy") == F.col("own_copy"))).select("node", "name", "check", "text")
     sets = texts.mapInArrow(_sets(width), "node long, set binary").dropDuplicates(["node"])
     sets = materialize(sets, "sets")
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import flat_ranges, materialize, partitions, prefix_hash, span_hash, text_slices, utf8_buffer
+from voxmill.llm.common import flat_ranges, materialize, partitions, text_slices, utf8_buffer, word_hash
 from voxmill.llm.shingles import FOLDED
 
 K1, B, TOP, BLOCK, SHARD_DOCS, SLICE = 1.2, 0.75, 10, 64, 5_000, 1 << 20
@@ -62,7 +62,7 @@ def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         edge = bounds[1:][bounds[1:] > 0] - 1
         stops[edge] = inside[edge]
     start, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    word = span_hash(prefix_hash(raw, FOLDED), start, end).view(np.int64)
+    word = word_hash(raw, start, end, FOLDED).view(np.int64)
     first = np.searchsorted(start, bounds)
     length = np.diff(first)
     owner = np.repeat(np.arange(len(length)), length)

@@ -6,7 +6,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from voxmill.llm.common import BYTE_CODE, UPPER, flat_ranges, mix64, prefix_hash, span_hash, utf8_buffer
+from voxmill.llm.common import BYTE_CODE, UPPER, flat_ranges, mix64, utf8_buffer, word_hash
 
 #: A-Z hash as a-z do.
 FOLDED = BYTE_CODE.copy()
@@ -34,7 +34,7 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     edge = bounds[1:][bounds[1:] > 0]
     stop[edge] |= solid[1:-1][edge - 1]
     end = np.flatnonzero(stop)
-    word = span_hash(prefix_hash(raw, FOLDED), start, end)
+    word = word_hash(raw, start, end, FOLDED)
     first = np.searchsorted(start, bounds)
     n = np.diff(first)
     count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
