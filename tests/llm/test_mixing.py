@@ -2,8 +2,12 @@
 
 import random
 import re
+from collections import Counter
 
-from voxmill.llm.mixing import mix
+import pytest
+from pyspark.sql import functions as F
+
+from voxmill.llm.mixing import mix, permuted, round_keys
 
 
 def targets(sizes):
@@ -74,3 +78,40 @@ def test_slots_and_pieces(spark):
     for r in slots:
         per_shard[r["shard"]] = per_shard.get(r["shard"], 0) + 1
     assert max(per_shard.values()) <= 50 + 9
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 16, 17, 257, 1000, 4099])
+def test_permutations(spark, n):
+    """One to one for every number of blocks, and another way each turn and seed."""
+    rows = spark.range(n).select("id", F.lit(n).cast("long").alias("n"), F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    found = rows.select("id", "turn", permuted(F.col("id"), F.col("n"), round_keys(F.lit("x"), 1), F.col("turn")).alias("to"), permuted(F.col("id"), F.col("n"), round_keys(F.lit("x"), 2), F.col("turn")).alias("other")).collect()
+    ways = [tuple(r[c] for r in sorted(found) if r["turn"] == t) for t in (0, 1) for c in ("to", "other")]
+    assert all(sorted(w) == list(range(n)) for w in ways)
+    if n >= 257:
+        assert len(set(ways)) == 4
+        for w in ways:  # neither the identity nor a shift of it
+            steps = Counter((b - a) % n for a, b in zip(w, w[1:]))
+            assert max(steps.values()) < n / 20
+
+
+def test_draws(spark):
+    """Shards hold sources in random numbers about their shares, never all the same."""
+    rows = [(i, "abc"[i % 3], "w " * 640) for i in range(900)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    slots = mix(frame, shard_slots=500)["slots"].collect()
+    shards = {}
+    for r in slots:
+        shards.setdefault(r["shard"], Counter())[r["source"]] += 1
+    assert sorted(shards) == list(range(18)) and all(sum(c.values()) == 500 for c in shards.values())
+    for source, share in zip("abc", (1 / 6, 2 / 6, 3 / 6)):
+        drawn = [c[source] for c in shards.values()]
+        deviation = (500 * share * (1 - share)) ** 0.5
+        assert abs(sum(drawn) - 9000 * share) <= 1
+        assert max(abs(d - 500 * share) for d in drawn) < 5 * deviation
+        assert 0.4 * deviation < (sum((d - 500 * share) ** 2 for d in drawn) / 18) ** 0.5 < 1.8 * deviation
+
+
+def test_hot_and_strided_ids(spark):
+    """Ids in strides, and null ones, fall into all chunks."""
+    rows = [(i * 1000, "s", "a b c") for i in range(4000)] + [(None, "s", f"x {i}") for i in range(4000)]
+    check(spark, rows)
