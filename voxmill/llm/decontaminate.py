@@ -64,8 +64,8 @@ def _bounded(windows: DataFrame, bound: int = BROADCAST_WINDOWS) -> bool:
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items (sorted item ids with windows in
-    it) and contaminated (hits are at least a HIT_SHARE-th of its words)."""
+    """Per document: doc_id, copy (the hash of its text), n_words, n_hit, items (ids with
+    windows in it) and contaminated (hits are at least a HIT_SHARE-th of its words)."""
     documents = documents.select("doc_id", "text")
     windows = materialize(item_windows(benchmark, size), "windows")
     windows = materialize(ranked_windows(documents, windows), "ranked")
@@ -96,7 +96,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda a, s: F.struct((a["n"] + F.greatest(s["end"] - F.greatest(s["start"], a["to"]), F.lit(0))).alias("n"), F.greatest(a["to"], s["end"]).alias("to")), lambda a: a["n"])
     return (
         found.groupBy("doc_id", "copy").agg(F.max("n").cast("long").alias("n_words"), spans.alias("spans"), F.array_distinct(F.flatten(F.collect_set("hit.items"))).alias("items"))
-        .select("doc_id", "n_words", covered.cast("long").alias("n_hit"), "items")
+        .select("doc_id", "copy", "n_words", covered.cast("long").alias("n_hit"), "items")
         .withColumn("contaminated", (F.col("n_hit") > 0) & (HIT_SHARE * F.col("n_hit") >= F.col("n_words")))
     )
 

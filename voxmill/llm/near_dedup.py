@@ -166,8 +166,8 @@ def _told_apart(classes: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataF
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row; kept rows are the one
-    of each group with its least doc_id."""
+    """(doc_id, copy, n_shingles, component_id, kept) of every row; kept rows are the one
+    of each group with its least doc_id. copy: the hash of its text, to find the row by."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("copy"))
     signed = materialize(docs.mapInArrow(_sign(width), "doc_id long, copy long, node long, check long, n long, bands array<long>"), "signed")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "copy")).alias("one")
@@ -214,9 +214,9 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, similarity: int =
     named = classes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "label").select("node", "component_id")
-    out = signed.select("doc_id", "node", "n").join(named, "node", "left")
+    out = signed.select("doc_id", "copy", "node", "n").join(named, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "copy", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 #: For four words; exact, by every shared shingle, and so for small tables alone.
