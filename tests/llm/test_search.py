@@ -74,3 +74,42 @@ def test_registered_query_takes_all_terms(spark, monkeypatch, tmp_path):
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert S.search(frame, S.sampled_queries(frame)).count() == 0
+
+
+def test_odd_ids(spark):
+    """Null document ids are hits and come first of equal scores; repeated ones are hits
+    of their own; a null query id is no query."""
+    rows = [(None, "red apple"), (None, "red apple"), (7, "red apple"), (7, "green apple"), (9, "blue"), (9, None)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, shard int")
+    asked = spark.createDataFrame([(1, "Red"), (None, "apple"), (2, ""), (3, "absent"), (4, "apple blue")], "query_id long, text string")
+    found = {}
+    for r in sorted(S.search(docs, asked, k=4).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert set(found) == {1, 4}
+    assert found[1] == [None, None, 7]
+    assert found[4][0] == 9 and found[4][1:] == [None, None, 7]
+
+
+def test_long_words_of_two_letters_are_terms_of_their_own(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word), (2, other)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, word)], "query_id long, text string")
+    assert [r["doc_id"] for r in S.search(docs, asked).collect()] == [1]
+
+
+def test_one_very_long_text(spark):
+    rng = random.Random(1)
+    long = " ".join(f"t{rng.randrange(30_000)}" for _ in range(300_000))
+    rows = [(1, long), (2, long[: len(long) // 2]), (3, "t5 t6"), (4, "none of it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(i, t) for i, t in rows if i != 2], "query_id long, text string")
+    want = brute(rows, {i: set(words(t)) for i, t in rows if i != 2}, 10, None)
+    found = {}
+    for r in sorted(S.search(docs, asked).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    for q, hits in want.items():
+        assert [h[0] for h in found[q]] == [h[0] for h in hits]
+        assert all(abs(a[1] - b[1]) < 1e-6 * max(1, b[1]) for a, b in zip(found[q], hits))

@@ -14,8 +14,12 @@ recovered turn differs from its source, it escapes the parts that differ, a
 backslash more behind the first character of each control string (and in roles
 also of backslashes and line feeds), until both are identical.
 
-Turns are formatted one by one, in tasks that stream rows sorted by conversation
-and turn; a conversation of any length needs memory for one turn at a time.
+Turns are formatted and parsed one by one, where their rows stand, so a conversation
+that holds a third of all turns is spread over all tasks. What is written names the
+code points of each piece that bear loss. Reading parses the written pieces, takes the
+text under that mask, and fails if it is not the text that the parser finds in an
+assistant turn. Only the digests of a conversation need its turns in order; one task
+streams them, with memory for a turn at a time.
 
 Rows: null text or role is empty; turns in the order of (turn, role, text), null
 first, which also settles ties; repeated rows are turns of their own; rows with a
@@ -28,10 +32,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import partitions
+from voxmill.llm.common import materialize, partitions
 
 MARKS = {False: ("[INST]", "[/INST]"), True: ("<s>", "</s>")}
 CONTROL = re.compile(r"([\[<])(\\*)(/?INST\]|/?s>)")
@@ -95,22 +100,38 @@ def render_turn(role: str, text: str) -> tuple[str, int, int]:
     raise ValueError("a turn did not survive its round trip")
 
 
-def _sorted(conversations: DataFrame) -> DataFrame:
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
-    return turns.repartition(partitions(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-
-
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [render_turn(r, t) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role", "text")), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.int32())], names=["conv_id", "turn", "role", "text", "piece", "text_start", "text_end"])
+        roles = batch.column("role").to_pylist()
+        made = [render_turn(r, t) for r, t in zip(roles, batch.column("text").to_pylist())]
+        bears = pa.array([r != LOSS_ROLE for r in roles], pa.bool_())
+        ends = [pc.if_else(bears, None, pa.array([m[k] for m in made], pa.int32())) for k in (1, 2)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn")), pa.array([m[0] for m in made], pa.string()), *ends], names=["conv_id", "turn", "piece", "loss_start", "loss_end"])
+
+
+FORMATTED = "conv_id long, turn long, piece string, loss_start int, loss_end int"
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, piece, text_start, text_end): a conversation's
-    pieces, one after another, are its formatted text; the loss mask of an
-    assistant turn covers text_start to text_end of its piece."""
-    return _sorted(conversations).mapInArrow(_format, "conv_id long, turn long, role string, text string, piece string, text_start int, text_end int")
+    """(conv_id, turn, piece, loss_start, loss_end): a conversation's pieces, in the order
+    of turn, role and text, are its formatted text; the loss mask of an assistant turn
+    covers loss_start to loss_end (code points of its piece), others have none."""
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
+    return turns.mapInArrow(_format, FORMATTED)
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Written pieces to (conv_id, turn, role, text, loss, size): one row for each turn,
+    loss being the text under the mask, unescaped, or null."""
+    for batch in batches:
+        rows = []
+        for conv, turn, piece, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "piece", "loss_start", "loss_end"))):
+            ((role, text, bears, start, end),) = parse(piece)
+            if (a, b) != ((start, end) if bears else (None, None)):
+                raise ValueError(f"the mask of a turn of conversation {conv} is not that of its text")
+            rows.append((conv, turn, role, text, None if a is None else unescape(piece[a:b]), len(piece)))
+        columns = list(zip(*rows)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()))], names=["conv_id", "turn", "role", "text", "loss", "size"])
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,18 +144,17 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         done = []
-        for conv, piece in zip(batch.column("conv_id").to_pylist(), batch.column("piece").to_pylist()):
+        for conv, role, text, loss, size in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "loss", "size"))):
             if not open_ or conv != state[0]:
                 if open_:
                     done.append(row(state))
                 open_, state = True, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            for role, text, loss, _, _ in parse(piece):
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
-                if loss:
-                    state[3] += len(text)
-                    state[4].update(text.encode())
-            state[5] += len(piece)
+            state[1] += 1
+            state[2].update(f"{role}\n{text}\n".encode())
+            if loss is not None:
+                state[3] += len(loss)
+                state[4].update(loss.encode())
+            state[5] += size
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=names)
     if open_:
@@ -142,9 +162,17 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of each conversation, from the pieces of format_turns() alone; the
-    rows must still stand as format_turns() left them."""
-    return formatted.select("conv_id", "piece").mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """Digests of each conversation, from the rows of format_turns() alone, read again
+    from files in any order."""
+    turns = formatted.mapInArrow(_parse, "conv_id long, turn long, role string, text string, loss string, size long")
+    dealt = turns.repartition(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def write_and_read(conversations: DataFrame) -> DataFrame:
+    """Formats conversations, writes them to files in the shared folder, and reads those
+    back."""
+    return read_back(materialize(format_turns(conversations), "chats"))
 
 
 def with_conflict(conversations: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.read_back(chat.format_turns(chat.with_conflict(table(spark, sf_dir, "conversations"))))
+    return chat.write_and_read(chat.with_conflict(table(spark, sf_dir, "conversations")))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("copy")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +58,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_chat_format, op7_mixing, op8_pii, op9_search, op10_quality,
     )
 }
-ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op6_chat_format": chat.ORACLE, "op7_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op6_chat_format": chat.ORACLE, "op7_mixing": mixing.ORACLE, "op9_search": search.ORACLE}

@@ -41,7 +41,7 @@ K1, B, TOP, BLOCK, SHARD_DOCS, SLICE = 1.2, 0.75, 10, 64, 5_000, 1 << 20
 #: Terms in more than a share of a shard's documents are common, up to a number; and
 #: queries, and terms of theirs, that are scored together.
 COMMON_SHARE, COMMON, QUERIES, QUERY_TERMS = 0.05, 1024, 128, 40_000
-#: Tasks that documents are dealt to; fixed, as each of them gets all queries.
+#: Tasks that documents are dealt to.
 PARTS = 24
 NULL_ID = -(2**63)
 IN_TERM = np.zeros(256, bool)
@@ -268,9 +268,10 @@ def _keys(spark, parts: int) -> list[int]:
     return sorted(found.values())
 
 
-def search(documents: DataFrame, queries: DataFrame, k: int = TOP, most_terms: int | None = None) -> DataFrame:
+def search(documents: DataFrame, queries: DataFrame, k: int = TOP, most_terms: int | None = None, parts: int = PARTS) -> DataFrame:
     """queries: (query_id long, text). (query_id, rank, doc_id, score) of the k best
-    rows of documents for each, with score above 0."""
+    rows of documents for each, with score above 0. parts: tasks that documents are
+    dealt to; each of them gets all queries, so few queries allow many."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     counted = materialize(docs.select("text").mapInArrow(_frequencies, "term long, df long, total long"), "frequencies")
@@ -288,7 +289,7 @@ def search(documents: DataFrame, queries: DataFrame, k: int = TOP, most_terms: i
     weighed = weighed.groupBy("query_id").agg(listed.alias("listed")).select(F.lit(0).alias("kind"), F.lit(0).alias("shard"), F.col("query_id").alias("id"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("length"), F.col("listed.term").alias("terms"), F.col("listed.df").alias("counts"))
     weighed = materialize(weighed, "queries")
 
-    parts = min(partitions(spark), PARTS)
+    parts = min(partitions(spark), parts)
     n_shards = max(1, -(-(n or 0) // (SHARD_DOCS * parts)))
     keys = F.array(*map(F.lit, _keys(spark, parts)))
     place = F.pmod(F.xxhash64("id"), F.lit(parts * n_shards))
@@ -305,3 +306,18 @@ def sampled_queries(documents: DataFrame, every: int = 50) -> DataFrame:
     """The rows whose id is divisible by `every`, as queries."""
     return documents.where(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), "text")
 
+
+
+#: Every term of every query; exact, by all postings, and so for small tables alone.
+ORACLE = rf"""
+WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS t FROM documents),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+l AS (SELECT doc_id, CAST(count(*) AS DOUBLE) AS len FROM w GROUP BY doc_id),
+a AS (SELECT greatest(1.0, sum(len) / any_value(n)) AS av FROM l, n),
+f AS (SELECT doc_id, t, CAST(count(*) AS DOUBLE) AS c FROM w GROUP BY ALL),
+d AS (SELECT t, CAST(count(*) AS DOUBLE) AS d FROM f GROUP BY t),
+s AS (SELECT q.doc_id AS query_id, f.doc_id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * c * {K1 + 1} / (c + {K1} * ({1 - B} + {B} * len / av))), 6) AS score
+  FROM f q JOIN d USING (t) JOIN (SELECT f.*, len FROM f JOIN l USING (doc_id)) f USING (t), n, a WHERE q.doc_id % 50 = 0 GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT query_id, rank, doc_id, score FROM r WHERE rank <= {TOP}
+"""
