@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from voxmill.llm.encoder import tokenizer_path
+from voxmill.llm import token_binary as token_binary_module
+from voxmill.llm.encoder import goes_by_runs, tokenizer_path
 from voxmill.llm.token_binary import dac_access, dac_decode, dac_encode, token_at, token_binary, write_tokens
 from voxmill.llm.token_counts import token_counts
 
@@ -80,3 +81,45 @@ def test_sections(spark, rule):
         for k in range(len(spans)):
             want.setdefault(k, [0, 0])
         assert {x["section"]: [x["n_tokens"], x["n_crossing"]] for x in rows if x["doc_id"] == r["doc_id"]} == want
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer(spark, name):
+    """One that keeps white space in its tokens gets documents as a whole."""
+    path = tokenizer_path(name)
+    assert goes_by_runs(path) == name.startswith("word")
+    tokenizer = Tokenizer.from_file(path)
+    want = [tokenizer.encode(t or "", add_special_tokens=False) for t in TEXTS]
+    rows = {r["doc_id"]: r for r in token_binary(frame(spark), path).collect()}
+    for i, e in enumerate(want):
+        assert rows[3 * i]["ids_crc32"] == zlib.crc32(np.array([*e.ids, 1], "<u4").tobytes())
+    whole = frame(spark).where("text is not null and text <> ''").selectExpr("doc_id", "text", "array(named_struct('start', 0, 'end', length(text))) AS sections")
+    counts = {}
+    for r in token_counts(whole, path).collect():
+        counts[r["doc_id"]] = counts.get(r["doc_id"], 0) + r["n_tokens"]
+    assert counts == {3 * i: len(e.ids) for i, e in enumerate(want) if TEXTS[i]}
+
+
+def test_null_and_repeated_ids(spark):
+    """Null ids come first, and rows of one id in the order of their texts."""
+    rows = [(5, "b c"), (None, "a"), (5, "a"), (None, None), (5, "a"), (2, "x y z"), (-7, "")]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, part int").repartition(3)
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    want, start = [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, token_binary(docs).collect()), key=lambda r: r[1]) == want
+
+
+def test_places_meet_segments_by_stretches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_binary_module, "SEGMENT_TOKENS", 5)
+    monkeypatch.setattr(token_binary_module, "ASKED", 3)
+    write_tokens(frame(spark), f"{tmp_path}/t", segment_tokens=11)
+    stream = [i for e in expected() for i in [*e.ids, 1]]
+    asked = spark.createDataFrame([(p,) for p in [0, 3, 3, len(stream) - 1, len(stream), -1, *range(4, len(stream), 7)]], "place long")
+    found = token_at(spark, f"{tmp_path}/t", asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert {r["place"]: r["token"] for r in found.collect()} == {p: stream[p] for p in {0, 3, len(stream) - 1, *range(4, len(stream), 7)}}

@@ -3,10 +3,13 @@
 The word tokenizer drops white space, lower-cases, and never lets a token or a
 normalization step reach across white space or from an ASCII letter or digit to
 ASCII punctuation. So a document's ids are those of its runs between such
-places, one after another, and each distinct run needs encoding only once."""
+places, one after another, and each distinct run needs encoding only once. That
+follows from the tokenizer's own description, which is compared with the rules of
+RULES; any other tokenizer gets every document as a whole."""
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -26,6 +29,32 @@ KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
 KIND[[32, *range(9, 14)]] = 3
 
 
+#: The description of a tokenizer that encodes run by run.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def goes_by_runs(path: str) -> bool:
+    """Whether a tokenizer's description is that of RULES, with whole words that end in
+    </w> and added tokens like <|this|> alone."""
+    with open(path) as file:
+        about = json.load(file)
+    model = about["model"]
+    return (
+        all(about.get(k) == v for k, v in RULES.items()) and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>"
+        and model.get("unk_token") is None and not model.get("dropout") and about.get("truncation") is None
+        and all(t["content"].startswith("<|") and t["content"].endswith("|>") for t in about.get("added_tokens", []))
+    )
+
+
 def run_starts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Where runs begin; a run's white space stands at its end."""
     kind = KIND[raw]
@@ -54,14 +83,16 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class RunEncoder:
-    """spans: also keep the code points that each token covers in its run."""
+class Encoder:
+    """Encodes whole documents, run by run where the tokenizer allows it. spans: also
+    keep the code points that each token covers."""
 
     def __init__(self, path: str, spans: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spans = Tokenizer.from_file(path), spans
+        self.by_runs = goes_by_runs(path)
         vocabulary = self.tokenizer.get_vocab()
         self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.word_end[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
@@ -110,6 +141,11 @@ class RunEncoder:
         """ids: of all texts; bounds: of each text's ids; with spans also lo and
         hi, each token's code points in its own text."""
         raw, bounds = utf8_buffer(texts)
+        if not self.by_runs:
+            ids, sizes, rel = self._encoded(pc.fill_null(texts.cast(pa.large_string()), "").to_pylist())
+            points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+            spans = {"lo": rel[:, 0], "hi": rel[:, 1], "points": points, "raw": raw, "text_bounds": bounds} if self.spans else {}
+            return {"ids": ids, "bounds": np.concatenate([[0], np.cumsum(sizes)]), **spans}
         if len(self.known) > REMEMBER or self.known.nbytes > CHARACTERS:
             self._forget()
         starts = run_starts(raw, bounds)

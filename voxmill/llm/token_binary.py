@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxmill.llm.common import partitions, shared_dir, text_slices
-from voxmill.llm.encoder import RunEncoder, tokenizer_path
+from voxmill.llm.encoder import Encoder, tokenizer_path
 
 END_ID, SEGMENT_TOKENS, BLOCK = 1, 1 << 20, 512
+#: Places of one segment that are looked up together.
+ASKED = 1 << 16
 SEGMENT = "part int, seg int, n_tokens long, doc_ids binary, doc_sizes binary, chunks array<binary>, more array<binary>, ranks array<binary>"
 
 
@@ -74,7 +76,7 @@ def dac_access(chunks: list[bytes], more: list[bytes], ranks: list[bytes], i: in
 
 def _segments(path: str, segment_tokens: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seg = RunEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seg = Encoder(path), TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         docs: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -153,18 +155,25 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
-    """(place long) to (place, token): the ids at places of the whole stream, each
-    found in its segment by rank queries."""
-    starts = segment_starts(spark, path)
-    sized = spark.read.schema(SEGMENT).parquet(path).join(starts, ["part", "seg"])
-    wanted = sized.join(places, (F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("n_tokens")))
+    """(place long) to (place, token): the ids at distinct places of the whole stream,
+    each found in its segment by rank queries. Places meet segments by equal stretches
+    of the stream; a segment is read once for each ASKED places wanted of it."""
+    starts = segment_starts(spark, path).join(spark.read.schema(SEGMENT).parquet(path).select("part", "seg", "n_tokens"), ["part", "seg"])
+    end = F.col("first") + F.col("n_tokens")
+    stretch = F.explode(F.sequence(F.expr(f"first div {SEGMENT_TOKENS}"), F.expr(f"(first + n_tokens - 1) div {SEGMENT_TOKENS}")))
+    spread = starts.withColumn("stretch", stretch)
+    asked = places.select(F.col("place").cast("long").alias("place")).where("place >= 0").distinct().withColumn("stretch", F.expr(f"place div {SEGMENT_TOKENS}"))
+    met = asked.join(spread, "stretch").where((F.col("place") >= F.col("first")) & (F.col("place") < end))
+    lists = met.groupBy("part", "seg", "first", F.expr(f"(place - first) div {ASKED}").alias("own")).agg(F.collect_list("place").alias("places"))
+    wanted = spark.read.schema(SEGMENT).parquet(path).select("part", "seg", "chunks", "more", "ranks").join(lists, ["part", "seg"])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_pydict({"place": pa.array([r["place"] for r in rows], pa.int64()), "token": pa.array([dac_access(r["chunks"], r["more"], r["ranks"], r["place"] - r["first"]) for r in rows], pa.int64())})
+            for row in batch.to_pylist():
+                found = [dac_access(row["chunks"], row["more"], row["ranks"], p - row["first"]) for p in row["places"]]
+                yield pa.RecordBatch.from_pydict({"place": pa.array(row["places"], pa.int64()), "token": pa.array(found, pa.int64())})
 
-    return wanted.select("place", "first", "chunks", "more", "ranks").mapInArrow(look_up, "place long, token long")
+    return wanted.select("first", "chunks", "more", "ranks", "places").mapInArrow(look_up, "place long, token long")
 
 
 def token_binary(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

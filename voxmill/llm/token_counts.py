@@ -1,6 +1,6 @@
 """Token counts by field or section of a document.
 
-A document is encoded once, as a whole. Each token's code points are then
+A document is encoded once, as a whole (encoder.py says how). Each token's code points are then
 interval-joined with the document's sections, in sorted arrays inside the batch,
 and the token goes to one section by an explicit rule:
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.llm.common import text_slices
-from voxmill.llm.encoder import RunEncoder, tokenizer_path
+from voxmill.llm.encoder import Encoder, tokenizer_path
 
 RULES = ("first", "last", "majority")
 RESULT = "doc_id long, section int, start int, end int, n_tokens long, n_crossing long"
@@ -79,7 +79,7 @@ def attribute(lo, hi, token_owner, owner, start, end, rule: str) -> tuple[np.nda
 
 def _count(path: str, rule: str, given: bool):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = RunEncoder(path, spans=True)
+        encoder = Encoder(path, spans=True)
         for batch in batches:
             for piece in text_slices(batch):
                 found = encoder.encode(piece.column("text"))
