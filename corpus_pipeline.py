@@ -8,43 +8,61 @@ from pyspark.sql import functions as F
 
 from voxmill.llm.common import materialize, table
 from voxmill.llm.decontaminate import decontaminate
-from voxmill.llm.mixing import mix
+from voxmill.llm.mixing import mix, times_taken
 from voxmill.llm.near_dedup import near_duplicates
 from voxmill.llm.quality import keep_good
 from voxmill.llm.token_binary import token_binary
 
 
+def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """docs without the rows of gone (doc_id, copy); copy is the hash of their text."""
+    gone = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).distinct(), name)
+    docs = docs.select(F.struct(*docs.columns).alias("d"), F.xxhash64("text").alias("own"))
+    return docs.join(gone, F.col("d.doc_id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_copy")), "left_anti").select("d.*")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject: a score of 0.5 or more. Null texts
+    are scored as empty ones; equal rows stay or go together; without labels, or with
+    good ones alone, all stay; an empty table stays empty."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five words, similarity 0.8). Rows
-    with one doc_id stay or go together; a null doc_id stays."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(materialize(gone, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate group (five words, similarity 0.8), that of the
+    least doc_id. Null and empty texts have no copies and stay. Rows of one doc_id are
+    told apart by their texts; those that are equal in both, or are in one group under
+    one doc_id, stay or go together. A null doc_id goes where its group has another one.
+    An empty table stays empty."""
+    found = near_duplicates(docs).withColumn("kept", F.col("kept") & (F.col("doc_id").isNotNull() | F.col("component_id").isNull()))
+    return _without(docs, found.where("not kept"), "copies")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows do not hold a twentieth of the words."""
-    gone = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(materialize(gone, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    """Documents of which benchmark windows do not hold a twentieth of the words. Null
+    and empty texts stay; rows are found by doc_id, null or not, and text, so equal rows
+    go together and others of their doc_id stay; without benchmark all stay; an empty
+    table stays empty."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("contaminated"), "contaminated")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: its words over their size, rounded
-    up or down by a fixed draw from their doc_id. None without words."""
-    draw = F.pmod(F.crc32(F.coalesce("doc_id", F.lit(0)).cast("string")), F.lit(9973)) / 9973
-    times = F.floor(F.try_divide(F.col("taken"), F.col("size")) + draw).cast("int")
-    taken = mix(docs)["documents"].select("doc_id", times.alias("__times")).where("__times > 0").groupBy("doc_id").agg(F.max("__times").alias("__times"))
-    taken = materialize(taken.withColumnRenamed("doc_id", "__id"), "taken")
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+    """Documents as often as the mix takes them: its words over their size, rounded so
+    that each source comes near its target and no document goes in more than 3 times.
+    Documents without words are not taken; a null source is a source; equal rows are
+    taken equally often; an empty table stays empty."""
+    times = times_taken(mix(docs)["rows"]).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("source").alias("_source"), F.col("times").cast("int").alias("_times"))
+    rows = docs.select(F.struct(*docs.columns).alias("d"), F.xxhash64("text").alias("own"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_copy")) & F.col("d.source").eqNullSafe(F.col("_source"))
+    taken = rows.join(materialize(times, "taken"), same)
+    return taken.select("d", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("d.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in files, read back: (doc_id, start, n_tokens, ids_crc32)."""
+    """Token ids in files, read back: (doc_id, start, n_tokens, ids_crc32). Null texts are
+    empty ones, which have their end id; null doc_ids come first, rows of one doc_id in
+    the order of their texts; an empty table gives no rows."""
     return token_binary(docs)
 
 
