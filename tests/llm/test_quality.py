@@ -1,11 +1,13 @@
 """The rule ensemble: accuracy on held-out rows, and its edges."""
 
+import math
 import random
+import re
 import zlib
 
 import pytest
 
-from voxmill.llm.quality import classify, fit, keep_good, tree_rules  # noqa: F401
+from voxmill.llm.quality import classify, fit, keep_good, statistics
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +54,46 @@ def test_edges(spark, data):
     assert classify(docs.limit(0), labels).count() == 0
     ones = labels.where("quality = 1")
     assert all(r["score"] > 0.9 for r in classify(docs.limit(5), ones).collect())
+
+
+def brute_statistics(text):
+    """The statistics of a text, one by one, in the order of STATISTICS."""
+    t = text or ""
+    n, size = len(t), len(t.encode())
+    of = lambda chars: sum(c in chars for c in t)
+    spaces, lines = of(" \t"), of("\n")
+    words = spaces + lines + 1
+    share = lambda a, b: a / b if b else 0.0
+    kinds = len(set(re.split(" ", t.lower().replace("\n", " "))))
+    return [
+        math.log1p(n), share(size - n, n), share(of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), n), share(of("0123456789"), n), share(spaces, n), share(lines, n), share(of(".,"), n),
+        share(of("!?;:'\"()"), n), share(of("#$%&*+/<=>@[\\]^_`{}~-"), n), share(of("|"), n), (n - spaces - lines) / words,
+        kinds / words if n else 0.0, len(set(t.split("\n"))) / (lines + 1) if n else 0.0,
+    ]
+
+
+def test_score_by_brute_force(spark, data):
+    docs, labels, _ = data
+    odd = ["é𝒳 ÀB\tc\n\nd | x!", " ", "\n", "a" * 30000 + " B", "ǅ İ \x0b", "{}[]~`^\\_- 12"]
+    extra = spark.createDataFrame([(5000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    every = docs.select("doc_id", "text").unionByName(extra)
+    texts = {r["doc_id"]: r["text"] for r in every.collect()}
+    for r in statistics(every, "doc_id").collect():
+        assert r[1:] == pytest.approx(tuple(brute_statistics(texts[r["doc_id"]])), abs=1e-12), texts[r["doc_id"]]
+    model = fit(docs, labels)
+    assert len(model.rules) >= 2
+    clash = every.selectExpr("*", "1 AS stats", "'x' AS stats_", "2 AS score")
+    for r in classify(every, labels).collect():
+        s = brute_statistics(texts[r["doc_id"]])
+        total = model.base + sum(w for rule, w in model.rules if all(s[i] <= at if most else s[i] > at for i, most, at in rule))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+    kept = keep_good(clash, labels)
+    assert kept.columns == clash.columns and {r["stats_"] for r in kept.collect()} == {"x"}
+
+
+def test_repeated_rows_count_once(spark, data):
+    """A thousand rows of one labelled id weigh as much as one."""
+    docs, labels, _ = data
+    one = docs.where("doc_id = 0").limit(1)
+    many = docs.unionByName(one.crossJoin(spark.range(1000).select()))
+    assert fit(many, labels).rules == fit(docs, labels).rules
