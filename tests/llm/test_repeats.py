@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from voxmill.llm import repeats
+from voxmill.llm import repeats, suffixes
 from voxmill.llm.repeats import remove_repeats
 from voxmill.llm.suffixes import DEPTH, suffix_order
 
@@ -24,7 +24,7 @@ def test_suffix_order(alphabet):
                 p[rng.randrange(len(p))] = rng.choice(b"abz\xff")
             parts.append(bytes(p) + b"\0")
         text = np.frombuffer(b"".join(parts), np.uint8)
-        order, common = suffix_order(text, held=rng.choice([3, 10, 10**6]))
+        order, common = map(np.concatenate, zip(*suffix_order(text, held=rng.choice([4, 10, 10**6]))))
         assert sorted(order.tolist()) == list(range(len(text)))
         raw = text.tobytes() + b"\0" * DEPTH
         keys = [raw[i : i + DEPTH] for i in order]
@@ -94,19 +94,53 @@ def test_group_beyond_the_bound(spark, bound):
     assert got == brute(rows)
 
 
-def test_no_shard_is_larger_than_the_bound(monkeypatch):
+def test_shard_far_larger_than_memory(monkeypatch, tmp_path):
+    """A text of 60,000 bytes in sorts and queues of 1,000 entries; all go to files."""
+    monkeypatch.setattr(suffixes, "STRETCH", 300)
+    held, files = [], []
+    monkeypatch.setattr(suffixes.Queues, "more", lambda self, n, more=suffixes.Queues.more: (more(self, n), held.append(self.used)))
+    monkeypatch.setattr(suffixes.Scratch, "write", lambda self, rows, write=suffixes.Scratch.write: files.append(len(rows)) or write(self, rows))
+    rng = random.Random(8)
+    words = [bytes(rng.choices(b"abcde", k=rng.randrange(1, 9))) for _ in range(40)]
+    passage = b" ".join(rng.choices(words, k=60))
+    raw = b"".join(b" ".join(rng.choices(words, k=20)) + passage[rng.randrange(99) :] + b"\0" for _ in range(150))[:60_000]
+    path = tmp_path / "text"
+    path.write_bytes(raw)
+    order, common = map(np.concatenate, zip(*suffix_order(np.memmap(path, np.uint8, "r"), held=1000)))
+    assert sorted(order.tolist()) == list(range(len(raw)))
+    padded = raw + b"\0" * DEPTH
+    keys = [padded[i : i + DEPTH] for i in order]
+    for a, b, n in zip(keys, keys[1:], common[1:]):
+        w = next((k for k in range(DEPTH) if a[k] != b[k]), DEPTH)
+        if 0 not in a[:w] and 0 not in b[:w]:
+            assert a <= b and n == w
+    assert max(held) <= 1000 + 300 and sum(files) > len(raw)
+
+
+def test_shards_take_whole_keys_until_full(monkeypatch):
     sizes = []
     monkeypatch.setattr(repeats, "suffix_order", lambda text: sizes.append(len(text)) or suffix_order(text))
-    monkeypatch.setattr(repeats, "SHARD_BYTES", 2000)
     piece = b"0123456789" * 5 + b"abcdefg"
-    rows = {"group": [1, 1] + [2] * 300 + [3, 3], "doc_id": [0, 1, *range(300), 0, 1], "name": [*range(304)], "first": [0] * 304, "bytes": [piece] * 304}
-    batch = repeats.pa.RecordBatch.from_pydict(rows)
-    out = [r for b in repeats._sort(50, repeats.SHARD_BYTES)([batch]) for r in b.to_pylist()]
-    assert max(sizes) <= 2000
-    # one of two goes in the small groups; of the large one every string is gone or a candidate
-    assert sum(r["name"] < 2 for r in out) == sum(r["name"] > 301 for r in out) == 8
-    assert sum(2 <= r["name"] < 302 for r in out) == 8 * 300
-    assert {bytes(r["bytes"]) for r in out if r["bytes"]} == {piece[i : i + 50] for i in range(8)}
+    rows = {"task": [1, 1] + [2] * 10 + [3] * 30 + [4, 4], "parted": [False] * 12 + [True] * 30 + [False] * 2, "doc_id": [0, 1, *range(10), *range(30), 0, 1], "name": [*range(44)], "first": [0] * 44, "bytes": [piece] * 44}
+    whole = repeats.pa.RecordBatch.from_pydict(rows)
+    for step in (5, 44):
+        sizes.clear()
+        out = [r for b in repeats._sort(50, 300)(iter([whole.slice(a, step) for a in range(0, 44, step)])) for r in b.to_pylist()]
+        assert sizes == [12 * 58, 30 * 58, 2 * 58]
+        assert sum(r["bytes"] is None for r in out) == 8 * (10 + 29 + 1)
+        # strings that stay are named where their group has other parts
+        assert sorted(r["string"] for r in out if r["bytes"]) == list(range(8))
+        assert {bytes(r["bytes"]) for r in out if r["bytes"]} == {piece[i : i + 50] for i in range(8)}
+
+
+def test_contexts_are_reduced_before_the_shuffle():
+    text = " ".join(f"{i * 7919 % 1000}" for i in range(60))
+    batch = repeats.pa.RecordBatch.from_pydict({"doc_id": [5, 3, None, 9], "text": [text, text, "", text]})
+    (out,) = [b.to_pydict() for b in repeats._anchors(50, 20)(iter([batch]))]
+    n = out["settled"].count(False)
+    assert n == len({(k, c) for k, c, s in zip(out["key"], out["name"], out["settled"]) if not s})
+    assert {d for d, s in zip(out["doc_id"], out["settled"]) if not s} == {3}
+    assert sorted(d for d, s in zip(out["doc_id"], out["settled"]) if s) == [5] * n + [9] * n
 
 
 def test_empty(spark):

@@ -58,4 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_chat_format, op7_mixing, op8_pii, op9_search, op10_quality,
     )
 }
-ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op6_chat_format": chat.ORACLE, "op7_mixing": mixing.ORACLE, "op9_search": search.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_decontamination": decontaminate.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op4_suffix_dedup": repeats.ORACLE,
+    "op6_chat_format": chat.ORACLE, "op7_mixing": mixing.ORACLE, "op9_search": search.ORACLE,
+}

@@ -4,22 +4,22 @@ A byte goes if a string of `size` bytes that covers it also starts in a document
 with a smaller doc_id. Strings are judged on the input, overlaps count, and none
 reaches across documents.
 
-1. Shards. Of every string its least k-byte word by hash (its anchor) is the same
+1. Contexts. Of every string its least k-byte word by hash (its anchor) is the same
    wherever the string stands. Consecutive strings with the same anchor form a
-   context. Contexts, as (hash of anchor, hash of context), are dealt by anchor,
-   and sorted by Spark. A context that also stands in a smaller document is settled
-   by that. One whose anchor stands in no other context has nothing to find.
-2. Sorting. Other contexts are cut so that the strings of a piece share all but a
-   few bytes, and dealt by the hash of those. Each shard of pieces is suffix-sorted
-   by induction with carried common prefixes (suffixes.py): strings that share 50
-   bytes stand side by side, and those that are not of the least document go.
-3. Removal. Settled contexts and found strings of each document meet its text.
-
-Shards hold whole groups of pieces that share their bytes, up to `SHARD_BYTES`. A
-larger group is streamed in several shards. In each, strings that also stand in a
-smaller document of the shard go; the others are candidates, written with their
-bytes, and go if the least document of their bytes over all shards, a second
-aggregation by Spark, is smaller. So no task holds more than a shard.
+   context, named by 128 bits. Contexts that are alike are reduced to the one of the
+   least document, in every batch before the shuffle and then by anchor: the strings
+   of all others stand there too. A context whose anchor stands in no other context
+   has nothing to find.
+2. Shards. Other contexts are cut so that the strings of a piece share all but a few
+   bytes, and grouped by the hash of those. Anchors of more contexts than make up
+   `shard_bytes` have their groups dealt to so many shards that each gets about as
+   much; a shard holds parts of such groups or whole smaller ones.
+3. Sorting. Each shard is suffix-sorted by external induction with carried common
+   prefixes (suffixes.py), in memory that does not grow with it: of the strings that
+   stand side by side and share 50 bytes, those not of the least document go. What is
+   left of a group in several shards is written with its bytes, and goes if the least
+   document of its bytes over all shards, an aggregation by Spark, is smaller.
+4. Removal. Contexts and strings that go meet their document's text.
 
 Rows: null text is empty; a null doc_id is smaller than all others; rows with the
 same doc_id do not remove each other's bytes, and each is a row of its own; other
@@ -28,17 +28,20 @@ columns are ignored; no rows give no rows."""
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.llm.common import flat_ranges, materialize, mix64, partitions, prefix_hash, span_hash, text_slices, utf8_buffer
 from voxmill.llm.suffixes import suffix_order
 
-SIZE, ANCHOR, STEP, SHARD_BYTES, PIECE = 50, 20, 8, 2 << 20, 1 << 20
+#: Bytes of a shard, of text whose contexts are reduced together, and of a slice of it.
+SIZE, ANCHOR, STEP, SHARD_BYTES, TOGETHER, PIECE = 50, 20, 8, 2 << 20, 16 << 20, 1 << 20
 NULL_ID = -(2**63)
 
 
@@ -81,27 +84,54 @@ def _batch(**columns) -> pa.RecordBatch:
 
 
 def _anchors(size: int, anchor: int):
+    """(key, name, doc_id, settled): contexts of the least document of a batch, and
+    without a key those of others, which are settled by it."""
+
+    def reduced(held: list[tuple]) -> pa.RecordBatch:
+        key, name, doc = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(name)
+        key, name, doc = key[order], name[order], doc[order]
+        first = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (key[1:] != key[:-1])))
+        least = np.minimum.reduceat(doc, first)
+        late = doc > np.repeat(least, np.diff(np.append(first, len(doc))))
+        settled = np.repeat([False, True], [len(first), late.sum()])
+        return _batch(key=np.concatenate([key[first], np.zeros(late.sum(), np.int64)]), name=np.concatenate([name[first], name[late]]), doc_id=np.concatenate([least, doc[late]]), settled=settled)
+
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in text_slices(batch, PIECE):
-                c = contexts(*utf8_buffer(piece.column("text")), size, anchor)
-                order = np.lexsort((c["name"], c["owner"]))
-                name, owner = c["name"][order], c["owner"][order]
-                new = np.ones(len(order), bool)
-                new[1:] = (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])
-                i = order[new]
-                yield _batch(key=c["key"][i], name=c["name"][i], doc_id=_ids(piece.column("doc_id"))[c["owner"][i]])
+            for part in text_slices(batch, TOGETHER):
+                held = []
+                for piece in text_slices(part, PIECE):
+                    c = contexts(*utf8_buffer(piece.column("text")), size, anchor)
+                    order = np.lexsort((c["name"], c["owner"]))
+                    name, owner = c["name"][order], c["owner"][order]
+                    new = np.ones(len(order), bool)
+                    new[1:] = (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])
+                    i = order[new]
+                    held.append((c["key"][i], c["name"][i], _ids(piece.column("doc_id"))[c["owner"][i]]))
+                if sum(len(h[0]) for h in held):
+                    yield reduced(held)
 
     return anchors
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, name, doc_id) to (doc_id, name, settled): contexts that
-    stand in a smaller document, and the first ones of a context whose key has others."""
+    """Rows sorted by (settled, key, name, doc_id) to (doc_id, name, key, settled):
+    contexts that stand in a smaller document, and with their key the first ones of a
+    context whose key has others."""
+
+    def marked(doc, name, key=None) -> pa.RecordBatch:
+        keys = pa.nulls(len(doc), pa.int64()) if key is None else pa.array(key)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(name), keys, pa.array(np.full(len(doc), key is None))], names=["doc_id", "name", "key", "settled"])
+
     key = name = doc = None  # the head of the last context
     alone = True
     for batch in batches:
         k, c, d = (np.asarray(batch.column(x)) for x in ("key", "name", "doc_id"))
+        done = np.asarray(batch.column("settled").to_numpy(zero_copy_only=False), bool)
+        if done.any():
+            yield marked(d[done], c[done])
+            k, c, d = k[~done], c[~done], d[~done]
         if not len(k):
             continue
         head = np.ones(len(k), bool)
@@ -111,7 +141,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = np.cumsum(head) - 1
         least = np.append(d[at], 0)[run] if doc is None else np.where(run >= 0, np.append(d[at], 0)[run], doc)
         yes = d > least
-        yield _batch(doc_id=d[yes], name=c[yes], settled=np.ones(yes.sum(), bool))
+        yield marked(d[yes], c[yes])
         if len(at):
             hk = k[at] if key is None else np.concatenate([[key], k[at]])
             hc = c[at] if key is None else np.concatenate([[name], c[at]])
@@ -119,10 +149,10 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             like = hk[1:] == hk[:-1]
             before = np.concatenate([[not alone], like])
             open_ = (before | np.append(like, False))[:-1]
-            yield _batch(doc_id=hd[:-1][open_], name=hc[:-1][open_], settled=np.zeros(open_.sum(), bool))
+            yield marked(hd[:-1][open_], hc[:-1][open_], hk[:-1][open_])
             key, name, doc, alone = hk[-1], hc[-1], hd[-1], not before[-1]
     if key is not None and not alone:
-        yield _batch(doc_id=np.array([doc]), name=np.array([name]), settled=np.zeros(1, bool))
+        yield marked(np.array([doc]), np.array([name]), np.array([key]))
 
 
 def _chosen(c: dict, piece: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -142,17 +172,22 @@ def _chosen(c: dict, piece: pa.RecordBatch, column: str) -> tuple[np.ndarray, np
 
 
 def _pieces(size: int, anchor: int):
-    """Cuts listed contexts by the distance of strings from their anchor."""
+    """Cuts listed contexts by the distance of strings from their anchor. Those whose
+    anchor has its groups in several shards go to one of them by their name and
+    document."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in text_slices(batch, PIECE):
                 raw, bounds = utf8_buffer(piece.column("text"))
                 c = contexts(raw, bounds, size, anchor)
-                use, _ = _chosen(c, piece, "names")
+                use, where = _chosen(c, piece, "names")
                 i = np.flatnonzero(use)
                 if not len(i):
                     continue
+                parts = np.asarray(piece.column("parts").flatten()).astype(np.uint64)[where[i]]
+                doc = _ids(piece.column("doc_id"))[c["owner"][i]]
+                salt = mix64(c["name"][i].view(np.uint64) + mix64(doc.view(np.uint64))) % parts
                 lo, hi, at = c["lo"][i], c["hi"][i], c["at"][i]
                 near, far = (at - hi) // STEP, (at - lo) // STEP
                 n = far - near + 1
@@ -163,66 +198,123 @@ def _pieces(size: int, anchor: int):
                 # bytes of all strings at such distances, wherever the context ends
                 left, right = at[j] - STEP * part, at[j] - STEP * part - STEP + 1 + size
                 group = span_hash(c["h"], np.maximum(left, 0), np.minimum(np.maximum(right, left), len(raw))) ^ mix64(part.astype(np.uint64))
+                task = mix64(mix64(group) + salt[j])
                 data = raw.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mix64(group).view(np.int64)), pa.array(_ids(piece.column("doc_id"))[c["owner"][i][j]]), pa.array(c["name"][i][j]), pa.array((a - lo[j]).astype(np.int32)), pa.array([data[x : y + size] for x, y in zip(a.tolist(), b.tolist())], pa.binary())],
-                    names=["group", "doc_id", "name", "first", "bytes"],
+                    [pa.array(task.view(np.int64)), pa.array(parts[j] > 1), pa.array(doc[j]), pa.array(c["name"][i][j]), pa.array((a - lo[j]).astype(np.int32)), pa.array([data[x : y + size] for x, y in zip(a.tolist(), b.tolist())], pa.binary())],
+                    names=["task", "parted", "doc_id", "name", "first", "bytes"],
                 )
 
     return pieces
 
 
+class Grown:
+    """Rows of a type that are appended to; a mapped scratch file beyond a bound."""
+
+    def __init__(self, dtype, bound: int):
+        self.dtype, self.bound, self.parts, self.n, self.file = np.dtype(dtype), bound, [], 0, None
+
+    def add(self, rows: np.ndarray) -> None:
+        self.parts.append(rows.astype(self.dtype, copy=False))
+        self.n += len(rows)
+        if self.file or self.n * self.dtype.itemsize > self.bound:
+            self.file = self.file or tempfile.TemporaryFile()
+            for part in self.parts:
+                self.file.write(part.tobytes())
+            self.parts = []
+
+    def array(self) -> np.ndarray:
+        if self.file is None:
+            return np.concatenate([*self.parts, np.zeros(0, self.dtype)])
+        self.file.flush()
+        return np.memmap(self.file, self.dtype, "r", shape=(self.n,))
+
+
+class Shard:
+    """Pieces as one text, each ended by byte 0, and what is known of each."""
+
+    def __init__(self, size: int, bound: int):
+        self.size, self.bound, self.bytes = size, bound, 0
+        self.text = Grown(np.uint8, bound)
+        self.about = {k: Grown(t, bound) for k, t in (("begin", np.int64), ("length", np.int32), ("doc", np.int64), ("name", np.int64), ("first", np.int32), ("parted", bool))}
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        data = batch.column("bytes").cast(pa.large_binary())
+        offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+        raw, length = np.frombuffer(data.buffers()[2], np.uint8), np.diff(offsets)
+        begin = np.cumsum(length + 1) - length - 1
+        text = np.zeros(int(length.sum()) + len(length), np.uint8)
+        text[flat_ranges(begin, length)] = raw[offsets[0] : offsets[-1]]
+        self.text.add(text)
+        rest = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("doc_id", "name", "first", "parted"))
+        for grown, rows in zip(self.about.values(), (begin + self.bytes, length, *rest)):
+            grown.add(rows)
+        self.bytes += len(text)
+
+    def strings(self) -> Iterator[pa.RecordBatch]:
+        """Strings that go; of parts of groups also those that stay, with their bytes."""
+        text, size = self.text.array(), self.size
+        begin, length, doc, name, first, parted = (g.array() for g in self.about.values())
+        run = 0
+        held = np.zeros((0, 3), np.int64)  # of the last run, those of its least document: owner, place, run
+        for order, common in suffix_order(text):
+            runs = run + np.cumsum(common < size)
+            owner = np.searchsorted(begin, order, "right") - 1
+            place = order - begin[owner]
+            whole = place <= length[owner] - size  # else no string starts here
+            rows = np.concatenate([held, np.stack([owner, place, runs], 1)[whole]])
+            run = int(runs[-1])
+            if not len(rows):
+                continue
+            d = doc[rows[:, 0]]
+            at = np.flatnonzero(np.append(True, rows[1:, 2] != rows[:-1, 2]))
+            least = np.repeat(np.minimum.reduceat(d, at), np.diff(np.append(at, len(rows))))
+            gone = d > least
+            hold = ~gone & (rows[:, 2] == run)
+            held = rows[hold]
+            yield self._out(rows[~hold], gone[~hold], text, doc, name, first, parted)
+        yield self._out(held, np.zeros(len(held), bool), text, doc, name, first, parted)
+
+    def _out(self, rows, gone, text, doc, name, first, parted) -> pa.RecordBatch:
+        use = gone | parted[rows[:, 0]]
+        rows, gone = rows[use], gone[use]
+        owner, place = rows[:, 0], rows[:, 1]
+        at = self.about["begin"].array()[owner[~gone]] + place[~gone]
+        strings = text[at[:, None] + np.arange(self.size)].tobytes()
+        offsets = np.cumsum(np.concatenate([[0], np.where(gone, 0, self.size)])).astype(np.int32)
+        held = pa.Array.from_buffers(pa.binary(), len(rows), [pa.array(~gone).buffers()[1], pa.py_buffer(offsets), pa.py_buffer(strings)])
+        return _batch(doc_id=doc[owner], name=name[owner], string=(place + first[owner]).astype(np.int32), bytes=held)
+
+
 def _sort(size: int, shard_bytes: int):
-    def shard(rows: list[tuple], part: bool) -> pa.RecordBatch:
-        """Strings that go; with part (of a group), also candidates, with their bytes."""
-        group, doc, name, first, data = zip(*rows)
-        text = np.frombuffer(b"\0".join(data) + b"\0", np.uint8)
-        length = np.fromiter(map(len, data), np.int64, len(data)) + 1
-        begin = np.cumsum(length) - length
-        order, common = suffix_order(text)
-        owner = np.searchsorted(begin, order, "right") - 1
-        place = order - begin[owner]
-        whole = place <= length[owner] - 1 - size  # else no string starts here
-        runs = np.cumsum(common < size) - 1
-        doc = np.array(doc)
-        least = np.full(runs[-1] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, runs[whole], doc[owner[whole]])
-        gone = whole & (doc[owner] > least[runs])
-        use = np.flatnonzero(whole if part else gone)
-        at = order[use[~gone[use]]]
-        strings = np.lib.stride_tricks.sliding_window_view(text, size)[at].tobytes()
-        offsets = np.cumsum(np.concatenate([[0], np.where(gone[use], 0, size)])).astype(np.int32)
-        held = pa.Array.from_buffers(pa.binary(), len(use), [pa.array(~gone[use]).buffers()[1], pa.py_buffer(offsets), pa.py_buffer(strings)])
-        return _batch(doc_id=doc[owner[use]], name=np.array(name)[owner[use]], string=(place[use] + np.array(first)[owner[use]]).astype(np.int32), bytes=held)
+    """Rows sorted by shard key (task); shards take whole keys until they are full."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        held, begun, before, group, part = 0, 0, 0, None, False  # before: bytes of whole groups
+        shard, task = Shard(size, shard_bytes), None
         for batch in batches:
-            for row in zip(*(batch.column(x).to_pylist() for x in ("group", "doc_id", "name", "first", "bytes"))):
-                if row[0] != group:
-                    if part:
-                        if rows:
-                            yield shard(rows, True)
-                        rows, held, part = [], 0, False
-                    elif len(rows) - begun < 2:  # a piece that nothing can match
-                        del rows[begun:]
-                        held = before
-                    begun, before, group = len(rows), held, row[0]
-                if rows and held + len(row[4]) + 1 > shard_bytes:
-                    if begun:
-                        yield shard(rows[:begun], False)
-                        del rows[:begun]
-                        held, begun, before = held - before, 0, 0
-                    if rows and held + len(row[4]) + 1 > shard_bytes:
-                        yield shard(rows, True)
-                        rows, held, part = [], 0, True
-                rows.append(row)
-                held += len(row[4]) + 1
-        if not part and len(rows) - begun < 2:
-            del rows[begun:]
-        if rows:
-            yield shard(rows, part)
+            tasks = np.asarray(batch.column("task"))
+            if not len(tasks):
+                continue
+            # nothing can match the only piece of a whole group; the last key may go on in the next batch
+            other = np.concatenate([[task is None or tasks[0] != task], tasks[1:] != tasks[:-1], [False]])
+            some = ~(other[:-1] & other[1:]) | batch.column("parted").to_numpy(zero_copy_only=False)
+            batch, tasks, fresh = batch.filter(pa.array(some)), tasks[some], other[:-1][some]
+            cuts = np.flatnonzero(fresh)
+            upto = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(batch.column("bytes"))) + 1)])
+            a = 0
+            while True:
+                # the first key that begins when the shard is full
+                full = cuts[np.searchsorted(upto[cuts], upto[a] + shard_bytes - shard.bytes) :] if shard.bytes < shard_bytes else cuts[cuts >= a]
+                b = int(full[0]) if len(full) else len(tasks)
+                if b > a:
+                    shard.add(batch.slice(a, b - a))
+                if not len(full):
+                    break
+                yield from shard.strings()
+                shard, a = Shard(size, shard_bytes), b
+            task = tasks[-1]
+        if shard.bytes:
+            yield from shard.strings()
 
     return sort
 
@@ -265,15 +357,23 @@ def remove_repeats(documents: DataFrame, size: int = SIZE, anchor: int = ANCHOR,
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every row."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = docs.mapInArrow(_anchors(size, anchor), "key long, name long, doc_id long")
-    dealt = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key", "name", "doc_id")
-    marks = materialize(dealt.mapInArrow(_settle, "doc_id long, name long, settled boolean"), "marks")
+    keyed = docs.mapInArrow(_anchors(size, anchor), "key long, name long, doc_id long, settled boolean")
+    # settled ones only pass through, wherever there is room
+    to = F.when(F.col("settled"), F.xxhash64("doc_id", "name")).otherwise(F.col("key"))
+    dealt = keyed.repartition(partitions(spark), to).sortWithinPartitions("settled", "key", "name", "doc_id")
+    marks = materialize(dealt.mapInArrow(_settle, "doc_id long, name long, key long, settled boolean"), "marks")
 
     whole = F.coalesce("doc_id", F.lit(NULL_ID))
     listed = lambda df, **columns: docs.withColumn("own", whole).join(df.groupBy(F.col("doc_id").alias("own")).agg(*(v.alias(k) for k, v in columns.items())), "own", "left")
-    open_ = marks.where("not settled").groupBy(F.col("doc_id").alias("own")).agg(F.collect_set("name").alias("names"))
-    cut = docs.withColumn("own", whole).join(open_, "own").select("doc_id", "text", "names").mapInArrow(_pieces(size, anchor), "group long, doc_id long, name long, first int, bytes binary")
-    dealt = cut.repartition(partitions(spark), "group").sortWithinPartitions("group")
+    first = marks.where("not settled")
+    # a context has one piece at most of each group, of some STEP bytes more than a string
+    parts = F.ceil(F.count("*") * (size + STEP) / shard_bytes)
+    crowded = first.groupBy("key").agg(parts.alias("parts")).where("parts > 1")
+    first = first.join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    pairs = F.collect_set(F.struct("name", "parts"))
+    open_ = first.groupBy(F.col("doc_id").alias("own")).agg(pairs.alias("p")).select("own", F.col("p.name").alias("names"), F.col("p.parts").alias("parts"))
+    cut = docs.withColumn("own", whole).join(open_, "own").select("doc_id", "text", "names", "parts").mapInArrow(_pieces(size, anchor), "task long, parted boolean, doc_id long, name long, first int, bytes binary")
+    dealt = cut.repartition(partitions(spark), "task").sortWithinPartitions("task")
     found = materialize(dealt.mapInArrow(_sort(size, shard_bytes), "doc_id long, name long, string int, bytes binary"), "strings")
     candidates = found.where("bytes is not null")
     later = candidates.join(candidates.groupBy("bytes").agg(F.min("doc_id").alias("least")), "bytes").where("doc_id > least")
@@ -285,3 +385,19 @@ def remove_repeats(documents: DataFrame, size: int = SIZE, anchor: int = ANCHOR,
     joined = listed(every, settled=F.collect_list("settled"), pairs=F.collect_list(pair))
     ready = joined.select("doc_id", "text", F.coalesce("settled", F.array().cast("array<long>")).alias("settled"), F.coalesce(F.col("pairs.name"), F.array().cast("array<long>")).alias("names"), F.coalesce(F.col("pairs.strings"), F.array().cast("array<array<int>>")).alias("strings"))
     return ready.mapInArrow(_remove(size, anchor), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+#: Strings in hexadecimal, of stretches of 512 places at a time.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+q AS (SELECT doc_id, j, h[2 * j + 1 : 2 * j + {2 * (512 + SIZE - 1)}] AS h FROM (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) // 2 - {SIZE - 1}), 512)) AS j FROM d)),
+s AS (SELECT doc_id, j + i AS i, h[2 * i + 1 : 2 * i + {2 * SIZE}] AS g FROM (SELECT doc_id, j, h, unnest(range(0, least(512, len(h) // 2 - {SIZE - 1}))) AS i FROM q)),
+m AS (SELECT g, min(doc_id) AS lo FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT DISTINCT doc_id, i FROM s JOIN m USING (g) WHERE doc_id > lo),
+b AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {SIZE} THEN 0 ELSE 1 END AS fresh FROM c)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + {SIZE} AS e FROM b GROUP BY doc_id, run),
+p AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f FROM r),
+k AS (SELECT doc_id, sum(e - a) AS n_removed, count(*) AS n_spans, max(e) AS e, string_agg(h[2 * f + 1 : 2 * a], '' ORDER BY a) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN e IS NULL THEN h ELSE kept || h[2 * e + 1 :] END)) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""

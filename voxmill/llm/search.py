@@ -316,8 +316,8 @@ l AS (SELECT doc_id, CAST(count(*) AS DOUBLE) AS len FROM w GROUP BY doc_id),
 a AS (SELECT greatest(1.0, sum(len) / any_value(n)) AS av FROM l, n),
 f AS (SELECT doc_id, t, CAST(count(*) AS DOUBLE) AS c FROM w GROUP BY ALL),
 d AS (SELECT t, CAST(count(*) AS DOUBLE) AS d FROM f GROUP BY t),
-s AS (SELECT q.doc_id AS query_id, f.doc_id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * c * {K1 + 1} / (c + {K1} * ({1 - B} + {B} * len / av))), 6) AS score
-  FROM f q JOIN d USING (t) JOIN (SELECT f.*, len FROM f JOIN l USING (doc_id)) f USING (t), n, a WHERE q.doc_id % 50 = 0 GROUP BY ALL),
+s AS (SELECT q.doc_id AS query_id, f.doc_id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f.c * {K1 + 1} / (f.c + {K1} * ({1 - B} + {B} * len / av))), 6) AS score
+  FROM f q JOIN d USING (t) JOIN (SELECT * FROM f JOIN l USING (doc_id)) f USING (t), n, a WHERE q.doc_id % 50 = 0 GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
 SELECT query_id, rank, doc_id, score FROM r WHERE rank <= {TOP}
 """

@@ -1,189 +1,505 @@
-"""Induced suffix sorting with carried common-prefix values, to a bounded depth.
+"""External induced suffix sorting, with carried common prefixes, to a bounded depth.
 
-Positions whose byte is less than the one before it, with runs counted by what
-follows them, begin the seeds (leftmost S suffixes). Only seeds are compared, by
-their first DEPTH bytes packed into words. All other suffixes are induced: a scan of
-the sorted ones pushes each one's predecessor into the queue of its first byte, first
-upwards for L suffixes and then downwards for S suffixes. Pushes reach a queue in
-their final order, so the priority queue is one FIFO per byte. An entry carries
-the length of the prefix that it shares with the entry before it: one more than the
-least such value scanned between the two that induced them. Queues beyond a bound
-of entries live in an unnamed scratch file, as a sort's runs do.
+1. Units. The text is cut where a byte is less than the one before it, and at most
+   WINDOW bytes after the last cut; what the WINDOW bytes from a cut on are says where
+   the next one is. A unit's name is the rank of those bytes.
+2. Recursion. The names, in the order of the text, are a shorter text; names of pairs
+   of its names cover twice as many units. So on, until all names differ or cover
+   DEPTH bytes. All sorts are external: sorted runs in a scratch file, merged.
+3. Induction. Of the units those begin seeds after which the text rises (leftmost
+   S suffixes). All other suffixes are induced from the order of the seeds: a scan of
+   the sorted ones inserts each one's predecessor into a priority queue by its first
+   byte, upwards for L suffixes and then downwards for S suffixes. Insertions with one
+   first byte come in their final order, so the priority queue is a FIFO for each byte.
+   A queue's entries are tuples of the suffix's place, the bytes before it (so the text
+   is not asked again), and the length of the prefix that it shares with the entry
+   before it: one more than the least such value scanned between the two that induced
+   them. Beyond a bound of entries held, queues live in a scratch file.
 
-Scans are done for a whole stretch of a queue at a time with numpy."""
+The text may be a mapped file. Everything else is streamed in stretches of bounded
+size: memory does not grow with the text."""
 
 from __future__ import annotations
 
 import tempfile
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 
-DEPTH, HELD = 56, 4_000_000
+from voxmill.llm.common import flat_ranges
+
+DEPTH, WINDOW = 56, 16
+#: Rows that a sort, or the queues of a direction, hold in memory; and that are scanned
+#: at a time.
+HELD, STRETCH = 2_000_000, 1 << 15
+_LOW, _COUNT = np.uint64((1 << 56) - 1), np.uint64(56)
+_8, _1, _255 = np.uint64(8), np.uint64(1), np.uint64(255)
+
+
+class Scratch:
+    """An unnamed file for rows of 64-bit words, made when it is first written to."""
+
+    def __init__(self):
+        self.file = None
+
+    def write(self, rows: np.ndarray) -> int:
+        self.file = self.file or tempfile.TemporaryFile()
+        at = self.file.seek(0, 2)
+        self.file.write(np.ascontiguousarray(rows).tobytes())
+        return at
+
+    def read(self, at: int, n: int, columns: int) -> np.ndarray:
+        self.file.seek(at)
+        return np.frombuffer(self.file.read(8 * n * columns), np.uint64).reshape(n, columns)
+
+
+def _order(rows: np.ndarray, keys: int, kind: str | None = None) -> np.ndarray:
+    order = np.argsort(rows[:, 0], kind=kind)
+    if keys == 1 or not len(rows):
+        return order
+    # equal first keys stand together; only those need the second one
+    first, second = rows[order, 0], rows[order, 1]
+    same = first[1:] == first[:-1]
+    tied = np.flatnonzero(np.append(False, same) | np.append(same, False))
+    group = np.cumsum(np.append(True, ~same))[tied]
+    order[tied] = order[tied][np.lexsort((second[tied], group))]
+    return order
+
+
+class Sorter:
+    """Rows of unsigned words, sorted by their first columns in bounded memory."""
+
+    def __init__(self, columns: int, keys: int, held: int):
+        self.columns, self.keys, self.room = columns, keys, max(2, held)
+        self.parts: list[np.ndarray] = []
+        self.n, self.runs, self.scratch = 0, [], Scratch()
+
+    def _sorted(self) -> np.ndarray:
+        rows = np.concatenate([*self.parts, np.zeros((0, self.columns), np.uint64)])
+        self.parts, self.n = [], 0
+        return rows[_order(rows, self.keys)]
+
+    def add(self, rows: np.ndarray) -> None:
+        self.parts.append(rows)
+        self.n += len(rows)
+        if self.n > self.room:
+            n = self.n
+            self.runs.append((self.scratch.write(self._sorted()), n))
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        last = self._sorted()
+        if not self.runs:
+            for a in range(0, len(last), STRETCH):
+                yield last[a : a + STRETCH]
+            return
+        if len(last):
+            self.runs.append((self.scratch.write(last), len(last)))
+        del last
+        step = max(1, self.room // len(self.runs))
+        taken = [0] * len(self.runs)
+        heads = [np.zeros((0, self.columns), np.uint64)] * len(self.runs)
+        while True:
+            for i, (at, n) in enumerate(self.runs):
+                if not len(heads[i]) and taken[i] < n:
+                    m = min(step, n - taken[i])
+                    heads[i] = self.scratch.read(at + 8 * self.columns * taken[i], m, self.columns)
+                    taken[i] += m
+            rows = np.concatenate(heads)
+            if not len(rows):
+                return
+            run = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+            order = _order(rows, self.keys, "stable")  # so that heads are used from their starts
+            # what comes after the end of a head may come after what its run still has
+            ends = np.cumsum([len(h) for h in heads]) - 1
+            open_ = [e for e, h, t, (_, n) in zip(ends.tolist(), heads, taken, self.runs) if len(h) and t < n]
+            upto = len(order)
+            if open_:
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                upto = int(place[open_].min()) + 1
+            used = np.bincount(run[order[:upto]], minlength=len(heads))
+            heads = [h[u:] for h, u in zip(heads, used.tolist())]
+            yield rows[order[:upto]]
+
+
+class Queues:
+    """FIFOs of tuples (place << 8 | common prefix, bytes before) that share memory."""
+
+    def __init__(self, n: int, held: int):
+        self.room, self.used, self.scratch = held, 0, Scratch()
+        self.each = [Queue(self) for _ in range(n)]
+
+    def more(self, n: int) -> None:
+        self.used += n
+        if self.used > self.room:
+            for queue in sorted(self.each, key=lambda q: -q.held):
+                if self.used <= self.room // 2:
+                    break
+                queue.spill()
 
 
 class Queue:
-    """First in, first out, for pairs (position, common prefix)."""
-
-    def __init__(self, held: int = HELD):
-        self.parts: list[np.ndarray | tuple[int, int]] = []
-        self.held, self.room, self.file = 0, held, None
-
-    def push(self, place: np.ndarray, common: np.ndarray) -> None:
-        part = np.stack([place, common]).astype(np.int64)
-        if self.held + part.shape[1] > self.room:
-            if self.file is None:
-                self.file = tempfile.TemporaryFile()
-            self.parts.append((self.file.seek(0, 2), part.shape[1]))
-            self.file.write(part.tobytes())
-        else:
-            self.held += part.shape[1]
-            self.parts.append(part)
-
-    def gather(self, i: int) -> np.ndarray:
-        """Part i, joined with the ones behind it that are also in memory."""
-        j = i
-        while j < len(self.parts) and not isinstance(self.parts[j], tuple):
-            j += 1
-        if j > i + 1:
-            self.parts[i:j] = [np.concatenate(self.parts[i:j], axis=1)]
-        return self.read(i)
-
-    def read(self, i: int) -> np.ndarray:
-        part = self.parts[i]
-        if isinstance(part, tuple):
-            self.file.seek(part[0])
-            part = np.frombuffer(self.file.read(16 * part[1]), np.int64).reshape(2, -1)
-        return part
-
-    def backwards(self) -> Iterator[np.ndarray]:
-        """Stretches from the end, each entry with its value shared with the one
-        after it; the last entry of all has none and gets 0."""
+    def __init__(self, all_: Queues):
+        self.all, self.size, self.held = all_, 0, 0
+        self.starts: list[int] = []
+        self.parts: list[np.ndarray | int] = []  # in memory, or where in the file
+
+    def push(self, rows: np.ndarray) -> None:
+        self.starts.append(self.size), self.parts.append(rows)
+        self.size += len(rows)
+        self.held += len(rows)
+        self.all.more(len(rows))
+
+    def spill(self) -> None:
+        starts, parts, i = [], [], 0
+        while i < len(self.parts):
+            starts.append(self.starts[i])
+            if isinstance(self.parts[i], int):
+                parts.append(self.parts[i])
+                i += 1
+                continue
+            j = i
+            while j < len(self.parts) and not isinstance(self.parts[j], int):
+                j += 1
+            parts.append(self.all.scratch.write(np.concatenate(self.parts[i:j])))
+            i = j
+        self.starts, self.parts = starts, parts
+        self.all.used -= self.held
+        self.held = 0
+
+    def read(self, a: int, b: int) -> np.ndarray:
+        out, i = [], bisect_right(self.starts, a) - 1
+        while a < b:
+            end = min(b, self.starts[i + 1] if i + 1 < len(self.starts) else self.size)
+            part, skip = self.parts[i], a - self.starts[i]
+            out.append(self.all.scratch.read(part + 16 * skip, end - a, 2) if isinstance(part, int) else part[skip : skip + end - a])
+            a, i = end, i + 1
+        return out[0] if len(out) == 1 else np.concatenate(out)
+
+    def upwards(self) -> Iterator[np.ndarray]:
+        """All rows, those too that are pushed meanwhile."""
+        a = 0
+        while a < self.size:
+            b = min(self.size, a + STRETCH)
+            yield self.read(a, b)
+            a = b
+
+    def downwards(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows from the end, and the common prefix of each with the one after it; for
+        the last one of all, 0."""
         after = 0
-        for i in range(len(self.parts) - 1, -1, -1):
-            place, common = self.read(i)
-            yield np.stack([place[::-1], np.concatenate([[after], common[:0:-1]])])
-            after = common[0]
+        for b in range(self.size, 0, -STRETCH):
+            rows = self.read(max(0, b - STRETCH), b)
+            common = (rows[:, 0] & _255).astype(np.int64)
+            yield rows[::-1], np.concatenate([[after], common[:0:-1]])
+            after = int(common[0])
 
 
-def packed(text: np.ndarray, at: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """Rows of big-endian words that hold `depth` bytes from each place."""
-    wide = np.concatenate([text, np.zeros(depth, np.uint8)])
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(wide, depth)[at]).view(">u8").astype(np.uint64)
+def _words(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Rows of big-endian words that hold the 8 * n bytes from each place on, 0 beyond
+    the end."""
+    where = at[:, None] + np.arange(8 * n)
+    held = np.where(where < len(text), text[np.minimum(where, len(text) - 1)], 0).astype(np.uint8)
+    return held.view(">u8").astype(np.uint64)
 
 
-def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bytes that packed rows have in common at their start."""
-    differs = (a != b).any(axis=1)
-    word = np.argmax(a != b, axis=1)
-    x = a[np.arange(len(a)), word] ^ b[np.arange(len(a)), word]
-    zero = np.zeros(len(a), np.int64)
+def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes, up to DEPTH, that the suffixes at a and b share."""
+    x = _words(text, a, DEPTH // 8) ^ _words(text, b, DEPTH // 8)
+    word = np.argmax(x != 0, axis=1)
+    first = x[np.arange(len(x)), word]
+    zero = np.zeros(len(x), np.int64)
     for shift in range(8, 64, 8):
-        zero += x < (np.uint64(1) << np.uint64(shift))
-    return np.where(differs, 8 * word + zero, a.shape[1] * 8)
-
-
-def _push(queues, least, common, target, place) -> None:
-    """Pushes place[i] to the queue of byte target[i] (none where below 0), in order.
-    least[c]: the least common prefix scanned since the last push to c."""
-    order = np.argsort(target, kind="stable")
-    chars, first = np.unique(target[order], return_index=True)
-    bounds = [*first.tolist(), len(order)]
-    pushed = set()
-    for c, a, b in zip(chars.tolist(), bounds, bounds[1:]):
-        if c < 0:
+        zero += first < (_1 << np.uint64(shift))
+    return np.where(first != 0, 8 * word + zero, DEPTH)
+
+
+def units(text: np.ndarray) -> Iterator[np.ndarray]:
+    """(two words, unit number, place << 2 | begins a seed) of each unit, in order."""
+    n, count = len(text), 0
+    cut = 0  # the last cut
+    pending: tuple[int, bool] | None = (0, False)  # a cut after which the text has not changed yet
+    for a in range(0, n, STRETCH):
+        b = min(n, a + STRETCH)
+        x = np.asarray(text[max(0, a - 1) : b]).astype(np.int16)
+        step = np.diff(x)
+        change = np.flatnonzero(step)
+        falls = step[change] < 0
+        at = change + max(0, a - 1) + 1
+        # a fall begins a seed if the next change is a rise
+        seed = falls & np.append(~falls[1:], False)
+        place, flag = at[falls], seed[falls]
+        if pending is not None and len(at):
+            place, flag = np.append(pending[0], place), np.append(pending[1] and not falls[0], flag)
+            pending = None
+        if len(at) and falls[-1]:
+            place, flag, pending = place[:-1], flag[:-1], (int(place[-1]), True)
+        if not len(place):
+            continue
+        # and cuts every WINDOW bytes between two
+        ends = np.append(place[1:], place[-1])
+        extra = np.maximum(0, (ends - place - 1) // WINDOW)
+        gap = max(0, (int(place[0]) - cut - 1) // WINDOW) if count else 0
+        first = cut + WINDOW * np.arange(1, gap + 1)
+        more = np.repeat(place, extra) + WINDOW * (flat_ranges(np.zeros(len(extra), np.int64), extra) + 1)
+        where = np.concatenate([first, place, more])
+        flags = np.concatenate([np.zeros(gap, bool), flag, np.zeros(len(more), bool)])
+        order = np.argsort(where, kind="stable")
+        where, flags, cut = where[order], flags[order], int(place[-1])
+        yield _unit_rows(text, where, flags, count)
+        count += len(where)
+    last = [] if pending is None else [pending[0]]
+    begin = cut if count else 0
+    if last and count:
+        last = [*range(begin + WINDOW, pending[0], WINDOW), *last]
+        begin = pending[0]
+    where = np.array([*last, *range(begin + WINDOW, n, WINDOW)], np.int64)
+    if len(where):
+        yield _unit_rows(text, where, np.zeros(len(where), bool), count)
+
+
+def _unit_rows(text, where: np.ndarray, flags: np.ndarray, count: int) -> np.ndarray:
+    number = np.arange(count, count + len(where))
+    return np.concatenate([_words(text, where, 2), np.stack([number, where << 2 | flags], 1).astype(np.uint64)], 1)
+
+
+def _named(rows: Sorter, held: int) -> tuple[Sorter, bool]:
+    """Sorted rows (two keys, unit number, place) to (unit number, name, place) by unit
+    number; names are ranks, marked in the place where no other unit has them."""
+    out, name, last, single = Sorter(3, 1, held), 0, None, True
+    hold = np.zeros((0, 4), np.uint64)  # the last row waits for the one after it
+    for part in _with_end(rows):
+        x = hold if part is None else np.concatenate([hold, part])
+        if not len(x):
+            continue
+        new = np.append(last is None or bool((x[0, :2] != last).any()), (x[1:, :2] != x[:-1, :2]).any(1))
+        names = name + np.cumsum(new)
+        whole = len(x) if part is None else len(x) - 1
+        alone = new[:whole] & np.append(new[1:], True)[:whole]
+        single = single and bool(alone.all())
+        place = (x[:whole, 3] & ~np.uint64(2)) | (alone.astype(np.uint64) << _1)
+        out.add(np.stack([x[:whole, 2], names[:whole].astype(np.uint64), place], 1))
+        if whole:
+            name, last = int(names[whole - 1]), x[whole - 1, :2]
+        hold = x[whole:]
+    return out, single
+
+
+def _with_end(parts):
+    yield from parts
+    yield None
+
+
+def _with_later(parts, shift: int, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Stretches of rows, each beside the rows `shift` further on."""
+    hold = None
+    for part in parts:
+        hold = part if hold is None else np.concatenate([hold, part])
+        if len(hold) > shift:
+            yield hold[:-shift], hold[shift:]
+            hold = hold[-shift:]
+    if hold is not None and len(hold):
+        later = np.concatenate([hold[shift:], np.repeat(end[None], min(shift, len(hold)), 0)])
+        yield hold, later
+
+
+def _ranks(order: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order, new where they differ from the one before: the number, by row,
+    of the first one equal to it (from 1), and whether no other is."""
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(new)))
+    ranks, single = np.empty(len(order), np.uint64), np.empty(len(order), bool)
+    ranks[order] = np.repeat(at + 1, size).astype(np.uint64)
+    single[order] = np.repeat(size == 1, size)
+    return ranks, single
+
+
+def _seeds_in_memory(rows: np.ndarray, n: int) -> np.ndarray:
+    """seeds() of as many units as a sort may hold; later rounds sort only the units
+    whose names others have too, and which cover less than DEPTH bytes."""
+    place = (rows[:, 3] >> np.uint64(2)).astype(np.int64)
+    order = _order(rows, 2)
+    ordered = rows[order, :2]
+    names, single = _ranks(order, np.append(True, (ordered[1:] != ordered[:-1]).any(1)))
+    span, todo = 1, np.flatnonzero(~single)
+    while len(todo):
+        later = np.append(names, np.zeros(span, np.uint64))[todo + span]
+        ends = np.append(place, np.full(span, n))[todo + span]
+        if not ((ends - place[todo] < DEPTH) & (later > 0)).any():
+            break
+        key = names[todo] << np.uint64(32) | later
+        order = np.argsort(key)
+        ordered = key[order]
+        fresh, alone = _ranks(order, np.append(True, ordered[1:] != ordered[:-1]))
+        # rows of one old name stand together, from the place that it names
+        base = np.searchsorted(ordered, names[todo] << np.uint64(32))
+        names[todo] += fresh - np.uint64(1) - base.astype(np.uint64)
+        todo, span = todo[~alone], 2 * span
+    first = np.flatnonzero(rows[:, 3] & _1 == _1)
+    return place[first[np.argsort(names[first], kind="stable")]]
+
+
+def seeds(text: np.ndarray, held: int = HELD) -> Iterator[np.ndarray]:
+    """Places of the seeds, in the order of the first DEPTH bytes from there on."""
+    parts, n, rows = [], 0, None
+    for part in units(text):
+        n += len(part)
+        if rows is None and n <= held:
+            parts.append(part)
             continue
-        at = order[a:b]
-        value = np.zeros(len(at), np.int64)
-        value[0] = min(least[c], common[: at[0] + 1].min()) + 1 if queues[c].parts else 0
-        if len(at) > 1:
-            spans = np.stack([at[:-1] + 1, at[1:] + 1], 1).ravel()
-            value[1:] = np.minimum.reduceat(np.append(common, DEPTH), spans)[::2] + 1
-        queues[c].push(place[at], np.minimum(value, DEPTH))
-        least[c] = common[at[-1] + 1 :].min(initial=DEPTH)
-        pushed.add(c)
-    tail = common.min()
-    for c in range(len(least)):
-        if c not in pushed:
-            least[c] = min(least[c], tail)
-
-
-def suffix_order(text: np.ndarray, held: int = HELD) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of text in the order of their first DEPTH bytes, and the bytes, up to
-    DEPTH, that each shares with the one before it. text ends with byte 0."""
+        rows = rows or Sorter(4, 2, held)
+        for x in [*parts, part]:
+            rows.add(x)
+        parts = []
+    if rows is None:
+        found = _seeds_in_memory(np.concatenate(parts), len(text))
+        yield from (found[a : a + STRETCH] for a in range(0, len(found), STRETCH))
+        return
+    span = 1
+    while True:
+        named, single = _named(rows, held)
+        end = np.array([0, 0, len(text) << 2], np.uint64)
+        again, short, kept = Sorter(4, 2, held), False, Sorter(2, 1, held)
+        for row, later in _with_later(named, span, end):
+            if not single:
+                # the bytes that a name covers: up to the last of its units, and that one's window
+                covered = (later[:, 2] >> np.uint64(2)).astype(np.int64) - (row[:, 2] >> np.uint64(2)).astype(np.int64)
+                short = short or bool(((covered < DEPTH) & (row[:, 2] & np.uint64(2) == 0) & (later[:, 1] > 0)).any())
+                again.add(np.stack([row[:, 1], later[:, 1], row[:, 0], row[:, 2]], 1))
+            first = row[:, 2] & _1 == _1
+            kept.add(np.stack([row[first, 1], row[first, 2] >> np.uint64(2)], 1))
+        if single or not short:
+            break
+        rows, span = again, 2 * span
+    for part in kept:
+        yield from (part[a : a + STRETCH, 1].astype(np.int64) for a in range(0, len(part), STRETCH))
+
+
+def _before(text: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The seven bytes before each place, the nearest lowest, and above them how many
+    there are."""
+    out = np.minimum(place, 7).astype(np.uint64) << _COUNT
+    for k in range(7):
+        out |= text[np.maximum(place - 1 - k, 0)].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def _scan(text, rows: np.ndarray, common: np.ndarray, wanted, queues: Queues, least: np.ndarray) -> None:
+    """Pushes the predecessors of rows, in order, where wanted(byte before). least[c]:
+    the least common prefix scanned since the last push to c."""
+    place, before = (rows[:, 0] >> _8).astype(np.int64), rows[:, 1]
+    spent = np.flatnonzero((before >> _COUNT == 0) & (place > 0))
+    if len(spent):
+        before = before.copy()
+        before[spent] = _before(text, place[spent])
+    byte = (before & _255).astype(np.int64)
+    use = np.flatnonzero((place > 0) & wanted(byte))
+    if not len(use):
+        np.minimum(least, common.min(), out=least)
+        return
+    order = use[np.argsort(byte[use], kind="stable")]
+    to = byte[order]
+    first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+    ends = np.append(first[1:], len(order))
+    past = np.minimum.accumulate(common)
+    to_come = np.append(np.minimum.accumulate(common[::-1])[::-1], DEPTH)
+    value = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        spans = np.stack([order[:-1] + 1, order[1:] + 1], 1).ravel()
+        value[1:] = np.minimum.reduceat(np.append(common, DEPTH), np.minimum(spans, len(common)))[::2] + 1
+    chars = to[first]
+    fresh = np.array([queues.each[c].size == 0 for c in chars.tolist()])
+    value[first] = np.where(fresh, 0, np.minimum(least[chars], past[order[first]]) + 1)
+    np.minimum(least, past[-1], out=least)
+    least[chars] = to_come[order[ends - 1] + 1]
+    entries = np.empty((len(order), 2), np.uint64)
+    entries[:, 0] = (place[order] - 1).astype(np.uint64) << _8 | np.minimum(value, DEPTH).astype(np.uint64)
+    held = before[order]
+    entries[:, 1] = (held & _LOW) >> _8 | ((held >> _COUNT) - _1) << _COUNT
+    for c, a, b in zip(chars.tolist(), first.tolist(), ends.tolist()):
+        queues.each[c].push(entries[a:b].copy())
+
+
+def suffix_order(text: np.ndarray, held: int = HELD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Stretches of all suffixes of text in the order of their first DEPTH bytes, and
+    the bytes, up to DEPTH, that each shares with the one before it."""
     n = len(text)
-    step = np.sign(np.diff(text.astype(np.int16)))
-    # equal neighbours have the type of the next place that differs
-    place = np.where(step != 0, np.arange(n - 1), n - 1)
-    nxt = np.minimum.accumulate(place[::-1])[::-1] if n > 1 else place
-    small = np.append(np.append(step, 1)[nxt] > 0, True)
-    seeds = np.flatnonzero(small & np.append(False, ~small[:-1]))
-    words = packed(text, seeds)
-    seeds_order = np.lexsort(words.T[::-1])
-    seeds, words = seeds[seeds_order], words[seeds_order]
-    common = np.concatenate([[0], shared(words[1:], words[:-1])]) if len(seeds) else np.zeros(0, np.int64)
-    head = text[seeds]
-    seed_bounds = np.searchsorted(head, np.arange(257))
+    if not n:
+        return
 
     def seam(a: int, b: int) -> int:
-        return int(shared(packed(text, np.array([a])), packed(text, np.array([b])))[0])
+        return int(common_prefix(text, np.array([a]), np.array([b]))[0])
 
-    large = [Queue(held) for _ in range(256)]
-    least = np.zeros(256, np.int64)
-    last = None
+    def entries(place: np.ndarray) -> np.ndarray:
+        return np.stack([place.astype(np.uint64) << _8, _before(text, place)], 1)
+
+    large, least, last = Queues(256, held), np.full(256, DEPTH), None
+    # the end of the text is a seed that comes before all others
+    _scan(text, entries(np.array([n])), np.zeros(1, np.int64), lambda byte: byte >= 0, large, least)
+    waiting = _by_byte(text, seeds(text, held))
     for c in range(256):
-        i = 0
-        while i < len(large[c].parts):
-            at, value = large[c].gather(i)
-            _scan(text, ~small, at, value, large, least)
-            last, i = int(at[-1]), i + 1
-        a, b = seed_bounds[c], seed_bounds[c + 1]
-        if b > a:
-            value = common[a:b].copy()
-            value[0] = seam(last, int(seeds[a])) if last is not None else 0
-            _scan(text, ~small, seeds[a:b], value, large, least)
-            last = int(seeds[b - 1])
-    # the end of the text comes first of all that begin with byte 0
-    tiny = [Queue(held) for _ in range(256)]
-    least = np.zeros(256, np.int64)
-    last = None
-    ends = n - 1
+        for rows in large.each[c].upwards():
+            common = (rows[:, 0] & _255).astype(np.int64)
+            _scan(text, rows, common, lambda byte: byte >= c, large, least)
+            last = int(rows[-1, 0] >> _8)
+        for place in waiting(c):
+            value = np.append(0, common_prefix(text, place[1:], place[:-1])) if len(place) > 1 else np.zeros(1, np.int64)
+            value[0] = seam(last, int(place[0])) if last is not None else 0
+            _scan(text, entries(place), value, lambda byte: byte >= c, large, least)
+            last = int(place[-1])
+    tiny, least, last = Queues(256, held), np.full(256, DEPTH), None
     for c in range(255, -1, -1):
-        i = 0
-        while i < len(tiny[c].parts):
-            at, value = tiny[c].gather(i)
-            _scan(text, small, at, value, tiny, least)
-            last, i = int(at[-1]), i + 1
-        for at, value in large[c].backwards():
-            value = value.copy()
-            value[0] = seam(last, int(at[0])) if last is not None else 0
-            _scan(text, small, at, value, tiny, least)
-            last = int(at[-1])
-    order: list[np.ndarray] = []
-    values: list[np.ndarray] = []
+        for rows in tiny.each[c].upwards():
+            common = (rows[:, 0] & _255).astype(np.int64)
+            _scan(text, rows, common, lambda byte: byte <= c, tiny, least)
+            last = int(rows[-1, 0] >> _8)
+        begun = False
+        for rows, common in large.each[c].downwards():
+            if not begun:
+                common[0] = seam(last, int(rows[0, 0] >> _8)) if last is not None else 0
+                begun = True
+            _scan(text, rows, common, lambda byte: byte < c, tiny, least)
+            last = int(rows[-1, 0] >> _8)
     last = None
+    for c in range(256):
+        begun = False
+        for rows in large.each[c].upwards():
+            place, common = (rows[:, 0] >> _8).astype(np.int64), (rows[:, 0] & _255).astype(np.int64)
+            if not begun:
+                common[0] = seam(last, int(place[0])) if last is not None else 0
+                begun = True
+            yield place, common
+            last = int(place[-1])
+        begun = False
+        for rows, common in tiny.each[c].downwards():
+            place = (rows[:, 0] >> _8).astype(np.int64)
+            if not begun:
+                common[0] = seam(last, int(place[0])) if last is not None else 0
+                begun = True
+            yield place, common
+            last = int(place[-1])
 
-    def put(at: np.ndarray, value: np.ndarray) -> None:
-        nonlocal last
-        value = value.copy()
-        value[0] = seam(last, int(at[0])) if last is not None else 0
-        order.append(at), values.append(value)
-        last = int(at[-1])
 
-    for c in range(256):
-        if c == 0:
-            put(np.array([ends]), np.array([0]))
-        for i in range(len(large[c].parts)):
-            put(*large[c].read(i))
-        for at, value in tiny[c].backwards():
-            put(at, value)
-    return np.concatenate(order), np.concatenate(values)
-
-
-def _scan(text, wanted, at, value, queues, least) -> None:
-    before = at - 1
-    use = (before >= 0) & wanted[before]
-    if use.any():
-        _push(queues, least, value, np.where(use, text[before].astype(np.int64), -1), before)
-    else:
-        np.minimum(least, value.min(), out=least)
+def _by_byte(text: np.ndarray, stream: Iterator[np.ndarray]):
+    """A function that gives, byte after byte, the places of a sorted stream that begin
+    with that byte, in stretches."""
+    rest: list[np.ndarray] = []
+
+    def of(c: int) -> Iterator[np.ndarray]:
+        while True:
+            if not rest:
+                part = next(stream, None)
+                if part is None:
+                    return
+                rest.append(part)
+            part = rest[0]
+            upto = int(np.searchsorted(text[part], c, "right"))
+            if upto:
+                yield part[:upto]
+            if upto < len(part):
+                rest[0] = part[upto:]
+                return
+            rest.pop()
+
+    return of
