@@ -51,6 +51,12 @@ def test_no_iterations_is_input(name):
     assert (kernels.ALGORITHMS[name][0](g, kernels.otf(np.ones((3, 3, 3)), g.shape), iterations=0) == g).all()
 
 
+@pytest.mark.parametrize("shape", [(4, 8, 8), (3, 5, 7), (1, 1, 6), (2, 1, 1)])
+def test_spectrum(shape):
+    g = cube(shape)
+    assert np.allclose(kernels.spectrum(g), np.fft.fftn(g))
+
+
 def test_sums():
     g, h = cube(), kernels.otf(np.ones((3, 3, 3)) / 27, (4, 8, 8))
     assert np.isclose(kernels.richardson_lucy(g, h, 5).sum(), g.sum())

@@ -93,7 +93,7 @@ def spectrum(volume: Volume, value: str) -> Volume:
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         cube = np.zeros((d, h, w))
         cube[part["z"].to_numpy(), part["y"].to_numpy(), part["x"].to_numpy()] = part[value].to_numpy()
-        out = np.fft.fftn(cube)
+        out = kernels.spectrum(cube)
         z, y, x = (a.ravel().astype("int32") for a in np.indices(out.shape))
         return pd.DataFrame({"image_id": key[0], "x": x, "y": y, "z": z, "re": out.real.ravel(), "im": out.imag.ravel()})
 

@@ -32,6 +32,16 @@ def apply(f: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.fft.irfftn(np.fft.rfftn(f) * h, s=f.shape, axes=(0, 1, 2))
 
 
+def spectrum(f: np.ndarray) -> np.ndarray:
+    """The whole transform of a real cube: half of it is computed, the rest mirrored."""
+    half, w = np.fft.rfftn(f), f.shape[2]
+    out = np.empty(f.shape, half.dtype)
+    out[:, :, : half.shape[2]] = half
+    rest = half[::-1, ::-1, 1 : (w + 1) // 2][:, :, ::-1]
+    out[:, :, half.shape[2] :] = np.conj(np.roll(rest, 1, axis=(0, 1)))
+    return out
+
+
 def _difference(v: np.ndarray, axis: int) -> np.ndarray:
     out = np.zeros_like(v)
     head = [slice(None)] * 3
