@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxmill.sources.shared import shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -22,16 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where it is unset and Spark runs on this machine alone."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="voxmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+_MADE: list[str] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +32,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     back, so that lost executors never cost more than the stage at hand."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")  # the shuffles of this write are of no more use
     try:
@@ -48,6 +42,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that are materialized inside the block when it ends, but for
+    the last one. For blocks whose result is materialized last."""
+    first = len(_MADE)
+    yield
+    for path in _MADE[first:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _MADE[first:-1]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,12 +8,15 @@ joined with the prefixes; the window's length and the prefix's place in it bound
 where it would start; its second rarest word and then all its words are compared.
 
 Windows are broadcast only while `broadcast_windows` bounds their number. Beyond
-it the same join runs as a shuffle, with the words around each place carried
-along, and common prefixes are left to the skew-join handling of Spark.
+it the same join runs as a shuffle, with the words around each place carried along.
+A bitmap of the prefixes' hashes, of fixed size, is broadcast for it, so only words
+that may be prefixes are carried; common prefixes are left to the skew-join handling
+of Spark.
 
 Rows: null and empty texts have no words; a null doc_id is a document; rows equal
 in doc_id and text are one document; items that are null or without words, and a
-benchmark without rows, match nothing; other columns are ignored."""
+benchmark without rows, match nothing; an item with a null id hits words and is not
+counted among the items; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -25,6 +28,8 @@ from voxmill.llm.common import lower_ascii, materialize
 #: Between words: ASCII other than 0-9 and, after lower-casing, a-z.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, HIT_SHARE, BROADCAST_WINDOWS = 13, 20, 200_000
+#: Words of 64 bits in the bitmap of prefixes: 2 MB of bits, whatever their number.
+BITMAP_ROWS = 1 << 18
 
 
 def words(text: Column) -> Column:
@@ -83,7 +88,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
         )
     else:
         around = F.slice("w", F.greatest(F.col("pos") - (size - 2), F.lit(1)), 2 * size)
-        placed = w.select("*", F.posexplode("w").alias("pos", "word")).select("doc_id", "copy", "pos", "word", F.size("w").alias("n"), around.alias("around"))
+        spotted = lambda rows: rows.withColumn("at", F.pmod(F.xxhash64("word"), F.lit(64 * BITMAP_ROWS))).selectExpr("*", "at div 64 AS spot", "cast(at % 64 AS int) AS bit")
+        bits = spotted(windows.select("word")).groupBy("spot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+        placed = spotted(w.select("*", F.posexplode("w").alias("pos", "word"))).join(F.broadcast(bits), "spot").where(F.expr("getbit(bits, bit) = 1"))
+        placed = placed.select("doc_id", "copy", "pos", "word", F.size("w").alias("n"), around.alias("around"))
         at = start - F.greatest(F.col("pos") - (size - 1), F.lit(0))
         hits = (
             placed.join(windows, "word").where((start >= 0) & (start + F.col("len") <= F.col("n")))
