@@ -581,6 +581,11 @@ def fourier_transform(spark, sf):
     return _rounded(dec.spectrum(volume(spark, sf, SMALL), "a"), "re", "im", digits=4)
 
 
+@query(_SMALL + " SELECT image_id, x, y, z, round(a, 6) + 0.0 AS a FROM vol")
+def fourier_roundtrip(spark, sf):
+    return _rounded(dec.inverse_spectrum(dec.spectrum(volume(spark, sf, SMALL), "a"), "a"), "a")
+
+
 @query(_filtered("hr * hr + hi * hi"))
 def inverse_filter(spark, sf):
     return _rounded(dec.deconvolve(volume(spark, sf, SMALL), "a", dec.tap_psf(TAPS), "InverseFilter", epsilon=1e-6), "a", digits=4)
@@ -710,6 +715,13 @@ def tiff_region(spark, sf):
     return _from_files(tiff.read_tiff(spark, _files(spark, volume(spark, sf), tile=(8, 4)), z=(1, 3), y=(4, 11), x=(3, 14)))
 
 
+@query(VOL + " SELECT image_id, z, CAST(4 AS INTEGER) AS depth, CAST(16 AS INTEGER) AS width, CAST(16 AS INTEGER) AS height, CAST(1 AS INTEGER) AS channels, CAST(1 AS INTEGER) AS samples FROM vol WHERE x = 0 AND y = 0")
+def tiff_metadata(spark, sf):
+    """What the directories of files say; no voxel is read."""
+    found = tiff.list_slices(spark, _files(spark, volume(spark, sf)))
+    return found.select(text.stem(F.col("path")).cast("long").alias("image_id"), "z", "depth", "width", "height", "channels", "samples")
+
+
 def _mirrored_sql(c: str, lo: int, hi: int, missing: int) -> str:
     n = hi - lo
     m = f"((({c} - {missing}) % {2 * n} + {2 * n}) % {2 * n})"

@@ -100,6 +100,20 @@ def spectrum(volume: Volume, value: str) -> Volume:
     return volume.with_(volume.voxels.groupBy("image_id").applyInPandas(run, "image_id long, x int, y int, z int, re double, im double"))
 
 
+def inverse_spectrum(volume: Volume, value: str = "v") -> Volume:
+    """The image whose transform is (re, im), its imaginary part left out."""
+    w, h, d = volume.shape
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        cube = np.zeros((d, h, w), np.complex128)
+        cube[part["z"].to_numpy(), part["y"].to_numpy(), part["x"].to_numpy()] = part["re"].to_numpy() + 1j * part["im"].to_numpy()
+        out = np.fft.ifftn(cube).real
+        z, y, x = (a.ravel().astype("int32") for a in np.indices(out.shape))
+        return pd.DataFrame({"image_id": key[0], "x": x, "y": y, "z": z, value: out.ravel()})
+
+    return volume.with_(volume.voxels.groupBy("image_id").applyInPandas(run, f"image_id long, x int, y int, z int, {value} double"))
+
+
 def labelled(volume: Volume, value: str, weights: DataFrame, psfs: dict[str, np.ndarray], algorithm: str = "RichardsonLucy", **settings) -> DataFrame:
     """Deconvolves with each group's PSF and sums by the groups' weights (image_id, x,
     y, z, group, weight); 0 where no group reaches. psfs: by group, a configuration."""
