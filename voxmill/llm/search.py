@@ -14,10 +14,12 @@ Documents are dealt to the tasks, and each task gets all queries once, into an
 unnamed scratch file; so the shuffle grows with documents and queries, not with
 their product. A task indexes its documents shard by shard. Rare terms of a batch
 of queries are summed by their postings first. Common ones, whose postings are held
-as columns over all documents of the shard, come last, for blocks of documents: the
-greatest sum of a block and the greatest impacts of common terms there bound its
-scores, and only queries whose k-th best score so far (of all shards of the task) the
-bound reaches are scored on it. Nothing that could enter the top k is skipped.
+as columns over all documents of the shard, come last, by WAND's two tests against a
+query's k-th best score so far, of all shards of the task. Where all lists at their
+maxima do not reach it, there is no pivot in the shard and the query is done with it.
+Else blocks of documents are taken by their bounds, the greatest sum of rare terms
+and the block maxima of common ones, and only queries whose score the bound reaches
+are scored on a block. Nothing that could enter the top k is skipped.
 
 Rows: null and empty texts match nothing, and as queries return nothing; rows with
 the same doc_id are hits of their own; queries have distinct ids; a null query id is
@@ -184,6 +186,7 @@ class Shard:
         post = flat_ranges(self.begin[common], self.size[common])
         self.common[self.doc[post], np.repeat(np.arange(len(common)), self.size[common])] = self.impact[post]
         self.most = self.common.reshape(self.blocks, BLOCK, -1).max(1)
+        self.reach = self.most.max(0) if self.blocks else np.zeros(len(common))
 
     def answer(self, queries: Queries) -> None:
         if not len(self.term):
@@ -200,8 +203,12 @@ class Shard:
             post = flat_ranges(self.begin[at[rare]], size)
             score = np.bincount(np.repeat(owner[rare] * n, size) + self.doc[post], self.impact[post] * np.repeat(weight[rare], size), (b - a) * n).astype(np.float64).reshape(b - a, n)  # integers where there is nothing to sum
             del post
-            bound = score.reshape(b - a, self.blocks, BLOCK).max(2) + weights @ self.most.T
-            best = queries.score[a:b].copy()
+            # no pivot: all lists at their maxima do not reach the k-th best score
+            pivot = np.flatnonzero(score.max(1) + weights @ self.reach >= queries.score[a:b].min(1) - 1e-6)
+            if not len(pivot):
+                continue
+            score, weights, best = score[pivot], weights[pivot], queries.score[a:b][pivot]
+            bound = score.reshape(len(pivot), self.blocks, BLOCK).max(2) + weights @ self.most.T
             floor = best.min(1)
             for block in np.argsort(-bound.sum(0), kind="stable").tolist():
                 places = slice(block * BLOCK, (block + 1) * BLOCK)
@@ -213,7 +220,7 @@ class Shard:
                     best[use] = np.partition(np.concatenate([best[use], full], 1), BLOCK, 1)[:, BLOCK:]
                     floor[use] = best[use].min(1)
             query, doc = np.nonzero((score > 0) & (score >= floor[:, None] - 1e-6))
-            queries.merge(a, b, query, self.doc_id[doc], self.rows[doc], score[query, doc])
+            queries.merge(a, b, pivot[query], self.doc_id[doc], self.rows[doc], score[query, doc])
 
 
 def _search(k: int, n: int, average: float):
