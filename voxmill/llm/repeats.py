@@ -85,7 +85,7 @@ def _batch(**columns) -> pa.RecordBatch:
 
 def _anchors(size: int, anchor: int):
     """(key, name, doc_id, settled): contexts of the least document of a batch, and
-    without a key those of others, which are settled by it."""
+    those of others, which are settled by it and have their name for a key."""
 
     def reduced(held: list[tuple]) -> pa.RecordBatch:
         key, name, doc = (np.concatenate(x) for x in zip(*held))
@@ -95,7 +95,7 @@ def _anchors(size: int, anchor: int):
         least = np.minimum.reduceat(doc, first)
         late = doc > np.repeat(least, np.diff(np.append(first, len(doc))))
         settled = np.repeat([False, True], [len(first), late.sum()])
-        return _batch(key=np.concatenate([key[first], np.zeros(late.sum(), np.int64)]), name=np.concatenate([name[first], name[late]]), doc_id=np.concatenate([least, doc[late]]), settled=settled)
+        return _batch(key=np.concatenate([key[first], name[late]]), name=np.concatenate([name[first], name[late]]), doc_id=np.concatenate([least, doc[late]]), settled=settled)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +116,7 @@ def _anchors(size: int, anchor: int):
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (settled, key, name, doc_id) to (doc_id, name, key, settled):
+    """Rows sorted by (key, name, doc_id) to (doc_id, name, key, settled):
     contexts that stand in a smaller document, and with their key the first ones of a
     context whose key has others."""
 
@@ -256,10 +256,12 @@ class Shard:
         text, size = self.text.array(), self.size
         begin, length, doc, name, first, parted = (g.array() for g in self.about.values())
         run = 0
+        # whose piece each byte is; for a text in a file that is searched for
+        own = None if isinstance(text, np.memmap) else np.repeat(np.arange(len(length), dtype=np.int32), length + 1)
         held = np.zeros((0, 3), np.int64)  # of the last run, those of its least document: owner, place, run
         for order, common in suffix_order(text):
             runs = run + np.cumsum(common < size)
-            owner = np.searchsorted(begin, order, "right") - 1
+            owner = np.searchsorted(begin, order, "right") - 1 if own is None else own[order].astype(np.int64)
             place = order - begin[owner]
             whole = place <= length[owner] - size  # else no string starts here
             rows = np.concatenate([held, np.stack([owner, place, runs], 1)[whole]])
@@ -360,7 +362,7 @@ def remove_repeats(documents: DataFrame, size: int = SIZE, anchor: int = ANCHOR,
     keyed = docs.mapInArrow(_anchors(size, anchor), "key long, name long, doc_id long, settled boolean")
     # settled ones only pass through, wherever there is room
     to = F.when(F.col("settled"), F.xxhash64("doc_id", "name")).otherwise(F.col("key"))
-    dealt = keyed.repartition(partitions(spark), to).sortWithinPartitions("settled", "key", "name", "doc_id")
+    dealt = keyed.repartition(partitions(spark), to).sortWithinPartitions("key", "name", "doc_id")
     marks = materialize(dealt.mapInArrow(_settle, "doc_id long, name long, key long, settled boolean"), "marks")
 
     whole = F.coalesce("doc_id", F.lit(NULL_ID))

@@ -199,8 +199,14 @@ class Queue:
 def _words(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Rows of big-endian words that hold the 8 * n bytes from each place on, 0 beyond
     the end."""
-    where = at[:, None] + np.arange(8 * n)
-    held = np.where(where < len(text), text[np.minimum(where, len(text) - 1)], 0).astype(np.uint8)
+    held = np.zeros((len(at), 8 * n), np.uint8)
+    last = len(text) - 8 * n
+    inner = at <= last
+    if last >= 0:
+        held[inner] = np.lib.stride_tricks.sliding_window_view(text, 8 * n)[at[inner]]
+    for i in np.flatnonzero(~inner).tolist():
+        rest = text[at[i] :]
+        held[i, : len(rest)] = rest
     return held.view(">u8").astype(np.uint64)
 
 
@@ -331,10 +337,14 @@ def _seeds_in_memory(rows: np.ndarray, n: int) -> np.ndarray:
         key = names[todo] << np.uint64(32) | later
         order = np.argsort(key)
         ordered = key[order]
-        fresh, alone = _ranks(order, np.append(True, ordered[1:] != ordered[:-1]))
+        at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        size = np.diff(np.append(at, len(ordered)))
         # rows of one old name stand together, from the place that it names
-        base = np.searchsorted(ordered, names[todo] << np.uint64(32))
-        names[todo] += fresh - np.uint64(1) - base.astype(np.uint64)
+        old = ordered[at] >> np.uint64(32)
+        base = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), at, 0))
+        names[todo[order]] = np.repeat(old + (at - base).astype(np.uint64), size)
+        alone = np.empty(len(todo), bool)
+        alone[order] = np.repeat(size == 1, size)
         todo, span = todo[~alone], 2 * span
     first = np.flatnonzero(rows[:, 3] & _1 == _1)
     return place[first[np.argsort(names[first], kind="stable")]]
