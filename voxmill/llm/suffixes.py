@@ -322,19 +322,20 @@ def _ranks(order: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _seeds_in_memory(rows: np.ndarray, n: int) -> np.ndarray:
-    """seeds() of as many units as a sort may hold; later rounds sort only the units
-    whose names others have too, and which cover less than DEPTH bytes."""
+    """seeds() of as many units as a sort may hold. A name is paired with that of the
+    last unit that its window shows to begin in it, so a pair covers almost twice as
+    many bytes. Later rounds sort only the units whose names others have too, and which
+    cover less than DEPTH bytes."""
     place = (rows[:, 3] >> np.uint64(2)).astype(np.int64)
     order = _order(rows, 2)
     ordered = rows[order, :2]
     names, single = _ranks(order, np.append(True, (ordered[1:] != ordered[:-1]).any(1)))
-    span, todo = 1, np.flatnonzero(~single)
+    count = np.arange(len(place))
+    follow = np.maximum(np.searchsorted(place, place + WINDOW - 1, "right") - 1, count + 1)
+    ends, covers = np.append(place, n), np.append(np.full(len(place), WINDOW), DEPTH)
+    todo = np.flatnonzero(~single)
     while len(todo):
-        later = np.append(names, np.zeros(span, np.uint64))[todo + span]
-        ends = np.append(place, np.full(span, n))[todo + span]
-        if not ((ends - place[todo] < DEPTH) & (later > 0)).any():
-            break
-        key = names[todo] << np.uint64(32) | later
+        key = names[todo] << np.uint64(32) | np.append(names, np.uint64(0))[follow[todo]]
         order = np.argsort(key)
         ordered = key[order]
         at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
@@ -345,7 +346,9 @@ def _seeds_in_memory(rows: np.ndarray, n: int) -> np.ndarray:
         names[todo[order]] = np.repeat(old + (at - base).astype(np.uint64), size)
         alone = np.empty(len(todo), bool)
         alone[order] = np.repeat(size == 1, size)
-        todo, span = todo[~alone], 2 * span
+        covers[:-1] = ends[follow] - place + covers[follow]
+        todo = todo[~alone & (covers[todo] < DEPTH)]
+        follow = np.append(follow, len(place))[follow]
     first = np.flatnonzero(rows[:, 3] & _1 == _1)
     return place[first[np.argsort(names[first], kind="stable")]]
 
