@@ -34,7 +34,7 @@ from voxmill.llm.common import text_slices, utf8_buffer
 from voxmill.llm.encoder import tokenizer_path
 from voxmill.llm.runs import Runs
 
-MODEL = "piece_bpe_32k.model"
+MODEL, SLICE = "piece_bpe_32k.model", 2 << 20
 RESULT = "doc_id long, ids array<int>, starts array<int>, ends array<int>, decoded string"
 #: Fixed values of the model files: fields of a model, of its trainer's and its
 #: normaliser's description; kinds of models and of pieces; the sign for a space.
@@ -271,7 +271,7 @@ def encode_pieces(docs: DataFrame, model: str | None = None) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
         for whole in batches:
-            for batch in text_slices(whole):
+            for batch in text_slices(whole, SLICE):
                 found = pieces.encode(batch.column("text"))
                 bounds = found["bounds"]
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int32()))  # noqa: E731,B023

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.llm import chat, decontaminate, merkle, mixing, near_dedup, pieces, pii, quality, repeats, search, token_binary, token_counts
+from voxmill.llm import alignment, chat, decontaminate, merkle, mixing, near_dedup, pieces, pii, quality, repeats, search, token_binary, token_counts
 from voxmill.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(documents, search.sampled_queries(documents))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(merkle.manifest(table(spark, sf_dir, "documents")))
 
@@ -64,7 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_decontamination, op2_near_dedup, op3_token_counts, op4_suffix_dedup, op5_token_binary,
         op6_chat_format, op7_mixing, op8_pii, op9_search, op10_quality,
-        op12_merkle_manifest, op13_sentencepiece,
+        op11_token_alignment, op12_merkle_manifest, op13_sentencepiece,
     )
 }
 ORACLES: dict[str, str] = {
