@@ -27,6 +27,8 @@ from voxmill.volume import KEYS, Volume, voxelize
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 SHAPE, SMALL, ORDERS = (16, 16, 4), (8, 8, 4), 2048
+#: Chunks of transforms: several along each axis.
+PENCIL = (4, 3, 2)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -434,6 +436,14 @@ def box_subtract(spark, sf):
     return parts.select("l_orderkey", "l_linenumber", F.size("p").cast("long").alias("n_boxes"), size.alias("voxels"))
 
 
+@query(VOL + ", g AS (SELECT image_id, CAST(floor(a / 100) AS INTEGER) % 3 AS g, x, y, z FROM vol WHERE a > 250), w AS (SELECT v.image_id, v.x, v.y, v.z, CAST(g AS VARCHAR) AS grp, 1 - min(sqrt((v.x - g.x) ** 2 + (v.y - g.y) ** 2 + (v.z - g.z) ** 2)) / 40 AS weight FROM vol v JOIN g ON g.image_id = v.image_id GROUP BY ALL) SELECT image_id, x, y, z, grp, round(weight, 6) + 0.0 AS weight FROM w WHERE weight > 0 UNION ALL SELECT v.image_id, v.x, v.y, v.z, 'background', round(1 - coalesce(sum(weight), 0), 6) + 0.0 FROM vol v LEFT JOIN w ON w.image_id = v.image_id AND w.x = v.x AND w.y = v.y AND w.z = v.z GROUP BY ALL")
+def feathered_groups(spark, sf):
+    """A radius beyond the image's extent, several groups and their background."""
+    v = volume(spark, sf)
+    masks = v.with_(v.voxels.select(*KEYS, (F.floor(F.col("a") / 100).cast("int") % 3).cast("string").alias("group"), (F.col("a") > 250).cast("double").alias("weight")))
+    return _rounded(reg.feathered(masks, 40, "background", (6, 5, 3)).withColumnRenamed("group", "grp"), "weight")
+
+
 @query(_BOXES + " SELECT l_orderkey, l_linenumber, CAST(greatest(least(x + w, 9) - greatest(x, 3), 0) AS INTEGER) AS w, CAST(greatest(least(y + h, 10) - greatest(y, 4), 0) AS INTEGER) AS h, CAST(greatest(least(z + d, 8) - greatest(z, 3), 0) AS INTEGER) AS d, x >= 3 AND x + w <= 9 AND y >= 4 AND y + h <= 10 AND z >= 3 AND z + d <= 8 AS inside FROM b")
 def box_intersect(spark, sf):
     other = reg.box(3, 4, 3, 6, 6, 5)
@@ -578,12 +588,36 @@ def _filtered(power: str) -> str:
 
 @query(_SMALL + _DFT + " SELECT image_id, kx AS x, ky AS y, kz AS z, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im FROM s")
 def fourier_transform(spark, sf):
-    return _rounded(dec.spectrum(volume(spark, sf, SMALL), "a"), "re", "im", digits=4)
+    return _rounded(dec.spectrum(volume(spark, sf, SMALL), "a", PENCIL), "re", "im", digits=4)
 
 
 @query(_SMALL + " SELECT image_id, x, y, z, round(a, 6) + 0.0 AS a FROM vol")
 def fourier_roundtrip(spark, sf):
-    return _rounded(dec.inverse_spectrum(dec.spectrum(volume(spark, sf, SMALL), "a"), "a"), "a")
+    return _rounded(dec.inverse_spectrum(dec.spectrum(volume(spark, sf, SMALL), "a", PENCIL), "a", PENCIL), "a")
+
+
+_DFT_COMPLEX = ", s2 AS (SELECT image_id, kx, ky, kz, sum(a * cos(t) + b * sin(t)) AS re, sum(b * cos(t) - a * sin(t)) AS im FROM (SELECT *, 2 * pi() * (kx * x / 8.0 + ky * y / 8.0 + kz * z / 4.0) AS t FROM vol, f) GROUP BY ALL)"
+
+
+@query(_SMALL + _DFT + _DFT_COMPLEX + " SELECT image_id, kx AS x, ky AS y, kz AS z, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im FROM s2")
+def fourier_complex(spark, sf):
+    """Of complex images, a + ib."""
+    return _rounded(dec.spectrum(volume(spark, sf, SMALL), ("a", "b"), PENCIL), "re", "im", digits=4)
+
+
+@query(_SMALL + " SELECT image_id, x, y, z, round(a, 6) + 0.0 AS a, round(b, 6) + 0.0 AS b FROM vol")
+def fourier_complex_roundtrip(spark, sf):
+    return _rounded(dec.inverse_spectrum(dec.spectrum(volume(spark, sf, SMALL), ("a", "b"), PENCIL), ("a", "b"), PENCIL), "a", "b")
+
+
+@query(_SMALL + _DFT + " SELECT image_id, kx AS x, ky AS y, kz AS z, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im FROM s WHERE kx <= 4")
+def fourier_half(spark, sf):
+    return _rounded(dec.spectrum(volume(spark, sf, SMALL), "a", PENCIL, half=True), "re", "im", digits=4)
+
+
+@query(_SMALL + " SELECT image_id, x, y, z, round(a, 6) + 0.0 AS a FROM vol")
+def fourier_half_roundtrip(spark, sf):
+    return _rounded(dec.inverse_spectrum(dec.spectrum(volume(spark, sf, SMALL), "a", PENCIL, half=True), "a", PENCIL, width=SMALL[0]), "a")
 
 
 @query(_filtered("hr * hr + hi * hi"))

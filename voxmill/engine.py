@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxmill import chunks
 from voxmill.functions import text
 from voxmill.operators import deconvolution, geometry, kernels, reductions, regions
 from voxmill.plans import psf as models
@@ -83,17 +84,13 @@ def read_psf(spark: SparkSession, path: str, relative_max: float) -> Psf:
     return Psf(PurePosixPath(path).stem, cube, tuple(reductions.region_above(volume, "v", relative_max * float(cube.max())).first()[1:]))
 
 
-def weights(masks: Volume, kernel: np.ndarray, **how) -> DataFrame:
-    """Masks (image_id, x, y, z, group, weight), blurred by the kernel and normalized
-    to sum 1 at each voxel; tiles, halo and fill as deconvolve() takes them."""
-    groups = sorted(r[0] for r in masks.voxels.select("group").distinct().collect())  # a configuration's label groups
-    parts = None
-    for group in groups:
-        own = masks.voxels.where(F.col("group") == group).select(*KEYS, "weight")
-        whole = Volume(masks.voxels.select(*KEYS).distinct().join(own, KEYS, "left").select(*KEYS, F.coalesce("weight", F.lit(0.0)).alias("weight")), masks.shape)
-        blurred = deconvolution.deconvolve(whole, "weight", kernel, "Convolution", **how).voxels.withColumn("weight", F.greatest(F.round("weight", 12), F.lit(0.0))).withColumn("group", F.lit(group))
-        parts = blurred if parts is None else parts.unionByName(blurred)
-    return reductions.sum_to_one(parts)
+def weights(masks: Volume, kernel: np.ndarray, tile: Shape | None = None, halo: deconvolution.Halo = deconvolution.NO_HALO, fill: str = "zero") -> DataFrame:
+    """Masks (image_id, x, y, z, group, weight), blurred by the kernel and normalized to sum 1
+    at each voxel, in tiles with a halo and its fill; rows of the chunks that a group
+    reaches."""
+    own = chunks.from_voxels(Volume(masks.voxels.select("group", *KEYS, "weight"), masks.shape), "weight", tile or masks.shape, ("image_id", "group"))
+    found = chunks.to_voxels(deconvolution.blurred_weights(own, kernel, fill, halo), "weight").voxels
+    return found.select(*KEYS, "group", "weight")
 
 
 def feathering(shape: Shape, extent: int = 20, sigma: float = 5.0) -> np.ndarray:

@@ -1,21 +1,29 @@
 """Convolution and deconvolution of volumes.
 
 convolve() is the definition as a scatter and one aggregation; it suits PSFs of a few
-taps. deconvolve() deals voxels, with their halos, to tiles of planned size and runs
-an FFT kernel for each tile, as many tasks at once as there are tiles."""
+taps. deconvolve_chunks() runs an FFT kernel on every chunk with its halo; deconvolve()
+does so between voxel rows. A PSF is sent to tasks once, and each worker keeps its
+transfer functions."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.operators import geometry, kernels
-from voxmill.plans.tiles import axis_starts
+from voxmill import chunks as ch
+from voxmill.operators import kernels
 from voxmill.volume import KEYS, Shape, Volume
 
 Taps = list[tuple[int, int, int, float]]
+Halo = tuple[Shape, Shape]
+NO_HALO: Halo = ((0, 0, 0), (0, 0, 0))
+#: Chunks of transforms where none are asked for.
+CHUNK: Shape = (64, 64, 64)
 
 
 def convolve(volume: Volume, value: str, taps: Taps, adjoint: bool = False) -> Volume:
@@ -37,89 +45,97 @@ def tap_psf(taps: Taps) -> np.ndarray:
     return cube
 
 
-def _tiles(c: str, starts: list[int], extent: int) -> Column:
-    """Indexes of the tiles along an axis whose padded extent holds place c."""
-    return F.filter(F.transform(F.array(*map(F.lit, starts)), lambda s, i: F.when((F.col(c) >= s) & (F.col(c) < s + extent), i)), lambda i: i.isNotNull())
-
-
-def deal(volume: Volume, tile: Shape, halo: tuple[Shape, Shape], fill: str = "zero") -> tuple[DataFrame, list[list[int]]]:
-    """Voxels of every tile with its halo: (image_id, chunk_id, x, y, z in the padded
-    tile, values), and the tiles' starts along each axis. chunk_id grows along x, then
-    y, then z."""
-    before, after = halo
-    padded = geometry.pad(volume, before, after, fill) if any(before) or any(after) else volume
-    starts = [axis_starts(n, t) for n, t in zip(volume.shape, tile)]
-    rows = padded.voxels
-    for c, s, t, a, b in zip("xyz", starts, tile, before, after):
-        rows = rows.withColumn(f"t{c}", F.explode(_tiles(c, s, t + a + b)))
-    nx, ny = len(starts[0]), len(starts[1])
-    chunk = (F.col("tz") * ny + F.col("ty")) * nx + F.col("tx")
-    local = [(F.col(c) - F.element_at(F.array(*map(F.lit, s)), F.col(f"t{c}") + 1)).alias(c) for c, s in zip("xyz", starts)]
-    return rows.select("image_id", chunk.alias("chunk_id"), *local, *volume.values), starts
-
-
-def deconvolve(volume: Volume, value: str, psf: np.ndarray, algorithm: str = "RichardsonLucy", tile: Shape | None = None, halo: tuple[Shape, Shape] = ((0, 0, 0), (0, 0, 0)), fill: str = "zero", **settings) -> Volume:
-    """Runs a registered kernel on every tile; a voxel in two tiles (the last of an
-    axis is moved back to fit) belongs to the later one, by a filter alone."""
-    tile = tuple(min(t, n) for t, n in zip(tile or volume.shape, volume.shape))
-    rows, starts = deal(volume.with_(volume.voxels.select(*KEYS, value)), tile, halo, fill)
-    before, after = halo
-    full = tuple(t + a + b for t, a, b in zip(tile, before, after))
+def _filter(spark: SparkSession, psfs: dict[str, np.ndarray], algorithm: str, settings: dict) -> Callable[[np.ndarray, str], np.ndarray]:
+    """A registered kernel with PSFs by name, which are sent to tasks once."""
     kernel, _ = kernels.ALGORITHMS[algorithm]
-    psf = np.ascontiguousarray(psf, np.float64)
-    counts = [len(s) for s in starts]
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        cube = np.zeros(full[::-1])
-        cube[part["z"].to_numpy(), part["y"].to_numpy(), part["x"].to_numpy()] = part[value].to_numpy()
-        out = kernel(cube, kernels.cached_otf(psf.tobytes(), psf.shape, cube.shape), **settings)
-        chunk = int(key[1])
-        index = (chunk % counts[0], chunk // counts[0] % counts[1], chunk // (counts[0] * counts[1]))
-        # from where a later tile takes over
-        owned = [s[i] if i + 1 == len(s) else min(s[i + 1], s[i] + t) for s, i, t in zip(starts, index, tile)]
-        sizes = [t if i + 1 == len(s) else o - s[i] for s, i, t, o in zip(starts, index, tile, owned)]
-        inner = out[tuple(slice(b, b + n) for b, n in zip(before[::-1], sizes[::-1]))]
-        z, y, x = (a.ravel() for a in np.indices(inner.shape))
-        return pd.DataFrame({"image_id": key[0], "x": (x + starts[0][index[0]]).astype("int32"), "y": (y + starts[1][index[1]]).astype("int32"), "z": (z + starts[2][index[2]]).astype("int32"), value: inner.ravel()})
-
-    done = rows.groupBy("image_id", "chunk_id").applyInPandas(run, f"image_id long, x int, y int, z int, {value} double")
-    return volume.with_(done)
-
-
-def spectrum(volume: Volume, value: str) -> Volume:
-    """The discrete Fourier transform of each image, (re, im) at frequencies x, y, z."""
-    w, h, d = volume.shape
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        cube = np.zeros((d, h, w))
-        cube[part["z"].to_numpy(), part["y"].to_numpy(), part["x"].to_numpy()] = part[value].to_numpy()
-        out = kernels.spectrum(cube)
-        z, y, x = (a.ravel().astype("int32") for a in np.indices(out.shape))
-        return pd.DataFrame({"image_id": key[0], "x": x, "y": y, "z": z, "re": out.real.ravel(), "im": out.imag.ravel()})
-
-    return volume.with_(volume.voxels.groupBy("image_id").applyInPandas(run, "image_id long, x int, y int, z int, re double, im double"))
-
-
-def inverse_spectrum(volume: Volume, value: str = "v") -> Volume:
-    """The image whose transform is (re, im), its imaginary part left out."""
-    w, h, d = volume.shape
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        cube = np.zeros((d, h, w), np.complex128)
-        cube[part["z"].to_numpy(), part["y"].to_numpy(), part["x"].to_numpy()] = part["re"].to_numpy() + 1j * part["im"].to_numpy()
-        out = np.fft.ifftn(cube).real
-        z, y, x = (a.ravel().astype("int32") for a in np.indices(out.shape))
-        return pd.DataFrame({"image_id": key[0], "x": x, "y": y, "z": z, value: out.ravel()})
-
-    return volume.with_(volume.voxels.groupBy("image_id").applyInPandas(run, f"image_id long, x int, y int, z int, {value} double"))
-
-
-def labelled(volume: Volume, value: str, weights: DataFrame, psfs: dict[str, np.ndarray], algorithm: str = "RichardsonLucy", **settings) -> DataFrame:
-    """Deconvolves with each group's PSF and sums by the groups' weights (image_id, x,
-    y, z, group, weight); 0 where no group reaches. psfs: by group, a configuration."""
-    parts = None
-    for group, psf in sorted(psfs.items()):
-        own = deconvolve(volume, value, psf, algorithm, **settings).voxels.withColumn("group", F.lit(group))
-        parts = own if parts is None else parts.unionByName(own)
-    joined = parts.join(weights, [*KEYS, "group"], "left")
-    return joined.groupBy(*KEYS).agg(F.sum(F.col(value) * F.coalesce("weight", F.lit(0.0))).alias(value))
+    cubes = {k: np.ascontiguousarray(v, np.float64) for k, v in psfs.items()}
+    keys = {k: hashlib.sha256(str(v.shape).encode() + v.tobytes()).hexdigest() for k, v in cubes.items()}
+    sent = spark.sparkContext.broadcast(cubes)
+
+    def work(cube: np.ndarray, name: str) -> np.ndarray:
+        return kernel(cube, kernels.cached_otf(keys[name], lambda: sent.value[name], cube.shape), **settings)
+
+    return work
+
+
+def deconvolve_pieces(parts: DataFrame, layout: ch.Layout, psf: np.ndarray, algorithm: str = "RichardsonLucy", **settings) -> ch.Chunks:
+    """Runs a registered kernel on every chunk that the pieces make."""
+    work = _filter(parts.sparkSession, {"": psf}, algorithm, settings)
+    return ch.gather(parts, layout, lambda cube, _: work(cube, ""))
+
+
+def deconvolve_chunks(chunks: ch.Chunks, psf: np.ndarray, algorithm: str = "RichardsonLucy", halo: Halo = NO_HALO, fill: str = "zero", **settings) -> ch.Chunks:
+    """Runs a registered kernel on every chunk with its halo."""
+    work = _filter(chunks.rows.sparkSession, {"": psf}, algorithm, settings)
+    return ch.map_chunks(chunks, lambda cube, _: work(cube, ""), *halo, fill)
+
+
+def deconvolve(volume: Volume, value: str, psf: np.ndarray, algorithm: str = "RichardsonLucy", tile: Shape | None = None, halo: Halo = NO_HALO, fill: str = "zero", **settings) -> Volume:
+    """deconvolve_chunks() of voxel rows, in tiles; without tiles an image is one."""
+    chunks = ch.from_voxels(volume, value, tile or volume.shape)
+    return volume.with_(ch.to_voxels(deconvolve_chunks(chunks, psf, algorithm, halo, fill, **settings), value).voxels)
+
+
+def spectrum(volume: Volume, values: str | tuple[str, str], size: Shape = CHUNK, half: bool = False) -> Volume:
+    """The discrete Fourier transform of each image, real or complex (two values), as (re, im)
+    at frequencies x, y, z; half: those of the lower half along x, of real images."""
+    found = ch.to_voxels(ch.transform(ch.from_voxels(volume, values, size), half), "re", "im")
+    return found
+
+
+def inverse_spectrum(volume: Volume, value: str | tuple[str, str] = "v", size: Shape = CHUNK, width: int | None = None) -> Volume:
+    """The image whose transform is (re, im): its real part, or both where two values are
+    named; width: its extent along x, of half a spectrum."""
+    names = (value,) if isinstance(value, str) else value
+    return ch.to_voxels(ch.inverse(ch.from_voxels(volume, ("re", "im"), size), width), *names)
+
+
+def blurred_weights(masks: ch.Chunks, kernel: np.ndarray, fill: str = "mirror", halo: Halo | None = None) -> ch.Chunks:
+    """Masks by (image_id, group), blurred by the kernel and divided by their sum at each
+    voxel. A group has rows where its masks are and as far as the blur reaches."""
+    reach = tuple(n // 2 for n in kernel.shape[::-1])
+    before, after = halo or (reach, reach)
+    blur = _filter(masks.rows.sparkSession, {"": kernel}, "Convolution", {})
+    layout = ch.Layout(masks.shape, masks.size, before, after, fill)
+    work = lambda cube, _: np.maximum(np.round(blur(cube, ""), 12), 0)
+    found = ch.gather(ch.pieces(masks, layout), layout, work, masks.keys, masks.kind)
+    others = [k for k in masks.keys if k != "group"]
+
+    def normalize(table: pa.Table) -> pa.Table:
+        own = np.stack([np.frombuffer(x.as_buffer()) for x in table["data"]])
+        total = own.sum(axis=0)
+        shares = np.where(total > 0, own / np.where(total > 0, total, 1), 0)
+        some = shares.any(axis=1)
+        return table.drop(["data"]).filter(pa.array(some)).append_column("data", pa.array([x.tobytes() for x in shares[some]], pa.binary()))
+
+    rows = found.rows.groupBy(*others, *ch.PLACE).applyInArrow(normalize, found.schema())
+    return ch.Chunks(rows, masks.shape, masks.size, masks.kind, masks.keys)
+
+
+def labelled_chunks(parts: DataFrame, layout: ch.Layout, weights: ch.Chunks, psfs: dict[str, np.ndarray], algorithm: str = "RichardsonLucy", **settings) -> ch.Chunks:
+    """Deconvolves every chunk with the PSFs of the groups that it holds, and of no others,
+    and sums by their weights, keyed by (image_id, group); 0 where no group reaches. psfs: by
+    group, a configuration."""
+    run = _filter(parts.sparkSession, psfs, algorithm, settings)
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"image_id": pa.array([], pa.int64()), **{c: pa.array([], pa.int32()) for c in ch.PLACE}, "data": pa.array([], pa.binary())})
+        place, cube = ch.assembled(left, layout, ch.REAL)
+        total = np.zeros(layout.extent(place)[::-1])
+        for group, data in zip(right["group"].to_pylist(), right["data"]):
+            total += ch.core(run(cube, group), place, layout) * np.frombuffer(data.as_buffer()).reshape(total.shape)
+        return left.slice(0, 1).select(["image_id", *ch.PLACE]).append_column("data", pa.array([total.tobytes()], pa.binary()))
+
+    known = weights.rows.where(F.col("group").isin(list(psfs)))
+    keys = ["image_id", *ch.PLACE]
+    rows = parts.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInArrow(work, "image_id long, cx int, cy int, cz int, data binary")
+    return ch.Chunks(rows, layout.shape, layout.size)
+
+
+def labelled(volume: Volume, value: str, weights: DataFrame, psfs: dict[str, np.ndarray], algorithm: str = "RichardsonLucy", tile: Shape | None = None, halo: Halo = NO_HALO, fill: str = "zero", **settings) -> DataFrame:
+    """labelled_chunks() of voxel rows and of weights (image_id, x, y, z, group, weight)."""
+    chunks = ch.from_voxels(volume, value, tile or volume.shape)
+    layout = ch.Layout(chunks.shape, chunks.size, *halo, fill)
+    own = ch.from_voxels(Volume(weights, volume.shape), "weight", chunks.size, ("image_id", "group"))
+    return ch.to_voxels(labelled_chunks(ch.pieces(chunks, layout), layout, own, psfs, algorithm, **settings), value).voxels.select(*KEYS, value)

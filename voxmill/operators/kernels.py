@@ -4,7 +4,6 @@ All are pure; convolution is circular on the cube."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 
@@ -22,10 +21,17 @@ def otf(psf: np.ndarray, shape: tuple[int, int, int]) -> np.ndarray:
     return np.fft.rfftn(np.roll(cube, [-(s + p // 2) for s, p in zip(start, psf.shape)], axis=(0, 1, 2)))
 
 
-@lru_cache(maxsize=2)
-def cached_otf(psf: bytes, psf_shape: tuple[int, int, int], shape: tuple[int, int, int]) -> np.ndarray:
-    """otf() of a PSF's bytes, kept by the worker for its next tiles."""
-    return otf(np.frombuffer(psf).reshape(psf_shape), shape)
+_OTFS: dict[tuple, np.ndarray] = {}
+
+
+def cached_otf(key: str, psf: Callable[[], np.ndarray], shape: tuple[int, int, int]) -> np.ndarray:
+    """otf() of a PSF known by a key, kept by the worker for its next chunks; at most four
+    are kept."""
+    if (key, shape) not in _OTFS:
+        while len(_OTFS) >= 4:
+            del _OTFS[next(iter(_OTFS))]
+        _OTFS[key, shape] = otf(psf(), shape)
+    return _OTFS[key, shape]
 
 
 def apply(f: np.ndarray, h: np.ndarray) -> np.ndarray:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxmill.volume import KEYS, Volume
+from voxmill import chunks as ch
+from voxmill.volume import KEYS, Shape, Volume
 
 BOX = ("x", "y", "z", "w", "h", "d")
 
@@ -64,13 +69,19 @@ def holds(label: Column, lo: Column, hi: Column) -> Column:
     return (lo <= label) & (hi.isNull() | (label < hi) | ((lo == hi) & (label == lo)))
 
 
-LEVELS = 62
+#: Labels and bounds are moved up by OFFSET, so that spans count from 0; labels beyond it on
+#: either side, and bounds, are taken for it.
+LEVELS, OFFSET = 62, 1 << 61
+
+
+def _moved(place: Column) -> Column:
+    return F.least(F.greatest(place.cast("long"), F.lit(-OFFSET)), F.lit(OFFSET - 1)) + F.lit(OFFSET)
 
 
 def _spans(lo: Column, hi: Column) -> Column:
     """[lo, hi) as spans of numbers that share all but their last `level` bits, at most
     two of a level: an array of (level, prefix)."""
-    end = F.when(hi.isNull(), F.lit(1 << LEVELS)).when(hi == lo, lo + 1).otherwise(hi)
+    end = F.when(hi.isNull(), F.lit(1 << LEVELS)).when(hi == lo, _moved(lo) + 1).otherwise(_moved(hi))
     span = lambda level, prefix: F.array(F.struct(level.cast("int").alias("level"), prefix.cast("long").alias("prefix")))
     none = F.array().cast("array<struct<level:int,prefix:bigint>>")
 
@@ -80,7 +91,7 @@ def _spans(lo: Column, hi: Column) -> Column:
         out = F.concat(s["out"], F.when(left, span(level, s["a"])).otherwise(none), F.when(right & (s["b"] - 1 >= s["a"] + left.cast("long")), span(level, s["b"] - 1)).otherwise(none))
         return F.struct(F.shiftright(s["a"] + left.cast("long"), 1).alias("a"), F.shiftright(s["b"] - right.cast("long"), 1).alias("b"), out.alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), F.struct(lo.cast("long").alias("a"), end.cast("long").alias("b"), none.alias("out")), climb, lambda s: s["out"])
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), F.struct(_moved(lo).alias("a"), end.cast("long").alias("b"), none.alias("out")), climb, lambda s: s["out"])
 
 
 def look_up(labels: DataFrame, ranges: DataFrame, most_ranges: int = 10_000) -> DataFrame:
@@ -96,7 +107,7 @@ def look_up(labels: DataFrame, ranges: DataFrame, most_ranges: int = 10_000) ->
     else:
         cut = ranges.select("ordinal", "values", F.explode(_spans(F.col("lo"), F.col("hi"))).alias("s")).select("ordinal", "values", "s.*")
         levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
-        reach = distinct.where("label >= 0").select("label", levels.alias("level")).withColumn("prefix", F.expr("shiftright(cast(label as bigint), level)"))
+        reach = distinct.select("label", _moved(F.col("label")).alias("_at"), levels.alias("level")).withColumn("prefix", F.expr("shiftright(_at, level)")).drop("_at")
         found = reach.join(cut, ["level", "prefix"])
     return labels.join(found.groupBy("label").agg(F.min_by("values", "ordinal").alias("values")), "label", "left")
 
@@ -115,25 +126,51 @@ def blend(parts: DataFrame, value: str = "v", weight: str = "weight") -> DataFra
     return parts.groupBy(*KEYS).agg((F.sum(F.col(weight) * F.col(value)) / (F.sum(weight) + 1e-6)).alias(value))
 
 
-def feathered(masks: Volume, radius: int) -> DataFrame:
-    """Weights 1 - min(distance to the mask, radius) / radius from exact distances. The
-    least squared distance is found axis by axis: places take the least, over their
-    line, of what is known there and the squared step; 2 radius - 1 copies an axis."""
-    rows = masks.voxels.where("weight > 0").select(*KEYS, "group", F.lit(0).alias("r"))
-    steps = F.explode(F.sequence(F.lit(1 - radius), F.lit(radius - 1)))
-    for c, n in zip("xyz", masks.shape):
-        moved = rows.select("image_id", "group", *(F.col(k) for k in "xyz" if k != c), F.col(c).alias("from"), "r", steps.alias("step"))
-        moved = moved.withColumn(c, F.col("from") + F.col("step")).withColumn("r", F.col("r") + F.col("step") * F.col("step"))
-        rows = moved.where(F.col(c).between(0, n - 1) & (F.col("r") < radius * radius)).groupBy(*KEYS, "group").agg(F.min("r").alias("r"))
-    return rows.select(*KEYS, "group", (1 - F.sqrt(F.col("r").cast("double")) / radius).alias("weight"))
+def feathered(masks: Volume, radius: int, background: str | None = None, size: Shape = (64, 64, 64)) -> DataFrame:
+    """Weights 1 - min(distance to the mask, radius) / radius of masks by (image_id, group),
+    from exact distances whose cost doesn't grow with the radius; rows where weights are
+    above 0. background: a group that gets, everywhere, what the others' sum leaves of 1."""
+    rows = masks.voxels.where("weight > 0").select("group", *KEYS, "weight")
+    far = ch.squared_distances(ch.from_voxels(Volume(rows, masks.shape), "weight", size, ("image_id", "group")))
+    near = ch.map_chunks(far, lambda cube, _: 1 - np.minimum(np.sqrt(cube), radius) / radius)
+    found = ch.to_voxels(near, "weight").voxels.where("weight > 0").select(*KEYS, "group", "weight")
+    if background is None:
+        return found
+    others = found.unionByName(masks.voxels.select(*KEYS).distinct().select(*KEYS, F.lit(None).cast("string").alias("group"), F.lit(0.0).alias("weight")))
+    rest = others.groupBy(*KEYS).agg((1 - F.sum("weight")).alias("weight")).select(*KEYS, F.lit(background).alias("group"), "weight")
+    return found.unionByName(rest)
+
+
+def mask_chunks(labels: ch.Chunks, ranges: DataFrame) -> ch.Chunks:
+    """Masks by (image_id, group) of label chunks, group being the values of the first range
+    that holds a label, joined by commas. Each chunk's distinct labels meet the ranges."""
+    kind, keys = np.dtype(labels.kind), [*labels.keys, *ch.PLACE]
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, data in enumerate(batch.column("data")):
+                own = np.unique(np.frombuffer(data.as_buffer(), kind).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*(pa.concat_arrays([batch.column(k).slice(i, 1)] * len(own)) for k in keys), pa.array(own)], names=[*keys, "label"])
+
+    def mask(left: pa.Table, right: pa.Table) -> pa.Table:
+        cube = np.frombuffer(left["data"][0].as_buffer(), kind).astype(np.int64)
+        groups: dict[str, list[int]] = {}
+        for label, group in zip(right["label"].to_pylist(), right["group"].to_pylist()):
+            groups.setdefault(group, []).append(label)
+        row = left.slice(0, 1)
+        columns = {k: pa.concat_arrays(row[k].chunks * len(groups)) if groups else row[k].slice(0, 0) for k in keys}
+        data = [np.isin(cube, own).astype(np.float64).tobytes() for own in groups.values()]
+        return pa.table({**columns, "group": pa.array(list(groups), pa.string()), "data": pa.array(data, pa.binary())}).select([*labels.keys, "group", *ch.PLACE, "data"])
+
+    kinds = labels.schema().removesuffix(", data binary")
+    sets = labels.rows.select(*keys, "data").mapInArrow(distinct, f"{kinds}, label long")
+    known = look_up(sets, ranges).where(F.col("values").isNotNull()).select(*keys, "label", F.array_join("values", ",").alias("group"))
+    named = kinds.split(", cx int")[0]
+    rows = labels.rows.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInArrow(mask, f"{named}, group string, cx int, cy int, cz int, data binary")
+    return ch.Chunks(rows, labels.shape, labels.size, ch.REAL, (*labels.keys, "group"))
 
 
 def last_psf(psfs: DataFrame, groups: DataFrame) -> DataFrame:
     """The PSF that a group ends up with: the last of its ids that exists."""
     named = groups.select("group_id", F.posexplode("values").alias("at", "psf_id"))
     return named.join(psfs, "psf_id").withColumn("r", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("at")))).where("r = 1").drop("r", "at")
-
-
-def missing_psfs(psfs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(psf_id): ids that groups name and no PSF has."""
-    return groups.select(F.explode("values").alias("psf_id")).distinct().join(psfs, "psf_id", "left_anti")
