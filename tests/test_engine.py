@@ -14,7 +14,7 @@ from voxmill.operators import deconvolution as dec
 from voxmill.operators import geometry as geo
 from voxmill.operators import kernels, regions, stencils
 from voxmill.plans import psf, tiles
-from voxmill.sources import config, tiff
+from voxmill.sources import config, tiff, tiff_sink, tiff_source
 from voxmill.streaming.watch import watch
 from voxmill.volume import Volume
 
@@ -153,13 +153,16 @@ def test_lzw():
 def test_tiff_files(spark, tmp_path):
     g = cube((3, 5, 7)).astype(np.float32)
     v = to_volume(spark, g)
-    assert tiff.write_tiff(tiff.encode_slices(v.voxels, "v", v.shape), f"file://{tmp_path}/t").count() == 1
+    assert tiff_sink.write_tiff(tiff_sink.encode_slices(v.voxels, "v", v.shape), f"file://{tmp_path}/t").count() == 1
     assert (tmp_path / "t" / "0.tiff").read_bytes() == tiff.encode(g)
-    rows = tiff.read_tiff(spark, f"{tmp_path}/t", z=(1, 3)).toPandas()
+    assert [p.name for p in (tmp_path / "t").iterdir()] == ["0.tiff"]
+    rows = tiff_source.read_tiff(spark, f"{tmp_path}/t", z=(1, 3)).toPandas()
     assert sorted(rows["z"].unique()) == [1, 2] and np.allclose(rows["v"], g[rows["z"], rows["y"], rows["x"]])
     assert len(rows) == 2 * 5 * 7
-    rows = tiff.read_tiff(spark, f"{tmp_path}/t", z=(0, 9), y=(-3, 2), x=(5, 99)).toPandas()
+    rows = tiff_source.read_tiff(spark, f"{tmp_path}/t", z=(0, 9), y=(-3, 2), x=(5, 99)).toPandas()
     assert len(rows) == 3 * 2 * 2 and np.allclose(rows["v"], g[rows["z"], rows["y"], rows["x"]])
+    ids = {r["image_id"] for r in tiff_source.list_files(spark, f"{tmp_path}/t").collect()}
+    assert set(rows["image_id"]) == ids == {tiff_source.image_id(f"file:{tmp_path}/t/0.tiff")}
 
 
 @pytest.mark.parametrize("kind", ["u1", "u2"])

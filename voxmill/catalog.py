@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill import engine
+from voxmill import chunks, engine
 from voxmill.functions import text
 from voxmill.operators import arithmetic as ar
 from voxmill.operators import deconvolution as dec
@@ -21,7 +21,7 @@ from voxmill.operators import reductions as red
 from voxmill.operators import regions as reg
 from voxmill.operators import stencils as st
 from voxmill.plans import psf, tiles
-from voxmill.sources import shared, tiff
+from voxmill.sources import shared, tiff, tiff_sink, tiff_source
 from voxmill.volume import KEYS, Volume, voxelize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -725,34 +725,64 @@ def plan_tiles_without_padding(spark, sf):
 def _files(spark, v: Volume, **how) -> str:
     """A folder of the volume's images as TIFF files, named by their ids."""
     folder = shared.new_folder(spark, "tiff")
-    tiff.write_tiff(tiff.encode_slices(v.voxels, "a", v.shape, **how), folder).count()
+    tiff_sink.write_tiff(tiff_sink.encode_slices(v.voxels, "a", v.shape, **how), folder)
     return folder
 
 
-def _from_files(rows: DataFrame) -> DataFrame:
-    return rows.select(text.stem(F.col("path")).cast("long").alias("image_id"), "x", "y", "z", "v")
+def _from_files(spark, folder: str, rows: DataFrame) -> DataFrame:
+    ids = tiff_source.list_files(spark, folder).select("image_id", text.stem(F.col("path")).cast("long").alias("own"))
+    return rows.join(ids, "image_id").select(F.col("own").alias("image_id"), *(c for c in rows.columns if c != "image_id"))
 
 
 @query(VOL + " SELECT image_id, x, y, z, CAST(a AS FLOAT) AS v FROM vol")
 def tiff_roundtrip(spark, sf):
-    return _from_files(tiff.read_tiff(spark, _files(spark, volume(spark, sf), compression=tiff.DEFLATE, level=1, tile=(16, 16))))
+    folder = _files(spark, volume(spark, sf), compression=tiff.DEFLATE, level=1, tile=(16, 16))
+    return _from_files(spark, folder, tiff_source.read_tiff(spark, folder))
 
 
 @query(VOL + " SELECT image_id, x, y, z, CAST(a AS FLOAT) AS v FROM vol")
 def tiff_predictor(spark, sf):
     """Whole numbers of 16 bits, written as differences along rows."""
-    return _from_files(tiff.read_tiff(spark, _files(spark, volume(spark, sf), compression=tiff.LZW, kind="u2")))
+    folder = _files(spark, volume(spark, sf), compression=tiff.LZW, kind="u2")
+    return _from_files(spark, folder, tiff_source.read_tiff(spark, folder))
 
 
 @query(VOL + " SELECT image_id, x, y, z, CAST(a AS FLOAT) AS v FROM vol WHERE x BETWEEN 3 AND 13 AND y BETWEEN 4 AND 10 AND z BETWEEN 1 AND 2")
 def tiff_region(spark, sf):
-    return _from_files(tiff.read_tiff(spark, _files(spark, volume(spark, sf), tile=(8, 4)), z=(1, 3), y=(4, 11), x=(3, 14)))
+    folder = _files(spark, volume(spark, sf), tile=(8, 4))
+    return _from_files(spark, folder, tiff_source.read_tiff(spark, folder, z=(1, 3), y=(4, 11), x=(3, 14)))
+
+
+@query(VOL + " SELECT image_id, x, y, z, CAST(a AS FLOAT) AS v FROM vol WHERE z = 3 AND x < 9 AND y >= 5 AND x + y <> 9")
+def tiff_pushdown(spark, sf):
+    """Filters in SQL; those on one coordinate prune slices and blocks of the files."""
+    folder = _files(spark, volume(spark, sf), tile=(4, 4))
+    tiff_source.register(spark)
+    return _from_files(spark, folder, spark.read.format("tiff").load(folder).where("z = 3 AND x < 9 AND y >= 5 AND x + y <> 9"))
+
+
+@query(VOL + " SELECT image_id, x, y, z, CAST(4 AS INTEGER) AS w, CAST(4 AS INTEGER) AS h, CAST(64 AS BIGINT) AS bytes FROM vol WHERE z = 3 AND x < 9 AND x % 4 = 0 AND y % 4 = 0")
+def tiff_block_rows(spark, sf):
+    """Blocks as binary rows; only those that the filter keeps are read."""
+    folder = _files(spark, volume(spark, sf), tile=(4, 4))
+    tiff_source.register(spark)
+    rows = spark.read.format("tiff").option("rows", "blocks").load(folder).where("z = 3 AND x < 9")
+    return _from_files(spark, folder, rows.drop("path", "data"))
+
+
+@query(VOL + " SELECT image_id, x, y, z, CAST(a AS FLOAT) AS v FROM vol")
+def tiff_slabs(spark, sf):
+    """Chunks to files without voxel rows, a slice a task."""
+    v = volume(spark, sf)
+    folder = shared.new_folder(spark, "tiff")
+    tiff_sink.write_tiff(tiff_sink.encode_chunks(chunks.from_voxels(v, "a", (6, 5, 3)), compression=tiff.DEFLATE), folder, slab=1)
+    return _from_files(spark, folder, tiff_source.read_tiff(spark, folder))
 
 
 @query(VOL + " SELECT image_id, z, CAST(4 AS INTEGER) AS depth, CAST(16 AS INTEGER) AS width, CAST(16 AS INTEGER) AS height, CAST(1 AS INTEGER) AS channels, CAST(1 AS INTEGER) AS samples FROM vol WHERE x = 0 AND y = 0")
 def tiff_metadata(spark, sf):
     """What the directories of files say; no voxel is read."""
-    found = tiff.list_slices(spark, _files(spark, volume(spark, sf)))
+    found = tiff_source.list_slices(spark, _files(spark, volume(spark, sf)))
     return found.select(text.stem(F.col("path")).cast("long").alias("image_id"), "z", "depth", "width", "height", "channels", "samples")
 
 
@@ -767,5 +797,5 @@ def _mirrored_sql(c: str, lo: int, hi: int, missing: int) -> str:
 def tiff_halo_read(spark, sf):
     """A box with a halo that reaches beyond the image on three sides."""
     v = volume(spark, sf)
-    image = text.stem(F.col("path")).cast("long")
-    return engine.read_box(spark, _files(spark, v), v.shape, (0, 10, 1), (8, 6, 2), (2, 2, 1), (3, 3, 2), "mirror", image=image).voxels
+    folder = _files(spark, v)
+    return _from_files(spark, folder, engine.read_box(spark, folder, v.shape, (0, 10, 1), (8, 6, 2), (2, 2, 1), (3, 3, 2), "mirror").voxels)

@@ -9,15 +9,15 @@ from pathlib import PurePosixPath
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxmill import chunks
 from voxmill.functions import text
-from voxmill.operators import deconvolution, geometry, kernels, reductions, regions
+from voxmill.operators import deconvolution, geometry, kernels, regions
 from voxmill.plans import psf as models
 from voxmill.plans import tiles
-from voxmill.sources import config, tiff
+from voxmill.sources import config, tiff, tiff_sink, tiff_source
 from voxmill.volume import KEYS, Shape, Volume
 
 SETTINGS = {"iterations": "iterations", "lambda": "weight", "epsilon": "epsilon"}
@@ -43,11 +43,13 @@ class Result:
     seconds: float
 
 
-def to_cube(volume: Volume, value: str = "v") -> np.ndarray:
-    """A PSF on the driver; its configured size bounds it."""
-    out = np.zeros(volume.shape[::-1])
-    rows = volume.voxels.select("x", "y", "z", value).toPandas()
-    out[rows["z"], rows["y"], rows["x"]] = rows[value]
+def to_cube(own: chunks.Chunks) -> np.ndarray:
+    """A PSF on the driver, which sends it to all tasks; the extent of a tile bounds it."""
+    layout, out = chunks.Layout(own.shape, own.size), np.zeros(own.shape[::-1])
+    for row in own.rows.select(*chunks.PLACE, "data").collect():
+        place = tuple(row[c] for c in chunks.PLACE)
+        at = tuple(slice(a, a + n) for a, n in zip(layout.start(place)[::-1], layout.extent(place)[::-1]))
+        out[at] = np.frombuffer(row["data"], own.kind).reshape(layout.extent(place)[::-1])
     return out
 
 
@@ -59,17 +61,18 @@ def make_psf(spark: SparkSession, values: dict[str, Any], shape: Shape | None =
     """A PSF from its configuration, at its configured shape or another; its halo is
     that of the configured one."""
     model, v, own = models.model(values), models.DEFAULTS | values, models.configured_shape(values)
-    return Psf(psf_name(values), to_cube(model.make(spark, v, shape or own)), model.halo(strategy, v, own) or (0, 0, 0))
+    made = model.make(spark, v, shape or own)
+    planes = chunks.from_voxels(made, "v", (*made.shape[:2], 1))
+    return Psf(psf_name(values), to_cube(planes), model.halo(strategy, v, own) or (0, 0, 0))
 
 
-def read_box(spark: SparkSession, path: str, shape: Shape, start: Shape, extent: Shape, before: Shape, after: Shape, fill: str = "zero", channel: int = 0, image: Column | None = None) -> Volume:
+def read_box(spark: SparkSession, path: str, shape: Shape, start: Shape, extent: Shape, before: Shape, after: Shape, fill: str = "zero", channel: int = 0) -> Volume:
     """The box at start of images of a shape, with a halo: from the image where it has
-    it, else by the fill. Only blocks of the file that the box touches are read. image:
-    the id, from the column path; else its hash."""
+    it, else by the fill. Only blocks of the file that the box touches are read."""
     lo = [max(0, s - b) for s, b in zip(start, before)]
     hi = [min(n, s + e + a) for n, s, e, a in zip(shape, start, extent, after)]
     x, y, z = zip(lo, hi)
-    rows = tiff.read_tiff(spark, path, channel, z=z, y=y, x=x).select((F.xxhash64("path") if image is None else image).alias("image_id"), *((F.col(c) - a).alias(c) for c, a in zip("xyz", lo)), F.col("v").cast("double").alias("v"))
+    rows = tiff_source.read_tiff(spark, path, channel, z=z, y=y, x=x).select("image_id", *((F.col(c) - a).alias(c) for c, a in zip("xyz", lo)), F.col("v").cast("double").alias("v"))
     missing = [max(0, b - s) for s, b in zip(start, before)], [max(0, s + e + a - n) for n, s, e, a in zip(shape, start, extent, after)]
     return geometry.pad(Volume(rows, tuple(b - a for a, b in zip(lo, hi))), *map(tuple, missing), fill)
 
@@ -77,11 +80,11 @@ def read_box(spark: SparkSession, path: str, shape: Shape, start: Shape, extent:
 def read_psf(spark: SparkSession, path: str, relative_max: float) -> Psf:
     """A PSF from a file, named by its stem; its halo is the bounding box of values
     above a share of its maximum."""
-    rows = tiff.read_tiff(spark, path).withColumn("image_id", F.lit(0).cast("long"))
-    shape = tuple(n + 1 for n in rows.agg(F.max("x"), F.max("y"), F.max("z")).first())
-    volume = Volume(rows.select(*KEYS, F.col("v").cast("double").alias("v")), shape)
-    cube = to_cube(volume)
-    return Psf(PurePosixPath(path).stem, cube, tuple(reductions.region_above(volume, "v", relative_max * float(cube.max())).first()[1:]))
+    shape = _shape(tiff_source.list_slices(spark, path), "a point-spread function")
+    layout = chunks.Layout(shape, (*shape[:2], 1))
+    cube = to_cube(chunks.gather(tiff_source.read_pieces(spark, path, layout), layout, lambda c, _: c))
+    above = np.nonzero(cube > relative_max * float(cube.max()))
+    return Psf(PurePosixPath(path).stem, cube, tuple(int(np.ptp(i)) + 1 if len(i) else 0 for i in above[::-1]))
 
 
 def weights(masks: Volume, kernel: np.ndarray, tile: Shape | None = None, halo: deconvolution.Halo = deconvolution.NO_HALO, fill: str = "zero") -> DataFrame:
@@ -125,13 +128,12 @@ def _shape(slices: DataFrame, what: str) -> Shape:
     return tuple(shapes[0])
 
 
-def restore(spark: SparkSession, setup: dict[str, Any], own: dict[str, Any], memory: int = 1 << 30, parallel: int = 1) -> tuple[Volume, list[Psf]]:
-    """Reads the images, plans and deconvolves; also the PSFs. Those from configurations
-    are made at the padded shape of tiles; their configured shape counts for the halo and
-    the least tile. Of several PSFs the last one counts; with a label image each range of
-    labels has its own."""
-    rows = tiff.read_tiff(spark, setup["image_path"]).withColumn("image_id", F.xxhash64("path"))
-    volume = Volume(rows.select(*KEYS, F.col("v").cast("double").alias("v")), _shape(tiff.list_slices(spark, setup["image_path"]), "images of one run"))
+def restore(spark: SparkSession, setup: dict[str, Any], own: dict[str, Any], memory: int = 1 << 30, parallel: int = 1) -> tuple[chunks.Chunks, list[Psf]]:
+    """Reads the images, plans and deconvolves, chunk by chunk; also the PSFs. Those from
+    configurations are made at the padded shape of tiles; their configured shape counts for
+    the halo and the least tile. Of several PSFs the last one counts; with a label image each
+    range of labels has its own."""
+    shape = _shape(tiff_source.list_slices(spark, setup["image_path"]), "images of one run")
     made = config.read_psfs(setup["multiple_psf_config_paths"])
     read = [read_psf(spark, path, own["padding_relative_max"]) for path in setup["psf_file_paths"]]
     if not made and not read:
@@ -139,33 +141,43 @@ def restore(spark: SparkSession, setup: dict[str, Any], own: dict[str, Any], mem
     if own["algorithm_name"] not in kernels.ALGORITHMS:
         raise ValueError(f"algorithm_name must be one of {sorted(kernels.ALGORITHMS)}")
     halos = [models.model(v).halo(own["padding_strategy"], models.DEFAULTS | v, models.configured_shape(v)) or (0, 0, 0) for v in made]
-    tile, halo = plan(volume.shape, [*halos, *(p.halo for p in read)], [*map(models.configured_shape, made), *(p.shape for p in read)], own, memory, parallel)
-    full = tuple(t + a + b for t, a, b in zip(tile, *halo))
-    psfs = [*(make_psf(spark, v, full, own["padding_strategy"]) for v in made), *read]
+    tile, halo = plan(shape, [*halos, *(p.halo for p in read)], [*map(models.configured_shape, made), *(p.shape for p in read)], own, memory, parallel)
+    layout = chunks.Layout(shape, tile, *halo, own["padding_fill"])
+    psfs = [*(make_psf(spark, v, layout.full, own["padding_strategy"]) for v in made), *read]
     settings = {v: own[k] for k, v in SETTINGS.items() if k != "epsilon" or own["algorithm_name"] == "InverseFilter"}
-    common = {"algorithm": own["algorithm_name"], "tile": tile, "halo": halo, "fill": own["padding_fill"], **settings}
+    parts = tiff_source.read_pieces(spark, setup["image_path"], layout)
     if not setup["labeled_image"]:
-        return deconvolution.deconvolve(volume, "v", psfs[-1].cube, **common), psfs
-    slices = tiff.list_slices(spark, setup["labeled_image"])
-    if _shape(slices, "label images") != volume.shape:
+        return deconvolution.deconvolve_pieces(parts, layout, psfs[-1].cube, own["algorithm_name"], **settings), psfs
+    found = label_weights(spark, setup, shape, tile)
+    named = {p.name: p.cube for p in psfs}
+    groups = sorted(r[0] for r in _ranges(spark, setup).select(F.array_join("values", ",")).distinct().collect())  # a configuration's label groups
+    for missing in sorted({n for g in groups for n in g.split(",")} - named.keys()):
+        warnings.warn(f"no point-spread function is named {missing!r}", stacklevel=2)
+    last = {g: [named[n] for n in g.split(",") if n in named][-1:] for g in groups}
+    # one label image serves all images of the run
+    places = [F.explode(F.sequence(F.lit(0), F.lit(len(chunks.edges(n, t)) - 2))).alias(c) for n, t, c in zip(shape, tile, chunks.PLACE)]
+    tiles_of = tiff_source.list_files(spark, setup["image_path"]).select("image_id", places[0]).select("*", places[1]).select("*", places[2])
+    rows = tiles_of.join(found.rows.drop("image_id"), chunks.PLACE).select("image_id", "group", *chunks.PLACE, "data")
+    shared = chunks.Chunks(rows, shape, found.size, found.kind, found.keys)
+    return deconvolution.labelled_chunks(parts, layout, shared, {g: c[0] for g, c in last.items() if c}, own["algorithm_name"], **settings), psfs
+
+
+def _ranges(spark: SparkSession, setup: dict[str, Any]) -> DataFrame:
+    parsed = spark.range(1).select(F.posexplode(text.parse_ranges(F.lit(setup["label_psf_map"]))).alias("ordinal", "r"))
+    return regions.add_ranges(parsed.select("ordinal", "r.lo", "r.hi", F.explode("r.values").alias("value")))
+
+
+def label_weights(spark: SparkSession, setup: dict[str, Any], shape: Shape, tile: Shape) -> chunks.Chunks:
+    """Feathered weights of the label image's groups, in the tiles that each group reaches."""
+    slices = tiff_source.list_slices(spark, setup["labeled_image"])
+    if _shape(slices, "label images") != shape:
         raise ValueError("the label image has another shape than the images")
     if slices.select("path").distinct().limit(2).count() > 1:
         raise ValueError("one label image serves a run")
-    labels = tiff.read_tiff(spark, setup["labeled_image"]).select("x", "y", "z", F.col("v").cast("long").alias("label"))
-    parsed = spark.range(1).select(F.posexplode(text.parse_ranges(F.lit(setup["label_psf_map"]))).alias("ordinal", "r"))
-    ranges = regions.add_ranges(parsed.select("ordinal", "r.lo", "r.hi", F.explode("r.values").alias("value")))
-    labelled = volume.voxels.join(labels, ["x", "y", "z"])
-    named = {p.name: p.cube for p in psfs}
-    masks = regions.mask_groups(labelled.select(*KEYS, "label"), ranges).withColumn("group", F.array_join("values", ",")).select(*KEYS, "group", "weight")
-    names = sorted(r[0] for r in masks.select("group").distinct().collect())  # a configuration's label groups
-    for missing in sorted({n for g in names for n in g.split(",")} - named.keys()):
-        warnings.warn(f"no point-spread function is named {missing!r}", stacklevel=2)
-    groups = {g: [named[n] for n in g.split(",") if n in named][-1:] for g in names}
-    kernel = feathering(volume.shape)
+    layout = chunks.Layout(shape, tile)
+    labels = chunks.gather(tiff_source.read_pieces(spark, setup["labeled_image"], layout), layout, lambda c, _: c)
     # masks go on beyond the edges as labels do, mirrored
-    reach = tuple(n // 2 for n in kernel.shape[::-1])
-    blurred = weights(Volume(masks, volume.shape), kernel, tile=tile, halo=(reach, reach), fill="mirror")
-    return volume.with_(deconvolution.labelled(volume, "v", blurred, {g: c[0] for g, c in groups.items() if c}, **common)), psfs
+    return deconvolution.blurred_weights(regions.mask_chunks(labels, _ranges(spark, setup)), feathering(shape), "mirror")
 
 
 COMPRESSIONS = {"none": tiff.NONE, "lzw": tiff.LZW, "deflate": tiff.DEFLATE, "zip": tiff.DEFLATE, "1": tiff.NONE, "5": tiff.LZW, "8": tiff.DEFLATE}
@@ -173,11 +185,11 @@ COMPRESSIONS = {"none": tiff.NONE, "lzw": tiff.LZW, "deflate": tiff.DEFLATE, "zi
 
 def save_psf(spark: SparkSession, psf: Psf, folder: str) -> str:
     """Writes a PSF, whose shape bounds it, as folder/<name>.tiff."""
-    w, h, d = psf.shape
-    z, y, x = (i.ravel().tolist() for i in np.indices((d, h, w)))
-    rows = spark.createDataFrame(list(zip([0] * len(x), x, y, z, psf.cube.ravel().tolist())), "image_id long, x int, y int, z int, v double")
+    planes = [(0, 0, 0, z, plane.astype(chunks.REAL).tobytes()) for z, plane in enumerate(psf.cube)]
+    rows = spark.createDataFrame(planes, "image_id long, cx int, cy int, cz int, data binary")
+    own = chunks.Chunks(rows, psf.shape, (*psf.shape[:2], 1))
     names = spark.createDataFrame([(0, psf.name)], "image_id long, name string")
-    return tiff.write_tiff(tiff.encode_slices(rows, "v", psf.shape), folder, names).first()["path"]
+    return tiff_sink.write_tiff(tiff_sink.encode_chunks(own), folder, names).first()["path"]
 
 
 def run(spark: SparkSession, path: str, parallel: int = 1) -> Result:
@@ -186,11 +198,14 @@ def run(spark: SparkSession, path: str, parallel: int = 1) -> Result:
     try:
         setup, own = config.read_json(path)
         out, psfs = restore(spark, setup, own, int(setup["max_mem_host_gb"] * (1 << 30)) or 1 << 30, parallel)
-        how = COMPRESSIONS.get(setup["output_compression"].lower(), tiff.NONE)
+        how = COMPRESSIONS.get(setup["output_compression"].lower())
+        if how is None:
+            warnings.warn(f"unknown compression {setup['output_compression']!r}: none is used", stacklevel=2)
+            how = tiff.NONE
         tile = (setup["tile_width"], setup["tile_length"]) if setup["tile_width"] and setup["tile_length"] else None
-        slices = tiff.encode_slices(out.voxels, "v", out.shape, how, setup["output_compression_level"], tile)
-        paths = tiff.list_slices(spark, setup["image_path"]).select(F.xxhash64("path").alias("image_id"), "path").distinct()
-        n = tiff.write_tiff(slices, setup["output"], image_names(paths)).count()
+        slices = tiff_sink.encode_chunks(out, how, setup["output_compression_level"], tile)
+        paths = tiff_source.list_files(spark, setup["image_path"]).select("image_id", "path")
+        n = tiff_sink.write_tiff(slices, setup["output"], image_names(paths)).count()
         if setup["save_psf"]:
             for psf in psfs:
                 save_psf(spark, psf, setup["output"])

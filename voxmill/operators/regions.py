@@ -144,7 +144,7 @@ def feathered(masks: Volume, radius: int, background: str | None = None, size: S
 def mask_chunks(labels: ch.Chunks, ranges: DataFrame) -> ch.Chunks:
     """Masks by (image_id, group) of label chunks, group being the values of the first range
     that holds a label, joined by commas. Each chunk's distinct labels meet the ranges."""
-    kind, keys = np.dtype(labels.kind), [*labels.keys, *ch.PLACE]
+    kind, own_keys, keys = np.dtype(labels.kind), list(labels.keys), [*labels.keys, *ch.PLACE]
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +160,7 @@ def mask_chunks(labels: ch.Chunks, ranges: DataFrame) -> ch.Chunks:
         row = left.slice(0, 1)
         columns = {k: pa.concat_arrays(row[k].chunks * len(groups)) if groups else row[k].slice(0, 0) for k in keys}
         data = [np.isin(cube, own).astype(np.float64).tobytes() for own in groups.values()]
-        return pa.table({**columns, "group": pa.array(list(groups), pa.string()), "data": pa.array(data, pa.binary())}).select([*labels.keys, "group", *ch.PLACE, "data"])
+        return pa.table({**columns, "group": pa.array(list(groups), pa.string()), "data": pa.array(data, pa.binary())}).select([*own_keys, "group", *ch.PLACE, "data"])
 
     kinds = labels.schema().removesuffix(", data binary")
     sets = labels.rows.select(*keys, "data").mapInArrow(distinct, f"{kinds}, label long")

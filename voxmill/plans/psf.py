@@ -131,8 +131,3 @@ def model(values: dict) -> Model:
 def configured_shape(values: dict) -> Shape:
     v = DEFAULTS | values
     return tuple(int(v[f"size_{c}"]) for c in "xyz")
-
-
-def with_shape(values: dict, shape: Shape) -> dict:
-    """The configuration with extents of at least the shape's."""
-    return values | {f"size_{c}": max(n, m) for c, n, m in zip("xyz", configured_shape(values), shape)}

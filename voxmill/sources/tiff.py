@@ -1,30 +1,19 @@
-"""TIFF volumes: a small codec and the Spark reads and writes around it.
-
-Files are listed by Spark's binaryFile source, without their contents. A task per
-group of slices then reads the directories and the blocks that it needs by ranges, so
-files may be larger than a task's memory. A box prunes slices at the plan, and strips
-and tiles outside it before they are read. Writes compress each slice in a row of its
-own, find the places of all blocks with a windowed sum, and stream the slices of an
-image in their order into its file."""
+"""A small TIFF codec: directories, and blocks of slices by ranges of a file's bytes."""
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
 
 #: Fixed values of the format: tag numbers, and bytes of field types.
 WIDTH, LENGTH, BITS, COMPRESSION, DESCRIPTION, STRIPS, SAMPLES, ROWS, STRIP_BYTES = 256, 257, 258, 259, 270, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILES, TILE_BYTES, FORMAT = 284, 317, 322, 323, 324, 325, 339
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 16: 8}
-NONE, LZW, DEFLATE, OLD_DEFLATE = 1, 5, 8, 32946
+NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 BIG = 2 << 30
 
 
@@ -93,6 +82,20 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
+def packbits_decode(data: bytes) -> bytes:
+    """Runs: n + 1 bytes as they are, or one byte 1 - n times, for a signed n; -128 is none."""
+    out, at = [], 0
+    while at < len(data):
+        n, at = data[at], at + 1
+        if n < 128:
+            out.append(data[at : at + n + 1])
+            at += n + 1
+        elif n > 128:
+            out.append(data[at : at + 1] * (257 - n))
+            at += 1
+    return b"".join(out)
+
+
 @dataclass
 class Page:
     """A directory of the file: tags and where its blocks lie."""
@@ -152,10 +155,10 @@ def pages(data) -> list[Page]:
 def metadata(data) -> dict:
     """Extent and kind of the volume; channels and slices come from the description
     where it has them, else from the number of pages."""
-    return _metadata(pages(data))
+    return about(pages(data))
 
 
-def _metadata(found: list[Page]) -> dict:
+def about(found: list[Page]) -> dict:
     first = found[0]
     said = dict(line.split("=", 1) for line in first.text.splitlines() if "=" in line)
     channels = max(1, int(said.get("channels", 1)))
@@ -173,53 +176,66 @@ def _unpacked(data: bytes, how: int) -> bytes:
         return zlib.decompress(data)
     if how == LZW:
         return lzw_decode(data)
+    if how == PACKBITS:
+        return packbits_decode(data)
     raise ValueError(f"compression {how} is not supported")
 
 
 #: Kinds of samples by (sample format, bits): 1 unsigned, 2 signed, 3 floating point.
 SAMPLE_KINDS = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
-#: Predictors: none, and differences of neighbours along a row.
-PLAIN, HORIZONTAL = 1, 2
+#: Predictors: none, differences of neighbours along a row, and those of the bytes of
+#: floating-point numbers, the highest bytes of a row first.
+PLAIN, HORIZONTAL, FLOATING = 1, 2, 3
 
 
-def _summed(block: np.ndarray) -> np.ndarray:
-    """A block (rows, columns, samples) whose rows hold differences."""
-    return np.cumsum(block, axis=1, dtype=block.dtype)
+def _unpredicted(raw: bytes, kind: np.dtype, shape: tuple[int, int, int], predictor: int) -> np.ndarray:
+    """A block (rows, columns, samples) in the machine's order of bytes."""
+    rows, columns, samples = shape
+    if predictor != FLOATING:
+        block = np.frombuffer(raw, kind, rows * columns * samples).reshape(shape)
+        return np.cumsum(block, axis=1, dtype=kind.newbyteorder("=")) if predictor == HORIZONTAL else block
+    planes = np.frombuffer(raw, np.uint8, rows * columns * samples * kind.itemsize).reshape(rows, -1, samples)
+    planes = np.cumsum(planes, axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, columns * samples)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(shape)
 
 
-def read_page(data, page: Page, rows: tuple[int, int] | None = None, columns: tuple[int, int] | None = None, sample: int = 0) -> np.ndarray:
-    """Rows and columns [a, b) of a page as float32; blocks that lie outside are
-    neither read nor decoded."""
+def page_blocks(data, page: Page, rows: tuple[int, int] | None = None, columns: tuple[int, int] | None = None, sample: int = 0) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    """(y, x, values, bytes read) of the blocks of a page that rows and columns [a, b) touch,
+    cut to the page; other blocks are neither read nor decoded."""
     read = (Bytes(data) if isinstance(data, bytes) else data).read_at
     w, h, n = page.one(WIDTH), page.one(LENGTH), page.one(SAMPLES, 1)
     key, predictor = (page.one(FORMAT, 1), page.one(BITS, 1)), page.one(PREDICTOR, PLAIN)
     if key not in SAMPLE_KINDS:
         raise ValueError(f"samples of format {key[0]} with {key[1]} bits are not supported")
-    if predictor not in (PLAIN, HORIZONTAL) or predictor == HORIZONTAL and key[0] == 3:
+    if predictor not in (PLAIN, HORIZONTAL, FLOATING) or predictor == HORIZONTAL and key[0] == 3 or predictor == FLOATING and key[0] != 3:
         raise ValueError(f"predictor {predictor} is not supported for sample format {key[0]}")
     kind, how = np.dtype(page.order + SAMPLE_KINDS[key]), page.one(COMPRESSION, NONE)
     (a, b), (c, d) = rows or (0, h), columns or (0, w)
-    out = np.zeros((b - a, d - c), np.float32)
     tiled = TILE_WIDTH in page.tags
     bw, bh = (page.one(TILE_WIDTH), page.one(TILE_LENGTH)) if tiled else (w, min(page.one(ROWS, h), h))
     across, down = -(-w // bw), -(-h // bh)
     apart = n > 1 and page.one(PLANAR, 1) == 2  # each sample has its own plane of blocks
     first = sample * across * down if apart else 0
     places, sizes = page.tags[TILES if tiled else STRIPS], page.tags[TILE_BYTES if tiled else STRIP_BYTES]
-    for i in range(across * down):
-        y, x = i // across * bh, i % across * bw
-        if y >= b or y + bh <= a or x >= d or x + bw <= c:
-            continue
-        high, deep = bh if tiled else min(bh, h - y), 1 if apart else n
-        raw = _unpacked(read(sizes[first + i], places[first + i]), how)
-        block = np.frombuffer(raw, kind, high * bw * deep).reshape(high, bw, deep)
-        block = (_summed(block.astype(kind.newbyteorder("="))) if predictor == HORIZONTAL else block)[:, :, 0 if apart else sample]
-        top, bottom, left, right = max(a, y), min(b, y + high, h), max(c, x), min(d, x + bw, w)
+    for j in range(max(0, a) // bh, min(down, -(-b // bh))):
+        for i in range(max(0, c) // bw, min(across, -(-d // bw))):
+            y, x, at = j * bh, i * bw, first + j * across + i
+            high, deep = bh if tiled else min(bh, h - y), 1 if apart else n
+            block = _unpredicted(_unpacked(read(sizes[at], places[at]), how), kind, (high, bw, deep), predictor)[:, :, 0 if apart else sample]
+            yield y, x, block[: h - y, : w - x], sizes[at]
+
+
+def read_page(data, page: Page, rows: tuple[int, int] | None = None, columns: tuple[int, int] | None = None, sample: int = 0) -> np.ndarray:
+    """Rows and columns [a, b) of a page as float32."""
+    (a, b), (c, d) = rows or (0, page.one(LENGTH)), columns or (0, page.one(WIDTH))
+    out = np.zeros((b - a, d - c), np.float32)
+    for y, x, block, _ in page_blocks(data, page, rows, columns, sample):
+        top, bottom, left, right = max(a, y), min(b, y + block.shape[0]), max(c, x), min(d, x + block.shape[1])
         out[top - a : bottom - a, left - c : right - c] = block[top - y : bottom - y, left - x : right - x]
     return out
 
 
-def _slice(found: list[Page], about: dict, channel: int, z: int) -> tuple[Page, int]:
+def slice_page(found: list[Page], about: dict, channel: int, z: int) -> tuple[Page, int]:
     """The page and the sample of a slice. Channels count from 1; 0 is the first too."""
     own = max(0, channel - 1)
     if own >= max(about["channels"], about["samples"]):
@@ -231,9 +247,9 @@ def _slice(found: list[Page], about: dict, channel: int, z: int) -> tuple[Page,
 def read_volume(data, channel: int = 0, z: tuple[int, int] | None = None, y: tuple[int, int] | None = None, x: tuple[int, int] | None = None) -> np.ndarray:
     """(z, y, x) float32 of a box; without bounds, of the whole."""
     found = pages(data)
-    about = _metadata(found)
-    a, b = z or (0, about["depth"])
-    return np.stack([read_page(data, page, y, x, sample) for page, sample in (_slice(found, about, channel, k) for k in range(a, b))])
+    said = about(found)
+    a, b = z or (0, said["depth"])
+    return np.stack([read_page(data, page, y, x, sample) for page, sample in (slice_page(found, said, channel, k) for k in range(a, b))])
 
 
 #: Sample format and bits of what can be written.
@@ -303,127 +319,3 @@ def encode(volume: np.ndarray, compression: int = NONE, level: int = -1, tile: t
     for b, place, following in zip(blocks, at, [*behind[1:], 0]):
         out += [*b, directory(w, h, [len(x) for x in b], place, following, compression, tile, big, kind)]
     return b"".join(out)
-
-
-def _opened(path: str):
-    """A file of any store that Arrow reaches, for reads by ranges."""
-    from pyarrow import fs
-
-    store, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
-    return store.open_input_file(name)
-
-
-class _Ranges:
-    def __init__(self, path: str):
-        self.file = _opened(path)
-
-    def read_at(self, n: int, at: int) -> bytes:
-        return self.file.read_at(n, at)
-
-
-def list_slices(spark: SparkSession, path: str) -> DataFrame:
-    """(path, z, page, depth, width, height, channels, samples): the slices of every TIFF
-    file under path, from its directories alone; page counts them."""
-
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name in part["path"]:
-                about = metadata(_Ranges(name))
-                n = about["depth"]
-                yield pd.DataFrame({"path": name, "z": np.arange(n, dtype="int32"), **{k: np.int32(about[k]) for k in ("depth", "width", "height", "channels", "samples")}})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,tiff,ometif}").load(path)
-    return files.select("path").mapInPandas(read, "path string, z int, depth int, width int, height int, channels int, samples int")
-
-
-def read_tiff(spark: SparkSession, path: str, channel: int = 0, z: tuple[int, int] | None = None, y: tuple[int, int] | None = None, x: tuple[int, int] | None = None) -> DataFrame:
-    """(path, x, y, z, v): the voxels of every TIFF file under path inside the box of
-    bounds [a, b). A box that reaches beyond an image is cut to it."""
-
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name = file = found = about = None
-        for part in parts:
-            for row in part.itertuples(index=False):
-                if row.path != name:
-                    name, file = row.path, _Ranges(row.path)
-                    found = pages(file)
-                    about = _metadata(found)
-                page, sample = _slice(found, about, channel, row.z)
-                (a, b), (c, d) = ((max(0, box[0]), min(box[1], n)) if box else (0, n) for box, n in ((y, row.height), (x, row.width)))
-                if b > a and d > c:
-                    plane = read_page(file, page, (a, b), (c, d), sample)
-                    rows, columns = (i.ravel() for i in np.indices(plane.shape))
-                    yield pd.DataFrame({"path": name, "x": (columns + c).astype("int32"), "y": (rows + a).astype("int32"), "z": np.int32(row.z), "v": plane.ravel()})
-
-    slices = list_slices(spark, path)
-    if z:
-        slices = slices.where(F.col("z").between(z[0], z[1] - 1))
-    # some slices a task, so that a file's directories are not read for each of them
-    group = F.expr("z div 16")
-    dealt = slices.repartition("path", group).sortWithinPartitions("path", "z")
-    return dealt.mapInPandas(decode, "path string, x int, y int, z int, v float")
-
-
-def encode_slices(voxels: DataFrame, value: str, shape: tuple[int, int, int], compression: int = NONE, level: int = -1, tile: tuple[int, int] | None = None, kind: str = "f4") -> DataFrame:
-    """(image_id, z, piece): the pieces of each image's file, in the order of z. Slices
-    are compressed in rows of their own; the sums that place them have no data."""
-    w, h, d = shape
-    big = w * h * d * 4 >= BIG
-    n_blocks = -(-w // tile[0]) * -(-h // tile[1]) if tile else 1
-    lists, own = lists_size(n_blocks, big), directory_size(bool(tile), big)
-
-    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        plane = np.zeros((h, w), np.float32)
-        plane[part["y"].to_numpy(), part["x"].to_numpy()] = part[value].to_numpy()
-        blocks = slice_blocks(plane, compression, level, tile, kind)
-        return pd.DataFrame({"image_id": [key[0]], "z": [key[1]], "sizes": [[len(b) for b in blocks]], "data": [b"".join(blocks)]})
-
-    def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            pieces = []
-            for r in part.itertuples(index=False):
-                head = header(int(r.at) + len(r.data) + lists, big) if r.z == 0 else b""
-                pieces.append(head + r.data + directory(w, h, [int(n) for n in r.sizes], int(r.at), int(r.following), compression, tile, big, kind))
-            yield pd.DataFrame({"image_id": part["image_id"], "z": part["z"], "piece": pieces})
-
-    packed = voxels.select("image_id", "x", "y", "z", value).groupBy("image_id", "z").applyInPandas(pack, "image_id long, z int, sizes array<int>, data binary")
-    packed = packed.withColumn("length", F.octet_length("data").cast("long"))
-    order = Window.partitionBy("image_id").orderBy("z")
-    before = F.coalesce(F.sum(F.col("length") + lists + own).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = packed.select("image_id", "z", "length", (before + len(header(0, big))).alias("at"))
-    # the next slice's blocks begin behind this one's directory
-    following = F.col("at") + F.col("length") + lists + own + F.lead("length").over(order) + lists
-    places = places.select("image_id", "z", "at", F.coalesce(following, F.lit(0)).cast("long").alias("following"))
-    return packed.drop("length").join(places, ["image_id", "z"]).mapInPandas(finish, "image_id long, z int, piece binary")
-
-
-def write_tiff(slices: DataFrame, folder: str, names: DataFrame | None = None) -> DataFrame:
-    """Streams the pieces of encode_slices() to folder/<name>.tiff in any store that Arrow
-    reaches, a piece at a time, and returns (image_id, path, bytes) once run. names:
-    (image_id, name); else images are named by their ids. A repeated task writes the
-    same."""
-
-    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
-        store.create_dir(root, recursive=True)
-        image = out = path = None
-        done = []
-        for part in parts:
-            for r in part.itertuples(index=False):
-                if r.image_id != image:
-                    if out is not None:
-                        done.append((image, path, out.tell()))
-                        out.close()
-                    image, path = r.image_id, f"{root}/{r.name}.tiff"
-                    out = store.open_output_stream(path)
-                out.write(r.piece)
-        if out is not None:
-            done.append((image, path, out.tell()))
-            out.close()
-        yield pd.DataFrame(done, columns=["image_id", "path", "bytes"])
-
-    named = slices.join(names, "image_id") if names is not None else slices.withColumn("name", F.col("image_id").cast("string"))
-    dealt = named.select("image_id", "name", "z", "piece").repartition("image_id").sortWithinPartitions("image_id", "z")
-    return dealt.mapInPandas(write, "image_id long, path string, bytes long")
