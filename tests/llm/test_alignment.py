@@ -126,7 +126,8 @@ def test_words_in_any_text(byte_tokens, texts):
     texts = [" " + t for t in texts]
     raw = "".join(texts).encode()
     bounds = np.cumsum([0, *(len(t.encode()) for t in texts)])
-    ids, upto = byte_tokens.encode(np.frombuffer(raw, np.uint8), bounds)
+    ids, upto, whole = byte_tokens.encode(np.frombuffer(raw, np.uint8), bounds)
+    assert whole.all()
     for i, t in enumerate(texts):
         assert ids[upto[i] : upto[i + 1]].tolist() == byte_tokens.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 

@@ -22,6 +22,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -93,19 +94,20 @@ class ByteTokens:
         for piece, i in vocabulary.items():
             self.bytes[i] = bytes(alphabet[c] for c in piece) if all(c in alphabet for c in piece) else piece.encode()
         self.sizes = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
-        self.runs = Runs(self._encoded)
+        self.runs = Runs(self._encoded, self.bytes)
 
     def _encoded(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)
         return np.array([i for x in found for i in x.ids], np.int32), np.fromiter(map(len, found), np.int64, len(found))
 
-    def encode(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and bounds of each text's ids."""
+    def encode(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, bounds of each text's ids, and whether their bytes are the text."""
         cut = word_cuts(raw) if self.by_words else np.zeros(len(raw) + 1, bool)
         cut[bounds] = True
         starts = np.flatnonzero(cut)
-        ids, sizes = self.runs.look_up(raw, starts)
-        return ids, np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, bounds)]
+        ids, sizes, same = self.runs.look_up(raw, starts)
+        at = np.searchsorted(starts, bounds)
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[at], np.diff(np.concatenate([[0], np.cumsum(~same)])[at]) == 0
 
 
 def shared_cuts(a: np.ndarray, b: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -149,14 +151,6 @@ class Aligner:
         self.a, self.b = ByteTokens(a_path), Pieces(b_path)
         self.written = {s: [f"{i}{s}" for i in range(max(len(self.a.bytes), len(self.b.bytes)))] for s in ",|;"}
 
-    def _whole(self, ids: np.ndarray, bounds: np.ndarray, table: list[bytes], raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
-        """Whether the bytes of each text's tokens are the text."""
-        joined = np.frombuffer(b"".join(map(table.__getitem__, ids.tolist())), np.uint8)
-        if len(joined) == len(raw) and (joined == raw).all():
-            return np.ones(len(texts) - 1, bool)
-        upto = np.concatenate([[0], np.cumsum(np.fromiter(map(len, table), np.int64)[ids])])[bounds]
-        return np.array([np.array_equal(joined[a:b], raw[c:d]) for a, b, c, d in zip(upto, upto[1:], texts, texts[1:])], bool)
-
     def align(self, texts: pa.Array, keep: bool) -> Iterator[pa.RecordBatch]:
         """Results of texts, without the columns that name them."""
         texts = texts.cast(pa.large_string())
@@ -164,10 +158,10 @@ class Aligner:
         some = lengths > 0
         full = texts.filter(pa.array(some))
         raw, bounds = utf8_buffer(pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), full, pa.scalar("", pa.large_string())))
-        a_ids, a_bounds = self.a.encode(raw, bounds)
+        a_ids, a_bounds, whole = self.a.encode(raw, bounds)
         b = self.b.encode(full)
         b_ids, b_bounds = b["ids"], b["bounds"]
-        whole = self._whole(a_ids, a_bounds, self.a.bytes, raw, bounds) & self._whole(b_ids, b_bounds, self.b.bytes, raw, bounds)
+        whole &= b["plain"]
         some[some] = whole
         kept = np.flatnonzero(whole)
         upto = np.concatenate([[0], np.cumsum(some)])
@@ -227,6 +221,12 @@ class Aligner:
         return [hashlib.sha256("".join(parts[i:j])[:-1].encode()).hexdigest() for i, j in zip([0, *upto], upto)]
 
 
+@lru_cache(maxsize=1)
+def aligner_of(a_path: str, b_path: str) -> Aligner:
+    """Both tokenizers, kept by the worker for its next tasks."""
+    return Aligner(a_path, b_path)
+
+
 def align(docs: DataFrame, a_model: str | None = None, b_model: str | None = None, groups: bool = False) -> DataFrame:
     """Of each text of (doc_id, text): numbers of tokens, groups and links, the groups' hash,
     and its distinct pairs of ids (a, b) with the times it has them. groups: also the ids
@@ -234,7 +234,7 @@ def align(docs: DataFrame, a_model: str | None = None, b_model: str | None = Non
     paths = a_model or tokenizer_path(BYTE_MODEL), b_model or tokenizer_path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, row = Aligner(*paths), TaskContext.get().partitionId() << 33
+        aligner, row = aligner_of(*paths), TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in text_slices(whole, SLICE):
                 done = 0

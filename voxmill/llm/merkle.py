@@ -81,8 +81,9 @@ def positions(rows: DataFrame) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
     counted = materialize(dealt.mapInArrow(_count_in_part, f"{fields}, part int, at long"), "ordered")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # written, so that Spark knows how small they are when it plans the joins
     offsets = counted.groupBy("group", "part").agg(F.count("*").alias("n")).select("group", "part", before.alias("before"), F.sum("n").over(Window.partitionBy("group")).alias("total"))
-    return counted.join(offsets, ["group", "part"]).withColumn("position", F.col("at") + F.col("before")).drop("part", "at", "before")
+    return counted.join(materialize(offsets, "offsets"), ["group", "part"]).withColumn("position", F.col("at") + F.col("before")).drop("part", "at", "before")
 
 
 def _hash(x: str) -> str:
@@ -189,7 +190,7 @@ def manifest(docs: DataFrame, fanout: int = FANOUT, block: int = BLOCK) -> DataF
     own = materialize(own, "proofs")
     groups = own.groupBy("group").agg(F.first("subroot").alias("leaf"))
     tops = trees(groups.select(F.lit("").alias("group"), F.col("group").alias("key"), "leaf"), fanout, block)
-    tops = tops.select(F.col("key").alias("group"), "root", F.col("path").alias("_above"))
+    tops = materialize(tops.select(F.col("key").alias("group"), "root", F.col("path").alias("_above")), "tops")
     return own.join(tops, "group").select("doc_id", "leaf", "tampered", "subroot", "root", F.concat("path", "_above").alias("path"))
 
 

@@ -24,13 +24,14 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import text_slices, utf8_buffer
+from voxmill.llm.common import flat_ranges, text_slices, utf8_buffer
 from voxmill.llm.encoder import tokenizer_path
 from voxmill.llm.runs import Runs
 
@@ -235,7 +236,7 @@ class Pieces:
                 self.bytes.append(piece.replace(SPACE, " ").encode())
                 self.joined[list(self.bytes[-1][:-1]), list(self.bytes[-1][1:])] = True
         self.sizes = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
-        self.runs = Runs(self._merged)
+        self.runs = Runs(self._merged, self.bytes)
 
     def _merged(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = self.merges.encode([r.decode().replace(" ", SPACE) for r in runs], num_threads=1)
@@ -243,33 +244,49 @@ class Pieces:
 
     def encode(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """ids of all texts and bounds of each text's ids; lo and hi: the bytes of its own
-        text that each piece covers."""
+        text that each piece covers; plain: whether the bytes of a text's pieces are a space
+        and the text."""
         raw, bounds = utf8_buffer(texts)
         norm, limits, source, ends = self.normalizer.normalize(raw, bounds)
         cut = np.zeros(len(norm) + 1, bool)
         if len(norm):
             cut[1:-1] = ~self.joined[norm[:-1], norm[1:]] & ((norm[1:] & 0xC0) != 0x80)
         cut[limits] = True
-        ids, sizes = self.runs.look_up(norm, np.flatnonzero(cut))
+        starts = np.flatnonzero(cut)
+        ids, _, same = self.runs.look_up(norm, starts)
         upto = np.concatenate([[0], np.cumsum(self.sizes[ids])])
         out = np.searchsorted(upto, limits)
         owner = np.repeat(np.arange(len(limits) - 1), np.diff(out))
         after = np.append(source, 0)[upto[1:]]
         last = out[1:][np.diff(out) > 0] - 1
         after[last] = ends[owner[last]]
-        return {"ids": ids, "bounds": out, "lo": source[upto[:-1]] - bounds[owner], "hi": after - bounds[owner]}
+        # whether the runs before a place, and the bytes of the text, are all the same
+        odd = np.concatenate([[0], np.cumsum(~same)])[np.searchsorted(starts, limits)]
+        plain = (np.diff(odd) == 0) & (np.diff(limits) == np.diff(bounds) + 1)
+        own = np.flatnonzero(plain)
+        lengths = (bounds[1:] - bounds[:-1])[own]
+        other = np.flatnonzero(norm[flat_ranges(limits[own] + 1, lengths)] != raw[flat_ranges(bounds[own], lengths)])
+        plain[own[np.searchsorted(np.cumsum(lengths), other, "right")]] = False
+        plain[own] &= norm[limits[own]] == 0x20
+        return {"ids": ids, "bounds": out, "plain": plain, "lo": source[upto[:-1]] - bounds[owner], "hi": after - bounds[owner]}
 
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist())
 
 
+@lru_cache(maxsize=1)
+def pieces_of(path: str) -> Pieces:
+    """The model, kept by the worker for its next tasks."""
+    return Pieces(path)
+
+
 def encode_pieces(docs: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, ids, starts, ends, decoded) of whole texts (doc_id, text): ids of the pieces,
     the bytes [start, end) of the text that each covers, and what the ids decode to."""
     path = model or tokenizer_path(MODEL)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = pieces_of(path)
         for whole in batches:
             for batch in text_slices(whole, SLICE):
                 found = pieces.encode(batch.column("text"))

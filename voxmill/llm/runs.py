@@ -8,45 +8,56 @@ large and is dropped."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from voxmill.llm.common import flat_ranges
 
 #: Distinct runs, and bytes of them, that a worker remembers.
-REMEMBER, CHARACTERS = 600_000, 16_000_000
+REMEMBER, CHARACTERS = 500_000, 16_000_000
 
 
 class Runs:
-    """encode: from a list of runs (bytes) to the ids of all and the number of each."""
+    """encode: from a list of runs (bytes) to the ids of all and the number of each; pieces:
+    the bytes of each id."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], pieces: list[bytes]):
+        self.encode, self.pieces = encode, pieces
         self._forget()
 
     def _forget(self) -> None:
-        self.known = pa.array([], pa.large_binary())
+        self.known: dict[bytes, int] = {}
+        self.characters = 0
         self.ids = np.zeros(0, np.int32)
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def look_up(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all runs, and the number of each; run i is raw[starts[i]:starts[i + 1]]."""
+        self.start, self.size, self.same = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _learn(self, runs: list[bytes]) -> None:
+        ids, sizes = self.encode(runs)
+        upto = [0, *np.cumsum(sizes).tolist()]
+        parts = list(map(self.pieces.__getitem__, ids.tolist()))
+        same = [b"".join(parts[a:b]) == r for r, a, b in zip(runs, upto, upto[1:])]
+        self.known.update(zip(runs, range(len(self.known), len(self.known) + len(runs))))
+        self.characters += sum(map(len, runs))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.same = np.concatenate([self.same, np.array(same, bool)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def look_up(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all runs, the number of each, and whether the ids' bytes are the run's;
+        run i is raw[starts[i]:starts[i + 1]]."""
         if len(starts) < 2:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        if len(self.known) > REMEMBER or self.known.nbytes > CHARACTERS:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
+        if len(self.known) > REMEMBER or self.characters > CHARACTERS:
             self._forget()
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
-        found = pc.index_in(coded.dictionary, self.known)
-        if found.null_count:
-            new = coded.dictionary.filter(found.is_null())
-            ids, sizes = self.encode(new.to_pylist())
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.ids = np.concatenate([self.ids, ids])
-            self.known = pa.concat_arrays([self.known, new])
-            found = pc.index_in(coded.dictionary, self.known)
-        index = found.to_numpy()[coded.indices.to_numpy()]
+        runs = coded.dictionary.to_pylist()
+        new = [r for r in runs if r not in self.known]
+        if new:
+            self._learn(new)
+        found = np.fromiter(map(self.known.get, runs, repeat(-1)), np.int64, len(runs))
+        index = found[coded.indices.to_numpy()]
         sizes = self.size[index]
-        return self.ids[flat_ranges(self.start[index], sizes)], sizes
+        return self.ids[flat_ranges(self.start[index], sizes)], sizes, self.same[index]
