@@ -386,6 +386,18 @@ def range_join_labels(spark, sf):
     return found.select(*KEYS, "label", F.array_join("values", ",").alias("ids"))
 
 
+@query("WITH r AS (SELECT o_orderkey AS ordinal, o_custkey * 3 - 2500 AS lo, CASE WHEN o_orderkey % 997 = 0 THEN NULL ELSE o_custkey * 3 - 2500 + o_orderkey % 7 END AS hi FROM orders WHERE o_orderkey % 997 <> 0 OR o_custkey % 50 = 0), "
+       "l AS (SELECT DISTINCT l_partkey * 2 - l_suppkey * 40 AS label FROM lineitem) SELECT label, (SELECT min(ordinal) FROM r WHERE label >= lo AND (hi IS NULL OR label < hi OR (lo = hi AND label = lo))) AS first FROM l")
+def range_join_many(spark, sf):
+    """Ranges of a table, also negative and open ones: more than are broadcast."""
+    c = F.col
+    orders = table(spark, sf, "orders").where("o_orderkey % 997 <> 0 or o_custkey % 50 = 0")
+    lo = c("o_custkey") * 3 - 2500
+    ranges = orders.select(c("o_orderkey").alias("ordinal"), lo.alias("lo"), F.when(c("o_orderkey") % 997 != 0, lo + c("o_orderkey") % 7).alias("hi"), F.array("o_orderkey").alias("values"))
+    labels = table(spark, sf, "lineitem").select((c("l_partkey") * 2 - c("l_suppkey") * 40).alias("label")).distinct()
+    return reg.look_up(labels, ranges).select("label", F.get("values", F.lit(0)).alias("first"))
+
+
 @query(_LABELS + " SELECT image_id, CASE WHEN label < 2 THEN 'a' ELSE 'b,c,e' END AS ids, count(*) AS n_voxels FROM l WHERE label >= 0 GROUP BY ALL")
 def mask_groups(spark, sf):
     return reg.mask_groups(_labels(volume(spark, sf)), _ranges(spark)).groupBy("image_id", F.array_join("values", ",").alias("ids")).agg(F.count("*").alias("n_voxels"))
@@ -534,7 +546,7 @@ _LANNI = """WITH i AS (SELECT DISTINCT l_orderkey // 2048 AS image_id FROM linei
 n AS (SELECT DISTINCT na FROM q), t AS (SELECT s, j, na, j / 1024.0::DOUBLE AS rho, CASE WHEN j IN (0, 1024) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END AS w FROM n, range(22) a(s), range(1025) b(j)),
 b AS (SELECT s, j, na, rho, w, avg(cos(2 * pi() / 450 * na * s * 50 * rho * sin((m + 0.5) * pi() / 64))) AS j0 FROM t, range(64) c(m) GROUP BY ALL),
 p AS (SELECT image_id, z, s, j0 * rho * w AS f, 2 * pi() / 450 * (1.33 * particle * sqrt(greatest(0, 1 - (na * rho / 1.33) ** 2)) + 1.515 * 100 * (z - 2) * sqrt(greatest(0, 1 - (na * rho / 1.515) ** 2))) AS phase FROM q JOIN b USING (na), range(5) d(z)),
-r AS (SELECT image_id, z, s, ((sum(f * cos(phase)) / 3072) ** 2 + (sum(f * sin(phase)) / 3072) ** 2) AS v FROM p GROUP BY ALL),
+r AS (SELECT image_id, z, s, ((sum(f * cos(phase)) / 1024) ** 2 + (sum(f * sin(phase)) / 1024) ** 2) AS v FROM p GROUP BY ALL),
 g AS (SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, 2 * sqrt((x - 7) ** 2 + (y - 7) ** 2) AS d FROM range(15) e(x), range(15) f(y))
 SELECT l.image_id, x, y, CAST(l.z AS INTEGER) AS z, round(l.v + (d - floor(d)) * (h.v - l.v), 6) + 0.0 AS v FROM g JOIN r l ON l.s = floor(d) JOIN r h ON h.s = l.s + 1 AND h.image_id = l.image_id AND h.z = l.z"""
 
@@ -605,6 +617,27 @@ def fourier_complex(spark, sf):
     return _rounded(dec.spectrum(volume(spark, sf, SMALL), ("a", "b"), PENCIL), "re", "im", digits=4)
 
 
+@query(VOL + ", c AS (" + _conv("vol", "a", SHAPE) + ") SELECT image_id, x, y, z, round(v, 4) + 0.0 AS a FROM c")
+def convolution_lines(spark, sf):
+    """By the spectra of whole images, which no task holds."""
+    return _rounded(_by_lines(volume(spark, sf), "Convolution"), "a", digits=4)
+
+
+def _by_lines(v: Volume, algorithm: str, **settings) -> Volume:
+    own = chunks.from_voxels(v, "a", PENCIL)
+    return chunks.to_voxels(dec.filter_spectra(own, dec.tap_psf(TAPS), algorithm, **settings), "a")
+
+
+@query(_filtered("hr * hr + hi * hi"))
+def inverse_filter_lines(spark, sf):
+    return _rounded(_by_lines(volume(spark, sf, SMALL), "InverseFilter", epsilon=1e-6), "a", digits=4)
+
+
+@query(_filtered("greatest(1e-9, hr * hr + hi * hi + 0.01 * (-2 * (cos(2 * pi() * kx / 8) + cos(2 * pi() * ky / 8) + cos(2 * pi() * kz / 4) - 3)) ** 2)"))
+def regularized_inverse_lines(spark, sf):
+    return _rounded(_by_lines(volume(spark, sf, SMALL), "RegularizedInverseFilter", weight=0.01), "a", digits=4)
+
+
 @query(_SMALL + " SELECT image_id, x, y, z, round(a, 6) + 0.0 AS a, round(b, 6) + 0.0 AS b FROM vol")
 def fourier_complex_roundtrip(spark, sf):
     return _rounded(dec.inverse_spectrum(dec.spectrum(volume(spark, sf, SMALL), ("a", "b"), PENCIL), ("a", "b"), PENCIL), "a", "b")
@@ -630,12 +663,12 @@ def regularized_inverse(spark, sf):
     return _rounded(dec.deconvolve(volume(spark, sf, SMALL), "a", dec.tap_psf(TAPS), "RegularizedInverseFilter", weight=0.01), "a", digits=4)
 
 
-def _lucy(iterations: int, damping: bool = False, weight: float = 0.0) -> str:
+def _lucy(iterations: int, damping: bool = False, weight: float = 0.0, shape=SHAPE) -> str:
     out, f = [VOL, "f0 AS MATERIALIZED (SELECT image_id, x, y, z, a AS v FROM vol)"], "f0"
     for n in range(iterations):
-        out.append(f"d{n} AS MATERIALIZED ({_conv(f, 'v', SHAPE)})")
+        out.append(f"d{n} AS MATERIALIZED ({_conv(f, 'v', shape)})")
         out.append(f"c{n} AS MATERIALIZED (SELECT image_id, x, y, z, a / greatest(d.v, 1e-9) AS v FROM vol JOIN d{n} d USING (image_id, x, y, z))")
-        out.append(f"r{n} AS MATERIALIZED ({_conv(f'c{n}', 'v', SHAPE, -1)})")
+        out.append(f"r{n} AS MATERIALIZED ({_conv(f'c{n}', 'v', shape, -1)})")
         factor = f" * 0.9 * exp(-0.01 * {n})" if damping else ""
         out.append(f"f{n + 1} AS MATERIALIZED (SELECT image_id, x, y, z, f.v * r.v{factor} AS v FROM {f} f JOIN r{n} r USING (image_id, x, y, z))")
         f = f"f{n + 1}"
@@ -653,6 +686,39 @@ def richardson_lucy(spark, sf):
     return _rounded(dec.deconvolve(volume(spark, sf), "a", dec.tap_psf(TAPS), "RichardsonLucy", iterations=3), "a", digits=4)
 
 
+_WIDE = tuple(n + 8 for n in SHAPE)
+
+
+def _lucy_wide() -> str:
+    """Two steps on images with mirrored halos of 4, as far as two steps reach."""
+    axis = lambda c, n: f"(SELECT CAST(o AS INTEGER) AS {c}, " + _mirrored_sql("o", 0, n, 4) + f" AS s{c} FROM range({n + 8}) r(o))"
+    px, py, pz = (axis(c, n) for c, n in zip("xyz", SHAPE))
+    wide = f", wide AS (SELECT v.image_id, px.x, py.y, pz.z, v.a FROM vol v JOIN {px} px ON px.sx = v.x JOIN {py} py ON py.sy = v.y JOIN {pz} pz ON pz.sz = v.z)"
+    steps = _lucy(2, shape=_WIDE).replace(VOL, "").replace("FROM vol", "FROM wide")
+    w, h, d = SHAPE
+    return f"{VOL}{wide}{steps.split(' SELECT image_id, x, y, z, round')[0]} SELECT image_id, x - 4 AS x, y - 4 AS y, z - 4 AS z, CAST(v AS FLOAT) AS a FROM f2 WHERE x BETWEEN 4 AND {w + 3} AND y BETWEEN 4 AND {h + 3} AND z BETWEEN 4 AND {d + 3}"
+
+
+def _mirrored_sql(c: str, lo: int, hi: int, missing: int) -> str:
+    n = hi - lo
+    m = f"((({c} - {missing}) % {2 * n} + {2 * n}) % {2 * n})"
+    return f"least({m}, {2 * n - 1} - {m}) + {lo}"
+
+
+@query(_lucy_wide())
+def richardson_lucy_files(spark, sf):
+    """From files to files in planned tiles whose halos hold what two steps reach."""
+    v = volume(spark, sf)
+    folder, out = _files(spark, v, tile=(8, 4)), shared.new_folder(spark, "tiff")
+    halo = ((4, 4, 4), (4, 4, 4))
+    full = tiles.tile_shape(v.shape, halo, 3000, 2, (9, 9, 9))
+    layout = chunks.Layout(v.shape, tuple(min(n, f - 8) for n, f in zip(v.shape, full)), *halo, "mirror")
+    done = dec.deconvolve_pieces(tiff_source.read_pieces(spark, folder, layout), layout, dec.tap_psf(TAPS), "RichardsonLucy", iterations=2)
+    names = tiff_source.list_files(spark, folder).select("image_id", text.stem(F.col("path")).alias("name"))
+    tiff_sink.write_tiff(tiff_sink.encode_chunks(done), out, names)
+    return _from_files(spark, out, tiff_source.read_tiff(spark, out)).withColumnRenamed("v", "a")
+
+
 @query(_lucy(3, damping=True))
 def rl_adaptive_damping(spark, sf):
     return _rounded(dec.deconvolve(volume(spark, sf), "a", dec.tap_psf(TAPS), "RichardsonLucywithAdaptiveDamping", iterations=3), "a", digits=4)
@@ -786,12 +852,6 @@ def tiff_metadata(spark, sf):
     return found.select(text.stem(F.col("path")).cast("long").alias("image_id"), "z", "depth", "width", "height", "channels", "samples")
 
 
-def _mirrored_sql(c: str, lo: int, hi: int, missing: int) -> str:
-    n = hi - lo
-    m = f"((({c} - {missing}) % {2 * n} + {2 * n}) % {2 * n})"
-    return f"least({m}, {2 * n - 1} - {m}) + {lo}"
-
-
 @query(VOL + ", g AS (SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(z AS INTEGER) AS z FROM range(13) a(x), range(11) b(y), range(5) c(z)) SELECT image_id, g.x, g.y, g.z, v.a AS v FROM vol v JOIN g ON "
        + " AND ".join(f"v.{c} = {_mirrored_sql('g.' + c, *box)}" for c, box in (("x", (0, 11, 2)), ("y", (8, 16, 0)), ("z", (0, 4, 0)))))
 def tiff_halo_read(spark, sf):

@@ -90,6 +90,44 @@ def inverse_spectrum(volume: Volume, value: str | tuple[str, str] = "v", size: S
     return ch.to_voxels(ch.inverse(ch.from_voxels(volume, ("re", "im"), size), width), *names)
 
 
+#: What spectra are multiplied with, from the transfer function and the Laplacian's symbol.
+SPECTRAL: dict[str, Callable[..., np.ndarray]] = {
+    "Convolution": lambda h, symbol, **_: h,
+    "InverseFilter": lambda h, symbol, epsilon=1e-6, **_: np.where(np.abs(h) ** 2 < epsilon, 0, np.conj(h) / np.where(np.abs(h) ** 2 < epsilon, 1, np.abs(h) ** 2)),
+    "RegularizedInverseFilter": lambda h, symbol, weight=0.001, epsilon=1e-9, **_: np.conj(h) / np.maximum(epsilon, np.abs(h) ** 2 + weight * symbol**2),
+}
+
+
+def transfer_block(psf: np.ndarray, shape: Shape, start: Shape, extent: Shape) -> np.ndarray:
+    """A block of the transfer function of a PSF in images of a shape, by one matrix for each
+    axis: frequencies of the block by places of the PSF. No array has the image's extent."""
+    out = psf.astype(complex)
+    for axis, (n, p, a, e) in enumerate(zip(shape[::-1], psf.shape, start[::-1], extent[::-1])):
+        if p > n:
+            raise ValueError(f"the PSF {psf.shape} does not fit the image {shape[::-1]}")
+        turn = np.exp(-2j * np.pi * np.multiply.outer(np.arange(a, a + e), np.arange(p) - p // 2) / n)
+        out = np.moveaxis(np.tensordot(turn, out, (1, axis)), 0, axis)
+    return out
+
+
+def filter_spectra(chunks: ch.Chunks, psf: np.ndarray, algorithm: str = "Convolution", **settings) -> ch.Chunks:
+    """A filter of SPECTRAL on whole images without tiles: transforms by lines of chunks, and
+    the block of the filter that each chunk of a half spectrum needs, made where it is."""
+    factor, sent, shape = SPECTRAL[algorithm], chunks.rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(psf, np.float64)), chunks.shape
+    half = ch.transform(chunks, half=True)
+    layout = ch.Layout(half.shape, half.size)
+
+    def work(cube: np.ndarray, place: Shape) -> np.ndarray:
+        start, extent = layout.start(place), layout.extent(place)
+        cos = [np.cos(2 * np.pi * np.arange(a, a + e) / n) for n, a, e in zip(shape, start, extent)]
+        symbol = -2 * (cos[0] + cos[1][:, None] + cos[2][:, None, None] - 3)
+        own = ch.core(cube, place, layout)
+        own *= factor(transfer_block(sent.value, shape, start, extent), symbol, **settings)
+        return cube
+
+    return ch.inverse(ch.map_chunks(half, work), shape[0])
+
+
 def blurred_weights(masks: ch.Chunks, kernel: np.ndarray, fill: str = "mirror", halo: Halo | None = None) -> ch.Chunks:
     """Masks by (image_id, group), blurred by the kernel and divided by their sum at each
     voxel. A group has rows where its masks are and as far as the blur reaches."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,41 +48,59 @@ def j0(x: np.ndarray) -> np.ndarray:
 AGREEMENTS = {0: 4, 1: 5, 2: 6}
 
 
-def gibson_lanni_profile(radii: np.ndarray, defocus: float, wavelength: float, na: float, ns: float, ni: float, particle: float, tolerance: float = 1e-3, accuracy: int = 3) -> np.ndarray:
-    """|diffraction integral|^2 at radii (all lengths in one unit), by Simpson's rule
-    with steps halved until, so many times in a row as the accuracy asks for, no radius
-    changes by more than the tolerance."""
+#: Simpson's rule halves its steps up to so many.
+MOST_STEPS = 1 << 14
+
+
+def gibson_lanni_profiles(radii: np.ndarray, particles: np.ndarray, defocus: np.ndarray, wavelength: float, na: float, ns: float, ni: float, tolerance: float = 1e-3, accuracy: int = 3) -> np.ndarray:
+    """The squared diffraction integral of planes (particle depth, defocus) at radii (all lengths
+    in one unit), nine times, as the rule's sums are not divided by 3. Steps are halved until,
+    so many times in a row as the accuracy asks for, a value changes by no more than its
+    share `tolerance`; each plane's radius ends on its own. Nodes and their Bessel values
+    serve all planes, and those of larger steps stay in the sums."""
     k, top = 2 * np.pi / wavelength, min(1.0, ns / na, ni / na)
-    last, n, agreed = None, 32, 0
-    while True:
-        rho = np.linspace(0, top, n + 1)
-        path = ns * particle * np.sqrt(np.maximum(0, 1 - (na * rho / ns) ** 2)) + ni * defocus * np.sqrt(np.maximum(0, 1 - (na * rho / ni) ** 2))
-        weight = np.where(np.arange(n + 1) % 2, 4.0, 2.0)
-        weight[[0, -1]] = 1
-        value = np.abs((j0(np.multiply.outer(k * na * radii, rho)) * (np.exp(1j * k * path) * rho * weight)).sum(axis=1) * top / (3 * n)) ** 2
-        agreed = agreed + 1 if last is not None and np.all(np.abs(value - last) <= tolerance * value.max()) else 0
-        if agreed == AGREEMENTS.get(accuracy, 3) or n > 8192:
-            return value
-        last, n = value, 2 * n
+
+    def at(rho: np.ndarray) -> np.ndarray:
+        path = ns * np.multiply.outer(particles, np.sqrt(np.maximum(0, 1 - (na * rho / ns) ** 2))) + ni * np.multiply.outer(defocus, np.sqrt(np.maximum(0, 1 - (na * rho / ni) ** 2)))
+        return (np.exp(1j * k * path) * rho) @ j0(np.multiply.outer(k * na * radii, rho)).T
+
+    n, step = 2, top / 2
+    ends, even, odd = at(np.array([0.0, top])), 0, at(np.array([step]))
+    value = np.abs(ends + 4 * odd) ** 2 * step**2
+    agreed, wanted = np.zeros(value.shape, int), AGREEMENTS.get(accuracy, 3)
+    while (going := agreed < wanted).any() and n < MOST_STEPS:
+        n, step = 2 * n, step / 2
+        even, odd = even + odd, at(np.arange(1, n, 2) * step)
+        new = np.abs(ends + 2 * even + 4 * odd) ** 2 * step**2
+        near = np.abs(value - new) <= tolerance * np.where(value == 0, 1e-5, new)
+        agreed = np.where(going, np.where(near, agreed + 1, 0), agreed)
+        value = np.where(going, new, value)
+    return value
 
 
 def gibson_lanni(images: DataFrame, shape: Shape, pixel: float = 100.0, slice_: float = 100.0, wavelength: float = 450.0, ns: float = 1.33, ni: float = 1.515, oversampling: int = 2, tolerance: float = 1e-3, accuracy: int = 3) -> Volume:
-    """images: (image_id, na, particle). Planes are rows of work of their own; each is
-    a radial profile, interpolated to its pixels and cut at ten Airy radii."""
+    """images: (image_id, na, particle). Each distinct (na, particle) is worked out once, for all
+    planes; its radial profiles are joined to the images that have it, interpolated to their
+    pixels and cut at ten Airy radii."""
     w, h, d = shape
-
-    def planes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        y, x = (a.ravel() for a in np.indices((h, w)))
-        r = np.hypot(x - (w - 1) / 2, y - (h - 1) / 2)
-        for part in parts:
-            for image, na, particle, z in part[["image_id", "na", "particle", "z"]].itertuples(index=False):
-                steps = np.arange(int(np.ceil(r.max() * oversampling)) + 2)
-                profile = gibson_lanni_profile(steps / oversampling * pixel, slice_ * (z - (d - 1) / 2), wavelength, na, ns, ni, particle, tolerance, accuracy)
-                v = np.where(r <= 10 * 0.61 * wavelength / (na * pixel), np.interp(r * oversampling, steps, profile), 0.0)
-                yield pd.DataFrame({"image_id": image, "x": x.astype("int32"), "y": y.astype("int32"), "z": np.int32(z), "v": v})
-
-    work = images.select("image_id", "na", "particle", F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("z"))
-    return Volume(work.mapInPandas(planes, "image_id long, x int, y int, z int, v double"), shape)
+    steps = np.arange(int(np.ceil(np.hypot((w - 1) / 2, (h - 1) / 2) * oversampling)) + 2)
+
+    def profiles(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        defocus = slice_ * (np.arange(d) - (d - 1) / 2)
+        found = gibson_lanni_profiles(steps / oversampling * pixel, np.full(d, key[1]), defocus, wavelength, key[0], ns, ni, tolerance, accuracy)
+        return pd.DataFrame({"na": key[0], "particle": key[1], "z": np.arange(d, dtype="int32"), "profile": list(found)})
+
+    # a number of partitions of its own keeps Spark from putting all this work in one task
+    parts = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = images.select("na", "particle").distinct().repartition(parts, "na", "particle")
+    known = distinct.groupBy("na", "particle").applyInPandas(profiles, "na double, particle double, z int, profile array<double>")
+    axis = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = images.join(known, ["na", "particle"]).select("*", axis(w).alias("x")).select("*", axis(h).alias("y"))
+    r = F.sqrt((F.col("x") - (w - 1) / 2) * (F.col("x") - (w - 1) / 2) + (F.col("y") - (h - 1) / 2) * (F.col("y") - (h - 1) / 2))
+    rows = rows.select("image_id", "x", "y", "z", "na", "profile", (r * oversampling).alias("t")).withColumn("i", F.floor("t").cast("int"))
+    low, high = F.get("profile", F.col("i")), F.get("profile", F.col("i") + 1)
+    near = F.col("t") / oversampling <= 10 * 0.61 * wavelength / (F.col("na") * pixel)
+    return Volume(rows.select("image_id", "x", "y", "z", F.when(near, low + (F.col("t") - F.col("i")) * (high - low)).otherwise(0.0).alias("v")), shape)
 
 
 #: Defaults of configurations.
