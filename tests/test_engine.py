@@ -144,12 +144,54 @@ def test_tiff(how, tile, big):
 
 
 def test_lzw():
-    for data in (b"", b"a", b"ab" * 9000, np.random.default_rng(1).integers(0, 256, 30000).astype("u1").tobytes()):
+    for data in (b"", b"a", b"ab" * 9000, bytes(200_000), bytes(range(256)) * 99, b"abcabcab" * 5000 + bytes(7), np.random.default_rng(1).integers(0, 256, 30000).astype("u1").tobytes()):
         assert tiff.lzw_decode(tiff.lzw_encode(data)) == data
     with pytest.raises(ValueError):
         tiff.pages(b"no such file")
 
 
+def test_lzw_of_a_table_that_is_never_cleared():
+    """Codes of single bytes, beyond 4,096 of them."""
+    data = np.random.default_rng(2).integers(0, 256, 6000)
+    widths = [min(12, max(9, (258 + k).bit_length())) for k in range(6001)]
+    bits = "".join(format(c, f"0{w}b") for c, w in zip([*data.tolist(), 257], widths))
+    coded = format(256, "09b") + bits
+    raw = int(coded.ljust(-(-len(coded) // 8) * 8, "0"), 2).to_bytes(-(-len(coded) // 8), "big")
+    assert tiff.lzw_decode(raw) == data.astype("u1").tobytes()
+    with pytest.raises(ValueError, match="broken"):
+        tiff.lzw_decode(int((format(256, "09b") + format(300, "09b")).ljust(24, "0"), 2).to_bytes(3, "big"))
+
+
+@pytest.mark.parametrize("n_taps", [1, 40])
+def test_both_forms_of_a_convolution(spark, n_taps):
+    """Few taps are scattered, many go by spectra; both give the same."""
+    rng = np.random.default_rng(n_taps)
+    taps = [(*map(int, rng.integers(-1, 2, 3)), float(w)) for w in rng.random(n_taps)]
+    v = to_volume(spark, cube((3, 4, 5)))
+    assert dec.best_form(v.shape, n_taps) == ("scatter" if n_taps == 1 else "spectra")
+    own, a, b = (to_array(dec.convolved(v, "v", taps, form)) for form in (None, "scatter", "spectra"))
+    assert np.allclose(a, b) and np.allclose(own, a)
+
+
+def test_boxes_meet_without_a_nested_loop(spark):
+    rng = np.random.default_rng(4)
+    boxes = lambda n, most: [(i, i % 2, *map(int, rng.integers(-40, 40, 3)), *map(int, rng.integers(0, most))) for i in range(n)]
+    frame = lambda rows, name, box: spark.createDataFrame(rows, f"{name} int, image_id int, x int, y int, z int, w int, h int, d int").select(name, "image_id", regions.box(*map(F.col, "xyzwhd")).alias(box))
+    a, b = boxes(150, [20, 9, 5]), boxes(130, [60, 40, 70])
+    for within in (False, True):
+        met = regions.join_boxes(frame(a, "i", "box"), frame(b, "j", "other"), ["image_id"], within=within)
+        want = []
+        for p in a:
+            for q in b:
+                share = p[1] == q[1] and all(max(p[k], q[k]) < min(p[k] + p[k + 3], q[k] + q[k + 3]) for k in (2, 3, 4))
+                inside = all(p[k] >= q[k] and p[k] + p[k + 3] <= q[k] + q[k + 3] for k in (2, 3, 4))
+                if share and (inside or not within):
+                    want.append((p[0], q[0]))
+        assert sorted((r["i"], r["j"]) for r in met.collect()) == sorted(want) and want
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_tiff_files(spark, tmp_path):
     g = cube((3, 5, 7)).astype(np.float32)
     v = to_volume(spark, g)

@@ -141,3 +141,35 @@ def test_psf_generator(spark, folder):
     assert main(["psfgenerator", "-c", f"{where}/a.json", "-o", str(where)]) == 0
     out = tiff.read_volume((where / "psf_a.tiff").read_bytes())
     assert out.shape == (3, 5, 5) and np.isclose(out.sum(), 1, atol=1e-5)
+
+
+def test_progress(spark, folder):
+    where, _ = folder
+    seen = []
+    path = configure(where, multiple_psf_config_paths=[f"{where}/a.json"], iterations=3, padding_strategy="none", max_mem_host_gb=0)
+    assert engine.run(spark, path, 8, seen.append).success
+    assert seen[0] == 0 and seen[-1] == 1 and all(a < b for a, b in zip(seen, seen[1:]))
+
+
+def test_only_groups_of_a_tile_are_deconvolved(spark):
+    """As many kernels run as there are pairs of a tile and a group with weights in it."""
+    from pyspark.sql import functions as F
+
+    from voxmill import chunks as ch
+    from voxmill.operators import deconvolution as dec
+    from voxmill.volume import Volume, grid
+
+    whole = grid(spark.range(2).toDF("image_id"), (16, 4, 2))
+    volume = Volume(whole.withColumn("v", F.lit(1.0)), (16, 4, 2))
+    masks = Volume(whole.select(F.when(F.col("x") < 6, "a").otherwise("b").alias("group"), "image_id", "x", "y", "z", F.lit(1.0).alias("weight")), volume.shape)
+    weights = dec.blurred_weights(ch.from_voxels(masks, "weight", (4, 4, 2), ("image_id", "group")), np.ones((1, 1, 3)))
+    pairs = {(r["group"], r["cx"]) for r in weights.rows.where("image_id = 1").collect()}
+    assert pairs == {("a", 0), ("a", 1), ("b", 1), ("b", 2), ("b", 3)}
+    done = spark.sparkContext.accumulator(0)
+    layout = ch.Layout(volume.shape, (4, 4, 2), (1, 0, 0), (1, 0, 0), "mirror")
+    parts = ch.pieces(ch.from_voxels(volume, "v", (8, 4, 2)), layout)
+    out = dec.labelled_chunks(parts, layout, weights, {"a": np.full((1, 1, 1), 2.0), "b": np.full((1, 1, 1), 4.0)}, "Convolution", done=done)
+    rows = ch.to_voxels(out, "v").voxels.toPandas()
+    assert done.value == 2 * len(pairs) and len(rows) == 2 * 16 * 4 * 2
+    want = np.where(np.arange(16) < 5, 2.0, np.where(np.arange(16) > 6, 4.0, np.where(np.arange(16) == 5, (2 * 2 + 4) / 3, (2 + 4 * 2) / 3)))
+    assert np.allclose(rows["v"], want[rows["x"]])

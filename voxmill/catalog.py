@@ -264,6 +264,26 @@ def complex_gradient_x(spark, sf):
     return volume(spark, sf).map(re=st.ahead("x", "a"), im=st.ahead("x", "b")).voxels
 
 
+_GC = ", gc AS (SELECT image_id, x, y, z, " + ", ".join(f"coalesce({v} - lead({v}) OVER (PARTITION BY image_id, {other} ORDER BY {c}), 0) AS g{c}{p}" for c, other in (("x", "y, z"), ("y", "x, z"), ("z", "x, y")) for v, p in (("a", "_re"), ("b", "_im"))) + " FROM vol)"
+_DIVC = lambda p: " + ".join(f"g{c}{p} - coalesce(lag(g{c}{p}) OVER (PARTITION BY image_id, {other} ORDER BY {c}), 0)" for c, other in (("x", "y, z"), ("y", "x, z"), ("z", "x, y")))
+
+
+@query(VOL + _GC + " SELECT * FROM gc")
+def complex_gradient(spark, sf):
+    return st.gradient(volume(spark, sf), ("a", "b")).voxels
+
+
+@query(VOL + _GC + f" SELECT image_id, x, y, z, {_DIVC('_re')} AS div_re, {_DIVC('_im')} AS div_im FROM gc")
+def complex_divergence(spark, sf):
+    return st.complex_divergence(st.gradient(volume(spark, sf), ("a", "b"))).voxels
+
+
+@query(VOL + _GC + ", m AS (SELECT image_id, x, y, z, " + ", ".join(f"g{c}{p} / sqrt(0.1 + " + " + ".join(f"g{d}{q} * g{d}{q}" for d in "xyz" for q in ("_re", "_im")) + f") AS g{c}{p}" for c in "xyz" for p in ("_re", "_im"))
+       + f" FROM gc) SELECT image_id, x, y, z, round({_DIVC('_re')}, 6) + 0.0 AS div_re, round({_DIVC('_im')}, 6) + 0.0 AS div_im FROM m")
+def complex_tv(spark, sf):
+    return _rounded(st.complex_divergence(st.complex_normalize_tv(st.gradient(volume(spark, sf), ("a", "b")), 0.1)), "div_re", "div_im")
+
+
 @query(VOL + _G + f" SELECT image_id, x, y, z, {_DIV} AS div FROM g")
 def divergence(spark, sf):
     return st.divergence(st.gradient(volume(spark, sf), "a")).voxels
@@ -456,6 +476,29 @@ def feathered_groups(spark, sf):
     return _rounded(reg.feathered(masks, 40, "background", (6, 5, 3)).withColumnRenamed("group", "grp"), "weight")
 
 
+_PLACED = ("WITH a AS (SELECT l_orderkey, l_linenumber, l_suppkey % 10 AS image_id, l_partkey % 401 - 200 AS x, l_orderkey % 307 AS y, l_suppkey % 53 AS z, 1 + l_quantity::INT AS w, 1 + l_orderkey % 3 AS h, l_linenumber AS d FROM lineitem), "
+           "b AS (SELECT o_orderkey, o_custkey % 10 AS image_id, o_custkey % 397 - 200 AS x, o_orderkey % 311 AS y, o_custkey % 50 AS z, 1 + o_custkey % 60 AS w, 1 + o_orderkey % 4 AS h, 1 + o_orderkey % 30 AS d FROM orders WHERE o_orderkey % 3 = 0) "
+           "SELECT l_orderkey, l_linenumber, o_orderkey FROM a JOIN b ON a.image_id = b.image_id AND ")
+
+
+def _placed_boxes(spark, sf) -> tuple[DataFrame, DataFrame]:
+    c = F.col
+    a = reg.box(c("l_partkey") % 401 - 200, c("l_orderkey") % 307, c("l_suppkey") % 53, 1 + c("l_quantity").cast("int"), 1 + c("l_orderkey") % 3, c("l_linenumber"))
+    b = reg.box(c("o_custkey") % 397 - 200, c("o_orderkey") % 311, c("o_custkey") % 50, 1 + c("o_custkey") % 60, 1 + c("o_orderkey") % 4, 1 + c("o_orderkey") % 30)
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (c("l_suppkey") % 10).alias("image_id"), a.alias("box"))
+    return lines, table(spark, sf, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", (c("o_custkey") % 10).alias("image_id"), b.alias("other"))
+
+
+@query(_PLACED + " AND ".join(f"a.{c} < b.{c} + b.{s} AND b.{c} < a.{c} + a.{s}" for c, s in zip("xyz", "whd")))
+def box_join(spark, sf):
+    return reg.join_boxes(*_placed_boxes(spark, sf), ["image_id"]).select("l_orderkey", "l_linenumber", "o_orderkey")
+
+
+@query(_PLACED + " AND ".join(f"a.{c} >= b.{c} AND a.{c} + a.{s} <= b.{c} + b.{s}" for c, s in zip("xyz", "whd")))
+def box_join_within(spark, sf):
+    return reg.join_boxes(*_placed_boxes(spark, sf), ["image_id"], within=True).select("l_orderkey", "l_linenumber", "o_orderkey")
+
+
 @query(_BOXES + " SELECT l_orderkey, l_linenumber, CAST(greatest(least(x + w, 9) - greatest(x, 3), 0) AS INTEGER) AS w, CAST(greatest(least(y + h, 10) - greatest(y, 4), 0) AS INTEGER) AS h, CAST(greatest(least(z + d, 8) - greatest(z, 3), 0) AS INTEGER) AS d, x >= 3 AND x + w <= 9 AND y >= 4 AND y + h <= 10 AND z >= 3 AND z + d <= 8 AS inside FROM b")
 def box_intersect(spark, sf):
     other = reg.box(3, 4, 3, 6, 6, 5)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import time
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 from typing import Any
@@ -128,7 +130,37 @@ def _shape(slices: DataFrame, what: str) -> Shape:
     return tuple(shapes[0])
 
 
-def restore(spark: SparkSession, setup: dict[str, Any], own: dict[str, Any], memory: int = 1 << 30, parallel: int = 1) -> tuple[chunks.Chunks, list[Psf]]:
+class Progress:
+    """Calls back with the share of tiles done, as tasks end, while a block runs; 1 at its end.
+    Tiles of repeated tasks don't count beyond 1."""
+
+    def __init__(self, spark: SparkSession, call: Callable[[float], None], every: float = 0.2):
+        self.done, self.total, self.call, self.every = spark.sparkContext.accumulator(0), 0, call, every
+        self.ended, self.last = threading.Event(), -1.0
+
+    def _tell(self, share: float) -> None:
+        if share > self.last:
+            self.last = share
+            self.call(share)
+
+    def _watch(self) -> None:
+        while not self.ended.wait(self.every):
+            self._tell(min(0.999, self.done.value / self.total) if self.total else 0.0)
+
+    def __enter__(self) -> Progress:
+        self._tell(0.0)
+        self.thread = threading.Thread(target=self._watch, daemon=True)
+        self.thread.start()
+        return self
+
+    def __exit__(self, failed, *_) -> None:
+        self.ended.set()
+        self.thread.join()
+        if failed is None:
+            self._tell(1.0)
+
+
+def restore(spark: SparkSession, setup: dict[str, Any], own: dict[str, Any], memory: int = 1 << 30, parallel: int = 1, progress: Progress | None = None) -> tuple[chunks.Chunks, list[Psf]]:
     """Reads the images, plans and deconvolves, chunk by chunk; also the PSFs. Those from
     configurations are made at the padded shape of tiles; their configured shape counts for
     the halo and the least tile. Of several PSFs the last one counts; with a label image each
@@ -146,6 +178,9 @@ def restore(spark: SparkSession, setup: dict[str, Any], own: dict[str, Any], mem
     psfs = [*(make_psf(spark, v, layout.full, own["padding_strategy"]) for v in made), *read]
     settings = {v: own[k] for k, v in SETTINGS.items() if k != "epsilon" or own["algorithm_name"] == "InverseFilter"}
     parts = tiff_source.read_pieces(spark, setup["image_path"], layout)
+    if progress is not None:
+        progress.total = tiff_source.list_files(spark, setup["image_path"]).count() * int(np.prod([len(chunks.edges(n, t)) - 1 for n, t in zip(shape, tile)]))
+        settings["done"] = progress.done
     if not setup["labeled_image"]:
         return deconvolution.deconvolve_pieces(parts, layout, psfs[-1].cube, own["algorithm_name"], **settings), psfs
     found = label_weights(spark, setup, shape, tile)
@@ -192,12 +227,20 @@ def save_psf(spark: SparkSession, psf: Psf, folder: str) -> str:
     return tiff_sink.write_tiff(tiff_sink.encode_chunks(own), folder, names).first()["path"]
 
 
-def run(spark: SparkSession, path: str, parallel: int = 1) -> Result:
-    """A run by its configuration file; failures are returned, not raised."""
+def run(spark: SparkSession, path: str, parallel: int = 1, call: Callable[[float], None] | None = None) -> Result:
+    """A run by its configuration file; failures are returned, not raised. call: gets the share
+    of tiles done, again and again."""
+    if call is None:
+        return _run(spark, path, parallel, None)
+    with Progress(spark, call) as progress:
+        return _run(spark, path, parallel, progress)
+
+
+def _run(spark: SparkSession, path: str, parallel: int, progress: Progress | None) -> Result:
     began = time.perf_counter()
     try:
         setup, own = config.read_json(path)
-        out, psfs = restore(spark, setup, own, int(setup["max_mem_host_gb"] * (1 << 30)) or 1 << 30, parallel)
+        out, psfs = restore(spark, setup, own, int(setup["max_mem_host_gb"] * (1 << 30)) or 1 << 30, parallel, progress)
         how = COMPRESSIONS.get(setup["output_compression"].lower())
         if how is None:
             warnings.warn(f"unknown compression {setup['output_compression']!r}: none is used", stacklevel=2)

@@ -52,6 +52,41 @@ def subtract(outer: Column, inner: Column) -> Column:
     return F.when(some, F.filter(slabs, lambda b: (b["w"] > 0) & (b["h"] > 0) & (b["d"] > 0))).otherwise(F.array(outer))
 
 
+def _level(b: Column) -> Column:
+    """The least level whose cells, 2^level wide, are no smaller than a box."""
+    most = F.greatest(b["w"], b["h"], b["d"], F.lit(1))
+    return F.ceil(F.log2(most.cast("double"))).cast("int")
+
+
+def join_boxes(a: DataFrame, b: DataFrame, keys: list[str], left: str = "box", right: str = "other", within: bool = False) -> DataFrame:
+    """Pairs of boxes of two tables that have equal keys and share a voxel, or of which the
+    left one lies within the right one. Boxes meet by equal cells: each box covers at most
+    eight cells of its own level and of every coarser one, and a pair meets at the coarser
+    of its two levels, in the one cell that holds the first corner of what they share. So no
+    pair meets twice and no box is compared with all others. Boxes without extent meet
+    nothing. The column names of both tables are distinct but for the keys."""
+    some = lambda c: (F.col(c)["w"] > 0) & (F.col(c)["h"] > 0) & (F.col(c)["d"] > 0)
+    a, b = a.where(some(left)).withColumn("_a", _level(F.col(left))), b.where(some(right)).withColumn("_b", _level(F.col(right)))
+    levels = sorted(r[0] for r in a.select("_a").union(b.select("_b")).distinct().collect())  # 32 at most
+
+    def cells(rows: DataFrame, name: str, own: str) -> DataFrame:
+        wanted = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
+        rows = rows.withColumn("_level", F.explode(F.filter(wanted, lambda n: n >= F.col(own))))
+        for c, size in zip("xyz", "whd"):
+            first = F.expr(f"shiftright({name}.{c}, _level)")
+            rows = rows.withColumn(f"_{c}", F.explode(F.sequence(first, F.expr(f"shiftright({name}.{c} + {name}.{size} - 1, _level)"))))
+        return rows
+
+    met = cells(a, left, "_a").join(cells(b, right, "_b"), [*keys, "_level", "_x", "_y", "_z"])
+    met = met.where(F.col("_level") == F.greatest("_a", "_b"))
+    for c, size in zip("xyz", "whd"):
+        first = F.greatest(F.col(left)[c], F.col(right)[c])
+        met = met.where((first < F.least(F.col(left)[c] + F.col(left)[size], F.col(right)[c] + F.col(right)[size])) & (F.expr(f"shiftright(greatest({left}.{c}, {right}.{c}), _level)") == F.col(f"_{c}")))
+    if within:
+        met = met.where(is_within(F.col(left), F.col(right)))
+    return met.drop("_a", "_b", "_level", "_x", "_y", "_z")
+
+
 def stitch(pieces: DataFrame, value: str, order: str = "chunk_id") -> DataFrame:
     """Overlapping pieces, the one with the greatest order over the others."""
     return pieces.groupBy(*KEYS).agg(F.max_by(value, order).alias(value))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from voxmill.volume import KEYS, Volume
 
 
+#: Endings of the names of complex values.
+PARTS = ("_re", "_im")
+
+
 def _line(axis: str):
     """Windows hold one line of voxels along the axis, never an image."""
     return Window.partitionBy("image_id", *(c for c in "xyz" if c != axis)).orderBy(axis)
@@ -37,12 +41,29 @@ def _scattered(volume: Volume, parts: list[tuple[dict[str, int], dict[str, Colum
     return volume.with_(rows.groupBy(*KEYS).agg(*(F.sum(n).alias(n) for n in names)))
 
 
-def gradient(volume: Volume, value: str) -> Volume:
-    """gx, gy, gz by ahead() along every axis, in one shuffle."""
-    v = F.col(value)
-    own = {f"g{c}": F.when(F.col(c) < n - 1, v).otherwise(0.0) for c, n in zip("xyz", volume.shape)}
-    back = [({c: -k for c, k in _step(axis).items()}, {f"g{axis}": -v}) for axis in "xyz"]
-    return _scattered(volume, [({c: 0 for c in "xyz"}, own), *back], ["gx", "gy", "gz"])
+def gradient(volume: Volume, value: str | tuple[str, str]) -> Volume:
+    """gx, gy, gz by ahead() along every axis, in one shuffle; of complex volumes (two values)
+    gx_re, gx_im and so on."""
+    parts = {"": value} if isinstance(value, str) else dict(zip(PARTS, value))
+    own = {f"g{c}{p}": F.when(F.col(c) < n - 1, F.col(v)).otherwise(0.0) for c, n in zip("xyz", volume.shape) for p, v in parts.items()}
+    back = [({c: -k for c, k in _step(axis).items()}, {f"g{axis}{p}": -F.col(v) for p, v in parts.items()}) for axis in "xyz"]
+    return _scattered(volume, [({c: 0 for c in "xyz"}, own), *back], list(own))
+
+
+def complex_divergence(volume: Volume) -> Volume:
+    """div_re and div_im of a complex gradient, in one shuffle."""
+    g = {(axis, p): F.col(f"g{axis}{p}") for axis in "xyz" for p in PARTS}
+    own = {f"div{p}": g["x", p] + g["y", p] + g["z", p] for p in PARTS}
+    return _scattered(volume, [({c: 0 for c in "xyz"}, own), *((_step(axis), {f"div{p}": -g[axis, p] for p in PARTS}) for axis in "xyz")], list(own))
+
+
+def complex_normalize_tv(volume: Volume, beta: float) -> Volume:
+    """A complex gradient over the root of its squared magnitude plus beta."""
+    names = [f"g{axis}{p}" for axis in "xyz" for p in PARTS]
+    squares = F.lit(beta)
+    for n in names:
+        squares = squares + F.col(n) * F.col(n)
+    return volume.map(**{n: F.col(n) / F.sqrt(squares) for n in names})
 
 
 def divergence(volume: Volume, values: tuple[str, str, str] = ("gx", "gy", "gz"), name: str = "div") -> Volume:

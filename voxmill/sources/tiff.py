@@ -17,26 +17,56 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 BIG = 2 << 30
 
 
+def _lzw_codes(data: np.ndarray, at: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n codes from a bit on and where each ends, if none of them clears the table: the
+    width of a code depends on how many came since then alone."""
+    widths = np.minimum(12, np.floor(np.log2(258 + np.arange(n))).astype(np.int64) + 1)
+    ends = at + np.cumsum(widths)
+    bits = ends - widths
+    first = np.minimum(bits >> 3, len(data) - 4)  # of codes beyond the end, which are not kept
+    window = data[first].astype(np.int64) << 24 | data[first + 1].astype(np.int64) << 16 | data[first + 2].astype(np.int64) << 8 | data[first + 3]
+    return window >> (32 - (bits & 7) - widths) & ((1 << widths) - 1), ends
+
+
+def _lzw_expanded(codes: np.ndarray) -> np.ndarray:
+    """The bytes of codes since the table was cleared. Entry 258 + j is what code j stood for
+    and the byte after it, so it is a copy of the output from code j on: lengths and bytes
+    follow by doubling the steps back to a single byte."""
+    n, single = len(codes), codes < 256
+    back = np.where(single, np.arange(n), codes - 258)
+    if (back > np.arange(n)).any() or (back < 0).any():
+        raise ValueError("the LZW data are broken")
+    sizes, to = (~single).astype(np.int64), back
+    while (to[to] != to).any():
+        sizes, to = sizes + sizes[to], to[to]
+    sizes += 1
+    starts = np.cumsum(sizes) - sizes
+    step = np.repeat((starts - np.where(single, starts, starts[back])).astype(np.int32), sizes)
+    source = np.arange(len(step), dtype=np.int32) - step
+    while (step[source] > 0).any():
+        source = source[source]
+    values = np.repeat(np.where(single, codes, 0), sizes).astype(np.uint8)
+    return values[source]
+
+
 def lzw_decode(data: bytes) -> bytes:
-    out, table, width, bits, held, last = bytearray(), [], 9, 0, 0, b""
-    for byte in data:
-        held, bits = held << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code, held = held >> bits, held & ((1 << bits) - 1)
-        if code == 256:
-            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
-            continue
-        if code == 257:
+    raw, end = np.frombuffer(data + bytes(8), np.uint8), 8 * len(data)
+    at, out = 0, []
+    while end - at >= 9:
+        n = 4096
+        while True:  # a table that is never cleared goes on in 12 bits
+            n = min(n, (end - at) // 9)
+            codes, ends = _lzw_codes(raw, at, n)
+            stops = np.flatnonzero(((codes == 256) | (codes == 257)) & (ends <= end))
+            if len(stops) or n == (end - at) // 9:
+                break
+            n *= 2
+        last = int(stops[0]) if len(stops) else int(np.searchsorted(ends, end, "right"))
+        out.append(_lzw_expanded(codes[:last]))
+        if not len(stops) or codes[last] == 257:
             break
-        entry = table[code] if code < len(table) else last + last[:1]
-        out += entry
-        if last:
-            table.append(last + entry[:1])
-        last = entry
-        width = min(12, max(9, (len(table) + 1).bit_length()))
-    return bytes(out)
+        at = int(ends[last])
+    return b"".join(x.tobytes() for x in out)
 
 
 def lzw_encode(data: bytes) -> bytes:
