@@ -104,6 +104,62 @@ def test_disguises_that_nothing_was_learned_from(spark):
     assert not any(got[2000 + i] and not brute(dict(rows)[2000 + i]) for i in range(300))
 
 
+def _digits(rng, n):
+    return "".join(rng.choices("0123456789", k=n))
+
+
+def _card(rng):
+    d = "4" + _digits(rng, 14)
+    return next(d + x for x in "0123456789" if luhn(d + x))
+
+
+def _everyday(rng):
+    """Kinds and everyday forms."""
+    u, h, c = rng.choice(["joe", "ann.lee", "k_smith", "info", "sales7"]), rng.choice(["mail", "acme", "site", "north-wind"]), rng.choice(["com", "org", "net"])
+    ip = [str(rng.randrange(256)) for _ in range(4)]
+    fours = re.findall("....", _card(rng))
+    a, b, d = str(rng.randrange(201, 990)), str(rng.randrange(200, 999)), _digits(rng, 4)
+    return {
+        "at dot caps": ("email", f"{u} AT {h} DOT {c}"), "at dot": ("email", f"{u} at {h} dot {c}"), "bracket dot": ("email", f"{u}@{h}[.]{c}"), "(at)": ("email", f"{u}(at){h}.{c}"),
+        "card _": ("card", "_".join(fours)), "card -": ("card", " - ".join(fours)), "card .": ("card", ".".join(fours)),
+        "area": ("phone", f"({a}) {b}-{d}"), "trunk": ("phone", f"020 {_digits(rng, 4)} {d}"), "one": ("phone", f"1-{a}-{b}-{d}"),
+        "ip dot": ("ip", " dot ".join(ip)), "ip (dot)": ("ip", "(dot)".join(ip)), "ip ,": ("ip", ",".join(ip)), "ip [.]": ("ip", "[.]".join(ip)),
+    }
+
+
+@pytest.mark.parametrize("data", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_everyday_forms_among_real_documents(spark, data):
+    """25 texts of each of 14 forms among all documents of a table, and texts that look alike."""
+    rng = random.Random(8)
+    words = "the report says that our team will meet again when all of the work has been done and sent".split()
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    rows, wanted, plain = [], {}, []
+    for i in range(25):
+        for name, (kind, text) in _everyday(rng).items():
+            n = 10_000_000 + len(rows)
+            before = f"{prose(rng.randrange(2, 9))} {rng.choice(['contact', 'reach', 'see', 'use', 'call', 'write'])} "
+            rows.append((n, f"{before}{text} {prose(4)}"))
+            wanted[n] = (name, kind, len(before), len(before) + len(text))
+    looks = [
+        lambda: f"20{_digits(rng, 2)}-0{rng.randrange(1, 9)}-1{rng.randrange(9)}", lambda: f"{rng.randrange(10, 99)} @ {rng.randrange(1, 9)}.{_digits(rng, 2)}", lambda: f"order {_digits(rng, 10)}", lambda: f"{rng.randrange(1, 9)}, {rng.randrange(10, 20)}, {rng.randrange(20, 30)}, {rng.randrange(30, 40)}",
+        lambda: f"{rng.randrange(1, 99)} {rng.randrange(100, 999)} {rng.randrange(100, 999)} {rng.randrange(100, 999)}", lambda: f"look at {prose(1)}.{prose(1)}", lambda: f"at home. {prose(2)}", lambda: f"v{rng.randrange(256, 999)}.{rng.randrange(300, 999)}.1.2", lambda: "19" + _digits(rng, 2) + " - 20" + _digits(rng, 2),
+    ]
+    for i in range(300):
+        plain.append(20_000_000 + i)
+        rows.append((plain[-1], f"{prose(6)} {looks[i % len(looks)]()} {prose(4)}"))
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["spans"].split(",") for r in digest(find_personal_data(docs)).where("doc_id >= 10000000").collect()}
+    hits = {}
+    for n, (name, kind, a, b) in wanted.items():
+        spans = [s.split(":") for s in got[n] if s]
+        hits.setdefault(name, []).append(any(k == kind and int(x) < b and a < int(y) for k, x, y in spans))
+    found = {name: sum(h) for name, h in hits.items()}
+    wrong = sum(bool(got[n] != [""]) for n in plain)
+    print(found, wrong)
+    assert sum(found.values()) >= 0.9 * len(wanted) and min(found.values()) >= 20, found
+    assert wrong <= 3, [dict(rows)[n] for n in plain if got[n] != [""]]
+
+
 def test_of_spans_that_overlap_the_best_stays(spark):
     from voxmill.llm.pii import _apart
 
