@@ -55,6 +55,20 @@ def test_windows(spark, bound):
     assert [r[:4] for r in got if r[0] == 203] == [(203, 3, 3, 0)]
 
 
+def test_null_text_without_ansi(spark):
+    """size() of null is -1 there."""
+    docs, items = corpus()
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        for bound in (200_000, 0):
+            assert digest(decontaminate(d, b, broadcast_windows=bound)).where("doc_id = 200").first()["n_words"] == 0
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def test_edges(spark):
     d = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "other"), (2, None)], "doc_id long, text string")
     b = spark.createDataFrame([(1, "b c")], "item_id long, text string")

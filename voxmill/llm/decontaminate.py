@@ -46,14 +46,14 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     )
 
 
-def ranked_windows(documents: DataFrame, windows: DataFrame) -> DataFrame:
+def ranked_windows(documents: DataFrame, windows: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Adds each window's two rarest words and their places in it."""
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
-    counts = (
-        documents.select(F.explode(words(F.col("text"))).alias("word"))
-        .join(F.broadcast(vocabulary) if _bounded(vocabulary) else vocabulary, "word")
-        .groupBy("word").agg(F.count("*").alias("n"))
-    )
+    every = documents.select(F.explode(words(F.col("text"))).alias("word"))
+    if _bounded(vocabulary, broadcast_windows):
+        counts = every.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
+    else:  # counted before they are shuffled, so a frequent word is a row for each task
+        counts = every.groupBy("word").agg(F.count("*").alias("n")).join(vocabulary, "word", "left_semi")
     placed = windows.select("window", "items", F.posexplode("window").alias("place", "word")).join(counts, "word", "left")
     ranks = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")))
     return (
@@ -73,8 +73,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
     windows in it) and contaminated (hits are at least a HIT_SHARE-th of its words)."""
     documents = documents.select("doc_id", "text")
     windows = materialize(item_windows(benchmark, size), "windows")
-    windows = materialize(ranked_windows(documents, windows), "ranked")
-    w = documents.select("doc_id", F.xxhash64("text").alias("copy"), words(F.col("text")).alias("w"))
+    windows = materialize(ranked_windows(documents, windows, broadcast_windows), "ranked")
+    # size() of null is -1 in sessions without ANSI
+    w = documents.select("doc_id", F.xxhash64("text").alias("copy"), F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("w"))
     start = F.col("pos") - F.col("place")
     here = F.col("word2").isNull() | (F.get("w", start + F.col("place2")) == F.col("word2"))
     fits = (start >= 0) & (start + F.col("len") <= F.size("w"))
