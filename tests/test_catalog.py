@@ -37,6 +37,5 @@ def test_same_as_sql(spark, sql, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, DATA).count() > 0
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)

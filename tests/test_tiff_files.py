@@ -95,7 +95,7 @@ def test_block_rows(spark, files):
 def test_pieces_of_files_are_those_of_chunks(spark, files):
     where, found = files
     layout = ch.Layout((24, 20, 6), (10, 7, 4), (3, 2, 1), (2, 2, 2), "mirror")
-    out = ch.to_voxels(ch.gather(tiff_source.read_pieces(spark, f"{where}/in", layout), layout, lambda c, _: c * 2), "v").voxels.toPandas()
+    out = ch.to_voxels(ch.gather(tiff_source.read_pieces(spark, f"{where}/in", layout), layout, lambda c, _: c * 2, kind=tiff_source.KIND), "v").voxels.toPandas()
     assert len(out) == 2 * 24 * 20 * 6
     for image, own in out.groupby("image_id"):
         assert np.allclose(found[image][own["z"], own["y"], own["x"]] * 2, own["v"])
@@ -105,12 +105,24 @@ def test_pieces_of_files_are_those_of_chunks(spark, files):
 @pytest.mark.parametrize("how", [tiff.NONE, tiff.DEFLATE])
 def test_several_tasks_write_one_file(spark, files, tile, how, monkeypatch):
     where, found = files
+    small = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        _written_by_several(spark, where, found, tile, how, monkeypatch)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _written_by_several(spark, where, found, tile, how, monkeypatch):
     monkeypatch.setattr(tiff_sink, "SLAB", 24 * 20 * 8 * 2)
     layout = ch.Layout((24, 20, 6), (10, 7, 4))
-    chunks = ch.gather(tiff_source.read_pieces(spark, f"{where}/in", layout), layout, lambda c, _: c)
+    chunks = ch.gather(tiff_source.read_pieces(spark, f"{where}/in", layout), layout, lambda c, _: c, kind=tiff_source.KIND)
     names = tiff_source.list_files(spark, f"{where}/in").select("image_id", F.col("image_id").cast("string").alias("name"))
-    done = tiff_sink.write_tiff(tiff_sink.encode_chunks(chunks, how, tile=tile), f"file://{where}/out", names, slab=1).collect()
-    assert len(done) == 2
+    done = tiff_sink.write_tiff(tiff_sink.encode_chunks(chunks, how, tile=tile), f"file://{where}/out", names).collect()
+    assert len(done) == 2 and all(r["tasks"] > 1 for r in done)
     for image, g in found.items():
         assert (where / "out" / f"{image}.tiff").read_bytes() == tiff.encode(g, how, tile=tile)
 
@@ -118,10 +130,10 @@ def test_several_tasks_write_one_file(spark, files, tile, how, monkeypatch):
 def test_a_failed_task_leaves_no_file(spark, files):
     where, _ = files
     layout = ch.Layout((24, 20, 6), (24, 20, 6))
-    pieces = tiff_sink.encode_chunks(ch.gather(tiff_source.read_pieces(spark, f"{where}/in", layout), layout, lambda c, _: c))
+    pieces = tiff_sink.encode_chunks(ch.gather(tiff_source.read_pieces(spark, f"{where}/in", layout), layout, lambda c, _: c, kind=tiff_source.KIND))
     broken = pieces.withColumn("piece", F.when(F.col("z") == 5, F.raise_error(F.lit("lost")).cast("binary")).otherwise(F.col("piece")))
     with pytest.raises(Exception, match="lost"):
-        tiff_sink.write_tiff(broken, f"file://{where}/out", slab=1)
+        tiff_sink.write_tiff(broken, f"file://{where}/out")
     assert not (where / "out").exists() or not list((where / "out").rglob("*"))
     # a piece that is missing is noticed before the file is shown
     with pytest.raises(Exception, match="in pieces that end at"):

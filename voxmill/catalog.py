@@ -756,7 +756,7 @@ def richardson_lucy_files(spark, sf):
     halo = ((4, 4, 4), (4, 4, 4))
     full = tiles.tile_shape(v.shape, halo, 3000, 2, (9, 9, 9))
     layout = chunks.Layout(v.shape, tuple(min(n, f - 8) for n, f in zip(v.shape, full)), *halo, "mirror")
-    done = dec.deconvolve_pieces(tiff_source.read_pieces(spark, folder, layout), layout, dec.tap_psf(TAPS), "RichardsonLucy", iterations=2)
+    done = dec.deconvolve_pieces(tiff_source.read_pieces(spark, folder, layout), layout, dec.tap_psf(TAPS), "RichardsonLucy", kind=tiff_source.KIND, iterations=2)
     names = tiff_source.list_files(spark, folder).select("image_id", text.stem(F.col("path")).alias("name"))
     tiff_sink.write_tiff(tiff_sink.encode_chunks(done), out, names)
     return _from_files(spark, out, tiff_source.read_tiff(spark, out)).withColumnRenamed("v", "a")
@@ -881,10 +881,10 @@ def tiff_block_rows(spark, sf):
 
 @query(VOL + " SELECT image_id, x, y, z, CAST(a AS FLOAT) AS v FROM vol")
 def tiff_slabs(spark, sf):
-    """Chunks to files without voxel rows, a slice a task."""
+    """Chunks to files without voxel rows."""
     v = volume(spark, sf)
     folder = shared.new_folder(spark, "tiff")
-    tiff_sink.write_tiff(tiff_sink.encode_chunks(chunks.from_voxels(v, "a", (6, 5, 3)), compression=tiff.DEFLATE), folder, slab=1)
+    tiff_sink.write_tiff(tiff_sink.encode_chunks(chunks.from_voxels(v, "a", (6, 5, 3)), compression=tiff.DEFLATE), folder)
     return _from_files(spark, folder, tiff_source.read_tiff(spark, folder))
 
 

@@ -84,7 +84,7 @@ def read_psf(spark: SparkSession, path: str, relative_max: float) -> Psf:
     above a share of its maximum."""
     shape = _shape(tiff_source.list_slices(spark, path), "a point-spread function")
     layout = chunks.Layout(shape, (*shape[:2], 1))
-    cube = to_cube(chunks.gather(tiff_source.read_pieces(spark, path, layout), layout, lambda c, _: c))
+    cube = to_cube(chunks.gather(tiff_source.read_pieces(spark, path, layout), layout, lambda c, _: c, kind=tiff_source.KIND))
     above = np.nonzero(cube > relative_max * float(cube.max()))
     return Psf(PurePosixPath(path).stem, cube, tuple(int(np.ptp(i)) + 1 if len(i) else 0 for i in above[::-1]))
 
@@ -182,7 +182,7 @@ def restore(spark: SparkSession, setup: dict[str, Any], own: dict[str, Any], mem
         progress.total = tiff_source.list_files(spark, setup["image_path"]).count() * int(np.prod([len(chunks.edges(n, t)) - 1 for n, t in zip(shape, tile)]))
         settings["done"] = progress.done
     if not setup["labeled_image"]:
-        return deconvolution.deconvolve_pieces(parts, layout, psfs[-1].cube, own["algorithm_name"], **settings), psfs
+        return deconvolution.deconvolve_pieces(parts, layout, psfs[-1].cube, own["algorithm_name"], kind=tiff_source.KIND, **settings), psfs
     found = label_weights(spark, setup, shape, tile)
     named = {p.name: p.cube for p in psfs}
     groups = sorted(r[0] for r in _ranges(spark, setup).select(F.array_join("values", ",")).distinct().collect())  # a configuration's label groups
@@ -194,7 +194,7 @@ def restore(spark: SparkSession, setup: dict[str, Any], own: dict[str, Any], mem
     tiles_of = tiff_source.list_files(spark, setup["image_path"]).select("image_id", places[0]).select("*", places[1]).select("*", places[2])
     rows = tiles_of.join(found.rows.drop("image_id"), chunks.PLACE).select("image_id", "group", *chunks.PLACE, "data")
     shared = chunks.Chunks(rows, shape, found.size, found.kind, found.keys)
-    return deconvolution.labelled_chunks(parts, layout, shared, {g: c[0] for g, c in last.items() if c}, own["algorithm_name"], **settings), psfs
+    return deconvolution.labelled_chunks(parts, layout, shared, {g: c[0] for g, c in last.items() if c}, own["algorithm_name"], kind=tiff_source.KIND, **settings), psfs
 
 
 def _ranges(spark: SparkSession, setup: dict[str, Any]) -> DataFrame:
@@ -210,7 +210,7 @@ def label_weights(spark: SparkSession, setup: dict[str, Any], shape: Shape, tile
     if slices.select("path").distinct().limit(2).count() > 1:
         raise ValueError("one label image serves a run")
     layout = chunks.Layout(shape, tile)
-    labels = chunks.gather(tiff_source.read_pieces(spark, setup["labeled_image"], layout), layout, lambda c, _: c)
+    labels = chunks.gather(tiff_source.read_pieces(spark, setup["labeled_image"], layout), layout, lambda c, _: c, kind=tiff_source.KIND)
     # masks go on beyond the edges as labels do, mirrored
     return deconvolution.blurred_weights(regions.mask_chunks(labels, _ranges(spark, setup)), feathering(shape), "mirror")
 

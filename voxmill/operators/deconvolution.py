@@ -79,10 +79,11 @@ def _filter(spark: SparkSession, psfs: dict[str, np.ndarray], algorithm: str, se
     return work
 
 
-def deconvolve_pieces(parts: DataFrame, layout: ch.Layout, psf: np.ndarray, algorithm: str = "RichardsonLucy", done: Accumulator | None = None, **settings) -> ch.Chunks:
-    """Runs a registered kernel on every chunk that the pieces make; done counts them."""
+def deconvolve_pieces(parts: DataFrame, layout: ch.Layout, psf: np.ndarray, algorithm: str = "RichardsonLucy", done: Accumulator | None = None, kind: str = ch.REAL, **settings) -> ch.Chunks:
+    """Runs a registered kernel on every chunk that the pieces, numbers of a kind, make; done
+    counts them. Kernels work in double precision whatever the kind."""
     work = _counted(_filter(parts.sparkSession, {"": psf}, algorithm, settings), done)
-    return ch.gather(parts, layout, lambda cube, _: work(cube, ""))
+    return ch.gather(parts, layout, lambda cube, _: work(cube.astype(np.float64), ""), kind=kind)
 
 
 def _counted(work: Callable[[np.ndarray, str], np.ndarray], done: Accumulator | None) -> Callable[[np.ndarray, str], np.ndarray]:
@@ -191,7 +192,7 @@ def blurred_weights(masks: ch.Chunks, kernel: np.ndarray, fill: str = "mirror",
     return ch.Chunks(rows, masks.shape, masks.size, masks.kind, masks.keys)
 
 
-def labelled_chunks(parts: DataFrame, layout: ch.Layout, weights: ch.Chunks, psfs: dict[str, np.ndarray], algorithm: str = "RichardsonLucy", done: Accumulator | None = None, **settings) -> ch.Chunks:
+def labelled_chunks(parts: DataFrame, layout: ch.Layout, weights: ch.Chunks, psfs: dict[str, np.ndarray], algorithm: str = "RichardsonLucy", done: Accumulator | None = None, kind: str = ch.REAL, **settings) -> ch.Chunks:
     """Deconvolves every chunk with the PSFs of the groups that it holds, and of no others,
     and sums by their weights, keyed by (image_id, group); 0 where no group reaches. psfs: by
     group, a configuration; done counts the pairs of a chunk and a group."""
@@ -200,16 +201,17 @@ def labelled_chunks(parts: DataFrame, layout: ch.Layout, weights: ch.Chunks, psf
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"image_id": pa.array([], pa.int64()), **{c: pa.array([], pa.int32()) for c in ch.PLACE}, "data": pa.array([], pa.binary())})
-        place, cube = ch.assembled(left, layout, ch.REAL)
+        place, cube = ch.assembled(left, layout, kind)
+        cube = cube.astype(np.float64)
         total = np.zeros(layout.extent(place)[::-1])
         for group, data in zip(right["group"].to_pylist(), right["data"]):
             total += ch.core(run(cube, group), place, layout) * np.frombuffer(data.as_buffer()).reshape(total.shape)
-        return left.slice(0, 1).select(["image_id", *ch.PLACE]).append_column("data", pa.array([total.tobytes()], pa.binary()))
+        return left.slice(0, 1).select(["image_id", *ch.PLACE]).append_column("data", pa.array([total.astype(kind).tobytes()], pa.binary()))
 
     known = weights.rows.where(F.col("group").isin(list(psfs)))
     keys = ["image_id", *ch.PLACE]
     rows = parts.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInArrow(work, "image_id long, cx int, cy int, cz int, data binary")
-    return ch.Chunks(rows, layout.shape, layout.size)
+    return ch.Chunks(rows, layout.shape, layout.size, kind)
 
 
 def labelled(volume: Volume, value: str, weights: DataFrame, psfs: dict[str, np.ndarray], algorithm: str = "RichardsonLucy", tile: Shape | None = None, halo: Halo = NO_HALO, fill: str = "zero", **settings) -> DataFrame:

@@ -1,9 +1,9 @@
 """Writes of TIFF files, in two phases.
 
-Slices are compressed in rows of their own, and a windowed sum of their sizes finds the
-place of each in its file. Tasks write slabs of slices, several for one image, at their
-places in a file of a temporary folder; when all are written the files are moved to their
-names. Until then no file of the result is to be seen, and a repeated task writes the same
+Slices are compressed in rows of their own, which are written to the shared folder; a
+windowed sum of their sizes finds the place of each in its file. Tasks write slices,
+several tasks for one image, at their places in a file of a temporary folder; when all are
+written the files are moved to their names. Until then no file of the result is to be seen, and a repeated task writes the same
 bytes to the same places. In a store without writes at places, a task streams the slices
 of an image in their order instead."""
 
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from voxmill.sources.tiff_source import store_of
 from voxmill.volume import Shape
 
 PACKED = "image_id long, z int, sizes array<int>, data binary"
+RESULT = "image_id long, path string, bytes long, tasks long"
 #: Bytes of slices, before they are compressed, that one task writes.
 SLAB = 64 << 20
 
@@ -49,7 +51,10 @@ def _placed(packed: DataFrame, shape: Shape, compression: int, tile: tuple[int,
                 pieces.append(head + r.data + tiff.directory(w, h, [int(n) for n in r.sizes], int(r.at), int(r.following), compression, tile, big, kind))
             yield pd.DataFrame({"image_id": part["image_id"], "z": part["z"], "at": part["at"].where(part["z"] > 0, 0), "piece": pieces})
 
-    packed = packed.withColumn("length", F.octet_length("data").cast("long"))
+    # written once, so that sizes and data come of one computation and data are not shuffled again
+    path = new_folder(packed.sparkSession, "packed")
+    packed.withColumn("length", F.octet_length("data").cast("long")).write.parquet(path)
+    packed = packed.sparkSession.read.schema(f"{PACKED}, length long").parquet(path)
     order = Window.partitionBy("image_id").orderBy("z")
     before = F.coalesce(F.sum(F.col("length") + lists + own).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     places = packed.select("image_id", "z", "length", (before + first).alias("at"))
@@ -112,10 +117,11 @@ def _delete(folder: str) -> None:
         store.delete_dir(root)
 
 
-def write_tiff(pieces: DataFrame, folder: str, names: DataFrame | None = None, slab: int = 16) -> DataFrame:
+def write_tiff(pieces: DataFrame, folder: str, names: DataFrame | None = None) -> DataFrame:
     """Writes the pieces of encode_slices() or encode_chunks() to folder/<name>.tiff in any store
-    that Arrow reaches, `slab` slices a task, and returns (image_id, path, bytes). names:
-    (image_id, name); else images are named by their ids. If it fails no file is left."""
+    that Arrow reaches, and returns (image_id, path, bytes, tasks), tasks being how many wrote
+    the file. names: (image_id, name); else images are named by their ids. If it fails no
+    file is left."""
     spark: SparkSession = pieces.sparkSession
     at_places = ":" not in folder or folder.startswith("file:")
     temporary = f"{folder}/_temporary-{uuid.uuid4().hex}"
@@ -123,7 +129,7 @@ def write_tiff(pieces: DataFrame, folder: str, names: DataFrame | None = None, s
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = store_of(temporary)
         store.create_dir(root, recursive=True)
-        image = out = None
+        image, out, task = None, None, TaskContext.get().partitionId()
         for part in parts:
             for r in part.itertuples(index=False):
                 path = f"{root}/{r.name}.tiff"
@@ -135,7 +141,7 @@ def write_tiff(pieces: DataFrame, folder: str, names: DataFrame | None = None, s
                             out.close()
                         image, out = r.image_id, store.open_output_stream(path)
                     out.write(r.piece)
-            yield pd.DataFrame({"image_id": part["image_id"], "name": part["name"], "at": part["at"], "bytes": part["piece"].map(len)})
+            yield pd.DataFrame({"image_id": part["image_id"], "name": part["name"], "at": part["at"], "bytes": part["piece"].map(len), "task": task})
         if out is not None:
             out.close()
 
@@ -152,16 +158,18 @@ def write_tiff(pieces: DataFrame, folder: str, names: DataFrame | None = None, s
                     store.move(f"{root}/{r.name}.tiff", f"{final}/{r.name}.tiff")
                 elif there[1].size != r.bytes:
                     raise FileNotFoundError(f"{root}/{r.name}.tiff")
-            yield pd.DataFrame({"image_id": part["image_id"], "path": [f"{final}/{n}.tiff" for n in part["name"]], "bytes": part["bytes"]})
+            yield pd.DataFrame({"image_id": part["image_id"], "path": [f"{final}/{n}.tiff" for n in part["name"]], "bytes": part["bytes"], "tasks": part["tasks"]})
 
     named = pieces.join(names, "image_id") if names is not None else pieces.withColumn("name", F.col("image_id").cast("string"))
-    keys = ["image_id", F.expr(f"z div {slab}")] if at_places else ["image_id"]
-    dealt = named.select("image_id", "name", "z", "at", "piece").repartition(*keys).sortWithinPartitions("image_id", "z")
+    dealt = named.select("image_id", "name", "z", "at", "piece")
+    if not at_places:
+        dealt = dealt.repartition("image_id").sortWithinPartitions("image_id", "z")
     written, moved = new_folder(spark, "written"), new_folder(spark, "moved")
     try:
-        dealt.mapInPandas(write, "image_id long, name string, at long, bytes long").write.parquet(written)
-        files = spark.read.parquet(written).groupBy("image_id", "name").agg(F.sum("bytes").alias("bytes"), F.max(F.col("at") + F.col("bytes")).alias("end"))
-        files.mapInPandas(move, "image_id long, path string, bytes long").write.parquet(moved)
+        dealt.mapInPandas(write, "image_id long, name string, at long, bytes long, task int").write.parquet(written)
+        sums = F.sum("bytes").alias("bytes"), F.max(F.col("at") + F.col("bytes")).alias("end"), F.count_distinct("task").alias("tasks")
+        files = spark.read.parquet(written).groupBy("image_id", "name").agg(*sums)
+        files.mapInPandas(move, RESULT).write.parquet(moved)
     finally:
         _delete(temporary)
-    return spark.read.schema("image_id long, path string, bytes long").parquet(moved)
+    return spark.read.schema(RESULT).parquet(moved)

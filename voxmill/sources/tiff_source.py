@@ -26,6 +26,7 @@ NAMES = "*.{tif,tiff,ometif}"
 VOXELS = "image_id long, x int, y int, z int, v float"
 BLOCKS = "image_id long, path string, x int, y int, z int, w int, h int, data binary, bytes long"
 Bounds = dict[str, tuple[int, int]]
+KIND = "<f4"
 EVERYWHERE = (0, 1 << 40)
 
 
@@ -234,13 +235,13 @@ def read_tiff(spark: SparkSession, path: str, channel: int = 0, **box: tuple[int
 
 
 def read_pieces(spark: SparkSession, path: str, layout: ch.Layout, channel: int = 0) -> DataFrame:
-    """What every chunk of a layout reads of the images: slices are cut where they are read,
-    and no voxel has a row of its own."""
+    """What every chunk of a layout reads of the images, in numbers of KIND: slices are cut where
+    they are read, and no voxel has a row of its own."""
 
     def batches(name: str, share: int, shares: int) -> Iterator[pa.RecordBatch]:
         image = image_id(name)
         for own in slices(name, channel, {}, share, shares):
-            cube = own.plane().astype(np.float64)[None]
+            cube = own.plane()[None]
             parts = list(ch.split(cube, (0, 0, own.z), layout))
             if parts:
                 yield ch.piece_batch({"image_id": pa.array(np.full(len(parts), image))}, (0, 0, own.z), (cube.shape[2], cube.shape[1], 1), parts)
