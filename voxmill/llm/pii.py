@@ -207,19 +207,19 @@ def rewritten(confirmed: DataFrame) -> DataFrame:
             form("thousands", joined(F.array(cut(1, 2), cut(3, 3), cut(6, 3), cut(9, 3)), pick((" ", ".", "."), "thousands")), 0.0), form("fours", fours(cut(1, 12), gap), 0.0), form("range", F.concat(cut(1, 6), gap, cut(7, 6)), 0.0), form("years", F.concat(F.lit("19"), cut(1, 2), gap, F.lit("20"), cut(3, 2), gap, cut(5, 4)), 0.0),
         ],
     }
-    made = F.lit(None)
-    for kind, each in forms.items():
-        made = F.when(F.col("kind") == kind, F.array(*each)).otherwise(made)
-    return confirmed.select("doc_id", "copy", "kind", "start", "end", "before", "after", F.explode(made).alias("f")).select("doc_id", "copy", "kind", "start", "end", "before", "after", "f.*")
+    out = None
+    for kind, each in forms.items():  # a projection for each kind: one for all would be too large to compile
+        own = confirmed.where(F.col("kind") == kind).select("doc_id", "copy", "kind", "start", "end", "before", "after", F.explode(F.array(*each)).alias("f"))
+        out = own if out is None else out.unionByName(own)
+    return out.select("doc_id", "copy", "kind", "start", "end", "before", "after", "f.*")
 
 
-def _turned(confirmed: DataFrame, turns: int) -> DataFrame:
+def _turned(confirmed: DataFrame, turns: Column) -> DataFrame:
     """Each confirmed span so many times, from the second on with other digits."""
-    out = confirmed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-    shift = F.when(F.col("turn") > 0, F.pmod(F.xxhash64("copy", "start", "turn", F.lit("shift")), F.lit(9)) + 1).otherwise(0)
-    turned = F.translate("match", "0123456789", "0123456789")
-    for n in range(1, 10):
-        turned = F.when(shift == n, F.translate("match", "0123456789", "".join(str((d + n) % 10) for d in range(10)))).otherwise(turned)
+    out = confirmed.withColumn("turn", F.explode(F.sequence(F.lit(0), turns - 1)))
+    shift = F.when(F.col("turn") > 0, F.pmod(F.xxhash64("copy", "start", "turn", F.lit("shift")), F.lit(9)) + 1).otherwise(0).cast("int")
+    out = out.withColumn("_shift", shift)
+    turned = F.expr("translate(match, '0123456789', substring('01234567890123456789', _shift + 1, 10))")
     # a card's last digit, and parts of an address, are made right again
     body = F.regexp_replace(turned, "[0-9]([^0-9]*)$", "")
     digits = F.regexp_replace(body, "[^0-9]", "")
@@ -233,7 +233,7 @@ def _turned(confirmed: DataFrame, turns: int) -> DataFrame:
     local = F.concat(F.left(letters, draw(8, "local") + 1), one_of(("", "", "", "_", ".", "-"), "sign"), F.left(F.reverse(letters), draw(5, "more") + 1), F.when(draw(3, "tail") == 0, draw(99, "number").cast("string")).otherwise(""))
     host = F.concat(F.left(F.reverse(letters), draw(7, "host") + 2), one_of(("", "", "", "-shop", "7", ".mail"), "host sign"), F.lit("."), one_of(LAST_LABELS[:16], "last"))
     email = F.concat(local, F.lit("@"), host)
-    return out.withColumn("match", F.when(F.col("turn") == 0, F.col("match")).when(F.col("kind") == "email", email).when(F.col("kind") == "card", card).when(F.col("kind") == "ip", ip).otherwise(turned))
+    return out.withColumn("match", F.when(F.col("turn") == 0, F.col("match")).when(F.col("kind") == "email", email).when(F.col("kind") == "card", card).when(F.col("kind") == "ip", ip).otherwise(turned)).drop("_shift")
 
 
 def taught(spans: DataFrame, most_rows: int) -> DataFrame:
@@ -241,13 +241,17 @@ def taught(spans: DataFrame, most_rows: int) -> DataFrame:
     draw = F.xxhash64("copy", "kind", "start", "end")
     least = lambda rows, n: rows.orderBy(draw, "doc_id", "gen").limit(n)
     # of each kind as many rows, however many spans are confirmed: few ones take more turns
-    each, made = most_rows // (4 * FORMS), None
+    each = most_rows // (4 * FORMS)
+    base = spans.where("base").select("doc_id", "copy", "gen", "kind", "start", "end", "match", "before", "after")
+    chosen = None
     for kind in KINDS:
-        own = spans.where(F.col("base") & (F.col("kind") == kind))
-        turns = max(1, min(MOST_TURNS, each // max(1, own.limit(each).count())))
-        rows = _turned(least(own, each), turns)
-        made = rows if made is None else made.unionByName(rows)
-    made = rewritten(made).where(~F.col("form").isin(*HELD_FORMS)).withColumn("gen", F.concat(F.lit("made "), "form"))
+        own = least(base.where(F.col("kind") == kind), each)
+        chosen = own if chosen is None else chosen.unionByName(own)
+    chosen = materialize(chosen, "confirmed")
+    found = {r[0]: r[1] for r in chosen.groupBy("kind").count().collect()}
+    turns = F.coalesce(*(F.when(F.col("kind") == k, max(1, min(MOST_TURNS, each // n))) for k, n in found.items()), F.lit(1))
+    made = materialize(rewritten(_turned(chosen, turns)), "rewritten")
+    made = made.where(~F.col("form").isin(*HELD_FORMS)).withColumn("gen", F.concat(F.lit("made "), "form"))
     made = described(made, "label")
     vain = least(spans.where("vain and not base"), most_rows // 2).withColumn("label", F.lit(0.0))
     return made.unionByName(vain).withColumn("part", F.pmod(F.xxhash64("copy", "kind", "start", "end", "match"), F.lit(4)))
