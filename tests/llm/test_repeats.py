@@ -117,6 +117,33 @@ def test_shard_far_larger_than_memory(monkeypatch, tmp_path):
     assert max(held) <= 1000 + 300 and sum(files) > len(raw)
 
 
+def test_a_full_shard_is_sorted_in_files(monkeypatch):
+    """With the query's own bounds: queues, and the sorts of names, go to files."""
+    files = {"queues": 0, "sorts": 0}
+
+    def counted(kind, owner, method):
+        def write(self, *args, call=getattr(owner, method)):
+            before = self.scratch.file.seek(0, 2) if self.scratch.file else 0
+            out = call(self, *args)
+            files[kind] += (self.scratch.file.seek(0, 2) if self.scratch.file else 0) - before
+            return out
+
+        monkeypatch.setattr(owner, method, write)
+
+    counted("queues", suffixes.Queues, "more"), counted("sorts", suffixes.Sorter, "add")
+    rng = random.Random(12)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randrange(1, 9))) for _ in range(3000)]
+    held, size = [], 0
+    while size < repeats.SHARD_BYTES:
+        held += [" ".join(rng.choices(words, k=12)).encode()] * 2
+        size += 2 * len(held[-1]) + 2
+    n = len(held)
+    batch = repeats.pa.RecordBatch.from_pydict({"task": [*np.repeat(np.arange(n // 2), 2).tolist()], "parted": [False] * n, "doc_id": [0, 1] * (n // 2), "name": [*range(n)], "first": [0] * n, "bytes": held})
+    out = sum(b.num_rows for b in repeats._sort(repeats.SIZE, repeats.SHARD_BYTES)(iter([batch])))
+    assert out == sum(max(0, len(b) - repeats.SIZE + 1) for b in held[::2])
+    assert files["queues"] > 8 * repeats.SHARD_BYTES and files["sorts"] > repeats.SHARD_BYTES
+
+
 def test_shards_take_whole_keys_until_full(monkeypatch):
     sizes = []
     monkeypatch.setattr(repeats, "suffix_order", lambda text: sizes.append(len(text)) or suffix_order(text))

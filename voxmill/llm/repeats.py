@@ -41,7 +41,7 @@ from voxmill.llm.common import flat_ranges, materialize, mix64, partitions, pref
 from voxmill.llm.suffixes import suffix_order
 
 #: Bytes of a shard, of text whose contexts are reduced together, and of a slice of it.
-SIZE, ANCHOR, STEP, SHARD_BYTES, TOGETHER, PIECE = 50, 20, 8, 2 << 20, 16 << 20, 1 << 20
+SIZE, ANCHOR, STEP, SHARD_BYTES, TOGETHER, PIECE = 50, 20, 8, 1 << 20, 16 << 20, 1 << 20
 NULL_ID = -(2**63)
 
 
@@ -168,7 +168,8 @@ def _chosen(c: dict, piece: pa.RecordBatch, column: str) -> tuple[np.ndarray, np
     wanted = mix64(c["name"].view(np.uint64) + mix64(c["owner"].astype(np.uint64)))
     by = np.argsort(mixed)
     at = np.minimum(np.searchsorted(mixed[by], wanted), len(by) - 1)
-    return mixed[by][at] == wanted, order[by[at]]
+    where = order[by[at]]
+    return (flat[where] == c["name"]) & (owner[where] == c["owner"]), where
 
 
 def _pieces(size: int, anchor: int):

@@ -4,8 +4,9 @@
    WINDOW bytes after the last cut; what the WINDOW bytes from a cut on are says where
    the next one is. A unit's name is the rank of those bytes.
 2. Recursion. The names, in the order of the text, are a shorter text; names of pairs
-   of its names cover twice as many units. So on, until all names differ or cover
-   DEPTH bytes. All sorts are external: sorted runs in a scratch file, merged.
+   of its names cover twice as many bytes. So on, until names differ or cover DEPTH
+   bytes. All sorts are external (sorted runs in a scratch file, merged), and names
+   and what goes with them lie in mapped files.
 3. Induction. Of the units those begin seeds after which the text rises (leftmost
    S suffixes). All other suffixes are induced from the order of the seeds: a scan of
    the sorted ones inserts each one's predecessor into a priority queue by its first
@@ -32,7 +33,7 @@ from voxmill.llm.common import flat_ranges
 DEPTH, WINDOW = 56, 16
 #: Rows that a sort, or the queues of a direction, hold in memory; and that are scanned
 #: at a time.
-HELD, STRETCH = 2_000_000, 1 << 15
+HELD, STRETCH = 1 << 16, 1 << 15
 _LOW, _COUNT = np.uint64((1 << 56) - 1), np.uint64(56)
 _8, _1, _255 = np.uint64(8), np.uint64(1), np.uint64(255)
 
@@ -270,121 +271,84 @@ def _unit_rows(text, where: np.ndarray, flags: np.ndarray, count: int) -> np.nda
     return np.concatenate([_words(text, where, 2), np.stack([number, where << 2 | flags], 1).astype(np.uint64)], 1)
 
 
-def _named(rows: Sorter, held: int) -> tuple[Sorter, bool]:
-    """Sorted rows (two keys, unit number, place) to (unit number, name, place) by unit
-    number; names are ranks, marked in the place where no other unit has them."""
-    out, name, last, single = Sorter(3, 1, held), 0, None, True
-    hold = np.zeros((0, 4), np.uint64)  # the last row waits for the one after it
+def _with_end(parts):
+    yield from parts
+    yield None
+
+
+def _split(rows: Sorter, held: int, nested: bool) -> Sorter:
+    """Sorted rows (two keys, unit number) to (unit number, name, whether no other unit
+    has it) by unit number. A name is the place, from 1, of the first of its rows; nested:
+    in the stretch of places that the first key, an older name, stands for."""
+    out, done, last, begin, base = Sorter(3, 1, held), 0, None, 0, 0
+    hold = np.zeros((0, 3), np.uint64)  # the last row waits for the one after it
     for part in _with_end(rows):
         x = hold if part is None else np.concatenate([hold, part])
         if not len(x):
             continue
-        new = np.append(last is None or bool((x[0, :2] != last).any()), (x[1:, :2] != x[:-1, :2]).any(1))
-        names = name + np.cumsum(new)
+        old = np.append(last is None or bool(x[0, 0] != last[0]), x[1:, 0] != x[:-1, 0])
+        new = old | np.append(last is None or bool(x[0, 1] != last[1]), x[1:, 1] != x[:-1, 1])
+        at = np.arange(done, done + len(x))
+        begins, bases = (np.maximum.accumulate(np.where(w, at, v)) for w, v in ((new, begin), (old, base)))
         whole = len(x) if part is None else len(x) - 1
         alone = new[:whole] & np.append(new[1:], True)[:whole]
-        single = single and bool(alone.all())
-        place = (x[:whole, 3] & ~np.uint64(2)) | (alone.astype(np.uint64) << _1)
-        out.add(np.stack([x[:whole, 2], names[:whole].astype(np.uint64), place], 1))
+        names = x[:, 0] + (begins - bases).astype(np.uint64) if nested else (begins + 1).astype(np.uint64)
+        out.add(np.stack([x[:whole, 2], names[:whole], alone.astype(np.uint64)], 1))
         if whole:
-            name, last = int(names[whole - 1]), x[whole - 1, :2]
-        hold = x[whole:]
-    return out, single
-
-
-def _with_end(parts):
-    yield from parts
-    yield None
+            last, begin, base = x[whole - 1, :2], int(begins[whole - 1]), int(bases[whole - 1])
+        hold, done = x[whole:], done + whole
+    return out
 
 
-def _with_later(parts, shift: int, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Stretches of rows, each beside the rows `shift` further on."""
-    hold = None
-    for part in parts:
-        hold = part if hold is None else np.concatenate([hold, part])
-        if len(hold) > shift:
-            yield hold[:-shift], hold[shift:]
-            hold = hold[-shift:]
-    if hold is not None and len(hold):
-        later = np.concatenate([hold[shift:], np.repeat(end[None], min(shift, len(hold)), 0)])
-        yield hold, later
-
-
-def _ranks(order: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows in order, new where they differ from the one before: the number, by row,
-    of the first one equal to it (from 1), and whether no other is."""
-    at = np.flatnonzero(new)
-    size = np.diff(np.append(at, len(new)))
-    ranks, single = np.empty(len(order), np.uint64), np.empty(len(order), bool)
-    ranks[order] = np.repeat(at + 1, size).astype(np.uint64)
-    single[order] = np.repeat(size == 1, size)
-    return ranks, single
-
-
-def _seeds_in_memory(rows: np.ndarray, n: int) -> np.ndarray:
-    """seeds() of as many units as a sort may hold. A name is paired with that of the
-    last unit that its window shows to begin in it, so a pair covers almost twice as
-    many bytes. Later rounds sort only the units whose names others have too, and which
-    cover less than DEPTH bytes."""
-    place = (rows[:, 3] >> np.uint64(2)).astype(np.int64)
-    order = _order(rows, 2)
-    ordered = rows[order, :2]
-    names, single = _ranks(order, np.append(True, (ordered[1:] != ordered[:-1]).any(1)))
-    count = np.arange(len(place))
-    follow = np.maximum(np.searchsorted(place, place + WINDOW - 1, "right") - 1, count + 1)
-    ends, covers = np.append(place, n), np.append(np.full(len(place), WINDOW), DEPTH)
-    todo = np.flatnonzero(~single)
-    while len(todo):
-        key = names[todo] << np.uint64(32) | np.append(names, np.uint64(0))[follow[todo]]
-        order = np.argsort(key)
-        ordered = key[order]
-        at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        size = np.diff(np.append(at, len(ordered)))
-        # rows of one old name stand together, from the place that it names
-        old = ordered[at] >> np.uint64(32)
-        base = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), at, 0))
-        names[todo[order]] = np.repeat(old + (at - base).astype(np.uint64), size)
-        alone = np.empty(len(todo), bool)
-        alone[order] = np.repeat(size == 1, size)
-        covers[:-1] = ends[follow] - place + covers[follow]
-        todo = todo[~alone & (covers[todo] < DEPTH)]
-        follow = np.append(follow, len(place))[follow]
-    first = np.flatnonzero(rows[:, 3] & _1 == _1)
-    return place[first[np.argsort(names[first], kind="stable")]]
+def _mapped(n: int, dtype) -> np.ndarray:
+    """An array in an unnamed scratch file, sparse where nothing is written."""
+    with tempfile.TemporaryFile() as file:
+        file.truncate(n * np.dtype(dtype).itemsize)
+        return np.memmap(file, dtype, "r+", shape=(n,))
 
 
 def seeds(text: np.ndarray, held: int = HELD) -> Iterator[np.ndarray]:
-    """Places of the seeds, in the order of the first DEPTH bytes from there on."""
-    parts, n, rows = [], 0, None
+    """Places of the seeds, in the order of the first DEPTH bytes from there on. A name
+    is paired with that of the last unit that its window shows to begin in it, so a pair
+    covers almost twice as many bytes; units are paired while others have their names and
+    those cover less than DEPTH bytes."""
+    rows, n, room = Sorter(3, 2, held), 0, len(text) + 1
+    marks, follow, names = _mapped(room, np.uint64), _mapped(room, np.int64), _mapped(room, np.uint64)
+    covers, alike = _mapped(room, np.uint8), _mapped(room, bool)
     for part in units(text):
+        rows.add(part[:, :3])
+        marks[n : n + len(part)] = part[:, 3]
         n += len(part)
-        if rows is None and n <= held:
-            parts.append(part)
-            continue
-        rows = rows or Sorter(4, 2, held)
-        for x in [*parts, part]:
-            rows.add(x)
-        parts = []
-    if rows is None:
-        found = _seeds_in_memory(np.concatenate(parts), len(text))
-        yield from (found[a : a + STRETCH] for a in range(0, len(found), STRETCH))
-        return
-    span = 1
+    marks[n], follow[n], covers[n] = len(text) << 2, n, DEPTH
+    stretches = [(a, min(n, a + STRETCH)) for a in range(0, n, STRETCH)]
+    places = lambda at: (marks[at] >> np.uint64(2)).astype(np.int64)
+    for a, b in stretches:
+        near = places(slice(a, min(n, b + WINDOW)))
+        follow[a:b] = np.maximum(np.searchsorted(near, near[: b - a] + WINDOW - 1, "right") + a - 1, np.arange(a + 1, b + 1))
+        covers[a:b] = WINDOW
+    nested = False
     while True:
-        named, single = _named(rows, held)
-        end = np.array([0, 0, len(text) << 2], np.uint64)
-        again, short, kept = Sorter(4, 2, held), False, Sorter(2, 1, held)
-        for row, later in _with_later(named, span, end):
-            if not single:
-                # the bytes that a name covers: up to the last of its units, and that one's window
-                covered = (later[:, 2] >> np.uint64(2)).astype(np.int64) - (row[:, 2] >> np.uint64(2)).astype(np.int64)
-                short = short or bool(((covered < DEPTH) & (row[:, 2] & np.uint64(2) == 0) & (later[:, 1] > 0)).any())
-                again.add(np.stack([row[:, 1], later[:, 1], row[:, 0], row[:, 2]], 1))
-            first = row[:, 2] & _1 == _1
-            kept.add(np.stack([row[first, 1], row[first, 2] >> np.uint64(2)], 1))
-        if single or not short:
+        more = False
+        for part in _split(rows, held, nested):
+            unit = part[:, 0].astype(np.int64)
+            names[unit] = part[:, 1]
+            alike[unit] = (part[:, 2] == 0) & (covers[unit] < DEPTH)
+            more = more or bool(alike[unit].any())
+        if not more:
             break
-        rows, span = again, 2 * span
+        rows, nested = Sorter(3, 2, held), True
+        for a, b in stretches:
+            then = np.asarray(follow[a:b])
+            unit = np.flatnonzero(alike[a:b])
+            rows.add(np.stack([names[a + unit], names[then[unit]], (a + unit).astype(np.uint64)], 1))
+            alike[a:b] = False
+            covers[a:b] = np.minimum(places(then) - places(slice(a, b)) + covers[then], DEPTH)
+            follow[a:b] = follow[then]
+    kept = Sorter(2, 1, held)
+    for a, b in stretches:
+        first = np.flatnonzero(marks[a:b] & _1 == _1)
+        kept.add(np.stack([names[a + first], marks[a + first] >> np.uint64(2)], 1))
+    del marks, follow, names, covers, alike
     for part in kept:
         yield from (part[a : a + STRETCH, 1].astype(np.int64) for a in range(0, len(part), STRETCH))
 
