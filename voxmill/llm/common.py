@@ -106,10 +106,11 @@ def flat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 #: Fixed pseudorandom 64-bit value of each byte, and the odd base of the
@@ -166,7 +167,9 @@ def word_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndar
 def prefix_hash(raw: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
     """h with h[j] - h[i] = sum of code[raw[t]] * BASE**t over i <= t < j."""
     h = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(code[raw] * cached_powers("up", len(raw))[: len(raw)], out=h[1:])
+    x = code.take(raw)
+    x *= cached_powers("up", len(raw))[: len(raw)]
+    np.cumsum(x, out=h[1:])
     return h
 
 
@@ -174,3 +177,11 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of raw[start:end], the same wherever the bytes stand. For spans of
     some hundred bytes at most, which may overlap; longer ones need word_hash()."""
     return mix64((h[end] - h[start]) * cached_powers("down", len(h))[start] + (end - start).astype(np.uint64))
+
+
+def sliding_hash(h: np.ndarray, a: int, b: int, n: int) -> np.ndarray:
+    """span_hash() of raw[i : i + n] for each i from a to b - 1."""
+    x = h[a + n : b + n] - h[a:b]
+    x *= cached_powers("down", len(h))[a:b]
+    x += np.uint64(n)
+    return mix64(x)

@@ -10,10 +10,13 @@ reaches across documents.
    least document, in every batch before the shuffle and then by anchor: the strings
    of all others stand there too. A context whose anchor stands in no other context
    has nothing to find.
-2. Shards. Other contexts are cut so that the strings of a piece share all but a few
-   bytes, and grouped by the hash of those. Anchors of more contexts than make up
-   `shard_bytes` have their groups dealt to so many shards that each gets about as
-   much; a shard holds parts of such groups or whole smaller ones.
+2. Shards. Other contexts go to shards whole, by their anchor. There the groups of their
+   strings, by distance from the anchor and the hash of the bytes that those share, are
+   counted: of each context the stretches whose groups have other contexts are sorted.
+   Frequent anchors, of more contexts than make up an eighth of `shard_bytes`, have them
+   cut by group before, and go by group; beyond `shard_bytes` the groups are dealt to so
+   many shards that each gets about as much. A shard holds parts of such groups, or whole
+   groups and anchors.
 3. Sorting. Each shard is suffix-sorted by external induction with carried common
    prefixes (suffixes.py), in memory that does not grow with it: of the strings that
    stand side by side and share 50 bytes, those not of the least document go. What is
@@ -37,11 +40,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.common import flat_ranges, materialize, mix64, partitions, prefix_hash, span_hash, text_slices, utf8_buffer
+from voxmill.llm.common import flat_ranges, materialize, mix64, partitions, prefix_hash, sliding_hash, span_hash, text_slices, utf8_buffer
 from voxmill.llm.suffixes import suffix_order
 
 #: Bytes of a shard, of text whose contexts are reduced together, and of a slice of it.
 SIZE, ANCHOR, STEP, SHARD_BYTES, TOGETHER, PIECE = 50, 20, 8, 1 << 20, 16 << 20, 1 << 20
+#: Anchors with more than this part of a shard are dealt by group.
+FREQUENT = 8
+#: Strings whose anchors are found at a time, so that what that takes stays in caches.
+BLOCK = 1 << 14
 NULL_ID = -(2**63)
 
 
@@ -53,26 +60,35 @@ def contexts(raw: np.ndarray, bounds: np.ndarray, size: int = SIZE, anchor: int
     empty = np.zeros(0, np.int64)
     if n < size:
         return {"owner": empty, "lo": empty, "hi": empty, "at": empty, "key": empty, "name": empty, "h": h}
-    start = np.arange(n - anchor + 1)
-    word = span_hash(h, start, start + anchor)
-    low = (word & np.uint64(0xFFFFFFFF00000000)) | start.astype(np.uint64)
-    least, span = low, 1
-    while span * 2 <= width:  # sliding minimum by doubling
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if span < width:
-        least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    count = np.maximum(np.diff(bounds) - size + 1, 0)
-    string = flat_ranges(bounds[:-1], count)
-    owner = np.repeat(np.arange(len(count)), count)
-    at = at[string]
-    first = np.ones(len(string), bool)
-    first[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
-    i = np.flatnonzero(first)
-    lo, hi, at = string[i], string[np.append(i[1:], len(string)) - 1], at[i]
+    where, anchors, before = [], [], -1
+    for a in range(0, n - size + 1, BLOCK):
+        low = sliding_hash(h, a, min(a + BLOCK + width - 1, n - anchor + 1), anchor)
+        low &= np.uint64(0xFFFFFFFF00000000)
+        low |= np.arange(len(low), dtype=np.uint64)
+        least, span = low, 1
+        while span * 2 <= width:  # sliding minimum by doubling
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        if span < width:
+            least = np.minimum(least[: len(low) - width + 1], least[width - span :])
+        new = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+        at = (least[new] & np.uint64(0xFFFFFFFF)).astype(np.int64) + a
+        again = int(at[0] == before)
+        where.append(new[again:] + a), anchors.append(at[again:])
+        before = at[-1]
+    lo, at = np.concatenate(where), np.concatenate(anchors)
+    # a context begins where the anchor changes, or else a text; its last string, where the next does
+    begins, last = bounds[:-1], bounds[1:] - size
+    full = begins[last >= begins]
+    k = np.searchsorted(lo, full)
+    amid = np.append(lo, n)[k] != full
+    lo, at = np.insert(lo, k[amid], full[amid]), np.insert(at, k[amid], at[k[amid] - 1])
+    owner = np.searchsorted(bounds, lo, "right") - 1
+    inside = lo <= np.append(last, -1)[owner]
+    lo, at, owner = lo[inside], at[inside], owner[inside]
+    hi = np.minimum(np.append(lo[1:], n) - 1, last[owner])
     name = span_hash(h, lo, hi + size) ^ mix64((at - lo).astype(np.uint64) + np.uint64(1))
-    return {"owner": owner[i], "lo": lo, "hi": hi, "at": at, "key": word[at].view(np.int64), "name": mix64(name).view(np.int64), "h": h}
+    return {"owner": owner, "lo": lo, "hi": hi, "at": at, "key": span_hash(h, at, at + anchor).view(np.int64), "name": mix64(name).view(np.int64), "h": h}
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -162,20 +178,38 @@ def _chosen(c: dict, piece: pa.RecordBatch, column: str) -> tuple[np.ndarray, np
     owner = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths().fill_null(0)))
     if not len(flat):
         return np.zeros(len(c["name"]), bool), np.zeros(len(c["name"]), np.int64)
-    order = np.lexsort((flat, owner))
-    # one sorted axis of (owner, name): a run of owners, and a search inside it
-    mixed = mix64(flat[order].view(np.uint64) + mix64(owner[order].astype(np.uint64)))
+    # one sorted axis of (owner, name)
+    mixed = mix64(flat.view(np.uint64) + mix64(owner.astype(np.uint64)))
     wanted = mix64(c["name"].view(np.uint64) + mix64(c["owner"].astype(np.uint64)))
     by = np.argsort(mixed)
-    at = np.minimum(np.searchsorted(mixed[by], wanted), len(by) - 1)
-    where = order[by[at]]
+    where = by[np.minimum(np.searchsorted(mixed[by], wanted), len(by) - 1)]
     return (flat[where] == c["name"]) & (owner[where] == c["owner"]), where
 
 
+def _binary(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes raw[begin:end] of each."""
+    offsets = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(raw[flat_ranges(begin, end - begin)])])
+
+
+def _parts(near: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts whose strings lie near to far bytes before their anchor: (context, part)
+    of each part, of STEP distances, that has some of them."""
+    near, far = near // STEP, far // STEP
+    n = far - near + 1
+    return np.repeat(np.arange(len(n)), n), flat_ranges(near, n)
+
+
+def _group(h: np.ndarray, at: np.ndarray, part: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the bytes of all strings at a part's distances, wherever the context ends."""
+    left = at - STEP * part
+    return span_hash(h, left, np.maximum(left - STEP + 1 + size, left)) ^ mix64(part.astype(np.uint64))
+
+
 def _pieces(size: int, anchor: int):
-    """Cuts listed contexts by the distance of strings from their anchor. Those whose
-    anchor has its groups in several shards go to one of them by their name and
-    document."""
+    """Listed contexts, whole, by their anchor (parts 0). Those of frequent anchors are cut
+    by the distance of strings from it, and go by their groups; where groups are in several
+    shards, to one of those by their name and document."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,29 +220,98 @@ def _pieces(size: int, anchor: int):
                 i = np.flatnonzero(use)
                 if not len(i):
                     continue
+                i = i[np.sort(np.unique(where[i], return_index=True)[1])]  # a document's copies of its own are one
                 parts = np.asarray(piece.column("parts").flatten()).astype(np.uint64)[where[i]]
                 doc = _ids(piece.column("doc_id"))[c["owner"][i]]
-                salt = mix64(c["name"][i].view(np.uint64) + mix64(doc.view(np.uint64))) % parts
-                lo, hi, at = c["lo"][i], c["hi"][i], c["at"][i]
-                near, far = (at - hi) // STEP, (at - lo) // STEP
-                n = far - near + 1
-                part = flat_ranges(near, n)
-                j = np.repeat(np.arange(len(i)), n)
-                a = np.maximum(lo[j], at[j] - STEP * part - STEP + 1)
-                b = np.minimum(hi[j], at[j] - STEP * part)
-                # bytes of all strings at such distances, wherever the context ends
-                left, right = at[j] - STEP * part, at[j] - STEP * part - STEP + 1 + size
-                group = span_hash(c["h"], np.maximum(left, 0), np.minimum(np.maximum(right, left), len(raw))) ^ mix64(part.astype(np.uint64))
-                task = mix64(mix64(group) + salt[j])
-                data = raw.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(task.view(np.int64)), pa.array(parts[j] > 1), pa.array(doc[j]), pa.array(c["name"][i][j]), pa.array((a - lo[j]).astype(np.int32)), pa.array([data[x : y + size] for x, y in zip(a.tolist(), b.tolist())], pa.binary())],
-                    names=["task", "parted", "doc_id", "name", "first", "bytes"],
-                )
+                key, name, lo, hi, at = (c[k][i] for k in ("key", "name", "lo", "hi", "at"))
+
+                def rows(j, task, a, b):
+                    first, before = (a - lo[j]).astype(np.int32), (at[j] - a).astype(np.int32)
+                    columns = [*map(pa.array, (task, parts[j] > 1, doc[j], name[j], first, before)), _binary(raw, a, b + size)]
+                    return pa.RecordBatch.from_arrays(columns, names=["task", "parted", "doc_id", "name", "first", "anchor", "bytes"])
+
+                j = np.flatnonzero(parts == 0)
+                if len(j):
+                    yield rows(j, key[j], lo[j], hi[j])
+                many = np.flatnonzero(parts > 0)
+                if len(many):
+                    j, part = _parts((at - hi)[many], (at - lo)[many])
+                    j = many[j]
+                    a = np.maximum(lo[j], at[j] - STEP * part - STEP + 1)
+                    b = np.minimum(hi[j], at[j] - STEP * part)
+                    salt = mix64(name[j].view(np.uint64) + mix64(doc[j].view(np.uint64))) % parts[j]
+                    task = mix64(mix64(_group(c["h"], at[j], part, size)) + salt)
+                    yield rows(j, task.view(np.int64), a, b)
 
     return pieces
 
 
+def _matched(size: int):
+    """Of rows sorted by (task, parted), the stretches of strings whose groups have other
+    contexts in them: nothing can match the others. Parts of groups go as they are."""
+
+    def stretches(batch: pa.RecordBatch) -> pa.RecordBatch:
+        task, doc, name, first, anchor = (np.asarray(batch.column(x)) for x in ("task", "doc_id", "name", "first", "anchor"))
+        raw, offsets = _bytes(batch)
+        last = np.diff(offsets) - size
+        anchor = anchor.astype(np.int64)
+        j, part = _parts(anchor - last, anchor)
+        group = mix64(_group(prefix_hash(raw), offsets[j] + anchor[j], part, size) + mix64(task.view(np.uint64))[j])
+        order = np.argsort(group)
+        same = group[order[1:]] == group[order[:-1]]
+        some = np.zeros(len(j), bool)
+        some[order] = np.append(same, False) | np.append(False, same)
+        # parts that follow one another are one stretch again
+        j, part = j[some], part[some]
+        begins = np.append(True, (j[1:] != j[:-1]) | (part[1:] != part[:-1] + 1))[: len(j)]
+        at = np.flatnonzero(begins)
+        near, far, j = part[at], part[np.append(at[1:], len(part)) - 1] if len(at) else part, j[at]
+        a = np.maximum(0, anchor[j] - STEP * far - STEP + 1)
+        b = np.minimum(last[j], anchor[j] - STEP * near)
+        columns = [*map(pa.array, (task[j], np.zeros(len(j), bool), doc[j], name[j], (first[j] + a).astype(np.int32))), _binary(raw, offsets[j] + a, offsets[j] + b + size)]
+        return pa.RecordBatch.from_arrays(columns, names=["task", "parted", "doc_id", "name", "first", "bytes"])
+
+    def joined(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        return pa.Table.from_batches(held).combine_chunks().to_batches() if held else []
+
+    def once(batch: pa.RecordBatch) -> pa.RecordBatch:
+        doc, name = (np.asarray(batch.column(x)) for x in ("doc_id", "name"))
+        order = np.lexsort((doc, name))
+        new = np.append(True, (doc[order[1:]] != doc[order[:-1]]) | (name[order[1:]] != name[order[:-1]]))
+        return batch.take(pa.array(np.sort(order[new])))
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, room = [], None, TOGETHER  # of the last whole task, which may go on
+        for batch in batches:
+            parted = batch.column("parted")
+            parts, batch = batch.filter(parted), batch.filter(pc.invert(parted))
+            if parts.num_rows:
+                yield parts.drop_columns(["anchor"])
+            if batch.num_rows:
+                task = np.asarray(batch.column("task"))
+                upto = int(np.searchsorted(task, task[-1]))
+                if upto or task[0] != last:
+                    yield from map(stretches, joined([*held, *([batch.slice(0, upto)] if upto else [])]))
+                    held, room = [], TOGETHER
+                held.append(batch.slice(upto))
+                last = task[-1]
+                if sum(x.nbytes for x in held) > room:
+                    # rows of one doc_id may have the same contexts; but for those, a task is bounded
+                    held = [once(x) for x in joined(held)]
+                    room = max(TOGETHER, 2 * sum(x.nbytes for x in held))
+        yield from map(stretches, joined(held))
+
+    return matched
+
+
+def _bytes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all rows, one after the other, and where each begins and ends."""
+    data = batch.column("bytes").cast(pa.large_binary())
+    offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    raw = np.frombuffer(data.buffers()[2], np.uint8) if data.buffers()[2] else np.zeros(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 class Grown:
     """Rows of a type that are appended to; a mapped scratch file beyond a bound."""
 
@@ -240,12 +343,11 @@ class Shard:
         self.about = {k: Grown(t, bound) for k, t in (("begin", np.int64), ("length", np.int32), ("doc", np.int64), ("name", np.int64), ("first", np.int32), ("parted", bool))}
 
     def add(self, batch: pa.RecordBatch) -> None:
-        data = batch.column("bytes").cast(pa.large_binary())
-        offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
-        raw, length = np.frombuffer(data.buffers()[2], np.uint8), np.diff(offsets)
-        begin = np.cumsum(length + 1) - length - 1
-        text = np.zeros(int(length.sum()) + len(length), np.uint8)
-        text[flat_ranges(begin, length)] = raw[offsets[0] : offsets[-1]]
+        raw, offsets = _bytes(batch)
+        length = np.diff(offsets)
+        begin = offsets[:-1] + np.arange(len(length))
+        text = np.zeros(len(raw) + len(length), np.uint8)
+        text[flat_ranges(begin, length)] = raw
         self.text.add(text)
         rest = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("doc_id", "name", "first", "parted"))
         for grown, rows in zip(self.about.values(), (begin + self.bytes, length, *rest)):
@@ -327,7 +429,7 @@ def _remove(size: int, anchor: int):
         for batch in batches:
             for piece in text_slices(batch, PIECE):
                 raw, bounds = utf8_buffer(piece.column("text"))
-                edge = np.zeros(len(raw) + 1, np.int64)
+                edge = np.zeros(len(raw) + 1, np.int32)
                 if len(piece.column("settled").flatten()) or len(piece.column("names").flatten()):
                     c = contexts(raw, bounds, size, anchor)
                     use, _ = _chosen(c, piece, "settled")
@@ -335,10 +437,11 @@ def _remove(size: int, anchor: int):
                     np.add.at(edge, c["hi"][use] + size, -1)
                     use, where = _chosen(c, piece, "names")
                     strings = piece.column("strings").flatten()
-                    for lo, k in zip(c["lo"][use].tolist(), where[use].tolist()):
-                        start = lo + np.asarray(strings[k].values)
-                        np.add.at(edge, start, 1)
-                        np.add.at(edge, start + size, -1)
+                    offsets, where = np.asarray(strings.offsets), where[use]
+                    n = offsets[where + 1] - offsets[where]
+                    start = np.repeat(c["lo"][use], n) + np.asarray(strings.values)[flat_ranges(offsets[where], n)]
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, start + size, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = raw[~gone].tobytes()
                 upto = np.concatenate([[0], np.cumsum(~gone)])[bounds]
@@ -349,13 +452,24 @@ def _remove(size: int, anchor: int):
                 spans = np.diff(np.concatenate([[0], np.cumsum(begins)])[bounds])
                 n = np.diff(bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(n), pa.array(n - np.diff(upto)), pa.array(spans.astype(np.int64)), pa.array([hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())], pa.string()), pa.array([kept[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())], pa.binary())],
+                    [piece.column("doc_id"), pa.array(n), pa.array(n - np.diff(upto)), pa.array(spans.astype(np.int64)), pa.array([hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())], pa.string()), pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(kept)])],
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
                 )
 
     return remove
 
 
+def _sized(first: DataFrame, each: int, shard_bytes: int) -> DataFrame:
+    """Contexts with the number of shards (parts) of their anchor's groups, 0 for anchors
+    whose contexts are at most a FREQUENT part of a shard; each: the most bytes of a context,
+    with one for its end. Of other anchors there is one for so many bytes of contexts at
+    most, so they are sent to the tasks and no anchor's contexts meet in one."""
+    total = F.count("*") * each
+    frequent = first.groupBy("key").agg(total.alias("total")).where(F.col("total") > shard_bytes // FREQUENT)
+    sized = frequent.select("key", F.ceil(F.col("total") / shard_bytes).alias("parts"))
+    return first.join(F.broadcast(sized), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
+
+
 def remove_repeats(documents: DataFrame, size: int = SIZE, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every row."""
     spark = documents.sparkSession
@@ -369,15 +483,13 @@ def remove_repeats(documents: DataFrame, size: int = SIZE, anchor: int = ANCHOR,
     whole = F.coalesce("doc_id", F.lit(NULL_ID))
     listed = lambda df, **columns: docs.withColumn("own", whole).join(df.groupBy(F.col("doc_id").alias("own")).agg(*(v.alias(k) for k, v in columns.items())), "own", "left")
     first = marks.where("not settled")
-    # a context has one piece at most of each group, of some STEP bytes more than a string
-    parts = F.ceil(F.count("*") * (size + STEP) / shard_bytes)
-    crowded = first.groupBy("key").agg(parts.alias("parts")).where("parts > 1")
-    first = first.join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    first = _sized(first, 2 * size - anchor + 1, shard_bytes)
     pairs = F.collect_set(F.struct("name", "parts"))
     open_ = first.groupBy(F.col("doc_id").alias("own")).agg(pairs.alias("p")).select("own", F.col("p.name").alias("names"), F.col("p.parts").alias("parts"))
-    cut = docs.withColumn("own", whole).join(open_, "own").select("doc_id", "text", "names", "parts").mapInArrow(_pieces(size, anchor), "task long, parted boolean, doc_id long, name long, first int, bytes binary")
-    dealt = cut.repartition(partitions(spark), "task").sortWithinPartitions("task")
-    found = materialize(dealt.mapInArrow(_sort(size, shard_bytes), "doc_id long, name long, string int, bytes binary"), "strings")
+    cut = docs.withColumn("own", whole).join(open_, "own").select("doc_id", "text", "names", "parts").mapInArrow(_pieces(size, anchor), "task long, parted boolean, doc_id long, name long, first int, anchor int, bytes binary")
+    dealt = cut.repartition(partitions(spark), "task").sortWithinPartitions("task", "parted")
+    matched, sort = _matched(size), _sort(size, shard_bytes)
+    found = materialize(dealt.mapInArrow(lambda batches: sort(matched(batches)), "doc_id long, name long, string int, bytes binary"), "strings")
     candidates = found.where("bytes is not null")
     later = candidates.join(candidates.groupBy("bytes").agg(F.min("doc_id").alias("least")), "bytes").where("doc_id > least")
     found = found.where("bytes is null").drop("bytes").unionByName(later.select("doc_id", "name", "string"))

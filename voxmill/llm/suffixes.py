@@ -64,10 +64,24 @@ def _order(rows: np.ndarray, keys: int, kind: str | None = None) -> np.ndarray:
     same = first[1:] == first[:-1]
     tied = np.flatnonzero(np.append(False, same) | np.append(same, False))
     group = np.cumsum(np.append(True, ~same))[tied]
-    order[tied] = order[tied][np.lexsort((second[tied], group))]
+    order[tied] = order[tied][_order_in(group, second[tied])]
     return order
 
 
+def _order_in(group: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places by group, then key, then place: sorted as single words (group, rank of
+    the key, place) where those fit, which is several times faster than by two keys."""
+    n, bits = len(key), len(key).bit_length()
+    if not n or bits + int(group[-1]).bit_length() + bits > 64:
+        return np.lexsort((key, group))
+    by = np.argsort(key)
+    rank = np.empty(n, np.uint64)
+    rank[by] = np.cumsum(np.append(False, key[by[1:]] != key[by[:-1]]))
+    word = (group.astype(np.uint64) << np.uint64(bits) | rank) << np.uint64(bits) | np.arange(n, dtype=np.uint64)
+    word.sort()
+    return (word & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 class Sorter:
     """Rows of unsigned words, sorted by their first columns in bounded memory."""
 
