@@ -173,6 +173,27 @@ def test_both_forms_of_a_convolution(spark, n_taps):
     assert np.allclose(a, b) and np.allclose(own, a)
 
 
+def test_flat_and_unequal_boxes_are_compared_with_few_others(spark):
+    """Long flat boxes, and two sizes of boxes far apart, make a number of comparisons near
+    that of the pairs, and of rows near that of the boxes."""
+    rng = np.random.default_rng(5)
+
+    def frame(name, box, extents):
+        rows = [(i, *map(int, rng.integers(0, (400, 300, 50))), *map(int, rng.integers(1, np.array(extents[i % len(extents)]) + 1))) for i in range(4000)]
+        return rows, spark.createDataFrame(rows, f"{name} int, x int, y int, z int, w int, h int, d int").select(name, regions.box(*map(F.col, "xyzwhd")).alias(box))
+
+    for one, other in (([(50, 3, 7)], [(60, 4, 30)]), ([(2, 2, 2), (500, 2, 2)], [(2, 2, 2), (2, 2, 300)])):
+        (rows, a), (others, b) = frame("i", "box", one), frame("j", "other", other)
+        p, q = (np.array(r)[:, 1:] for r in (rows, others))
+        pairs = int(sum(np.all((x[:3] < q[:, :3] + q[:, 3:]) & (q[:, :3] < x[:3] + x[3:]), 1).sum() for x in p))
+        placed = regions.place_boxes(a, b)
+        cell = ["_pair", "_x", "_y", "_z"]
+        m, n = (t.groupBy(*cell).agg(F.count("*").alias(c)) for t, c in zip(placed, "mn"))
+        compared = m.join(n, cell).agg(F.sum(F.col("m") * F.col("n"))).first()[0]
+        assert regions.join_boxes(a.withColumn("k", F.lit(0)), b.withColumn("k", F.lit(0)), ["k"]).count() == pairs
+        assert compared < 12 * pairs and sum(t.count() for t in placed) < 25 * 8000
+
+
 def test_boxes_meet_without_a_nested_loop(spark):
     rng = np.random.default_rng(4)
     boxes = lambda n, most: [(i, i % 2, *map(int, rng.integers(-40, 40, 3)), *map(int, rng.integers(0, most))) for i in range(n)]

@@ -52,39 +52,77 @@ def subtract(outer: Column, inner: Column) -> Column:
     return F.when(some, F.filter(slabs, lambda b: (b["w"] > 0) & (b["h"] > 0) & (b["d"] > 0))).otherwise(F.array(outer))
 
 
-def _level(b: Column) -> Column:
-    """The least level whose cells, 2^level wide, are no smaller than a box."""
-    most = F.greatest(b["w"], b["h"], b["d"], F.lit(1))
-    return F.ceil(F.log2(most.cast("double"))).cast("int")
+def _level(extent: Column) -> Column:
+    """The least level whose cells, 2^level wide, are no smaller than an extent."""
+    return F.ceil(F.log2(extent.cast("double"))).cast("int")
+
+
+#: A box covers at most 2^2 + 1 cells of its class along an axis, and is at least 2^-3 as wide
+#: as one; a class of fewer boxes than its share goes into the next wider one.
+CLASS, REACH, FEW = 5, 2, 0.1
+
+
+def _classes(a: dict[int, int], b: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """(class, level of its cells) for each level of extents along one axis. a, b: boxes of
+    each table by level. Cells of class 0 are as wide as the two tables' extents are in the
+    mean of logarithms, which compares the fewest boxes."""
+    n_a, n_b = sum(a.values()), sum(b.values())
+    base = round((sum(k * n for k, n in a.items()) / max(n_a, 1) + sum(k * n for k, n in b.items()) / max(n_b, 1)) / 2)
+    levels = sorted({*a, *b})
+    own = {n: (n - base + REACH) // CLASS for n in levels}
+    for c in sorted(set(own.values()))[:-1]:
+        held = [n for n in levels if own[n] == c]
+        if sum(a.get(n, 0) for n in held) * sum(b.get(n, 0) for n in held) <= FEW * n_a * n_b:
+            own |= dict.fromkeys(held, min(x for x in own.values() if x > c))
+    return {n: (c, min(max(base + CLASS * c, 0), 31)) for n, c in own.items()}
+
+
+def place_boxes(a: DataFrame, b: DataFrame, left: str = "box", right: str = "other", within: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Both tables' boxes with extent, once for each cell (_pair, _x, _y, _z) in which boxes
+    of the other table may meet them. Each axis has cells of its own width, and boxes much
+    wider or narrower than most make classes: a pair of classes has the wider one's cells."""
+    some = lambda c: (F.col(c)["w"] > 0) & (F.col(c)["h"] > 0) & (F.col(c)["d"] > 0)
+    leveled = [rows.where(some(c)).withColumns({f"_{p}": _level(F.col(c)[s]) for p, s in zip("xyz", "whd")}) for rows, c in ((a, left), (b, right))]
+    counts = [rows.groupBy("_x", "_y", "_z").count().collect() for rows in leveled]  # 32^3 at most
+    axes = []
+    for i in range(3):
+        of = [{}, {}]
+        for own, found in zip(of, counts):
+            for r in found:
+                own[r[i]] = own.get(r[i], 0) + r["count"]
+        axes.append(_classes(*of))
+    kinds = [{tuple(r[:3]): tuple(axis[n] for axis, n in zip(axes, r)) for r in found} for found in counts]
+    met = [(x, y) for x in sorted(set(kinds[0].values())) for y in sorted(set(kinds[1].values())) if not within or all(m[0] <= n[0] for m, n in zip(x, y))]
+    placed = []
+    for side, (rows, kind, name) in enumerate(zip(leveled, kinds, (left, right))):
+        pairs = [(*levels, n, *(max(m[1], k[1]) for m, k in zip(*pair))) for levels, own in kind.items() for n, pair in enumerate(met) if pair[side] == own]
+        pairs = a.sparkSession.createDataFrame(pairs, "_x int, _y int, _z int, _pair int, _sx int, _sy int, _sz int")
+        rows = rows.join(F.broadcast(pairs), ["_x", "_y", "_z"]).drop("_x", "_y", "_z")
+        for c, size in zip("xyz", "whd"):
+            first = F.expr(f"shiftright({name}.{c}, _s{c})")
+            if within and side == 0:
+                rows = rows.withColumn(f"_{c}", first)
+            else:
+                rows = rows.withColumn(f"_{c}", F.explode(F.sequence(first, F.expr(f"shiftright({name}.{c} + {name}.{size} - 1, _s{c})"))))
+        placed.append(rows)
+    return placed[0], placed[1].drop("_sx", "_sy", "_sz")
 
 
 def join_boxes(a: DataFrame, b: DataFrame, keys: list[str], left: str = "box", right: str = "other", within: bool = False) -> DataFrame:
     """Pairs of boxes of two tables that have equal keys and share a voxel, or of which the
-    left one lies within the right one. Boxes meet by equal cells: each box covers at most
-    eight cells of its own level and of every coarser one, and a pair meets at the coarser
-    of its two levels, in the one cell that holds the first corner of what they share. So no
+    left one lies within the right one. Boxes meet by equal cells, in the one that holds the
+    first corner of what they share, or of a left one within the right one. So no
     pair meets twice and no box is compared with all others. Boxes without extent meet
     nothing. The column names of both tables are distinct but for the keys."""
-    some = lambda c: (F.col(c)["w"] > 0) & (F.col(c)["h"] > 0) & (F.col(c)["d"] > 0)
-    a, b = a.where(some(left)).withColumn("_a", _level(F.col(left))), b.where(some(right)).withColumn("_b", _level(F.col(right)))
-    levels = sorted(r[0] for r in a.select("_a").union(b.select("_b")).distinct().collect())  # 32 at most
-
-    def cells(rows: DataFrame, name: str, own: str) -> DataFrame:
-        wanted = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
-        rows = rows.withColumn("_level", F.explode(F.filter(wanted, lambda n: n >= F.col(own))))
-        for c, size in zip("xyz", "whd"):
-            first = F.expr(f"shiftright({name}.{c}, _level)")
-            rows = rows.withColumn(f"_{c}", F.explode(F.sequence(first, F.expr(f"shiftright({name}.{c} + {name}.{size} - 1, _level)"))))
-        return rows
-
-    met = cells(a, left, "_a").join(cells(b, right, "_b"), [*keys, "_level", "_x", "_y", "_z"])
-    met = met.where(F.col("_level") == F.greatest("_a", "_b"))
-    for c, size in zip("xyz", "whd"):
-        first = F.greatest(F.col(left)[c], F.col(right)[c])
-        met = met.where((first < F.least(F.col(left)[c] + F.col(left)[size], F.col(right)[c] + F.col(right)[size])) & (F.expr(f"shiftright(greatest({left}.{c}, {right}.{c}), _level)") == F.col(f"_{c}")))
+    a, b = place_boxes(a, b, left, right, within)
+    met = a.join(b, [*keys, "_pair", "_x", "_y", "_z"])
     if within:
         met = met.where(is_within(F.col(left), F.col(right)))
-    return met.drop("_a", "_b", "_level", "_x", "_y", "_z")
+    else:
+        for c, size in zip("xyz", "whd"):
+            first = F.greatest(F.col(left)[c], F.col(right)[c])
+            met = met.where((first < F.least(F.col(left)[c] + F.col(left)[size], F.col(right)[c] + F.col(right)[size])) & (F.expr(f"shiftright(greatest({left}.{c}, {right}.{c}), _s{c})") == F.col(f"_{c}")))
+    return met.drop("_pair", "_x", "_y", "_z", "_sx", "_sy", "_sz")
 
 
 def stitch(pieces: DataFrame, value: str, order: str = "chunk_id") -> DataFrame:
