@@ -194,6 +194,23 @@ def test_flat_and_unequal_boxes_are_compared_with_few_others(spark):
         assert compared < 12 * pairs and sum(t.count() for t in placed) < 25 * 8000
 
 
+def test_boxes_within_others_stand_in_one_cell(spark):
+    """A left box is placed by its first corner alone, once for each class that may hold it;
+    boxes without extent, and tables without boxes, meet nothing."""
+    rng = np.random.default_rng(6)
+    rows = [(i, 0, *map(int, rng.integers(-60, 60, 3)), *map(int, rng.integers(0, (9, 3, 5)))) for i in range(2000)]
+    others = [(i, 0, *map(int, rng.integers(-60, 60, 3)), *map(int, rng.integers(0, (40, 9, 30)))) for i in range(1000)]
+    frame = lambda rows, name, box: spark.createDataFrame(rows, f"{name} int, k int, x int, y int, z int, w int, h int, d int").select(name, "k", regions.box(*map(F.col, "xyzwhd")).alias(box))
+    a, b = frame(rows, "i", "box"), frame(others, "j", "other")
+    some = [r for r in rows if min(r[5:]) > 0]
+    placed, _ = regions.place_boxes(a, b, within=True)
+    assert placed.count() == placed.select("i", "_pair").distinct().count() and placed.select("i").distinct().count() == len(some)
+    p, q = (np.array(t)[:, 2:] for t in (some, [r for r in others if min(r[5:]) > 0]))
+    want = int(sum(np.all((x[:3] >= q[:, :3]) & (x[:3] + x[3:] <= q[:, :3] + q[:, 3:]), 1).sum() for x in p))
+    assert regions.join_boxes(a, b, ["k"], within=True).count() == want > 0
+    assert regions.join_boxes(a.limit(0), b, ["k"]).count() == regions.join_boxes(a, b.limit(0), ["k"], within=True).count() == 0
+
+
 def test_boxes_meet_without_a_nested_loop(spark):
     rng = np.random.default_rng(4)
     boxes = lambda n, most: [(i, i % 2, *map(int, rng.integers(-40, 40, 3)), *map(int, rng.integers(0, most))) for i in range(n)]
