@@ -113,3 +113,75 @@ def test_one_very_long_text(spark):
     for q, hits in want.items():
         assert [h[0] for h in found[q]] == [h[0] for h in hits]
         assert all(abs(a[1] - b[1]) < 1e-6 * max(1, b[1]) for a, b in zip(found[q], hits))
+
+
+def test_copies_are_one_document(spark):
+    """Copies of a text are one document of a shard, and rows beyond the k least ids of a
+    text are not indexed; hits name the same rows."""
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{int(rng.expovariate(0.05))}" for _ in range(40))
+    some = [text() for _ in range(30)]
+    rows = [(i, some[rng.randrange(30)] if i % 3 else some[0]) for i in range(1500)] + [(None, some[0]), (None, some[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = S._without_surplus(docs, 7).collect()
+    assert len(kept) == 30 * 7 and sorted(r["doc_id"] for r in kept if r["text"] == some[0] and r["doc_id"] is not None) == sorted(i for i, t in rows if t == some[0] and i is not None)[:5]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(some)], "query_id long, text string")
+    found = {}
+    for r in sorted(S.search(docs, asked, k=7).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append(r["doc_id"])
+    want = brute([(-1 if i is None else i, t) for i, t in rows], {i: set(words(t)) for i, t in enumerate(some)}, 7, None)
+    assert found == {q: [None if i == -1 else i for i, _ in hits] for q, hits in want.items()}
+
+
+def shard_of(bags, queries, k):
+    """A shard of bags of term numbers, each of weight 1, and queries by terms."""
+    asked = S.Queries(k, S.Groups(queries))
+    for i, own in enumerate(queries):
+        asked.add(S.np.array([i]), S.np.array([len(own)]), own, S.np.ones(len(own)))
+    asked.close()
+    doc, term = S.np.repeat(S.np.arange(len(bags)), [len(b) for b in bags]), S.np.concatenate(bags)
+    at, known = asked.terms.find(term)
+    doc, at = doc[known], at[known]
+    ids = S.np.arange(len(bags))
+    return asked, S.Shard(ids, ids, ids, doc, at, asked.weight[at], asked.asked, len(asked.id))
+
+
+class Counted:
+    """Columns that count the sums made with them."""
+
+    __array_ufunc__ = None
+
+    def __init__(self, data, seen):
+        self.data, self.seen = data, seen
+
+    def __getitem__(self, at):
+        return Counted(self.data[at], self.seen)
+
+    @property
+    def T(self):
+        return self.data.T
+
+    def __rmatmul__(self, left):
+        self.seen.append(len(left) * self.data.shape[1])
+        return left @ self.data
+
+
+def test_documents_of_another_group_are_not_scored():
+    """Sections whose bounds lie below a query's k-th best score are passed over."""
+    rng = S.np.random.default_rng(1)
+    bag = lambda language: S.np.unique(language * 1000 + rng.integers(0, 100, 60))
+    bags, wanted, seen = [bag(i // 1024) for i in range(4096)], [bag(0) for _ in range(20)], []
+    asked, shard = shard_of(bags, wanted, 5)
+    shard.quick = Counted(shard.quick, seen)
+    shard.answer(asked)
+    assert sum(seen) <= 20 * 1024
+    for q, score in zip(asked.id.tolist(), asked.score.tolist()):
+        assert sorted((len(S.np.intersect1d(wanted[q], b)) for b in bags), reverse=True)[:5] == score
+
+
+def test_groups_put_languages_apart():
+    rng = S.np.random.default_rng(2)
+    bags = [S.np.unique(i % 4 * 1000 + rng.integers(0, 80, 40)) for i in range(400)]
+    groups = S.Groups(bags[:100])
+    own = groups.of(S.np.repeat(S.np.arange(400), [len(b) for b in bags]), S.np.concatenate(bags), 400)
+    assert len({(i % 4, g) for i, g in enumerate(own.tolist())}) == len(set(own.tolist())) >= 4
